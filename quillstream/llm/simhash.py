@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import materialise, with_text
 from .components import connected_components
 
-SEED, LEAF, BLOCK, MAX_DEPTH, SAMPLE = 42, 512, 2048, 14, 20_000
+SEED, LEAF, BLOCK, MAX_DEPTH, SAMPLE = 42, 1024, 8192, 14, 20_000
 SKETCH = 64
 
 
