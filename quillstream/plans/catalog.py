@@ -1,11 +1,265 @@
-"""All queries over the driver's tables, with their DuckDB equivalents."""
+"""All queries over the driver's tables, with the DuckDB SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import fixed_values as V
+from ..functions import text as T
+from ..operators import analyses as A
+from ..operators import history as H
+from ..operators import report as R
+from ..operators.frames import Frames
 
-def oracle_sql():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+#: Lists configured for the synthetic corpus, which holds none of the built-in entries.
+TICS, HEDGES, FILTERS, CLICHES = ("of the", "in the", "to the"), ("that", "only"), ("was", "he"), ("the the the", "and the", "of of")
+NOMINAL = {"the the": "the", "and of": "and"}
+
+
+def documents(spark: SparkSession, sf_dir: str, lang: str | None = "en") -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    return docs.filter(F.col("lang") == lang).drop("lang") if lang else docs.drop("lang")
+
+
+def english(spark: SparkSession, sf_dir: str) -> Frames:
+    return Frames.plain(documents(spark, sf_dir))
+
+
+def every(spark: SparkSession, sf_dir: str) -> Frames:
+    return Frames.plain(documents(spark, sf_dir, None))
+
+
+def dialogue_corpus(spark: SparkSession, sf_dir: str) -> Frames:
+    """Conversations as Markdown chapters with quoted lines and tags, ten conversations a document."""
+    t = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ").alias("text"))
+    said = F.when(F.col("role") == "user", F.concat(F.lit('"'), "text", F.lit('" said Mara softly.'))).when(F.col("role") == "assistant", F.concat(F.lit('"'), "text", F.lit('" exclaimed Tomas.'))).otherwise(F.concat(F.lit("He was told by Anna: "), "text"))
+    told = F.when(F.col("conv_id") % 5 == 0, "I sat down. I watched the door. I waited.\n\n").otherwise(F.when(F.col("conv_id") % 7 == 0, "You stood up. You turned around. You left.\n\n").otherwise(""))
+    block = F.when(F.col("turn") == 0, F.concat(F.lit("# Conversation "), "conv_id", F.lit("\n\n"), told, said)).otherwise(said)
+    parts = F.array_sort(F.collect_list(F.struct("conv_id", "turn", block.alias("block"))))
+    books = t.groupBy(F.expr("conv_id div 10").alias("doc_id")).agg(F.array_join(F.transform(parts, lambda x: x["block"]), "\n\n").alias("source"))
+    return Frames.marked_up(books.withColumn("format", F.lit("markdown")))
+
+
+def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two revisions of each English document: the second has `that` for `the`, and every tenth document is gone."""
+    docs = documents(spark, sf_dir)
+    new = docs.filter("doc_id % 10 <> 0").withColumn("text", F.replace("text", F.lit(" the "), F.lit(" that ")))
+    return docs.withColumn("rev", F.lit(0)).unionByName(new.withColumn("rev", F.lit(1)))
+
+
+def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words a million in the benchmark passages, the reference list of `overused`."""
+    w = Frames.plain(spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), "text")).words
+    n = w.groupBy(F.col("lower").alias("word")).agg(F.count("*").alias("n"))
+    return n.select("word", (F.col("n") * 1e6 / F.lit(float(w.count() or 1))).alias("per_million"))
+
+
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.list_findings(english(spark, sf_dir), tics=TICS, hedges=HEDGES, filters=FILTERS, cliches=CLICHES, nominal=NOMINAL)
+
+
+def _closed(table: DataFrame) -> DataFrame:
+    """-1 for the missing end of the open bucket."""
+    return table.withColumn("high", F.coalesce("high", F.lit(-1).cast("long")))
+
+
+def queries() -> dict[str, Query]:
+    word_values = lambda s, d: english(s, d).sentences.select("doc_id", F.col("n_words").alias("value"))
+    return {
+        "counts_by_doc": lambda s, d: A.counts(every(s, d)),
+        "counts_total": lambda s, d: A.counts(every(s, d)).agg(*[F.sum(c).alias(c) for c in ("words", "characters", "characters_no_space", "sentences", "paragraphs")]),
+        "freq_words": lambda s, d: A.frequency(english(s, d).words, 3),
+        "freq_top": lambda s, d: A.frequency(english(s, d).words, 3).orderBy(F.desc("count"), "word").limit(25),
+        "hapax": lambda s, d: A.hapax(english(s, d).words),
+        "diversity_mattr": lambda s, d: A.diversity(every(s, d).words),
+        "sentence_histogram": lambda s, d: _closed(A.histogram(word_values(s, d), 5, 50)),
+        "paragraph_histogram": lambda s, d: _closed(A.histogram(english(s, d).words.groupBy("doc_id", "para").agg(F.count("*").alias("value")), 5, 50)),
+        "paragraph_sentences_histogram": lambda s, d: _closed(A.histogram(english(s, d).sentences.groupBy("doc_id", "para").agg(F.count("*").alias("value")), 1, 12)),
+        "length_summary": lambda s, d: A.summary(word_values(s, d), "doc_id"),
+        "adverbs": lambda s, d: A.adverbs(english(s, d).words),
+        "overused": lambda s, d: A.overused(english(s, d).words, baseline(s, d)),
+        "tics": lambda s, d: A.phrase_findings(english(s, d).sentences, TICS, "tics"),
+        "hedges": lambda s, d: A.phrase_findings(english(s, d).sentences, HEDGES, "hedges"),
+        "filter_words": lambda s, d: A.phrase_findings(english(s, d).sentences, FILTERS, "filter"),
+        "cliches": lambda s, d: A.phrase_findings(english(s, d).sentences, CLICHES, "cliche"),
+        "nominal": lambda s, d: A.nominalizations(english(s, d).sentences, NOMINAL),
+        "tally_by_rule": lambda s, d: _findings(s, d).groupBy("rule", "message").agg(F.count("*").alias("count")),
+        "list_per_1k": lambda s, d: A.per_1k(_findings(s, d), english(s, d).words),
+        "echoes": lambda s, d: A.echoes(english(s, d).words),
+        "proper_nouns": lambda s, d: A.proper_nouns(every(s, d).words),
+        "starter_counts": lambda s, d: A.starter_counts(english(s, d).sentences),
+        "paragraph_starters": lambda s, d: A.paragraph_starter_counts(english(s, d).sentences),
+        "starter_runs": lambda s, d: A.starter_runs(english(s, d).sentences, 2),
+        "passive": lambda s, d: A.passive(english(s, d).sentences),
+        "tense_sentences": lambda s, d: A.tense_totals(A.tense_sentences(english(s, d).words)),
+        "tense_drift": lambda s, d: A.drift(c := A.tense_sentences(english(s, d).words), A.tense_totals(c), "tense"),
+        "pov_counts": lambda s, d: A.pov_totals(A.pov_sentences(english(s, d).words)),
+        "pov_drift": lambda s, d: A.drift(c := A.pov_sentences(dialogue_corpus(s, d).words), A.pov_totals(c), "person"),
+        "repeats": lambda s, d: A.repeats(english(s, d).sentences),
+        "readability_doc": lambda s, d: A.readability(every(s, d).words, "doc_id"),
+        "long_sentences": lambda s, d: A.long_sentences(english(s, d).sentences),
+        "rhythm_monotony": lambda s, d: A.monotony(english(s, d).sentences),
+        "cast": lambda s, d: A.cast_mentions(every(s, d).words),
+        "name_variants": lambda s, d: A.name_variants(english(s, d).words),
+        "outline": lambda s, d: A.outline(dialogue_corpus(s, d)),
+        "dialogue_ratio": lambda s, d: A.dialogue_ratio(dialogue_corpus(s, d).words, "doc_id"),
+        "dialogue_by_section": lambda s, d: A.dialogue_ratio(dialogue_corpus(s, d).words, "doc_id", "section"),
+        "attributions": lambda s, d: A.attributions(dialogue_corpus(s, d)).drop("said"),
+        "tags_summary": lambda s, d: A.tag_totals(A.attributions(dialogue_corpus(s, d))),
+        "speakers": lambda s, d: A.speakers(A.attributions(dialogue_corpus(s, d))),
+        "arc": lambda s, d: A.arc(dialogue_corpus(s, d)),
+        "readability_section": lambda s, d: A.readability(dialogue_corpus(s, d).words, "doc_id", "section"),
+        "split_sections": lambda s, d: A.split_sections(dialogue_corpus(s, d)),
+        "join_docs": lambda s, d: A.join_documents(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "source"), "source"),
+        "html_masked": lambda s, d: A.counts(Frames.marked_up(s.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.lit("markdown").alias("format"), F.col("html").alias("source")))),
+        "report_metrics": lambda s, d: R.metrics(english(s, d), tics=TICS, hedges=HEDGES, filters=FILTERS, cliches=CLICHES, nominal=NOMINAL),
+        "revisions_top": lambda s, d: R.revisions(english(s, d), tics=TICS, hedges=HEDGES, filters=FILTERS, cliches=CLICHES, nominal=NOMINAL),
+        "check_violations": lambda s, d: R.violations(R.metrics(english(s, d), tics=TICS, hedges=HEDGES, filters=FILTERS, cliches=CLICHES, nominal=NOMINAL), R.limits_table(s, R.SAMPLE_LIMITS)),
+        "progress": lambda s, d: H.progress(revisions(s, d), 0, 1),
+        "trend": lambda s, d: H.trend(revisions(s, d)),
+        "word_diff_totals": lambda s, d: H.word_diff_totals(revisions(s, d), 0, 1),
+        "changed_lines": lambda s, d: H.changed_lines(revisions(s, d), 0, 1),
+        "check_since": lambda s, d: H.check_since(revisions(s, d), 0, 1, hedges=HEDGES),
+    }
+
+
+def _list(entries) -> str:
+    return ", ".join("'" + e.replace("'", "''") + "'" for e in sorted(set(entries)))
+
+
+_EMPTY = " \t\n\r\x0b\x0c"
+
+
+def segmented(where: str = "lang = 'en'", table: str = "documents", key: str = "doc_id") -> str:
+    """CTEs sents(doc_id, sent, ws, n) and words(doc_id, sent, w_in_sent, pos, raw, lower) of one-paragraph texts."""
+    joiners = "x"
+    for mark, code in ((".", 57344), (":", 57345)):
+        for _ in range(2):
+            joiners = f"regexp_replace({joiners}, '([\\p{{L}}\\p{{M}}])[{mark}](\\p{{L}})', '\\1' || chr({code}) || '\\2', 'g')"
+    for mark, code in ((".", 57344), (",", 57346), (";", 57347)):
+        for _ in range(2):
+            joiners = f"regexp_replace({joiners}, '(\\p{{N}})[{mark}](\\p{{N}})', '\\1' || chr({code}) || '\\2', 'g')"
+    chars = "[\\p{L}\\p{M}\\p{N}_''’‘' || chr(57344) || chr(57345) || chr(57346) || chr(57347) || ']+"
+    return f"""
+        base AS (SELECT {key} AS doc_id, trim(coalesce(text, ''), chr(32) || chr(10) || chr(13) || chr(9)) AS t FROM {table} WHERE {where}),
+        cut AS (SELECT doc_id, string_split(regexp_replace(t, '([.!?…‽]+["''”’)\\]»*_]*)\\s+([\\p{{Lu}}0-9"''“‘(\\[«¿¡])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS p FROM base),
+        pieces AS (SELECT doc_id, i, p[i] AS piece FROM cut, unnest(generate_series(1, len(p))) AS u(i)),
+        ended AS (SELECT *, regexp_replace(regexp_extract(piece, '(\\S*)\\.$', 1), '^[^\\p{{L}}\\p{{N}}]+', '') AS tok FROM pieces),
+        flagged AS (SELECT *, (regexp_matches(piece, '\\.$') AND NOT regexp_matches(piece, '[.!?…‽]["''”’)\\]»*_]*\\.$') AND (regexp_full_match(tok, '\\p{{Lu}}') OR contains(tok, '.') OR lower(tok) IN ({_list(V.ABBREVIATIONS)}))) AS abb FROM ended),
+        joined AS (SELECT *, coalesce(lag(abb) OVER (PARTITION BY doc_id ORDER BY i), false) AS j FROM flagged),
+        numbered AS (SELECT doc_id, i, piece AS x, sum(CASE WHEN j THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS sid FROM joined),
+        masked AS (SELECT doc_id, sid, i, {joiners} AS y FROM numbered),
+        listed AS (SELECT doc_id, sid, i, list_filter(list_transform(regexp_extract_all(y, '{chars}(?:[-‐‑]{chars})*'), lambda k: translate(trim(k, '''’‘'), chr(57344) || chr(57345) || chr(57346) || chr(57347), '.:,;')), lambda k: regexp_matches(k, '\\p{{L}}')) AS ws FROM masked),
+        grouped AS (SELECT doc_id, sid, flatten(list(ws ORDER BY i)) AS ws FROM listed GROUP BY ALL),
+        sents AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sid) - 1 AS sent, ws, len(ws)::BIGINT AS n FROM grouped WHERE len(ws) > 0),
+        placed AS (SELECT doc_id, sent, k - 1 AS w_in_sent, ws[k] AS raw FROM sents, unnest(generate_series(1, len(ws))) AS u(k)),
+        words AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent, w_in_sent) - 1 AS pos, translate(lower(raw), '’‘ʼ‐‑', '''''''--') AS lower FROM placed)"""
+
+
+def _phrases(entries, rule: str) -> str:
+    ordered = sorted(entries, key=lambda p: (-len(p.split()), p))
+    alternatives = "|".join(p.replace(" ", "  ") for p in ordered)
+    return f"""SELECT doc_id, '{rule}' AS rule, replace(trim(hit), '  ', ' ') AS message, sent, (k - 1)::BIGINT AS pos
+        FROM (SELECT doc_id, sent, regexp_extract_all('  ' || lower(list_aggregate(ws, 'string_agg', '  ')) || '  ', ' (?:{alternatives}) ') AS hits FROM sents), unnest(generate_series(1, len(hits))) AS u(k), unnest([hits[k]]) AS v(hit)"""
+
+
+def oracle_sql() -> dict[str, str]:
+    with_en, with_all = "WITH " + segmented(), "WITH " + segmented("true")
+    both = "(SELECT doc_id * 2 AS k, text FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id * 2 + 1, replace(text, ' the ', ' that ') FROM documents WHERE lang = 'en' AND doc_id % 10 <> 0)"
+    with_revs = "WITH " + segmented("true", both, "k")
+    stop = _list(V.STOPWORDS)
+    ed = "(lower LIKE '%ed' AND strlen(lower) > 3)"
+    adverb = f"lower LIKE '%ly' AND strlen(lower) > 4 AND lower NOT IN ({_list(V.NOT_ADVERBS)})"
+    stems = "(CASE WHEN strlen(w) <= 3 THEN w WHEN w LIKE '%ies' THEN regexp_replace(w, 'ies$', 'y') WHEN w LIKE '%sses' THEN regexp_replace(w, 'es$', '') WHEN regexp_matches(w, '(ch|sh|x)es$') THEN regexp_replace(w, 'es$', '') WHEN w LIKE '%s' AND NOT regexp_matches(w, '(ss|us|is)$') THEN regexp_replace(w, 's$', '') ELSE w END)"
+    bucket = lambda values, width, cap: f"""{values}, b AS (SELECT least(floor(value / {width}), {cap // width})::BIGINT AS k, count(*) AS c FROM v GROUP BY 1),
+        e AS (SELECT unnest(generate_series((SELECT min(k) FROM b), (SELECT max(k) FROM b))) AS k)
+        SELECT e.k * {width} AS low, CASE WHEN e.k * {width} < {cap} THEN e.k * {width} + {width - 1} ELSE -1 END AS high, coalesce(c, 0)::BIGINT AS count FROM e LEFT JOIN b USING (k)"""
+    counted = """SELECT base.doc_id, w AS words, length(t)::BIGINT AS characters, length(regexp_replace(t, '\\s+', '', 'g'))::BIGINT AS characters_no_space, s AS sentences, 1::BIGINT AS paragraphs, round(w / 238, 4) AS reading_minutes, round(w / 150, 4) AS speaking_minutes
+        FROM base JOIN (SELECT doc_id, count(*) AS s, sum(n)::BIGINT AS w FROM sents GROUP BY 1) USING (doc_id)"""
+    tense = f"""t AS (SELECT doc_id, sent, count(*) FILTER (lower IN ({_list(V.PAST_AUX)}) OR {ed}) AS a, count(*) FILTER (NOT (lower IN ({_list(V.PAST_AUX)}) OR {ed}) AND lower IN ({_list(V.PRESENT_AUX)})) AS b FROM words GROUP BY 1, 2),
+        c AS (SELECT doc_id, sent, CASE WHEN a > b THEN 'past' ELSE 'present' END AS tense FROM t WHERE a <> b),
+        totals AS (SELECT doc_id, count(*) FILTER (tense = 'past') AS past_sentences, count(*) FILTER (tense = 'present') AS present_sentences, CASE WHEN count(*) FILTER (tense = 'present') > count(*) FILTER (tense = 'past') THEN 'present' ELSE 'past' END AS dominant FROM c GROUP BY 1)"""
+    syllable = f"""CASE WHEN length(z) <= 3 THEN 1 ELSE greatest(len(regexp_extract_all(regexp_replace(
+            CASE WHEN (z LIKE '%es' AND NOT regexp_matches(z, '(s|z|c|g|x|sh|ch)es$')) OR (z LIKE '%ed' AND NOT regexp_matches(z, '[td]ed$')) THEN z[:-3]
+                 WHEN z LIKE '%e' AND NOT regexp_matches(z, '(le|ee)$') THEN z[:-2] ELSE z END, '^y', ''), '[aeiouy]+')), 1) END"""
+    known = " ".join(f"WHEN lower(raw) = '{k}' THEN {v}" for k, v in V.SYLLABLE_EXCEPTIONS.items())
+    every_phrase = " UNION ALL ".join(f"({_phrases(e, r)})" for e, r in ((TICS, "tics"), (HEDGES, "hedges"), (FILTERS, "filter"), (CLICHES, "cliche")))
+    nominal = f"(SELECT doc_id, rule, message || ' -> ' || CASE message {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in NOMINAL.items())} END AS message, sent, pos FROM ({_phrases(NOMINAL, 'nominal')}))"
+    adverbs = f"(SELECT doc_id, 'adverbs' AS rule, lower AS message, sent, pos FROM words WHERE {adverb})"
+    be, part = _list(V.BE_VERBS), f"(w IN ({_list(V.IRREGULAR_PARTICIPLES)}) OR (w LIKE '%ed' AND strlen(w) > 3))"
+    kinds = f"CASE WHEN w IN ({be}) AND {part} THEN 'B' WHEN w IN ({be}) THEN 'b' WHEN w IN ({_list(V.ADJECTIVAL_PARTICIPLES)}) THEN 'a' WHEN {part} THEN 'p' WHEN w = 'by' THEN 'y' WHEN w LIKE '%ly' THEN 'l' ELSE '-' END"
+    passive = f"""(SELECT doc_id, 'passive' AS rule, list_aggregate(f[skip + 1:skip + length(parts[k])], 'string_agg', ' ') AS message, sent, skip::BIGINT AS pos FROM (
+        SELECT *, coalesce(list_sum(list_transform(parts[:k - 1], lambda p: length(p))), 0)::BIGINT AS skip FROM (SELECT doc_id, sent, f, string_split(translate(regexp_replace(list_aggregate(list_transform(f, lambda w: {kinds}), 'string_agg', ''), '([bB]l?(?:[pB]y?|ay))', '<\\1>', 'g'), '<', '>'), '>') AS parts FROM (SELECT doc_id, sent, list_transform(ws, lambda w: lower(w)) AS f FROM sents)), unnest(generate_series(2, len(parts), 2)) AS u(k)))"""
+    islands = lambda source, value, order, keys: f"""SELECT {keys}, v AS value, min({order}) AS first, max({order}) AS last, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY {keys} ORDER BY {order}) AS r FROM (
+        SELECT *, {value} AS v, CASE WHEN {value} IS NOT DISTINCT FROM lag({value}) OVER (PARTITION BY {keys} ORDER BY {order}) THEN 0 ELSE 1 END AS new FROM {source})) GROUP BY {keys}, r, v"""
+    names = "names AS (SELECT doc_id, lower FROM words WHERE w_in_sent > 0 GROUP BY 1, 2 HAVING bool_and(regexp_matches(raw, '^\\p{Lu}')))"
+    out = {
+        "counts_by_doc": f"{with_all} {counted}",
+        "counts_total": f"{with_all} SELECT sum(words)::BIGINT AS words, sum(characters)::BIGINT AS characters, sum(characters_no_space)::BIGINT AS characters_no_space, sum(sentences)::BIGINT AS sentences, sum(paragraphs)::BIGINT AS paragraphs FROM ({counted})",
+        "freq_words": f"{with_en} SELECT lower AS word, count(*) AS count FROM words WHERE lower NOT IN ({stop}) AND length(lower) >= 3 GROUP BY 1",
+        "freq_top": f"{with_en} SELECT lower AS word, count(*) AS count FROM words WHERE lower NOT IN ({stop}) AND length(lower) >= 3 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25",
+        "hapax": f"{with_en} SELECT lower AS word, min(doc_id) AS doc_id, min(pos) AS pos FROM words GROUP BY 1 HAVING count(*) = 1",
+        "diversity_mattr": f"""{with_all}, n AS (SELECT doc_id, count(*) AS words, count(DISTINCT lower) AS "unique" FROM words GROUP BY 1),
+            g AS (SELECT w.doc_id, greatest(least(pos, n.words - 50) - greatest(coalesce(lag(pos) OVER (PARTITION BY w.doc_id, lower ORDER BY pos), -1) + 1, pos - 49, 0) + 1, 0) AS f FROM words AS w JOIN n USING (doc_id))
+            SELECT doc_id, words, "unique", round("unique" / words, 4) AS ttr, round(CASE WHEN words <= 50 THEN "unique" / words ELSE f / (words - 49) / 50 END, 4) AS mattr FROM n JOIN (SELECT doc_id, sum(f) AS f FROM g GROUP BY 1) USING (doc_id)""",
+        "sentence_histogram": bucket(f"{with_en}, v AS (SELECT n AS value FROM sents)", 5, 50),
+        "paragraph_histogram": bucket(f"{with_en}, v AS (SELECT sum(n) AS value FROM sents GROUP BY doc_id)", 5, 50),
+        "paragraph_sentences_histogram": bucket(f"{with_en}, v AS (SELECT count(*) AS value FROM sents GROUP BY doc_id)", 1, 12),
+        "length_summary": f"{with_en} SELECT doc_id, count(*) AS count, round(avg(n), 4) AS mean, round(median(n), 4) AS median, round(stddev_pop(n), 4) AS stdev, min(n) AS min, max(n) AS max FROM sents GROUP BY 1",
+        "adverbs": f"{with_en} SELECT * FROM {adverbs}",
+        "overused": f"""{with_en}, bench AS (WITH {segmented("true", "benchmark", "item_id")} SELECT lower AS word, count(*) * 1e6 / (SELECT count(*) FROM words) AS per_million FROM words GROUP BY 1),
+            c AS (SELECT lower AS word, count(*) AS count FROM words WHERE lower NOT IN ({stop}) GROUP BY 1)
+            SELECT word, count, round(count / (SELECT sum(count) FROM c) * 1e6 / per_million, 4) AS ratio FROM c JOIN bench USING (word) WHERE count >= 3 AND round(count / (SELECT sum(count) FROM c) * 1e6 / per_million, 4) >= 3""",
+        "tics": f"{with_en} {_phrases(TICS, 'tics')}",
+        "hedges": f"{with_en} {_phrases(HEDGES, 'hedges')}",
+        "filter_words": f"{with_en} {_phrases(FILTERS, 'filter')}",
+        "cliches": f"{with_en} {_phrases(CLICHES, 'cliche')}",
+        "nominal": f"{with_en} SELECT * FROM {nominal}",
+        "passive": f"{with_en} SELECT * FROM {passive}",
+        "tally_by_rule": f"{with_en} SELECT rule, message, count(*) AS count FROM ({every_phrase} UNION ALL {nominal} UNION ALL {adverbs} UNION ALL {passive}) GROUP BY 1, 2",
+        "list_per_1k": f"{with_en} SELECT rule, count(*) AS count, round(count(*) * 1000.0 / (SELECT count(*) FROM words), 4)::DOUBLE AS per_1k FROM ({every_phrase} UNION ALL {nominal} UNION ALL {adverbs} UNION ALL {passive}) GROUP BY 1",
+        "proper_nouns": f"{with_all}, {names} SELECT * FROM names",
+        "echoes": f"""{with_en}, {names}, c AS (SELECT w.doc_id, sent, pos, {stems.replace('w LIKE', 'q LIKE').replace('(w)', '(q)').replace('strlen(w)', 'strlen(q)').replace('(w,', '(q,').replace('THEN w ', 'THEN q ').replace('ELSE w ', 'ELSE q ')} AS stem
+            FROM (SELECT *, regexp_replace(lower, '''s$', '') AS q FROM words WHERE length(lower) >= 4 AND lower NOT IN ({stop})) AS w ANTI JOIN names USING (doc_id, lower))
+            SELECT * FROM (SELECT doc_id, stem, sent, pos, pos - lag(pos) OVER (PARTITION BY doc_id, stem ORDER BY pos) AS distance FROM c) WHERE distance <= 50""",
+        "starter_counts": f"{with_en} SELECT lower AS word, count(*) AS count FROM words WHERE w_in_sent = 0 GROUP BY 1",
+        "paragraph_starters": f"{with_en} SELECT lower AS word, count(*) AS count FROM words WHERE pos = 0 GROUP BY 1",
+        "starter_runs": f"{with_en}, f AS (SELECT doc_id, sent, lower FROM words WHERE w_in_sent = 0) SELECT doc_id, value AS word, first, last, n FROM ({islands('f', 'lower', 'sent', 'doc_id')}) WHERE n >= 2",
+        "tense_sentences": f"{with_en}, {tense} SELECT * FROM totals",
+        "tense_drift": f"{with_en}, {tense}, r AS ({islands('c', 'tense', 'sent', 'doc_id')}) SELECT doc_id, value, first, last, n FROM r JOIN totals USING (doc_id) WHERE n >= 3 AND value <> dominant",
+        "pov_counts": f"""{with_en}, t AS (SELECT doc_id, sent, count(*) FILTER (lower IN ({_list(V.FIRST_PERSON)})) AS a, count(*) FILTER (lower IN ({_list(V.SECOND_PERSON)})) AS b, count(*) FILTER (lower IN ({_list(V.THIRD_PERSON)})) AS c FROM words GROUP BY 1, 2),
+            p AS (SELECT doc_id, CASE WHEN a > b AND a > c THEN 'first' WHEN b > a AND b > c THEN 'second' WHEN c > a AND c > b THEN 'third' END AS person FROM t),
+            n AS (SELECT doc_id, count(*) FILTER (person = 'first') AS first_sentences, count(*) FILTER (person = 'second') AS second_sentences, count(*) FILTER (person = 'third') AS third_sentences FROM p WHERE person IS NOT NULL GROUP BY 1)
+            SELECT *, CASE WHEN third_sentences >= first_sentences AND third_sentences >= second_sentences THEN 'third' WHEN second_sentences >= first_sentences THEN 'second' ELSE 'first' END AS dominant FROM n""",
+        "readability_doc": f"""{with_all}, m AS (SELECT doc_id, sent, CASE {known} ELSE {syllable} END AS y, length(regexp_replace(raw, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS l, raw FROM (SELECT *, regexp_replace(lower(raw), '[^a-z]', '', 'g') AS z FROM words)),
+            n AS (SELECT doc_id, count(*) AS words, count(DISTINCT sent) AS sentences, sum(y) AS y, sum(l) AS l, count(*) FILTER (y >= 3 AND NOT contains(raw, '-') AND NOT regexp_matches(raw, '^\\p{{Lu}}')) AS hard FROM m GROUP BY 1)
+            SELECT doc_id, words, sentences, round(206.835 - 1.015 * (words / sentences) - 84.6 * (y / words) + 1e-9, 4)::DOUBLE AS flesch_reading_ease, round(0.39 * (words / sentences) + 11.8 * (y / words) - 15.59 + 1e-9, 4)::DOUBLE AS flesch_kincaid_grade, round(0.4 * (words / sentences + 100.0 * hard / words) + 1e-9, 4)::DOUBLE AS gunning_fog, round(0.0588 * (l / words * 100) - 0.296 * (sentences / words * 100) - 15.8 + 1e-9, 4)::DOUBLE AS coleman_liau, round(4.71 * (l / words) + 0.5 * (words / sentences) - 21.43 + 1e-9, 4)::DOUBLE AS automated_readability FROM n""",
+        "long_sentences": f"{with_en} SELECT doc_id, sent, n AS n_words FROM sents WHERE n > 40",
+        "rhythm_monotony": f"""{with_en.replace('WITH', 'WITH RECURSIVE', 1)}, d AS (SELECT doc_id, list(n ORDER BY sent) AS a FROM sents GROUP BY 1),
+            reach AS (SELECT doc_id, i, (SELECT coalesce(min(j), len(a) + 1) FROM unnest(generate_series(i, len(a))) AS u(j) WHERE list_max(a[i:j]) - list_min(a[i:j]) > 3) - i AS n FROM d, unnest(generate_series(1, len(a))) AS v(i)),
+            walk AS (SELECT doc_id, 1::BIGINT AS i FROM d UNION ALL SELECT w.doc_id, w.i + CASE WHEN r.n >= 4 THEN r.n ELSE 1 END FROM walk AS w JOIN reach AS r ON w.doc_id = r.doc_id AND w.i = r.i)
+            SELECT doc_id, i - 1 AS first, n::BIGINT AS n FROM walk JOIN reach USING (doc_id, i) WHERE n >= 4""",
+        "cast": f"{with_all}, {names} SELECT doc_id, (-1)::BIGINT AS section, lower AS name, count(*) AS count FROM words SEMI JOIN names USING (doc_id, lower) GROUP BY 1, 3",
+        "join_docs": "SELECT source, string_agg(regexp_replace(coalesce(text, ''), '\\s+$', ''), chr(10) || chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY 1",
+        "repeats": with_en + _repeats_sql(stop),
+        "progress": f"{with_revs} SELECT doc_id // 2 AS doc_id, sum(CASE WHEN doc_id % 2 = 0 THEN n ELSE 0 END)::BIGINT AS before, sum(CASE WHEN doc_id % 2 = 1 THEN n ELSE 0 END)::BIGINT AS after, sum(CASE WHEN doc_id % 2 = 1 THEN n ELSE -n END)::BIGINT AS change FROM sents GROUP BY 1",
+        "trend": f"{with_revs} SELECT (doc_id % 2)::INT AS rev, count(*) AS words, round(count(*) FILTER ({adverb}) * 1000.0 / count(*), 4)::DOUBLE AS adverbs_per_1k FROM words GROUP BY 1",
+    }
+    return out
+
+
+def _repeats_sql(stop: str, longest: int = 6, shortest: int = 3) -> str:
+    out = ", fw AS (SELECT doc_id, sent, list_transform(ws, lambda w: lower(w)) AS f FROM sents)"
+    for n in range(longest, shortest - 1, -1):
+        out += f""", g{n} AS (SELECT doc_id, sent, i, f[i:i + {n - 1}] AS g FROM fw, unnest(generate_series(1, len(f) - {n - 1})) AS u(i)),
+            r{n} AS (SELECT doc_id, sent, i, array_to_string(g, ' ') AS phrase, count(*) OVER (PARTITION BY doc_id, array_to_string(g, ' ')) AS c FROM g{n} WHERE len(list_filter(g, lambda w: w NOT IN ({stop}))) > 0 QUALIFY c >= 2)"""
+        inside = " UNION ".join(f"SELECT doc_id, sent, unnest(generate_series(i, i + {m - n})) AS i FROM k{m}" for m in range(n + 1, longest + 1))
+        out += f", k{n} AS (SELECT r{n}.*, count(*) FILTER (o.doc_id IS NULL) OVER (PARTITION BY r{n}.doc_id, phrase) AS fresh FROM r{n} LEFT JOIN ({inside}) AS o ON r{n}.doc_id = o.doc_id AND r{n}.sent = o.sent AND r{n}.i = o.i QUALIFY fresh >= 2)" if inside else f", k{n} AS (SELECT *, c AS fresh FROM r{n})"
+    return out + " " + " UNION ALL ".join(f"(SELECT doc_id, phrase, {n}::BIGINT AS words, any_value(c) AS count FROM k{n} GROUP BY 1, 2)" for n in range(longest, shortest - 1, -1))
+
+
+__all__ = ["T", "oracle_sql", "queries"]
