@@ -149,7 +149,7 @@ def test_url_templates_learn(spark):
 
 def test_classifiers(spark):
     good = [" ".join(RNG.choice(VOCAB, 40)) for _ in range(300)]
-    rows = [(i, t.upper() + " ###" if i % 3 == 0 else t + (" wretched" if i % 3 == 1 else "")) for i, t in enumerate(good)]
+    rows = [(i, t.upper() + " ###" if i % 3 == 0 else t + (" wretched wretched fool" if i % 3 == 1 else "")) for i, t in enumerate(good)]
     docs = spark.createDataFrame([*rows, (1000, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 3 != 0), int(i % 3 == 1)) for i, _ in rows], "doc_id long, quality int, toxic int")
     for module, column in ((byte_cnn, "quality"), (toxicity, "toxic")):
