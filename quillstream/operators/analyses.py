@@ -43,7 +43,7 @@ def diversity(words: DataFrame, window: int = 50) -> DataFrame:
     total = joined.groupBy("doc_id").agg(F.first("words").alias("words"), F.first("unique").alias("unique"), F.sum(first_in).alias("firsts"))
     ttr = F.col("unique") / F.col("words")
     mattr = F.when((F.col("words") <= window) | F.lit(window == 0), ttr).otherwise(F.col("firsts") / (F.col("words") - window + 1) / F.lit(max(window, 1)))
-    return total.select("doc_id", "words", "unique", F.round(ttr, 4).alias("ttr"), F.round(mattr, 4).alias("mattr"))
+    return total.select("doc_id", "words", "unique", F.round(ttr + 1e-9, 4).alias("ttr"), F.round(mattr + 1e-9, 4).alias("mattr"))
 
 
 def histogram(values: DataFrame, width: int, cap: int) -> DataFrame:
@@ -183,18 +183,23 @@ def pov_totals(classified: DataFrame) -> DataFrame:
     return n.withColumn("dominant", F.expr("CASE WHEN third_sentences >= first_sentences AND third_sentences >= second_sentences THEN 'third' WHEN second_sentences >= first_sentences THEN 'second' ELSE 'first' END"))
 
 
+def _grams(words: str, n: int) -> Column:
+    """All stretches of n words of an array."""
+    return F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.slice(words, i, n))
+
+
 def repeats(sentences: DataFrame, shortest: int = 3, longest: int = 6, min_count: int = 2) -> DataFrame:
     """(doc_id, phrase, words, count) of repeated word sequences not covered by longer ones that are kept.
 
     Sequences of stopwords alone are left out. One that occurs fewer than min_count times outside of kept longer ones is
     dropped; the count of a kept one has all its occurrences.
     """
-    base = sentences.select("doc_id", "sent", F.transform("words", lambda w: T.fold(w)).alias("w")).filter(F.size("w") >= shortest)
+    base = cut(sentences.select("doc_id", "sent", F.transform("words", lambda w: T.fold(w)).alias("w")).filter(F.size("w") >= shortest))
     stop = F.array(*[F.lit(x) for x in sorted(set(V.STOPWORDS))])
     kept: DataFrame | None = None
     out: DataFrame | None = None
     for n in range(longest, shortest - 1, -1):
-        grams = base.filter(F.size("w") >= n).select("doc_id", "sent", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i, n=n: F.slice("w", i, n))).alias("at", "g"))
+        grams = base.filter(F.size("w") >= n).select("doc_id", "sent", F.posexplode(_grams("w", n)).alias("at", "g"))
         grams = grams.filter(F.size(F.array_except("g", stop)) > 0).select("doc_id", "sent", "at", F.array_join("g", " ").alias("phrase"))
         many = grams.groupBy("doc_id", "phrase").agg(F.count("*").alias("count")).filter(F.col("count") >= min_count)
         grams = grams.join(many, ["doc_id", "phrase"])

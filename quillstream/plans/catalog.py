@@ -205,7 +205,7 @@ def oracle_sql() -> dict[str, str]:
         "hapax": f"{with_en} SELECT lower AS word, min(doc_id) AS doc_id, min(pos) AS pos FROM words GROUP BY 1 HAVING count(*) = 1",
         "diversity_mattr": f"""{with_all}, n AS (SELECT doc_id, count(*) AS words, count(DISTINCT lower) AS "unique" FROM words GROUP BY 1),
             g AS (SELECT w.doc_id, greatest(least(pos, n.words - 50) - greatest(coalesce(lag(pos) OVER (PARTITION BY w.doc_id, lower ORDER BY pos), -1) + 1, pos - 49, 0) + 1, 0) AS f FROM words AS w JOIN n USING (doc_id))
-            SELECT doc_id, words, "unique", round("unique" / words, 4) AS ttr, round(CASE WHEN words <= 50 THEN "unique" / words ELSE f / (words - 49) / 50 END, 4) AS mattr FROM n JOIN (SELECT doc_id, sum(f) AS f FROM g GROUP BY 1) USING (doc_id)""",
+            SELECT doc_id, words, "unique", round("unique" / words + 1e-9, 4) AS ttr, round(CASE WHEN words <= 50 THEN "unique" / words ELSE f / (words - 49) / 50 END + 1e-9, 4) AS mattr FROM n JOIN (SELECT doc_id, sum(f) AS f FROM g GROUP BY 1) USING (doc_id)""",
         "sentence_histogram": bucket(f"{with_en}, v AS (SELECT n AS value FROM sents)", 5, 50),
         "paragraph_histogram": bucket(f"{with_en}, v AS (SELECT sum(n) AS value FROM sents GROUP BY doc_id)", 5, 50),
         "paragraph_sentences_histogram": bucket(f"{with_en}, v AS (SELECT count(*) AS value FROM sents GROUP BY doc_id)", 1, 12),
