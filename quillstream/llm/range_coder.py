@@ -3,9 +3,10 @@
 Each block is reset and coded alone: its bytes decode without any other block. Three predictions are mixed into one interval
 for each id: the id last seen after the same two ids (order 2), the one last seen after the same id (order 1), and counts of
 the ids' upper bytes (order 0). The shares of orders 2 and 1 come from hit counts under their joint confidence, mixed with
-those of each order alone in proportion to the evidence. A block learns after every SEGMENT ids, so encoder and decoder
-see the same model and numpy can learn in bulk. All arithmetic is on integers: blocks decode alike on any machine. Lanes are
-blocks: numpy codes one id of every block at a time.
+those of each order alone in proportion to the evidence. A block learns which ids follow which after every SEGMENT ids and
+settles its shares after one, two, four, eight ... segments, so encoder and decoder see the same model and numpy can learn in
+bulk. Quotients are of integers below 2 ** 53 or in whole numbers: blocks decode alike on any machine. Lanes are blocks:
+numpy codes one id of every block at a time. Arrays of ids have a row a place and a column a lane.
 """
 
 from __future__ import annotations
@@ -14,68 +15,69 @@ import numpy as np
 
 SEGMENT, BITS1, BITS2 = 64, 10, 11
 KIND, HIGH = 12, 11  # bits of the shares of the three predictions, and of the counts of upper bytes
-TOTAL = KIND + HIGH + 8
-SPAN, WORD, FLOOR = 56, 16, 40  # bits of the coder's interval, of a written word, and below which it writes
-ALL, LOW = (1 << SPAN) - 1, (1 << FLOOR) - 1
+TOTAL, REST = KIND + HIGH + 8, HIGH + 8
+#: The coder's interval has 64 bits and words have 32: as TOTAL is below 32, one word an id always suffices.
+WORD, LOW = np.uint64(32), np.uint64((1 << 32) - 1)
+MIX1, MIX2 = np.uint16(40503), np.uint16(30011)
+AGREE = 1 << 16  # in a table's entry: the id, and from this bit on its confidence
 
 
 class Coder:
-    """Carryless range coder over lanes; each lane writes or reads its own 16-bit words."""
+    """Carryless range coder over lanes; each lane writes or reads its own 32-bit words."""
 
     def __init__(self, lanes: int, words: int, data: np.ndarray | None = None) -> None:
-        self.low, self.range, self.at = np.zeros(lanes, np.int64), np.full(lanes, ALL, np.int64), np.zeros(lanes, np.int64)
-        self.data = np.zeros((lanes, words), np.uint16) if data is None else data
-        self.width, self.flat, self.base = self.data.shape[1], self.data.reshape(-1), np.arange(lanes) * self.data.shape[1]
+        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+        self.data = np.zeros((lanes, words), np.uint32) if data is None else data
+        self.flat, self.at = self.data.reshape(-1), np.arange(lanes) * self.data.shape[1]
+        self.begin = self.at.copy()
         self.code = None
         if data is not None:
-            self.code = (data[:, 0].astype(np.int64) << 40) | (data[:, 1].astype(np.int64) << 24) | (data[:, 2].astype(np.int64) << 8) | (data[:, 3].astype(np.int64) >> 8)
-            self.at += 3
-            # 56 bits are three words and a half: half a word stays behind
-        self.half = np.zeros(lanes, np.int64)
+            self.code = (data[:, 0].astype(np.uint64) << WORD) | data[:, 1]
+            self.at += 2
 
-    def narrow(self, m: int, low: np.ndarray, freq: np.ndarray, step: np.ndarray) -> None:
-        base, span = self.low[:m], self.range[:m]
+    def narrow(self, n: int, low: np.ndarray, freq: np.ndarray, step: np.ndarray) -> None:
+        """Narrows the first n lanes to freq steps from low, and writes or reads a word where the interval got short."""
+        base, span = self.low[:n], self.range[:n]
         base += low * step
-        base &= ALL
         np.multiply(step, freq, out=span)
-        while True:
-            settled = ((base ^ (base + span)) >> FLOOR) == 0
-            go = np.flatnonzero(settled | (span <= LOW))
-            if not len(go):
-                return
-            b, s = base[go], span[go]
-            s = np.where(settled[go], s, (LOW + 1) - (b & LOW))
-            at = self.base[go] + self.at[go]
-            if self.code is None:
-                self.flat[at] = b >> FLOOR
-            else:
-                # the next sixteen bits start in the middle of a word
-                now = ((self.flat[at].astype(np.int64) & 0xFF) << 8) | (self.flat[np.minimum(at + 1, self.base[go] + self.width - 1)] >> 8)
-                self.code[go] = ((self.code[go] << WORD) & ALL) | now
-            self.at[go] += 1
-            base[go] = (b << WORD) & ALL
-            span[go] = np.minimum((s << WORD), ALL)
+        go = np.flatnonzero(span <= LOW)
+        if not len(go):
+            return
+        b, at = base[go], self.at[go]
+        # an interval that crosses a word's end keeps the part before it
+        span[go] = np.minimum(span[go], (LOW - (b & LOW)) + np.uint64(1)) << WORD
+        if self.code is None:
+            self.flat[at] = b >> WORD
+        else:
+            self.code[go] = (self.code[go] << WORD) | self.flat[at]
+        base[go] = b << WORD
+        self.at[go] = at + 1
 
     def flush(self) -> None:
-        lanes = np.arange(len(self.low))
-        for _ in range(4):
-            self.data[lanes, self.at] = self.low >> FLOOR
-            self.low = (self.low << WORD) & ALL
-            self.at += 1
+        """One word that lies in each lane's interval; the reader takes zeros after it."""
+        self.flat[self.at] = (self.low >> WORD) + ((self.low & LOW) > 0)
+        self.at += 1
 
 
 class Model:
     """What each lane has learnt from its own block so far."""
 
     def __init__(self, lanes: int) -> None:
-        self.lanes, self.lane = lanes, np.arange(lanes)
-        self.next1, self.next2 = np.zeros(lanes << BITS1, np.int32), np.zeros(lanes << BITS2, np.int32)  # id * 4 + confidence
-        self.kinds = np.zeros((lanes, 32, 3), np.int64)
-        self.highs = np.zeros((lanes, 256), np.int64)
+        self.lanes = lanes
+        lane = np.arange(lanes)
+        self.base1, self.base2, self.base_share, self.base_high, self.base_slot = (lane << b for b in (BITS1, BITS2, 5, 8, HIGH))
+        self.next1, self.next2 = np.zeros(lanes << BITS1, np.uint32), np.zeros(lanes << BITS2, np.uint32)
+        self.kinds, self.highs = np.zeros((lanes, 32, 3), np.int32), np.zeros((lanes, 256), np.int32)
+        self.news: list[tuple[np.ndarray, np.ndarray]] = []
+        self.segments = 0
         self.settle()
 
     def settle(self) -> None:
-        """Turns the counts into shares."""
+        """Turns the counts into shares (order 2, orders 2 and 1), frequencies and their sums, two packed into one number."""
+        for of_kinds, of_highs in self.news:
+            self.kinds += np.bincount(of_kinds, minlength=self.lanes * 96).reshape(self.kinds.shape).astype(np.int32)
+            self.highs += np.bincount(of_highs, minlength=self.lanes << 8).reshape(self.highs.shape).astype(np.int32)
+        self.news = []
         joint = self.kinds.reshape(self.lanes, 4, 4, 2, 3)
         by2, by1 = joint.sum((2, 3)), joint.sum((1, 3))
         prior = lambda n: ((n + 1) << KIND) // (n.sum(-1, keepdims=True) + 4)
@@ -84,79 +86,90 @@ class Model:
         two = np.clip(shares[..., 0], 1, 3900)
         one = np.clip(shares[..., 1], 1, 4064 - two)
         one[..., 1] = 0  # both orders predict the same id
-        self.two, self.one = two.reshape(-1), one.reshape(-1)
-        total = self.highs.sum(1, keepdims=True) + 64
-        freq = 1 + (self.highs + (np.arange(256) < 64)) * ((1 << HIGH) - 256) // total
-        freq[:, 0] += (1 << HIGH) - freq.sum(1)
-        self.freq = freq.reshape(-1)
-        self.cum = (np.cumsum(freq, 1) - freq).reshape(-1)
-        self.slots = np.repeat(np.tile(np.arange(256, dtype=np.uint8), self.lanes), self.freq)
-
-    def look(self, lane: np.ndarray, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(order-1 slot, its entry, order-2 slot, its entry, index of the shares)."""
-        mixed = last * 40503
-        s1 = (lane << BITS1) + ((mixed & 0xFFFF) >> (16 - BITS1))
-        s2 = (lane << BITS2) + (((mixed + before * 30011) & 0xFFFF) >> (16 - BITS2))
+        self.shares = (two | ((two + one) << 16)).reshape(-1).astype(np.uint32)
+        total = self.highs.sum(1, keepdims=True, dtype=np.int32) + 64
+        freq = 1 + (self.highs + (np.arange(256, dtype=np.int32) < 64)) * np.int32((1 << HIGH) - 256) // total
+        freq[:, 0] += (1 << HIGH) - freq.sum(1, dtype=np.int32)
+        cum = np.cumsum(freq, 1, dtype=np.int32) - freq
+        self.freqs = (freq | (cum << 16)).reshape(-1).astype(np.uint32)
+        self.slots = np.repeat(np.tile(np.arange(256, dtype=np.uint8), self.lanes), freq.reshape(-1))
+
+    def look(self, n: int, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(order-1 slot, its entry, its id, order-2 slot, its entry, its id, index of the shares) of the first n lanes."""
+        mixed = last * MIX1
+        s1 = self.base1[:n] + (mixed >> np.uint16(16 - BITS1))
+        s2 = self.base2[:n] + ((mixed + before * MIX2) >> np.uint16(16 - BITS2))
         e1, e2 = self.next1.take(s1), self.next2.take(s2)
-        return s1, e1, s2, e2, (lane << 5) + ((e2 & 3) << 3) + ((e1 & 3) << 1) + ((e1 >> 2) == (e2 >> 2))
-
-    def learn(self, ids: np.ndarray, last: np.ndarray, before: np.ndarray, lane: np.ndarray) -> None:
-        """Flat arrays, lane by lane and in order inside a lane."""
-        s1, e1, s2, e2, at = self.look(lane, last, before)
-        hit2, hit1 = (e2 >> 2) == ids, (e1 >> 2) == ids
-        kind = np.where(hit2, 0, np.where(hit1, 1, 2))
-        self.kinds += np.bincount(at * 3 + kind, minlength=self.lanes * 96).reshape(self.kinds.shape)
-        new = kind == 2
-        self.highs += np.bincount((lane[new] << 8) + (ids[new] >> 8), minlength=self.lanes << 8).reshape(self.highs.shape)
-        self.next1[s1] = (ids << 2) | np.where(hit1, np.minimum((e1 & 3) + 1, 3), 0)
-        self.next2[s2] = (ids << 2) | np.where(hit2, np.minimum((e2 & 3) + 1, 3), 0)
-        self.settle()
-
-
-def _intervals(model: Model, ids: np.ndarray, last: np.ndarray, before: np.ndarray, lane: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        id1, id2 = e1.astype(np.uint16), e2.astype(np.uint16)
+        seen = ((e2 >> np.uint32(16)) << np.uint32(3)) + ((e1 >> np.uint32(16)) << np.uint32(1)) + (id1 == id2)
+        return s1, e1, id1, s2, e2, id2, self.base_share[:n] + seen
+
+    def learn(self, n: int, ids: np.ndarray, found: tuple[np.ndarray, ...]) -> None:
+        """Learns a segment's ids from what look() gave for them. Lanes that end in the segment may learn anything."""
+        s1, e1, id1, s2, e2, id2, at = found
+        hit2, hit1 = id2 == ids, id1 == ids
+        missed = ~(hit1 | hit2)
+        self.news.append(((at * 3 + np.where(hit2, 0, 1 + missed)).reshape(-1), (self.base_high[:n] + (ids >> np.uint16(8)))[missed]))
+        top, more = np.uint32(3 * AGREE), np.uint32(AGREE)
+        grown = lambda e, hit: ids + np.where(hit, np.minimum((e & ~np.uint32(AGREE - 1)) + more, top), np.uint32(0))
+        self.next1[s1], self.next2[s2] = grown(e1, hit1), grown(e2, hit2)  # the last of equal slots stays
+        self.segments += 1
+        if self.segments & (self.segments - 1) == 0:
+            self.settle()
+
+
+def _intervals(model: Model, n: int, ids: np.ndarray, found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
     """(low, freq) of known ids, of a total of 2 ** TOTAL."""
-    _, e1, _, e2, at = model.look(lane, last, before)
-    two, one = model.two.take(at), model.one.take(at)
-    high = (lane << 8) + (ids >> 8)
-    rest, f = (1 << KIND) - two - one, model.freq.take(high)
-    hit2, hit1 = (e2 >> 2) == ids, (e1 >> 2) == ids
-    low = np.where(hit2, 0, np.where(hit1, two << (HIGH + 8), ((two + one) << (HIGH + 8)) + rest * ((model.cum.take(high) << 8) + (ids & 255) * f)))
-    return low, np.where(hit2, two << (HIGH + 8), np.where(hit1, one << (HIGH + 8), rest * f))
+    _, _, id1, _, _, id2, at = found
+    share, fc = model.shares.take(at), model.freqs.take(model.base_high[:n] + (ids >> np.uint16(8)))
+    two, both, f, c = share & np.uint32(0xFFFF), share >> np.uint32(16), fc & np.uint32(0xFFFF), fc >> np.uint32(16)
+    hit2, hit1, rest = id2 == ids, id1 == ids, np.uint32(1 << KIND) - both
+    low = np.where(hit1, two << np.uint32(REST), (both << np.uint32(REST)) + rest * ((c << np.uint32(8)) + (ids & np.uint16(255)) * f))
+    freq = np.where(hit1, (both - two) << np.uint32(REST), rest * f)
+    return np.where(hit2, np.uint32(0), low), np.where(hit2, two << np.uint32(REST), freq)
+
+
+def _read(model: Model, coder: Coder, n: int, step: np.ndarray, found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """(id, low, freq) that the code of the first n lanes stands for."""
+    _, _, id1, _, _, id2, at = found
+    share = model.shares.take(at)
+    x = ((coder.code[:n] - coder.low[:n]) // step).astype(np.uint32)
+    two, both = (share & np.uint32(0xFFFF)) << np.uint32(REST), (share >> np.uint32(16)) << np.uint32(REST)
+    rest = np.uint32(1 << KIND) - (both >> np.uint32(REST))
+    in2, in1 = x < two, x < both
+    y = (np.where(in1, np.uint32(0), x - both) / rest).astype(np.int64)
+    high = model.slots.take(model.base_slot[:n] + (y >> 8))
+    fc = model.freqs.take(model.base_high[:n] + high)
+    f, c = fc & np.uint32(0xFFFF), (fc >> np.uint32(16)) << np.uint32(8)
+    byte = ((y - c) / f).astype(np.uint32)
+    ids = np.where(in2, id2, np.where(in1, id1, ((high.astype(np.uint32) << np.uint32(8)) + byte).astype(np.uint16)))
+    low = np.where(in2, np.uint32(0), np.where(in1, two, both + rest * (c + byte * f)))
+    return ids, low, np.where(in2, two, np.where(in1, both - two, rest * f))
 
 
 def _run(lengths: np.ndarray, coder: Coder, ids: np.ndarray) -> None:
-    """Codes the rows of ids, or decodes into them. Lengths fall from lane to lane; ids has two zeros before each row."""
-    model, reading = Model(len(lengths)), coder.code is not None
-    for t in range(0, int(lengths[0]), SEGMENT):
-        end = min(t + SEGMENT, int(lengths[0]))
-        active = np.searchsorted(-lengths, -np.arange(t, end), "left")
-        m = int(active[0])
-        if not reading:
-            shape, lane = (m, end - t), np.repeat(np.arange(m), end - t)
-            low, freq = _intervals(model, ids[:m, t + 2 : end + 2].reshape(-1), ids[:m, t + 1 : end + 1].reshape(-1), ids[:m, t:end].reshape(-1), lane)
-            low, freq = np.ascontiguousarray(low.reshape(shape).T), np.ascontiguousarray(freq.reshape(shape).T)
-        for k, n in enumerate(active.tolist()):
-            step = coder.range[:n] >> TOTAL
-            if not reading:
-                coder.narrow(n, low[k, :n], freq[k, :n], step)
-                continue
-            lane = model.lane[:n]
-            _, e1, _, e2, at = model.look(lane, ids[:n, t + k + 1], ids[:n, t + k])
-            two, one = model.two.take(at), model.one.take(at)
-            x = np.minimum(((coder.code[:n] - coder.low[:n]) & ALL) // step, (1 << TOTAL) - 1)
-            share, both = x >> (HIGH + 8), two + one
-            rest = (1 << KIND) - both
-            y = np.maximum(x - (both << (HIGH + 8)), 0) // rest
-            high = model.slots.take((lane << HIGH) + (y >> 8)).astype(np.int64)
-            f, c = model.freq.take((lane << 8) + high), model.cum.take((lane << 8) + high)
-            byte = (y - (c << 8)) // f
-            in2, in1 = share < two, share < both
-            ids[:n, t + k + 2] = np.where(in2, e2 >> 2, np.where(in1, e1 >> 2, (high << 8) + byte))
-            begin = np.where(in2, 0, np.where(in1, two << (HIGH + 8), (both << (HIGH + 8)) + rest * ((c << 8) + byte * f)))
-            coder.narrow(n, begin, np.where(in2, two << (HIGH + 8), np.where(in1, one << (HIGH + 8), rest * f)), step)
-        full = np.arange(t, end)[None, :] < lengths[:m, None]
-        lane = np.repeat(np.arange(m), end - t).reshape(m, end - t)[full]
-        model.learn(ids[:m, t + 2 : end + 2][full], ids[:m, t + 1 : end + 1][full], ids[:m, t:end][full], lane)
+    """Codes the columns of ids, or decodes into them. Lengths fall from lane to lane; ids has two rows of zeros before all."""
+    model, most = Model(len(lengths)), int(lengths[0])
+    for t in range(0, most, SEGMENT):
+        end = min(t + SEGMENT, most)
+        active = np.searchsorted(-lengths, -np.arange(t, end), "left").tolist()
+        m = active[0]
+        if coder.code is None:
+            own = ids[t + 2 : end + 2, :m]
+            found = model.look(m, ids[t + 1 : end + 1, :m], ids[t:end, :m])
+            low, freq = _intervals(model, m, own, found)
+            for k, n in enumerate(active):
+                coder.narrow(n, low[k, :n], freq[k, :n], coder.range[:n] >> np.uint64(TOTAL))
+        else:
+            for k, n in enumerate(active):
+                step = coder.range[:n] >> np.uint64(TOTAL)
+                seen = model.look(n, ids[t + k + 1, :n], ids[t + k, :n])
+                ids[t + k + 2, :n], begin, width = _read(model, coder, n, step, seen)
+                coder.narrow(n, begin, width, step)
+            if end < most:
+                found = model.look(m, ids[t + 1 : end + 1, :m], ids[t:end, :m])
+        if end < most:
+            model.learn(m, ids[t + 2 : end + 2, :m], found)
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
@@ -165,15 +178,15 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         return [b""] * len(blocks)
     order = np.argsort([-len(b) for b in blocks], kind="stable")
     lengths = np.array([len(blocks[i]) for i in order], np.int64)
-    ids = np.zeros((len(blocks), int(lengths[0]) + 2), np.int64)
+    ids = np.zeros((len(blocks), int(lengths[0]) + 2), np.uint16)
     for k, i in enumerate(order):
         ids[k, 2 : lengths[k] + 2] = blocks[i]
-    coder = Coder(len(blocks), 3 * int(lengths[0]) + 8)
-    _run(lengths, coder, ids)
+    coder = Coder(len(blocks), int(lengths[0]) + 2)
+    _run(lengths, coder, np.ascontiguousarray(ids.T))
     coder.flush()
     out = [b""] * len(blocks)
     for k, i in enumerate(order):
-        out[i] = coder.data[k, : coder.at[k]].astype("<u2").tobytes()
+        out[i] = coder.data[k, : coder.at[k] - coder.begin[k]].astype("<u4").tobytes()
     return out
 
 
@@ -181,13 +194,14 @@ def decode_blocks(payloads: list[bytes], lengths: list[int]) -> list[np.ndarray]
     if not payloads or not max(lengths):
         return [np.empty(0, np.uint16)] * len(payloads)
     order = np.argsort([-n for n in lengths], kind="stable")
-    data = np.zeros((len(payloads), max(map(len, payloads)) // 2 + 8), np.uint16)
+    data = np.zeros((len(payloads), max(map(len, payloads)) // 4 + 4), np.uint32)
     for k, i in enumerate(order):
-        data[k, : len(payloads[i]) // 2] = np.frombuffer(payloads[i], "<u2")
+        data[k, : len(payloads[i]) // 4] = np.frombuffer(payloads[i], "<u4")
     sizes = np.array([lengths[i] for i in order], np.int64)
-    ids = np.zeros((len(payloads), int(sizes[0]) + 2), np.int64)
+    ids = np.zeros((int(sizes[0]) + 2, len(payloads)), np.uint16)
     _run(sizes, Coder(len(payloads), 0, data), ids)
+    ids = np.ascontiguousarray(ids.T)
     out: list[np.ndarray] = [np.empty(0, np.uint16)] * len(payloads)
     for k, i in enumerate(order):
-        out[i] = ids[k, 2 : sizes[k] + 2].astype(np.uint16)
+        out[i] = ids[k, 2 : sizes[k] + 2].copy()
     return out
