@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -100,7 +101,7 @@ class WordEncoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer, self.dtype, self.limit = Tokenizer.from_file(path), dtype, limit
-        self.model = self.tokenizer.model
+        self.model, self.kind = self.tokenizer.model, {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.byte_level = {c: "".join(x for x, _ in level.pre_tokenize_str(chr(c))) for c in range(33, 256) if chr(c).isalpha()}
         outer = self
@@ -120,12 +121,14 @@ class WordEncoder:
     def word(self, word: bytes) -> bytes:
         s = word.decode()
         core = s.rstrip(self.MARKS)
-        if core.isalpha() and max(core) < "Ā":
+        plain = core.isascii()  # such letters stand for themselves in the vocabulary
+        if core.isalpha() and (plain or max(core) < "Ā"):
             low, tail = core.lower(), s[len(core) :]
             if (ids := self.letters.get(low)) is None:
                 if len(self.letters) >= self.limit:
                     self.letters.clear()
-                ids = self.letters[low] = np.array([x.id for x in self.model.tokenize(low.translate(self.byte_level))], self.dtype).tobytes()
+                found = [x.id for x in self.model.tokenize(low if plain else low.translate(self.byte_level))]
+                ids = self.letters[low] = struct.pack(f"<{len(found)}{self.kind}", *found)
             return ids + self.memo[tail.encode()] if tail else ids
         return self.raw(s)
 

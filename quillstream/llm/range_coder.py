@@ -150,6 +150,7 @@ def _read(model: Model, coder: Coder, n: int, step: np.ndarray, found: tuple[np.
 def _run(lengths: np.ndarray, coder: Coder, ids: np.ndarray) -> None:
     """Codes the columns of ids, or decodes into them. Lengths fall from lane to lane; ids has two rows of zeros before all."""
     model, most = Model(len(lengths)), int(lengths[0])
+    looked: list[np.ndarray] = []  # what each step of a segment that is read looked up, to learn from
     for t in range(0, most, SEGMENT):
         end = min(t + SEGMENT, most)
         active = np.searchsorted(-lengths, -np.arange(t, end), "left").tolist()
@@ -166,7 +167,11 @@ def _run(lengths: np.ndarray, coder: Coder, ids: np.ndarray) -> None:
                 seen = model.look(n, ids[t + k + 1, :n], ids[t + k, :n])
                 ids[t + k + 2, :n], begin, width = _read(model, coder, n, step, seen)
                 coder.narrow(n, begin, width, step)
-            if end < most:
+                looked = looked or [np.empty((SEGMENT, m), x.dtype) for x in seen]
+                for held, x in zip(looked, seen, strict=True):
+                    held[k, :n] = x
+            found = tuple(held[: end - t, :m] for held in looked)
+            if active[-1] < m and end < most:  # rows of lanes that ended are not filled
                 found = model.look(m, ids[t + 1 : end + 1, :m], ids[t:end, :m])
         if end < most:
             model.learn(m, ids[t + 2 : end + 2, :m], found)

@@ -86,13 +86,13 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
     encode(docs, tokenizer).write.mode("overwrite").parquet(path)
 
 
-def _times(a: int, b: int) -> int:
-    """Product of two polynomials modulo that of CRC-32, bits reversed."""
-    out = 0
+def _times(a: int, b):
+    """Product of a polynomial and one or an array of others modulo that of CRC-32, bits reversed."""
+    out = b & 0
     for k in range(31, -1, -1):
         if (a >> k) & 1:
-            out ^= b
-        b = (b >> 1) ^ (0xEDB88320 if b & 1 else 0)
+            out = out ^ b
+        b = (b >> 1) ^ ((b & 1) * 0xEDB88320)
     return out
 
 
@@ -101,14 +101,13 @@ while len(_squares) < 64:
     _squares.append(_times(_squares[-1], _squares[-1]))
 
 
-def crc_before(crc: int, n_bytes: int) -> int:
-    """What a piece's CRC-32 adds, by exclusive or, to that of the piece followed by n_bytes more."""
-    n, k = 8 * n_bytes, 0
-    while n:
-        if n & 1:
-            crc = _times(_squares[k], crc)
-        n, k = n >> 1, k + 1
-    return crc
+def crcs_before(crcs: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
+    """What each piece's CRC-32 adds, by exclusive or, to that of the piece followed by n_bytes more."""
+    out, n = crcs.astype(np.int64), 8 * n_bytes.astype(np.int64)
+    for k in range(int(n.max(initial=0)).bit_length()):
+        go = np.flatnonzero((n >> k) & 1)
+        out[go] = _times(_squares[k], out[go])
+    return out
 
 
 def read_pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -132,13 +131,14 @@ def read_pieces(spark: SparkSession, path: str) -> DataFrame:
                     for p in r["pieces"]:
                         cut = ids[offset : offset + p["length"]]
                         crc = zlib.crc32(cut.astype("<u4").tobytes())
-                        if after := p["doc_tokens"] - p["start"] - p["length"]:
-                            crc = crc_before(crc, 4 * after)
                         out.append((p["doc_id"], r["part"], r["first"] + offset, p["start"], p["length"], p["doc_tokens"], cut.astype("<u2").tobytes(), crc))
                         offset += p["length"]
                 if out:
                     kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.binary(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                    cols = list(zip(*out, strict=True))
+                    start, length, tokens, crc = (np.array(cols[k], np.int64) for k in (3, 4, 5, 7))
+                    cols[7] = crcs_before(crc, 4 * (tokens - start - length))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
     files = spark.read.schema(FILE_DDL).parquet(path)
     return files.mapInArrow(run, "doc_id long, part int, at long, start long, length long, doc_tokens long, ids binary, crc long")
