@@ -14,7 +14,7 @@ SPOKEN, SPLIT = "\ue000", "\u0001"
 TOK = r"[\p{L}\p{M}\p{N}_]+(?:(?:(?<=[\p{L}\p{M}])[.:'’‘·](?=\p{L})|(?<=\p{N})[.,;'’‘](?=\p{N}))[\p{L}\p{M}\p{N}_]+)*"
 WORD = f"{SPOKEN}?{TOK}(?:[-‐‑]{SPOKEN}?{TOK})*"
 BOUND = rf"([.!?…‽]+[\"'”’)\]»*_]*)(\s+)(?={SPOKEN}?[\p{{IsUppercase}}0-9]|[\"'“‘(\[«¿¡])"
-SPEECH = "([\"“«])([^\"“”«»]+)([\"”»]|$)"
+SPEECH = "([\"“«])([^\"“”«»]*)([\"”»]|$)"
 
 
 def fold(word: Column) -> Column:
@@ -71,7 +71,7 @@ def per_thousand(n: Column, words: Column) -> Column:
 
 
 def slug(title: Column) -> Column:
-    s = F.trim(F.lit("-"), F.regexp_replace(F.lower(title), r"[^\p{IsAlphabetic}\p{N}]+", "-"))
+    s = F.trim(F.regexp_replace(F.lower(title), r"[^\p{IsAlphabetic}\p{N}]+", "-"), F.lit("-"))
     return F.when(s == "", "untitled").otherwise(s)
 
 

@@ -310,7 +310,7 @@ def attributions(f: Frames) -> DataFrame:
     """
     paras = f.docs.select("doc_id", F.posexplode("paras").alias("para", "p")).select("doc_id", "para", F.col("p.text").alias("text")).filter(F.col("text").rlike("[\"“«]"))
     parts = F.split(F.regexp_replace("text", T.SPEECH, f"$1{T.SPLIT}$2{T.SPLIT}$3"), T.SPLIT)
-    spans = paras.select("doc_id", "para", parts.alias("parts")).select("doc_id", "para", "parts", F.posexplode("parts").alias("i", "said")).filter("i % 2 = 1")
+    spans = paras.select("doc_id", "para", parts.alias("parts")).select("doc_id", "para", "parts", F.posexplode("parts").alias("i", "said")).filter("i % 2 = 1 and said <> ''")
     fold_all = lambda c: F.transform(T.words(c), lambda w: T.fold(w))
     after = fold_all(F.array_join(F.slice("parts", F.col("i") + 2, F.size("parts")), " "))
     before = F.reverse(fold_all(F.array_join(F.slice("parts", 1, F.col("i")), " ")))

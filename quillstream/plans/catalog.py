@@ -187,6 +187,13 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN (z LIKE '%es' AND NOT regexp_matches(z, '(s|z|c|g|x|sh|ch)es$')) OR (z LIKE '%ed' AND NOT regexp_matches(z, '[td]ed$')) THEN z[:-3]
                  WHEN z LIKE '%e' AND NOT regexp_matches(z, '(le|ee)$') THEN z[:-2] ELSE z END, '^y', ''), '[aeiouy]+')), 1) END"""
     known = " ".join(f"WHEN lower(raw) = '{k}' THEN {v}" for k, v in V.SYLLABLE_EXCEPTIONS.items())
+    scores = lambda keys: f"""m AS (SELECT {keys}, sent, CASE {known} ELSE {syllable} END AS y, length(regexp_replace(raw, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS l, raw FROM (SELECT *, regexp_replace(lower(raw), '[^a-z]', '', 'g') AS z FROM words)),
+            n AS (SELECT {keys}, count(*) AS words, count(DISTINCT sent) AS sentences, sum(y) AS y, sum(l) AS l, count(*) FILTER (y >= 3 AND NOT contains(raw, '-') AND NOT regexp_matches(raw, '^\\p{{Lu}}')) AS hard FROM m GROUP BY {keys})
+            SELECT {keys}, words, sentences, round(206.835 - 1.015 * (words / sentences) - 84.6 * (y / words) + 1e-9, 4)::DOUBLE AS flesch_reading_ease, round(0.39 * (words / sentences) + 11.8 * (y / words) - 15.59 + 1e-9, 4)::DOUBLE AS flesch_kincaid_grade, round(0.4 * (words / sentences + 100.0 * hard / words) + 1e-9, 4)::DOUBLE AS gunning_fog, round(0.0588 * (l / words * 100) - 0.296 * (sentences / words * 100) - 15.8 + 1e-9, 4)::DOUBLE AS coleman_liau, round(4.71 * (l / words) + 0.5 * (words / sentences) - 21.43 + 1e-9, 4)::DOUBLE AS automated_readability FROM n"""
+    pov = lambda narration: f"""t AS (SELECT doc_id, sent, count(*) FILTER (lower IN ({_list(V.FIRST_PERSON)})) AS a, count(*) FILTER (lower IN ({_list(V.SECOND_PERSON)})) AS b, count(*) FILTER (lower IN ({_list(V.THIRD_PERSON)})) AS c FROM words WHERE {narration} GROUP BY 1, 2),
+            p AS (SELECT doc_id, sent, CASE WHEN a > b AND a > c THEN 'first' WHEN b > a AND b > c THEN 'second' WHEN c > a AND c > b THEN 'third' END AS person FROM t),
+            n AS (SELECT doc_id, count(*) FILTER (person = 'first') AS first_sentences, count(*) FILTER (person = 'second') AS second_sentences, count(*) FILTER (person = 'third') AS third_sentences FROM p WHERE person IS NOT NULL GROUP BY 1),
+            totals AS (SELECT *, CASE WHEN third_sentences >= first_sentences AND third_sentences >= second_sentences THEN 'third' WHEN second_sentences >= first_sentences THEN 'second' ELSE 'first' END AS dominant FROM n)"""
     every_phrase = " UNION ALL ".join(f"({_phrases(e, r)})" for e, r in ((TICS, "tics"), (HEDGES, "hedges"), (FILTERS, "filter"), (CLICHES, "cliche")))
     nominal = f"(SELECT doc_id, rule, message || ' -> ' || CASE message {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in NOMINAL.items())} END AS message, sent, pos FROM ({_phrases(NOMINAL, 'nominal')}))"
     adverbs = f"(SELECT doc_id, 'adverbs' AS rule, lower AS message, sent, pos FROM words WHERE {adverb})"
@@ -231,13 +238,8 @@ def oracle_sql() -> dict[str, str]:
         "starter_runs": f"{with_en}, f AS (SELECT doc_id, sent, lower FROM words WHERE w_in_sent = 0) SELECT doc_id, value AS word, first, last, n FROM ({islands('f', 'lower', 'sent', 'doc_id')}) WHERE n >= 2",
         "tense_sentences": f"{with_en}, {tense} SELECT * FROM totals",
         "tense_drift": f"{with_en}, {tense}, r AS ({islands('c', 'tense', 'sent', 'doc_id')}) SELECT doc_id, value, first, last, n FROM r JOIN totals USING (doc_id) WHERE n >= 3 AND value <> dominant",
-        "pov_counts": f"""{with_en}, t AS (SELECT doc_id, sent, count(*) FILTER (lower IN ({_list(V.FIRST_PERSON)})) AS a, count(*) FILTER (lower IN ({_list(V.SECOND_PERSON)})) AS b, count(*) FILTER (lower IN ({_list(V.THIRD_PERSON)})) AS c FROM words GROUP BY 1, 2),
-            p AS (SELECT doc_id, CASE WHEN a > b AND a > c THEN 'first' WHEN b > a AND b > c THEN 'second' WHEN c > a AND c > b THEN 'third' END AS person FROM t),
-            n AS (SELECT doc_id, count(*) FILTER (person = 'first') AS first_sentences, count(*) FILTER (person = 'second') AS second_sentences, count(*) FILTER (person = 'third') AS third_sentences FROM p WHERE person IS NOT NULL GROUP BY 1)
-            SELECT *, CASE WHEN third_sentences >= first_sentences AND third_sentences >= second_sentences THEN 'third' WHEN second_sentences >= first_sentences THEN 'second' ELSE 'first' END AS dominant FROM n""",
-        "readability_doc": f"""{with_all}, m AS (SELECT doc_id, sent, CASE {known} ELSE {syllable} END AS y, length(regexp_replace(raw, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS l, raw FROM (SELECT *, regexp_replace(lower(raw), '[^a-z]', '', 'g') AS z FROM words)),
-            n AS (SELECT doc_id, count(*) AS words, count(DISTINCT sent) AS sentences, sum(y) AS y, sum(l) AS l, count(*) FILTER (y >= 3 AND NOT contains(raw, '-') AND NOT regexp_matches(raw, '^\\p{{Lu}}')) AS hard FROM m GROUP BY 1)
-            SELECT doc_id, words, sentences, round(206.835 - 1.015 * (words / sentences) - 84.6 * (y / words) + 1e-9, 4)::DOUBLE AS flesch_reading_ease, round(0.39 * (words / sentences) + 11.8 * (y / words) - 15.59 + 1e-9, 4)::DOUBLE AS flesch_kincaid_grade, round(0.4 * (words / sentences + 100.0 * hard / words) + 1e-9, 4)::DOUBLE AS gunning_fog, round(0.0588 * (l / words * 100) - 0.296 * (sentences / words * 100) - 15.8 + 1e-9, 4)::DOUBLE AS coleman_liau, round(4.71 * (l / words) + 0.5 * (words / sentences) - 21.43 + 1e-9, 4)::DOUBLE AS automated_readability FROM n""",
+        "pov_counts": f"{with_en}, {pov('true')} SELECT * FROM totals",
+        "readability_doc": f"{with_all}, {scores('doc_id')}",
         "long_sentences": f"{with_en} SELECT doc_id, sent, n AS n_words FROM sents WHERE n > 40",
         "rhythm_monotony": f"""{with_en.replace('WITH', 'WITH RECURSIVE', 1)}, d AS (SELECT doc_id, list(n ORDER BY sent) AS a FROM sents GROUP BY 1),
             reach AS (SELECT doc_id, i, (SELECT coalesce(min(j), len(a) + 1) FROM unnest(generate_series(i, len(a))) AS u(j) WHERE list_max(a[i:j]) - list_min(a[i:j]) > 3) - i AS n FROM d, unnest(generate_series(1, len(a))) AS v(i)),
@@ -249,9 +251,71 @@ def oracle_sql() -> dict[str, str]:
         "progress": f"{with_revs} SELECT doc_id // 2 AS doc_id, sum(CASE WHEN doc_id % 2 = 0 THEN n ELSE 0 END)::BIGINT AS before, sum(CASE WHEN doc_id % 2 = 1 THEN n ELSE 0 END)::BIGINT AS after, sum(CASE WHEN doc_id % 2 = 1 THEN n ELSE -n END)::BIGINT AS change FROM sents GROUP BY 1",
         "trend": f"{with_revs} SELECT (doc_id % 2)::INT AS rev, count(*) AS words, round(count(*) FILTER ({adverb}) * 1000.0 / count(*), 4)::DOUBLE AS adverbs_per_1k FROM words GROUP BY 1",
     }
+    out |= {
+        "report_metrics": f"SELECT {_metric_columns()} FROM ({with_en} {counted}) AS c " + " ".join(f"LEFT JOIN ({x}) USING (doc_id)" for x in (
+            f"SELECT doc_id, \"unique\", ttr, mattr FROM ({out['diversity_mattr']})",
+            f"SELECT doc_id, mean AS mean_sentence_words, stdev AS sentence_stdev FROM ({out['length_summary']})",
+            f"SELECT * EXCLUDE (words, sentences) FROM ({out['readability_doc']})",
+            f"SELECT doc_id, {', '.join(f"count(*) FILTER (rule = '{r}') AS n_{r}" for r in RULES)} FROM ({with_en} SELECT * FROM ({every_phrase} UNION ALL {nominal} UNION ALL {adverbs} UNION ALL {passive})) GROUP BY 1",
+            f"SELECT doc_id, count(*) AS n_echoes FROM ({out['echoes']}) GROUP BY 1",
+        )),
+        "revisions_top": f"""WITH f AS ({with_en} SELECT doc_id, rule, message, sent, pos FROM ({every_phrase} UNION ALL {nominal} UNION ALL {adverbs} UNION ALL {passive})),
+            r AS (SELECT *, CASE rule {' '.join(f"WHEN '{k}' THEN {v}" for k, v in V.REVISION_RANK.items())} ELSE 0 END::BIGINT AS rank FROM f UNION ALL SELECT doc_id, 'echo', stem, sent, pos, (100 - least(distance, 50))::BIGINT FROM ({out['echoes']}))
+            SELECT * FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY rule ORDER BY rank DESC, doc_id, sent, pos, message) <= 3) ORDER BY rank DESC, doc_id, sent, pos, message LIMIT 50""",
+    }
+    limits = ", ".join(f"('{rule}', '{kind}', {most}, '{severity}')" for rule, kind, most, severity in R.SAMPLE_LIMITS)
+    out["check_violations"] = f"""SELECT doc_id, rule, actual, "limit", severity FROM (UNPIVOT ({out["report_metrics"]}) ON {", ".join(f"{x[0]}::DOUBLE AS {x[0]}" for x in R.SAMPLE_LIMITS)} INTO NAME rule VALUE actual)
+        JOIN (SELECT rule, kind, "limit"::DOUBLE AS "limit", severity FROM (VALUES {limits}) AS v(rule, kind, "limit", severity)) USING (rule) WHERE (kind = 'max' AND actual > "limit") OR (kind = 'min' AND actual < "limit")"""
+    told = "WITH " + _dialogue_corpus()
+    tags, both_kinds = f"[{_list(V.DIALOGUE_TAGS)}]", _list((*V.DIALOGUE_TAGS, *V.SAID_BOOKISMS))
+    credit = f"""{names}, q AS (SELECT doc_id, para, said, unnest([list_filter(near, lambda w: w IN ({both_kinds}))[1]]) AS verb, near FROM spoken WHERE said <> ''),
+        a AS (SELECT q.doc_id, para, said, verb, CASE WHEN list_contains({tags}, verb) THEN 'plain' WHEN verb IS NOT NULL THEN 'showy' END AS kind, coalesce(near[list_position(near, verb) + 1] LIKE '%ly', false) AS adverb,
+            (SELECT min_by(w, list_position(near, w)) FROM unnest(near) AS u(w) WHERE (q.doc_id, w) IN (SELECT (doc_id, lower) FROM names)) AS speaker FROM q)"""
+    out |= {
+        "outline": f"""{told}, n AS (SELECT doc_id, section, count(*) AS words FROM words GROUP BY 1, 2)
+            SELECT h.doc_id, h.section, 1::BIGINT AS level, title, coalesce(words, 0) AS words FROM heads AS h LEFT JOIN n ON h.doc_id = n.doc_id AND h.section = n.section
+            UNION ALL SELECT doc_id, -1, 0, '(before first heading)', words FROM n WHERE section IS NULL""",
+        "dialogue_ratio": f"{told} SELECT doc_id, count(*) FILTER (in_dialogue) AS dialogue_words, count(*) AS words, round(count(*) FILTER (in_dialogue) / count(*), 4) AS ratio FROM words GROUP BY 1",
+        "dialogue_by_section": f"{told} SELECT doc_id, section::INT AS section, count(*) FILTER (in_dialogue) AS dialogue_words, count(*) AS words, round(count(*) FILTER (in_dialogue) / count(*), 4) AS ratio FROM words GROUP BY 1, 2",
+        "attributions": f"{told}, {credit} SELECT doc_id, para, 0::BIGINT AS nth, verb, kind, adverb, speaker FROM a",
+        "tags_summary": f"{told}, {credit} SELECT CASE WHEN kind IS NULL THEN 'untagged' WHEN kind = 'showy' THEN 'showy' WHEN adverb THEN 'adverb' ELSE 'plain' END AS bucket, count(*) AS count FROM a GROUP BY 1",
+        "speakers": f"{told}, {credit} SELECT coalesce(speaker, '(unattributed)') AS speaker, count(*) AS lines, sum(len(list_filter(string_split(said, ' '), lambda w: w <> '')))::BIGINT AS words FROM a GROUP BY 1",
+        "arc": f"""{told}, b AS (SELECT doc_id, coalesce(section, -1) AS section, count(*) AS words, count(DISTINCT sent) AS sentences, count(*) FILTER (in_dialogue) AS said, count(*) FILTER ({adverb}) AS adverbs FROM words GROUP BY 1, 2),
+            f AS (SELECT p.doc_id, coalesce(section, -1) AS section, count(*) AS passives FROM {passive} AS p JOIN sents USING (doc_id, sent) GROUP BY 1, 2)
+            SELECT doc_id, section, words, round(said / words, 4) AS dialogue_ratio, round(words / sentences, 4) AS mean_sentence_words, adverbs, round(adverbs * 1000.0 / words, 4)::DOUBLE AS adverbs_per_1k, coalesce(passives, 0) AS passives, round(coalesce(passives, 0) * 1000.0 / words, 4)::DOUBLE AS passives_per_1k FROM b LEFT JOIN f USING (doc_id, section)""",
+        "readability_section": f"{told}, {scores('doc_id, section')}",
+        "pov_drift": f"{told}, {pov('NOT in_dialogue')}, r AS ({islands('(SELECT * FROM p WHERE person IS NOT NULL)', 'person', 'sent', 'doc_id')}) SELECT doc_id, value, first, last, n FROM r JOIN totals USING (doc_id) WHERE n >= 3 AND value <> dominant",
+        "split_sections": f"""{told}, x AS (SELECT doc_id, section, string_agg(block, chr(10) || chr(10) ORDER BY conv_id, turn, block) AS body FROM blocks WHERE section IS NOT NULL GROUP BY 1, 2)
+            SELECT doc_id, section + 1 AS number, lpad((section + 1)::VARCHAR, greatest(length((count(*) OVER d)::VARCHAR), 2)::INT, '0') || '-' || trim(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '-') AS name, body || CASE WHEN section < max(section) OVER d THEN chr(10) ELSE '' END AS source FROM x JOIN heads USING (doc_id, section) WINDOW d AS (PARTITION BY doc_id)""",
+    }
     return out
 
 
+RULES = ("adverbs", "cliche", "filter", "hedges", "nominal", "passive", "tics")
+
+
+def _metric_columns() -> str:
+    rates = ", ".join(f"round(coalesce(n_{r}, 0) * 1000.0 / words, 4)::DOUBLE AS {r}_per_1k" for r in (*RULES, "echoes"))
+    return f"* EXCLUDE ({', '.join(f'n_{r}' for r in (*RULES, 'echoes'))}), {rates}"
+
+
+def _dialogue_corpus() -> str:
+    """CTEs blocks, heads, spoken, words and sents of dialogue_corpus(); the conversations hold no quotes and no markup."""
+    return f"""blocks AS (SELECT *, nullif(sum((turn = 0)::INT) OVER (PARTITION BY doc_id ORDER BY conv_id, turn, said), 0)::BIGINT - 1 AS section,
+            CASE WHEN turn = 0 THEN '# Conversation ' || conv_id || chr(10) || chr(10) || CASE WHEN told = '' THEN '' ELSE told || chr(10) || chr(10) END ELSE '' END || said AS block
+        FROM (SELECT conv_id // 10 AS doc_id, conv_id, turn, role, t, CASE WHEN turn <> 0 THEN '' WHEN conv_id % 5 = 0 THEN 'I sat down. I watched the door. I waited.' WHEN conv_id % 7 = 0 THEN 'You stood up. You turned around. You left.' ELSE '' END AS told,
+            CASE role WHEN 'user' THEN '"' || t || '" said Mara softly.' WHEN 'assistant' THEN '"' || t || '" exclaimed Tomas.' ELSE 'He was told by Anna: ' || t END AS said
+            FROM (SELECT *, regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g') AS t FROM conversations))),
+        heads AS (SELECT doc_id, section, 'Conversation ' || conv_id AS title FROM blocks WHERE turn = 0),
+        paras AS (SELECT *, row_number() OVER (ORDER BY doc_id, conv_id, turn, k, text) AS pk, row_number() OVER (PARTITION BY doc_id ORDER BY conv_id, turn, k, text) - 1 AS para FROM (
+            SELECT doc_id, conv_id, turn, section, 0 AS k, told AS text, '' AS said, NULL AS near FROM blocks WHERE told <> ''
+            UNION ALL SELECT doc_id, conv_id, turn, section, 1, said, CASE WHEN role IN ('user', 'assistant') THEN t ELSE '' END, CASE role WHEN 'user' THEN ['said', 'mara', 'softly'] WHEN 'assistant' THEN ['exclaimed', 'tomas'] END FROM blocks)),
+        spoken AS (SELECT doc_id, para, said, near FROM paras WHERE near IS NOT NULL),
+        inner_words AS (WITH {segmented("true", "paras", "pk")} SELECT doc_id AS pk, sent, w_in_sent, pos, raw, lower, count(*) OVER (PARTITION BY doc_id) AS total FROM words),
+        words AS (SELECT p.doc_id, section, dense_rank() OVER (PARTITION BY p.doc_id ORDER BY w.pk, w.sent) - 1 AS sent, w_in_sent, row_number() OVER (PARTITION BY p.doc_id ORDER BY w.pk, w.pos) - 1 AS pos, raw, lower, near IS NOT NULL AND w.pos < total - coalesce(len(near), 0) AS in_dialogue FROM inner_words AS w JOIN paras AS p USING (pk)),
+        sents AS (SELECT doc_id, section, sent, list(raw ORDER BY w_in_sent) AS ws, count(*) AS n FROM words GROUP BY 1, 2, 3)"""
+
+
 def _repeats_sql(stop: str, longest: int = 6, shortest: int = 3) -> str:
     out = ", fw AS (SELECT doc_id, sent, list_transform(ws, lambda w: lower(w)) AS f FROM sents)"
     for n in range(longest, shortest - 1, -1):
