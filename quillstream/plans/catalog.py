@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions import text as T
 from ..operators import analyses as A
+from ..operators import charts as C
 from ..operators import history as H
+from ..operators import located as L
+from ..operators import render as P
 from ..operators import report as R
 from ..operators.frames import Frames
 
@@ -18,6 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: Lists configured for the synthetic corpus, which holds none of the built-in entries.
 TICS, HEDGES, FILTERS, CLICHES = ("of the", "in the", "to the"), ("that", "only"), ("was", "he"), ("the the the", "and the", "of of")
 NOMINAL = {"the the": "the", "and of": "and"}
+LISTS = {"tics": TICS, "hedges": HEDGES, "filters": FILTERS, "cliches": CLICHES, "nominal": NOMINAL}
 
 
 def documents(spark: SparkSession, sf_dir: str, lang: str | None = "en") -> DataFrame:
@@ -62,6 +66,11 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.list_findings(english(spark, sf_dir), tics=TICS, hedges=HEDGES, filters=FILTERS, cliches=CLICHES, nominal=NOMINAL)
 
 
+def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = dialogue_corpus(spark, sf_dir)
+    return C.sentence_series(f, A.adverbs(f.words).unionByName(A.passive(f.sentences)))
+
+
 def _closed(table: DataFrame) -> DataFrame:
     """-1 for the missing end of the open bucket."""
     return table.withColumn("high", F.coalesce("high", F.lit(-1).cast("long")))
@@ -123,6 +132,14 @@ def queries() -> dict[str, Query]:
         "trend": lambda s, d: H.trend(revisions(s, d)),
         "word_diff_totals": lambda s, d: H.word_diff_totals(revisions(s, d), 0, 1),
         "changed_lines": lambda s, d: H.changed_lines(revisions(s, d), 0, 1),
+        "located_findings": lambda s, d: L.located(english(s, d), **LISTS),
+        "diagnostics": lambda s, d: L.diagnostics(english(s, d), **LISTS),
+        "visible_findings": lambda s, d: L.visible(L.located(english(s, d), **LISTS), 1, 3, ("adverbs", "passive")),
+        "chart_sentences": lambda s, d: _series(s, d),
+        "chart_points": lambda s, d: C.points(_series(s, d), 4),
+        "chapters": lambda s, d: C.chapters(dialogue_corpus(s, d)),
+        "progress_sparkline": lambda s, d: C.sparkline(english(s, d).sentences, "n_words", "sent"),
+        "html_report": lambda s, d: P.pages(A.counts(f := english(s, d)), L.located(f, **LISTS)),
         "check_since": lambda s, d: H.check_since(revisions(s, d), 0, 1, hedges=HEDGES),
     }
 
@@ -271,6 +288,10 @@ def oracle_sql() -> dict[str, str]:
     credit = f"""{names}, q AS (SELECT doc_id, para, said, unnest([list_filter(near, lambda w: w IN ({both_kinds}))[1]]) AS verb, near FROM spoken WHERE said <> ''),
         a AS (SELECT q.doc_id, para, said, verb, CASE WHEN list_contains({tags}, verb) THEN 'plain' WHEN verb IS NOT NULL THEN 'showy' END AS kind, coalesce(near[list_position(near, verb) + 1] LIKE '%ly', false) AS adverb,
             (SELECT min_by(w, list_position(near, w)) FROM unnest(near) AS u(w) WHERE (q.doc_id, w) IN (SELECT (doc_id, lower) FROM names)) AS speaker FROM q)"""
+    series = f"""h AS (SELECT doc_id, sent, count(*) AS findings FROM (SELECT doc_id, sent FROM {adverbs} UNION ALL SELECT doc_id, sent FROM {passive}) GROUP BY 1, 2),
+        m AS (SELECT doc_id, section, para, sent, count(*) AS words, count(*) FILTER (in_dialogue) AS dialogue_words FROM words GROUP BY 1, 2, 3, 4),
+        series AS (SELECT doc_id, coalesce(section, -1) AS section, sent, para, words, (sum(words) OVER (PARTITION BY doc_id ORDER BY sent) - words + 1)::BIGINT AS first_word, (sum(words) OVER (PARTITION BY doc_id, para))::BIGINT AS paragraph_words, dialogue_words, coalesce(findings, 0) AS findings,
+            round(stddev_pop(words) OVER near * 100 / avg(words) OVER near + 1e-9, 4)::DOUBLE AS variation FROM m LEFT JOIN h USING (doc_id, sent) WINDOW near AS (PARTITION BY doc_id, section ORDER BY sent ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))"""
     out |= {
         "outline": f"""{told}, n AS (SELECT doc_id, section, count(*) AS words FROM words GROUP BY 1, 2)
             SELECT h.doc_id, h.section, 1::BIGINT AS level, title, coalesce(words, 0) AS words FROM heads AS h LEFT JOIN n ON h.doc_id = n.doc_id AND h.section = n.section
@@ -285,6 +306,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, section, words, round(said / words, 4) AS dialogue_ratio, round(words / sentences, 4) AS mean_sentence_words, adverbs, round(adverbs * 1000.0 / words, 4)::DOUBLE AS adverbs_per_1k, coalesce(passives, 0) AS passives, round(coalesce(passives, 0) * 1000.0 / words, 4)::DOUBLE AS passives_per_1k FROM b LEFT JOIN f USING (doc_id, section)""",
         "readability_section": f"{told}, {scores('doc_id, section')}",
         "pov_drift": f"{told}, {pov('NOT in_dialogue')}, r AS ({islands('(SELECT * FROM p WHERE person IS NOT NULL)', 'person', 'sent', 'doc_id')}) SELECT doc_id, value, first, last, n FROM r JOIN totals USING (doc_id) WHERE n >= 3 AND value <> dominant",
+        "chapters": f"{told} SELECT doc_id, section, title FROM heads QUALIFY count(*) OVER (PARTITION BY doc_id) >= 2",
+        "chart_sentences": f"{told}, {series} SELECT * FROM series",
+        "chart_points": f"""{told}, {series}, g AS (SELECT *, ntile(4) OVER (PARTITION BY doc_id, section ORDER BY sent) AS point FROM series),
+            o AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY doc_id, section, point, para ORDER BY sent) = 1 THEN paragraph_words END AS opens FROM g)
+            SELECT doc_id, section, point, min(sent) AS first_sentence, max(sent) AS last_sentence, min(first_word) AS first_word, sum(words)::BIGINT AS words, round(sum(words) / count(*) + 1e-9, 4)::DOUBLE AS sentence_length, round(sum(opens) / count(opens) + 1e-9, 4)::DOUBLE AS paragraph_length, round(sum(dialogue_words) * 100.0 / sum(words) + 1e-9, 4)::DOUBLE AS dialogue_share, round(sum(findings) * 1000.0 / sum(words) + 1e-9, 4)::DOUBLE AS finding_density, round(sum(variation) / count(*) + 1e-9, 4)::DOUBLE AS sentence_variation FROM o GROUP BY 1, 2, 3""",
         "split_sections": f"""{told}, x AS (SELECT doc_id, section, string_agg(block, chr(10) || chr(10) ORDER BY conv_id, turn, block) AS body FROM blocks WHERE section IS NOT NULL GROUP BY 1, 2)
             SELECT doc_id, section + 1 AS number, lpad((section + 1)::VARCHAR, greatest(length((count(*) OVER d)::VARCHAR), 2)::INT, '0') || '-' || trim(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '-') AS name, body || CASE WHEN section < max(section) OVER d THEN chr(10) ELSE '' END AS source FROM x JOIN heads USING (doc_id, section) WINDOW d AS (PARTITION BY doc_id)""",
     }
@@ -312,7 +338,7 @@ def _dialogue_corpus() -> str:
             UNION ALL SELECT doc_id, conv_id, turn, section, 1, said, CASE WHEN role IN ('user', 'assistant') THEN t ELSE '' END, CASE role WHEN 'user' THEN ['said', 'mara', 'softly'] WHEN 'assistant' THEN ['exclaimed', 'tomas'] END FROM blocks)),
         spoken AS (SELECT doc_id, para, said, near FROM paras WHERE near IS NOT NULL),
         inner_words AS (WITH {segmented("true", "paras", "pk")} SELECT doc_id AS pk, sent, w_in_sent, pos, raw, lower, count(*) OVER (PARTITION BY doc_id) AS total FROM words),
-        words AS (SELECT p.doc_id, section, dense_rank() OVER (PARTITION BY p.doc_id ORDER BY w.pk, w.sent) - 1 AS sent, w_in_sent, row_number() OVER (PARTITION BY p.doc_id ORDER BY w.pk, w.pos) - 1 AS pos, raw, lower, near IS NOT NULL AND w.pos < total - coalesce(len(near), 0) AS in_dialogue FROM inner_words AS w JOIN paras AS p USING (pk)),
+        words AS (SELECT p.doc_id, section, para, dense_rank() OVER (PARTITION BY p.doc_id ORDER BY w.pk, w.sent) - 1 AS sent, w_in_sent, row_number() OVER (PARTITION BY p.doc_id ORDER BY w.pk, w.pos) - 1 AS pos, raw, lower, near IS NOT NULL AND w.pos < total - coalesce(len(near), 0) AS in_dialogue FROM inner_words AS w JOIN paras AS p USING (pk)),
         sents AS (SELECT doc_id, section, sent, list(raw ORDER BY w_in_sent) AS ws, count(*) AS n FROM words GROUP BY 1, 2, 3)"""
 
 
