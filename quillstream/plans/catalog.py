@@ -15,6 +15,8 @@ from ..operators import history as H
 from ..operators import located as L
 from ..operators import render as P
 from ..operators import report as R
+from ..operators import evidence as E
+from ..operators import strict as S
 from ..operators.frames import Frames
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,6 +140,9 @@ def queries() -> dict[str, Query]:
         "chart_sentences": lambda s, d: _series(s, d),
         "chart_points": lambda s, d: C.points(_series(s, d), 4),
         "chapters": lambda s, d: C.chapters(dialogue_corpus(s, d)),
+        "strict_review": lambda s, d: S.review(dialogue_corpus(s, d)),
+        "pinned_quotes": lambda s, d: E.pin(documents(s, d), documents(s, d).select("doc_id", F.lit(2).alias("line"), F.lit(" of the ").alias("quote"))),
+        "numbered_lines": lambda s, d: E.numbered(documents(s, d)),
         "progress_sparkline": lambda s, d: C.sparkline(english(s, d).sentences, "n_words", "sent"),
         "html_report": lambda s, d: P.pages(A.counts(f := english(s, d)), L.located(f, **LISTS)),
         "check_since": lambda s, d: H.check_since(revisions(s, d), 0, 1, hedges=HEDGES),
@@ -265,6 +270,12 @@ def oracle_sql() -> dict[str, str]:
         "cast": f"{with_all}, {names} SELECT doc_id, (-1)::BIGINT AS section, lower AS name, count(*) AS count FROM words SEMI JOIN names USING (doc_id, lower) GROUP BY 1, 3",
         "join_docs": "SELECT source, string_agg(regexp_replace(coalesce(text, ''), '\\s+$', ''), chr(10) || chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY 1",
         "repeats": with_en + _repeats_sql(stop),
+        "numbered_lines": "SELECT doc_id, k AS line, doc_id || ':' || k || '| ' || string_split(text, chr(10))[k] AS numbered FROM documents, unnest(generate_series(1, len(string_split(text, chr(10))))) AS u(k) WHERE lang = 'en'",
+        "pinned_quotes": """WITH d AS (SELECT doc_id, text, string_split(text, 'of the') AS p FROM documents WHERE lang = 'en'),
+            o AS (SELECT doc_id, text, k, coalesce(list_sum(list_transform(p[:k], lambda x: length(x))), 0)::BIGINT + (k - 1) * 6 AS start FROM d, unnest(generate_series(1, len(p) - 1)) AS u(k)),
+            l AS (SELECT doc_id, start, 1 + length(text[:start]) - length(replace(text[:start], chr(10), '')) AS line, start - (length(text[:start]) - coalesce(nullif(strpos(reverse(text[:start]), chr(10)), 0) - 1, length(text[:start]))) + 1 AS col FROM o),
+            b AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY abs(line - 2), start) = 1)
+            SELECT d.doc_id, coalesce(b.line, 2)::BIGINT AS line, coalesce(col, 0)::BIGINT AS "column", b.line IS NOT NULL AS verified FROM d LEFT JOIN b USING (doc_id)""",
         "progress": f"{with_revs} SELECT doc_id // 2 AS doc_id, sum(CASE WHEN doc_id % 2 = 0 THEN n ELSE 0 END)::BIGINT AS before, sum(CASE WHEN doc_id % 2 = 1 THEN n ELSE 0 END)::BIGINT AS after, sum(CASE WHEN doc_id % 2 = 1 THEN n ELSE -n END)::BIGINT AS change FROM sents GROUP BY 1",
         "trend": f"{with_revs} SELECT (doc_id % 2)::INT AS rev, count(*) AS words, round(count(*) FILTER ({adverb}) * 1000.0 / count(*), 4)::DOUBLE AS adverbs_per_1k FROM words GROUP BY 1",
     }
