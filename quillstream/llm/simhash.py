@@ -17,11 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, with_text
+from .common import materialise, partitions, with_text
 from .components import connected_components
 
 SEED, LEAF, BLOCK, MAX_DEPTH, SAMPLE = 42, 1024, 8192, 14, 20_000
 SKETCH = 64
+#: Members and shingles of one block of a group whose texts are compared exactly; a task takes two blocks at most.
+EXACT_ROWS, EXACT_SHINGLES = 2048, 4_000_000
+_PROBES = np.argsort(np.random.default_rng(SEED).random((SKETCH, SKETCH)), 0)
 
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:
@@ -65,33 +68,50 @@ def min_sketch(hashes: np.ndarray) -> bytes:
     value = mixed & np.uint64((1 << 58) - 1)
     least = np.full(SKETCH, np.uint64(2**64 - 1))
     np.minimum.at(least, slot, value)
-    empty = least == np.uint64(2**64 - 1)
-    if empty.any():  # an empty slot takes the minimum of a fixed other slot, chosen alike for all texts
-        order = np.random.default_rng(SEED).integers(0, SKETCH, (64 * SKETCH, SKETCH))
-        for at in order:
-            take = empty & ~empty[at]
-            least[take] = least[at[take]] + np.uint64(1)
-            empty = empty & ~take
-            if not empty.any():
-                break
+    full = least != np.uint64(2**64 - 1)
+    if not full.all():  # an empty slot takes the minimum of the first full one in an order of its own, the same for all texts
+        least = np.where(full, least, least[_PROBES[full[_PROBES].argmax(0), np.arange(SKETCH)]])
     return ((least * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
-def fingerprints(docs: DataFrame, width: int = 4, sketch: bool = False) -> DataFrame:
-    """(doc_id, fp) with the fingerprint's bits as a signed long, and a min-wise `sketch` where asked for."""
+def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
+    """(doc_id, fp) with the fingerprint's bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sketches = [], []
-            for text in batch.column(1).to_pylist():
-                h = shingle_hashes(text, width)
-                fps.append(majority_bits(h))
-                if sketch:
-                    sketches.append(min_sketch(h))
-            out = [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))]
-            yield pa.RecordBatch.from_arrays(out + [pa.array(sketches, pa.binary())] * sketch, ["doc_id", "fp", "sketch"][: 2 + sketch])
+            fps = [majority_bits(shingle_hashes(text, width)) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+
+    return with_text(docs).mapInArrow(run, "doc_id long, fp long")
 
-    return with_text(docs).mapInArrow(run, "doc_id long, fp long" + ", sketch binary" * sketch)
+
+def shingle_sets(docs: DataFrame, width: int, whole: bool = False) -> DataFrame:
+    """(doc_id, id, size, fp, sketch) of each text's set of shingles, repeats counted once; equal sets have equal ids.
+
+    With `whole`, (doc_id, id, size, sketch, grams) instead, grams being the set's sorted hashes.
+    """
+    import xxhash
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sizes, fps, sketches, grams = [], [], [], [], []
+            for text in batch.column(1).to_pylist():
+                h = np.unique(shingle_hashes(text, width))
+                raw = h.tobytes()
+                ids.append(xxhash.xxh3_64_intdigest(raw))
+                sizes.append(len(h))
+                sketches.append(min_sketch(h))
+                if whole:
+                    grams.append(raw)
+                else:
+                    fps.append(majority_bits(h))
+            out = [batch.column(0), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int64())]
+            if whole:
+                yield pa.RecordBatch.from_arrays([*out, pa.array(sketches, pa.binary()), pa.array(grams, pa.binary())], ["doc_id", "id", "size", "sketch", "grams"])
+            else:
+                yield pa.RecordBatch.from_arrays([*out, pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sketches, pa.binary())], ["doc_id", "id", "size", "fp", "sketch"])
+
+    return with_text(docs).mapInArrow(run, "doc_id long, id long, size long, " + ("sketch binary, grams binary" if whole else "fp long, sketch binary"))
 
 
 class Forest:
@@ -223,22 +243,92 @@ def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4, trees:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 16, recall: float = 0.98) -> DataFrame:
-    """(doc_id, component_id) of documents whose word shingles are alike by `similarity` (Jaccard) or more.
+def alike_links(grams: list[np.ndarray], sketches: np.ndarray, similarity: float, alike: int, cross: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of rows, each of Jaccard likeness `similarity` or more, that link the components of all such pairs.
+
+    A pair is compared exactly if its sketches agree in `alike` bytes. cross: sides 0 and 1, of which only pairs across count.
+    """
+    n = len(grams)
+    label, sizes, out = np.arange(n), np.array([len(g) for g in grams]), []
+    for i in range(n - 1):
+        other = label[i + 1 :] != label[i]
+        if cross is not None:
+            other &= cross[i + 1 :] != cross[i]
+        near = np.flatnonzero(other) + i + 1
+        near = near[np.minimum(sizes[near], sizes[i]) >= similarity * np.maximum(sizes[near], sizes[i]) - 1e-6]
+        if not len(near):
+            continue
+        agree = (sketches[near] == sketches[i]).sum(1)
+        near = near[np.argsort(-agree, kind="stable")][: (agree >= alike).sum()]
+        for j in near.tolist():
+            if label[j] == label[i]:
+                continue
+            small, large = (grams[i], grams[j]) if sizes[i] <= sizes[j] else (grams[j], grams[i])
+            if not len(small):
+                continue
+            both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+            if both / (len(small) + len(large) - both) >= similarity:
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def exact_links(docs: DataFrame, loose: DataFrame, width: int, similarity: float, alike: int) -> DataFrame:
+    """Links (a, b) of Jaccard likeness `similarity` or more within each group of loose (id, doc_id, size, component).
+
+    Only members of groups have their shingles hashed again. Small groups share tasks; a group of over EXACT_ROWS members or
+    EXACT_SHINGLES shingles is compared block by block, so its rows are dealt out once for each of its blocks.
+    """
+    spark = docs.sparkSession
+    groups = loose.groupBy(F.col("component").alias("of")).agg(F.ceil(F.greatest(F.count("*") / EXACT_ROWS, F.sum("size") / EXACT_SHINGLES, F.lit(1))).cast("int").alias("blocks"))
+    total = loose.agg(F.sum("size")).first()[0] or 0
+    rooms = max(partitions(spark), math.ceil(4 * total / EXACT_SHINGLES))
+    members = loose.join(groups, F.col("component") == F.col("of")).select(F.col("id").alias("member"), F.col("doc_id").alias("at"), "component", "blocks")
+    texts = docs.select("doc_id", "text").join(members.select("at").distinct(), F.col("doc_id") == F.col("at"), "left_semi")
+    dealt = shingle_sets(texts, width, whole=True).join(members, (F.col("doc_id") == F.col("at")) & (F.col("id") == F.col("member")))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("room", F.when(F.col("blocks") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(rooms))))
+    dealt = dealt.select((F.col("blocks") > 1).alias("large"), "room", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).alias("second"), "component", "id", "sketch", "grams")
+
+    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.sort_by("component")
+        ids, own = table["id"].to_numpy(), table["component"].to_numpy()
+        second = table["second"].to_numpy(zero_copy_only=False) if key[2].as_py() != key[3].as_py() else None
+        sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
+        grams = [np.frombuffer(g, np.uint64) for g in table["grams"].to_pylist()]
+        found = []
+        ends = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            found += [(a + i, a + j) for i, j in alike_links(grams[a:b], sketches[a:b], similarity, alike, None if second is None else second[a:b])]
+        return pa.table({"a": pa.array([ids[i] for i, _ in found], pa.int64()), "b": pa.array([ids[j] for _, j in found], pa.int64())})
+
+    return dealt.groupBy("large", "room", "low", "high").applyInArrow(compare, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.995) -> DataFrame:
+    """(doc_id, component_id) of documents whose sets of word shingles are alike by `similarity` (Jaccard) or more.
 
     Such pairs differ by about a seventh of the bits, too many for exact search, so the trees stand on random groups of
-    bits, as many as reach `recall` for a pair at the threshold. Pairs that share a leaf and are within `radius` bits are
-    linked if their min-wise sketches agree as far. Rows are as in simhash_components.
+    bits, as many as reach `recall` for a pair at the threshold. Pairs that share a leaf are candidates if fingerprints and
+    min-wise sketches are as near as those of nearly all pairs at the threshold (three and four standard deviations beyond
+    the mean). Candidates only gather texts in loose groups; within a group a pair is linked by its exact likeness alone.
+    Rows are as in simhash_components.
     """
-    fps = materialise(fingerprints(docs, width, sketch=True), "simhash")
-    nodes = materialise(fps.groupBy("fp", "sketch").agg(F.min("doc_id").alias("id")), "simhash-nodes")
-    bits = max(6, math.ceil(math.log2(max(1, nodes.count()) / LEAF)) + 3)
-    same = (1 - math.acos(2 * similarity / (1 + similarity)) / math.pi) ** bits
-    trees = math.ceil(math.log(1 - recall) / math.log(1 - same))
-    links = near_links(nodes.filter("id is not null"), random_groups(trees, bits), 0, radius, round((similarity - 0.04) * SKETCH))
-    stars = connected_components(links).select(F.col("id").alias("at"), "component")
-    named = nodes.join(stars, F.col("id") == F.col("at"), "left").select(F.col("fp").alias("of"), F.col("sketch").alias("of_sketch"), F.coalesce("component", "id").alias("component_id"))
-    return fps.join(named, (F.col("fp") == F.col("of")) & (F.col("sketch") == F.col("of_sketch"))).select("doc_id", "component_id")
+    sets = materialise(shingle_sets(docs, width), "simhash")
+    nodes = materialise(sets.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "simhash-nodes")
+    known = nodes.filter("doc_id is not null and size > 0")
+    bits = max(6, math.ceil(math.log2(max(1, known.count()) / LEAF)) + 3)
+    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    trees = math.ceil(math.log(1 - recall) / math.log(1 - (1 - apart) ** bits))
+    radius = math.ceil(64 * apart + 3 * math.sqrt(64 * apart * (1 - apart)))
+    alike = math.floor(SKETCH * similarity - 4 * math.sqrt(SKETCH * similarity * (1 - similarity)))
+    stars = connected_components(near_links(known, random_groups(trees, bits), 0, radius, alike))
+    loose = materialise(known.select("id", "doc_id", "size").join(stars, "id"), "loose")
+    stars = connected_components(exact_links(docs, loose, width, similarity, alike)).select(F.col("id").alias("of"), "component")
+    named = nodes.select("id", "doc_id").join(stars, F.col("id") == F.col("of"), "left").select("id", "doc_id", F.coalesce("component", "id").alias("component"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = materialise(named.join(least, "component").select(F.col("id").alias("of"), "component_id"), "named")
+    return sets.join(named, F.col("id") == F.col("of")).select("doc_id", "component_id")
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:

@@ -108,6 +108,40 @@ def test_keep_representatives(docs):
     assert "1" in kept and "2" not in kept and "9" not in kept and "6" in kept and kept.count("7") == 1 and "None" in kept
 
 
+def test_near_duplicates_by_exact_likeness(spark, monkeypatch):
+    """Groups against brute force, with many leaves and blocks: pairs on both sides of 0.8, short texts, a repeated line."""
+    monkeypatch.setattr(simhash, "LEAF", 32)
+    monkeypatch.setattr(simhash, "EXACT_ROWS", 8)
+    rng = np.random.default_rng(5)
+    texts = []
+    for k in range(120):
+        words = rng.choice(VOCAB, int(rng.choice([12, 40, 150, 400]))).tolist()
+        texts.append(" ".join(words))
+        for _ in range(int(rng.integers(1, 4))):
+            edited = list(words)
+            for at in rng.choice(len(words), max(1, round(len(words) * rng.uniform(0.005, 0.05))), replace=False):
+                edited[at] = f"x{rng.integers(10**6)}"
+            texts.append(" ".join(edited))
+    line = " ".join(rng.choice(VOCAB, 100))
+    texts += [line, line + (" " + " ".join(line.split()[:9])) * 60]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    assert jaccard(sets[-1], sets[-2]) >= 0.8
+    label, pairs = list(range(len(texts))), []
+    for i in range(len(texts)):
+        for j in range(i):
+            if (x := jaccard(sets[i], sets[j])) > 0.5:
+                pairs.append((i, j, x))
+                if x >= 0.8 and label[i] != label[j]:
+                    low, high = sorted((label[i], label[j]))
+                    label = [low if c == high else c for c in label]
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(0.8 <= x < 0.85 for *_, x in pairs) >= 10 and sum(0.7 <= x < 0.8 for *_, x in pairs) >= 20
+    assert not [p for p in pairs if label[p[0]] != label[p[1]] and found[p[0]] == found[p[1]]]  # no false merge
+    assert sum(found[i] == found[j] for i, j, x in pairs if x >= 0.8) >= 0.99 * sum(x >= 0.8 for *_, x in pairs)
+    assert found[len(texts) - 1] == len(texts) - 2
+
+
 def test_quality_rules(docs):
     found = {r.doc_id: r for r in quality_rules.quality_rules(docs).collect()}
     assert found[1].kept and not found[4].kept and not found[5].kept and found[6].kept
