@@ -270,16 +270,21 @@ def name_pairs(words: DataFrame, ignore: Iterable[str] = ()) -> DataFrame:
 def name_variants(words: DataFrame, ignore: Iterable[str] = ()) -> DataFrame:
     """(cluster, name): in alphabetical order, a name joins the first cluster all of whose members are near enough.
 
-    Only names that are near some other are grouped; the greedy pass runs once for each connected group of them.
+    Only names that are near some other are grouped; the greedy pass runs once for each connected group of them, in one task.
     """
     import pandas as pd
 
     pairs = cut(name_pairs(words, ignore))
     links = pairs.select("earlier", "later").unionByName(pairs.select(F.col("later").alias("earlier"), F.col("earlier").alias("later")))
+    links = cut(links)
     label = links.groupBy(F.col("earlier").alias("name")).agg(F.least(F.min("later"), F.first("earlier")).alias("label"))
-    for _ in range(6):  # labels spread along links; groups of names are small
+    while True:  # until no label falls: each name takes the least label near it, and that label's own label, so chains halve
         spread = links.join(label.select(F.col("name").alias("later"), "label"), "later").groupBy(F.col("earlier").alias("name")).agg(F.min("label").alias("near"))
-        label = cut(label.join(spread, "name").select("name", F.least("label", "near").alias("label")))
+        hop = label.select(F.col("name").alias("label"), F.col("label").alias("hop"))
+        now = cut(label.join(spread, "name").join(hop, "label", "left").select("name", F.least("label", "near", "hop").alias("label"), (F.least("near", "hop") < F.col("label")).alias("fell")))
+        label = now.select("name", "label")
+        if now.filter("fell").isEmpty():
+            break
     near = pairs.join(label.select(F.col("name").alias("later"), "label"), "later")
 
     def group(df: pd.DataFrame) -> pd.DataFrame:

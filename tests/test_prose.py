@@ -74,3 +74,18 @@ def test_against_duckdb(spark, name):
     columns = sorted(found.columns)
     assert columns == sorted(expected.columns)
     assert sorted(map(tuple, found.select(columns).collect())) == sorted(expected.project(", ".join(f'"{c}"' for c in columns)).fetchall())
+
+
+def test_name_variants_of_a_long_chain(spark, monkeypatch):
+    names = ["a" * 7]
+    for k in range(13):
+        last = names[-1]
+        names.append(last[: k % 7] + chr(ord(last[k % 7]) + 1) + last[k % 7 + 1 :])
+    chain = list(zip(names[:-1], names[1:], strict=True))  # each is near the next alone
+    monkeypatch.setattr(A, "name_pairs", lambda words, ignore: words)
+    found = A.name_variants(spark.createDataFrame(chain, "earlier string, later string")).collect()
+    clusters: list[list[str]] = []
+    for name in names:
+        home = next((c for c in clusters if all((m, name) in chain for m in c)), None)
+        clusters.append([name]) if home is None else home.append(name)
+    assert sorted(map(tuple, found)) == sorted((c[0], n) for c in clusters if len(c) > 1 for n in c)
