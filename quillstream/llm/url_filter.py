@@ -9,7 +9,7 @@ from .common import materialise
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-DEPTH, SUPPORT, SHARE, Z, SMOOTH, PURITY, BROADCAST_ROWS = 4, 20, 0.02, 2.58, 8.0, 0.5, 200_000
+SUPPORT, Z, SMOOTH, PURITY, BROADCAST_ROWS = 20, 2.58, 8.0, 0.5, 200_000
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -31,38 +31,44 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def templates(urls: DataFrame) -> list[DataFrame]:
-    """For each depth, the branches (at, segment) that stay apart; every other segment there is a wildcard.
+def templates(urls: DataFrame) -> list[DataFrame | None]:
+    """For each depth, the branches (at, segment) that stay apart, or None; every other segment there is a wildcard.
 
-    A segment keeps a branch of its own if it has support (at least SUPPORT urls and SHARE of its parent's) and its labelled
-    bad rate differs from that of the whole parent by a two-proportion test; else it is merged into the wildcard. At most
-    1 / SHARE branches stay below a template, so these tables are far smaller than the urls.
+    A segment keeps a branch of its own if it has support (at least SUPPORT urls) and its labelled bad rate differs from that
+    of the whole parent by a two-proportion test; else it is merged into the wildcard. Depths end where fewer than SUPPORT
+    urls have a segment, so that no branch there could have support.
     """
-    kept: list[DataFrame] = []
-    for depth in range(DEPTH):
-        at = apply_templates(urls, kept).withColumn("segment", F.get("segments", F.lit(depth))).filter("segment is not null")
+    lengths = urls.groupBy(F.size("segments").alias("length")).count().collect()  # one row a path length
+    kept: list[DataFrame | None] = []
+    while sum(r["count"] for r in lengths if r["length"] > len(kept)) >= SUPPORT:
+        at = apply_templates(urls, kept).withColumn("segment", F.get("segments", F.lit(len(kept)))).filter("segment is not null")
         child = at.groupBy("template", "segment").agg(F.count("*").alias("n"), F.sum("bad").alias("b"), F.count("bad").alias("m"))
         child = materialise(child.filter(F.col("n") >= SUPPORT), "branches")  # below SUPPORT a segment is a wildcard whatever its siblings are
-        parent = at.groupBy("template").agg(F.count("*").alias("all_n"), F.sum("bad").alias("all_b"), F.count("bad").alias("all_m")).select(F.col("template").alias("of"), "all_n", "all_b", "all_m")
-        both = child.join(parent, F.col("template") == F.col("of")).filter(F.col("n") >= SHARE * F.col("all_n"))
+        parent = at.groupBy("template").agg(F.sum("bad").alias("all_b"), F.count("bad").alias("all_m")).select(F.col("template").alias("of"), "all_b", "all_m")
+        both = child.join(parent, F.col("template") == F.col("of"))
         rate, own = (F.col("all_b") + 0.5) / (F.col("all_m") + 1), F.col("b") / F.col("m")
         apart = (F.col("m") > 0) & (F.abs(own - rate) > Z * F.sqrt(rate * (1 - rate) / F.col("m")))
-        kept.append(materialise(both.filter(apart).select(F.col("template").alias("at"), F.col("segment").alias("branch")), "templates"))
+        stay = materialise(both.filter(apart).select(F.col("template").alias("at"), F.col("segment").alias("branch")), "templates")
+        kept.append(None if stay.isEmpty() else stay)
     return kept
 
 
-def apply_templates(urls: DataFrame, kept: list[DataFrame]) -> DataFrame:
-    """urls with `template`: the host and its segments, wildcards where no branch was kept; deeper segments are one `**`."""
+def apply_templates(urls: DataFrame, kept: list[DataFrame | None], whole: bool = False) -> DataFrame:
+    """urls with `template`: the host and its segments, wildcards where no branch was kept; if whole, deeper ones are one `**`."""
     out = urls.withColumn("template", F.col("host"))
     for depth, branches in enumerate(kept):
-        if branches.count() <= BROADCAST_ROWS:
-            branches = F.broadcast(branches)
         segment = F.get("segments", F.lit(depth))
-        out = out.join(branches, (F.col("template") == F.col("at")) & (segment == F.col("branch")), "left")
-        step = F.when(segment.isNull(), F.lit("")).otherwise(F.concat(F.lit("/"), F.coalesce("branch", F.lit("*"))))
+        if branches is None:
+            branch = F.lit("*")
+        else:
+            if branches.count() <= BROADCAST_ROWS:
+                branches = F.broadcast(branches)
+            out = out.join(branches, (F.col("template") == F.col("at")) & (segment == F.col("branch")), "left")
+            branch = F.coalesce("branch", F.lit("*"))
+        step = F.when(segment.isNull(), F.lit("")).otherwise(F.concat(F.lit("/"), branch))
         out = out.withColumn("template", F.concat("template", step)).drop("at", "branch")
-    if len(kept) == DEPTH:
-        out = out.withColumn("template", F.when(F.size("segments") > DEPTH, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
+    if whole:
+        out = out.withColumn("template", F.when(F.size("segments") > len(kept), F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
     return out
 
 
@@ -77,7 +83,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     marks = labels.filter("bad is not null and page_id is not null").groupBy(F.col("page_id").alias("of")).agg(F.max("bad").cast("double").alias("bad"))
     urls = parts.join(marks, F.col("page_id") == F.col("of"), "left").withColumn("segments", F.filter(F.split("path", "/"), lambda x: x != "")).select("page_id", "host", "path", "segments", "bad")
     urls = materialise(urls, "urls")
-    done = materialise(apply_templates(urls, templates(urls)).select("page_id", "host", "path", "bad", "template"), "templated")
+    done = materialise(apply_templates(urls, templates(urls), True).select("page_id", "host", "path", "bad", "template"), "templated")
     all_bad = done.agg(F.coalesce((F.sum("bad") + 1) / (F.count("bad") + 2), F.lit(0.5))).first()[0]
     by = done.groupBy("template", "host").agg(F.coalesce(F.sum("bad"), F.lit(0.0)).alias("b"), F.count("bad").alias("m"))
     hosts = by.groupBy(F.col("host").alias("at")).agg(((F.sum("b") + SMOOTH * F.lit(all_bad)) / (F.sum("m") + SMOOTH)).alias("rate"))

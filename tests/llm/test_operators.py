@@ -181,6 +181,15 @@ def test_url_templates_learn(spark):
     assert verdicts == {("h.org/spam/*", "block"), ("h.org/news/*", "allow")}
 
 
+def test_url_templates_small_and_deep_sections(spark):
+    """A bad section of 1.5 % of a large host, and one below the fourth segment, stay apart."""
+    wide = [(i, f"http://h.org/{'spam' if i % 67 == 0 else 'news'}/{i}") for i in range(8000)]
+    deep = [(i, f"http://d.org/a/b/c/d/{'spam' if i % 2 else 'news'}/{i}") for i in range(8000, 9000)]
+    pages = spark.createDataFrame(wide + deep, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int("spam" in u)) for i, u in wide + deep], "page_id long, bad int")
+    assert url_filter.judge(pages, labels).filter((F.col("verdict") == "block") != F.col("path").contains("spam")).count() == 0
+
+
 def test_classifiers(spark):
     good = [" ".join(RNG.choice(VOCAB, 40)) for _ in range(300)]
     rows = [(i, t.upper() + " ###" if i % 3 == 0 else t + (" wretched wretched fool" if i % 3 == 1 else "")) for i, t in enumerate(good)]
