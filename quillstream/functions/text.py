@@ -29,7 +29,8 @@ def stem(word: Column) -> Column:
     """Drops a possessive, then the first plural ending that fits; words of up to three bytes stay."""
     w = F.regexp_replace(word, "'s$", "")
     rest = (
-        F.when(w.endswith("ies"), F.regexp_replace(w, "ies$", "y"))
+        F.when(~w.endswith("s"), w)
+        .when(w.endswith("ies"), F.regexp_replace(w, "ies$", "y"))
         .when(w.endswith("sses"), F.regexp_replace(w, "es$", ""))
         .when(w.rlike("(ch|sh|x)es$"), F.regexp_replace(w, "es$", ""))
         .when(w.endswith("s") & ~w.rlike("(ss|us|is)$"), F.regexp_replace(w, "s$", ""))
@@ -41,12 +42,13 @@ def stem(word: Column) -> Column:
 def syllables(word: Column) -> Column:
     lower = F.lower(word)
     known = F.create_map(*[F.lit(x) for k, v in SYLLABLE_EXCEPTIONS.items() for x in (k, int(v))])
-    w = F.regexp_replace(lower, "[^a-z]", "")
+    w = F.when(lower.rlike("[^a-z]"), F.regexp_replace(lower, "[^a-z]", "")).otherwise(lower)
     silent = (w.endswith("es") & ~w.rlike("(s|z|c|g|x|sh|ch)es$")) | (w.endswith("ed") & ~w.rlike("[td]ed$"))
     bare = F.when(silent, F.regexp_replace(w, "..$", "")).when(w.endswith("e") & ~w.rlike("(le|ee)$"), F.regexp_replace(w, "e$", "")).otherwise(w)
-    groups = F.size(F.regexp_extract_all(F.regexp_replace(bare, "^y", ""), F.lit("[aeiouy]+"), F.lit(0)))
+    spelt = F.when(bare.startswith("y"), F.substring(bare, 2, 1000)).otherwise(bare)
+    groups = F.size(F.regexp_extract_all(spelt, F.lit("[aeiouy]+"), F.lit(0)))
     counted = F.when(F.length(w) <= 3, 1).otherwise(F.greatest(groups, F.lit(1)))
-    return F.coalesce(F.element_at(known, lower), counted)
+    return F.coalesce(F.when(lower.isin(list(SYLLABLE_EXCEPTIONS)), F.element_at(known, lower)), counted)
 
 
 def letters(word: Column) -> Column:
@@ -123,11 +125,18 @@ def mark_speech(paragraph: Column) -> Column:
     return F.when(paragraph.rlike("[\"“«]"), F.array_join(said, "")).otherwise(paragraph)
 
 
+def unmarked(text: Column) -> Column:
+    return F.replace(text, F.lit(SPOKEN), F.lit(""))
+
+
 def ends_in_abbreviation(piece: Column) -> Column:
-    """Whether a piece ends in one full stop, without closers, after an initial, a dotted word or a listed abbreviation."""
-    token = F.regexp_replace(F.regexp_replace(F.regexp_extract(piece, r"(\S*)\.$", 1), SPOKEN, ""), r"^[^\p{IsAlphabetic}\p{N}]+", "")
-    listed = token.rlike(r"^\p{IsUppercase}$") | token.contains(".") | one_of(F.lower(token), ABBREVIATIONS)
-    return piece.endswith(".") & ~piece.rlike(r"[.!?…‽][\"'”’)\]»*_]*[.]$") & listed
+    """Whether a piece ends in one full stop, without closers, after an initial, a dotted word or a listed abbreviation.
+
+    The cheap test comes first; the last token is cut out once, as the element of an array of one.
+    """
+    token = F.regexp_replace(unmarked(F.regexp_extract(piece, r"(\S*)\.$", 1)), r"^[^\p{IsAlphabetic}\p{N}]+", "")
+    listed = lambda t: t.rlike(r"^\p{IsUppercase}$") | t.contains(".") | one_of(F.lower(t), ABBREVIATIONS)
+    return piece.endswith(".") & F.exists(F.array(token), listed) & ~piece.rlike(r"[.!?…‽][\"'”’)\]»*_]*[.]$")
 
 
 def sentences(paragraph: Column) -> Column:
@@ -138,5 +147,6 @@ def sentences(paragraph: Column) -> Column:
 
 
 def words(sentence: Column) -> Column:
-    """Words with at least one letter; hyphens join words."""
-    return F.filter(F.regexp_extract_all(sentence, F.lit(f"({WORD})"), F.lit(1)), lambda w: w.rlike(r"\p{IsAlphabetic}"))
+    """Words with at least one letter; hyphens join words. Only a sentence with numbers, marks or underscores can have others."""
+    found = F.regexp_extract_all(sentence, F.lit(f"({WORD})"), F.lit(1))
+    return F.when(sentence.rlike(r"[\p{N}\p{M}_]"), F.filter(found, lambda w: w.rlike(r"\p{IsAlphabetic}"))).otherwise(found)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +14,6 @@ from .frames import Frames
 from .lineage import cut
 
 
-
 def counts(f: Frames) -> DataFrame:
     """Words, characters with and without white space, sentences, paragraphs, and minutes to read and to speak a document."""
     squeezed = lambda p, pattern: F.length(F.regexp_replace(p["text"], pattern, ""))
@@ -33,17 +33,20 @@ def hapax(words: DataFrame) -> DataFrame:
     return once.filter("n = 1").drop("n")
 
 
-def diversity(words: DataFrame, window: int = 50) -> DataFrame:
+def diversity(words: DataFrame, window: int = 50, *keys: str) -> DataFrame:
     """Type-token ratio and its moving average. Each word counts in as many windows as it is the first of its kind in."""
-    before = F.lag("pos").over(Window.partitionBy("doc_id", "lower").orderBy("pos"))
-    n = words.groupBy("doc_id").agg(F.count("*").alias("words"), F.count_distinct("lower").alias("unique"))
-    seen = words.select("doc_id", "pos", F.coalesce(before, F.lit(-1)).alias("before"))
-    joined = seen.join(n, "doc_id")
-    first_in = F.greatest(F.least(F.col("pos"), F.col("words") - window) - F.greatest(F.col("before") + 1, F.col("pos") - window + 1, F.lit(0)) + 1, F.lit(0))
-    total = joined.groupBy("doc_id").agg(F.first("words").alias("words"), F.first("unique").alias("unique"), F.sum(first_in).alias("firsts"))
+    keys = keys or ("doc_id",)
+    before = F.lag("pos").over(Window.partitionBy(*keys, "lower").orderBy("pos"))
+    n = F.count("*").over(Window.partitionBy(*keys))
+    seen = words.select(*keys, "lower", "pos", before.alias("before")).withColumn("words", n)
+    past = F.coalesce("before", F.lit(-1))
+    last = F.least(F.col("pos"), F.col("words") - window)
+    first_in = F.greatest(last - F.greatest(past + 1, F.col("pos") - window + 1, F.lit(0)) + 1, F.lit(0))
+    total = seen.groupBy(*keys).agg(F.first("words").alias("words"), F.count_if(F.col("before").isNull()).alias("unique"), F.sum(first_in).alias("firsts"))
     ttr = F.col("unique") / F.col("words")
-    mattr = F.when((F.col("words") <= window) | F.lit(window == 0), ttr).otherwise(F.col("firsts") / (F.col("words") - window + 1) / F.lit(max(window, 1)))
-    return total.select("doc_id", "words", "unique", F.round(ttr + 1e-9, 4).alias("ttr"), F.round(mattr + 1e-9, 4).alias("mattr"))
+    moving = F.col("firsts") / (F.col("words") - window + 1) / F.lit(max(window, 1))
+    mattr = F.when((F.col("words") <= window) | F.lit(window == 0), ttr).otherwise(moving)
+    return total.select(*keys, "words", "unique", F.round(ttr + 1e-9, 4).alias("ttr"), F.round(mattr + 1e-9, 4).alias("mattr"))
 
 
 def histogram(values: DataFrame, width: int, cap: int) -> DataFrame:
@@ -61,39 +64,62 @@ def summary(values: DataFrame, *keys: str) -> DataFrame:
     return values.groupBy(*keys).agg(F.count("*").alias("count"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.median("value"), 4).alias("median"), F.round(F.stddev_pop("value"), 4).alias("stdev"), F.min("value").cast("long").alias("min"), F.max("value").cast("long").alias("max"))
 
 
-def overused(words: DataFrame, baseline: DataFrame, min_ratio: float = 3.0, min_count: int = 3) -> DataFrame:
-    """Words far more frequent than in the baseline (word, per_million); words that it lacks are skipped."""
-    counts = frequency(words)
-    total = counts.agg(F.sum("count")).first()[0] or 1
-    rate = F.col("count") / F.lit(float(total)) * 1e6
+def overused(words: DataFrame, baseline: DataFrame, min_ratio: float = 3.0, min_count: int = 3, *keys: str) -> DataFrame:
+    """Words far more frequent than in the baseline (word, per_million); words that it lacks are skipped.
+
+    Frequencies are those of all words together, or of each group of `keys`.
+    """
+    kept = words.filter(~T.one_of(F.col("lower"), V.STOPWORDS))
+    counts = kept.groupBy(*keys, F.col("lower").alias("word")).agg(F.count("*").alias("count"))
+    if keys:
+        counts = counts.withColumn("all", F.sum("count").over(Window.partitionBy(*keys)))
+    else:
+        counts = counts.withColumn("all", F.lit(counts.agg(F.sum("count")).first()[0] or 1))
     both = counts.filter(F.col("count") >= min_count).join(baseline, "word")
-    return both.select("word", "count", F.round(rate / F.col("per_million"), 4).alias("ratio")).filter(F.col("ratio") >= min_ratio)
+    rate = F.col("count") / F.col("all") * 1e6
+    return both.select(*keys, "word", "count", F.round(rate / F.col("per_million"), 4).alias("ratio")).filter(F.col("ratio") >= min_ratio)
 
 
-def phrase_findings(sentences: DataFrame, phrases: Iterable[str], rule: str) -> DataFrame:
-    """Greedy longest, non-overlapping matches of folded phrases inside sentences.
+def phrase_findings(sentences: DataFrame, rules: dict[str, Iterable[str]]) -> DataFrame:
+    """(doc_id, rule, message, sent, pos, n) of greedy longest, non-overlapping matches of folded phrases inside sentences.
 
-    The sentence's folded words stand between double spaces, so one alternation, longest first, finds whole words only.
+    rules: phrases by rule. A sentence's folded words stand between double spaces, so one alternation a rule, longest first,
+    finds whole words only. All rules are looked for in one pass. pos is the first word's place in the document, n its words.
     """
-    import re
-
-    entries = sorted({p.lower() for p in phrases}, key=lambda p: (-len(p.split()), p))
-    pattern = "|".join("  ".join(re.escape(w) for w in p.split()) for p in entries) or "(?!)"
     folded = F.concat(F.lit("  "), F.array_join(F.transform("words", lambda w: T.fold(w)), "  "), F.lit("  "))
-    hits = sentences.select("doc_id", "sent", F.regexp_extract_all(folded, F.lit(f"(?<= )({pattern})(?= )"), F.lit(1)).alias("hits")).filter(F.size("hits") > 0)
-    return hits.select("doc_id", "sent", F.posexplode("hits").alias("nth", "hit")).select("doc_id", F.lit(rule).alias("rule"), F.regexp_replace("hit", "  ", " ").alias("message"), F.col("sent").cast("long").alias("sent"), F.col("nth").cast("long").alias("pos"))
+    cuts = []
+    for rule, phrases in rules.items():
+        entries = sorted({p.lower() for p in phrases}, key=lambda p: (-len(p.split()), p))
+        if entries:
+            pattern = "|".join("  ".join(re.escape(w) for w in p.split()) for p in entries)
+            parts = F.split(F.regexp_replace("folded", f"(?<= )({pattern})(?= )", f"{T.SPLIT}$1{T.SPLIT}"), T.SPLIT)
+            cuts.append(F.struct(F.lit(rule).alias("rule"), parts.alias("parts")))
+    one = sentences.select("doc_id", "sent", "first", folded.alias("folded"))
+    cuts = F.array(*cuts) if cuts else F.array().cast("array<struct<rule:string,parts:array<string>>>")
+    hits = one.select("doc_id", "sent", "first", F.explode(F.filter(cuts, lambda x: F.size(x["parts"]) > 1)).alias("x"))
+    hits = hits.select("doc_id", "sent", "first", "x.rule", "x.parts", F.posexplode("x.parts").alias("i", "hit")).filter("i % 2 = 1")
+    n_words = lambda p: F.size(F.filter(F.split(p, " +"), lambda w: w != ""))
+    at = F.aggregate(F.slice("parts", 1, F.col("i")), F.lit(0), lambda a, p: a + n_words(p))
+    message = F.regexp_replace("hit", "  ", " ")
+    return hits.select("doc_id", "rule", message.alias("message"), F.col("sent").cast("long").alias("sent"), (F.col("first") + at).alias("pos"), n_words(F.col("hit")).cast("long").alias("n"))
+
+
+def with_verbs(findings: DataFrame, table: dict[str, str] | None = None) -> DataFrame:
+    """Findings whose message, for the rule `nominal`, also names the verb of a table noun -> verb."""
+    table = V.NOMINALIZATIONS if table is None else table
+    if not table:
+        return findings
+    verb = F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col("message"))
+    return findings.withColumn("message", F.when(F.col("rule") == "nominal", F.concat_ws(" -> ", "message", verb)).otherwise(F.col("message")))
 
 
 def nominalizations(sentences: DataFrame, table: dict[str, str] | None = None) -> DataFrame:
-    table = V.NOMINALIZATIONS if table is None else table
-    known = F.create_map(*[F.lit(x) for kv in table.items() for x in kv]) if table else F.create_map().cast("map<string,string>")
-    found = phrase_findings(sentences, table, "nominal")
-    return found.withColumn("message", F.concat_ws(" -> ", "message", F.element_at(known, F.col("message"))))
+    return with_verbs(phrase_findings(sentences, {"nominal": V.NOMINALIZATIONS if table is None else table}), table)
 
 
 def adverbs(words: DataFrame, extra: Iterable[str] = ()) -> DataFrame:
     kept = words.filter(T.is_adverb_shape(F.col("lower")) & ~T.one_of(F.col("lower"), [*V.NOT_ADVERBS, *extra]))
-    return kept.select("doc_id", F.lit("adverbs").alias("rule"), F.col("lower").alias("message"), F.col("sent").cast("long").alias("sent"), F.col("pos").cast("long").alias("pos"))
+    return kept.select("doc_id", F.lit("adverbs").alias("rule"), F.col("lower").alias("message"), F.col("sent").cast("long").alias("sent"), F.col("pos").cast("long").alias("pos"), F.lit(1).cast("long").alias("n"))
 
 
 def passive(sentences: DataFrame) -> DataFrame:
@@ -105,13 +131,14 @@ def passive(sentences: DataFrame) -> DataFrame:
     participle = lambda x: T.one_of(x, V.IRREGULAR_PARTICIPLES) | T.is_regular_participle(x)
     kind = lambda x: F.when(T.one_of(x, V.BE_VERBS) & participle(x), "B").when(T.one_of(x, V.BE_VERBS), "b").when(T.one_of(x, V.ADJECTIVAL_PARTICIPLES), "a").when(participle(x), "p").when(x == "by", "y").when(x.endswith("ly"), "l").otherwise("-")
     folded = F.transform("words", w)
-    one = sentences.select("doc_id", "sent", folded.alias("folded")).filter(F.exists("folded", lambda x: T.one_of(x, V.BE_VERBS)))
+    one = sentences.select("doc_id", "sent", "first", folded.alias("folded")).filter(F.exists("folded", lambda x: T.one_of(x, V.BE_VERBS)))
     one = one.withColumn("kinds", F.array_join(F.transform("folded", kind), ""))
     marked = F.regexp_replace("kinds", "([bB]l?(?:[pB]y?|ay))", "<$1>")
     one = one.withColumn("parts", F.split(marked, "[<>]"))
-    hits = one.select("doc_id", "sent", "folded", "parts", F.posexplode("parts").alias("i", "part")).filter("i % 2 = 1")
+    hits = one.select("doc_id", "sent", "first", "folded", "parts", F.posexplode("parts").alias("i", "part")).filter("i % 2 = 1")
     start = F.aggregate(F.slice("parts", 1, F.col("i")), F.lit(0), lambda a, p: a + F.length(p))
-    return hits.select("doc_id", F.lit("passive").alias("rule"), F.array_join(F.slice("folded", start + 1, F.length("part")), " ").alias("message"), F.col("sent").cast("long").alias("sent"), start.cast("long").alias("pos"))
+    message = F.array_join(F.slice("folded", start + 1, F.length("part")), " ")
+    return hits.select("doc_id", F.lit("passive").alias("rule"), message.alias("message"), F.col("sent").cast("long").alias("sent"), (F.col("first") + start).alias("pos"), F.length("part").cast("long").alias("n"))
 
 
 def proper_nouns(words: DataFrame) -> DataFrame:
@@ -121,13 +148,16 @@ def proper_nouns(words: DataFrame) -> DataFrame:
 
 
 def echoes(words: DataFrame, window: int = 50, min_length: int = 4, ignore: Iterable[str] = (), names: bool = False) -> DataFrame:
-    """Content words whose stem came up at most `window` words before."""
+    """Content words whose stem came up at most `window` words before; proper nouns don't count unless `names`."""
     content = words.filter((F.length("lower") >= min_length) & ~T.one_of(F.col("lower"), [*V.STOPWORDS, *ignore]))
+    content = content.select("doc_id", "sent", "pos", "lower", F.when(F.col("w_in_sent") > 0, F.col("raw").rlike(r"^\p{IsUppercase}")).alias("upper"))
     if not names:
-        content = content.join(proper_nouns(words), ["doc_id", "lower"], "left_anti")
+        always = F.min("upper").over(Window.partitionBy("doc_id", "lower"))
+        content = content.withColumn("name", F.coalesce(always, F.lit(False))).filter(~F.col("name"))
     w = Window.partitionBy("doc_id", "stem").orderBy("pos")
-    seen = content.withColumn("stem", T.stem(F.col("lower"))).withColumn("distance", F.col("pos") - F.lag("pos").over(w))
-    return seen.filter(F.col("distance") <= window).select("doc_id", "stem", F.col("sent").cast("long").alias("sent"), F.col("pos").cast("long").alias("pos"), F.col("distance").cast("long").alias("distance"))
+    seen = content.select("doc_id", "sent", "pos", T.stem(F.col("lower")).alias("stem")).withColumn("distance", F.col("pos") - F.lag("pos").over(w))
+    kept = seen.filter(F.col("distance") <= window)
+    return kept.select("doc_id", "stem", F.col("sent").cast("long").alias("sent"), F.col("pos").cast("long").alias("pos"), F.col("distance").cast("long").alias("distance"))
 
 
 def islands(rows: DataFrame, value: Column, order: str, *keys: str) -> DataFrame:
@@ -183,41 +213,40 @@ def pov_totals(classified: DataFrame) -> DataFrame:
     return n.withColumn("dominant", F.expr("CASE WHEN third_sentences >= first_sentences AND third_sentences >= second_sentences THEN 'third' WHEN second_sentences >= first_sentences THEN 'second' ELSE 'first' END"))
 
 
-def _grams(words: str, n: int) -> Column:
-    """All stretches of n words of an array."""
-    return F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.slice(words, i, n))
-
-
 def repeats(sentences: DataFrame, shortest: int = 3, longest: int = 6, min_count: int = 2) -> DataFrame:
     """(doc_id, phrase, words, count) of repeated word sequences not covered by longer ones that are kept.
 
     Sequences of stopwords alone are left out. One that occurs fewer than min_count times outside of kept longer ones is
-    dropped; the count of a kept one has all its occurrences.
+    dropped; the count of a kept one has all its occurrences. All lengths are cut and counted in one pass; only what
+    repeats, far fewer rows, is written and goes from the longest to the shortest.
     """
-    base = cut(sentences.select("doc_id", "sent", F.transform("words", lambda w: T.fold(w)).alias("w")).filter(F.size("w") >= shortest))
-    stop = F.array(*[F.lit(x) for x in sorted(set(V.STOPWORDS))])
-    kept: DataFrame | None = None
-    out: DataFrame | None = None
+    some = sentences.select("doc_id", "sent", F.transform("words", lambda w: T.fold(w)).alias("w")).filter(F.size("w") >= shortest)
+    some = some.withColumn("own", F.transform("w", lambda x: ~T.one_of(x, V.STOPWORDS)))
+
+    def every_of(n: int) -> Column:
+        starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
+        own = lambda i: F.exists(F.slice("own", i, n), lambda x: x)
+        return F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), own(i).alias("own"), F.array_join(F.slice("w", i, n), " ").alias("phrase")))
+
+    every = F.concat(*[every_of(n) for n in range(shortest, longest + 1)])
+    grams = some.select("doc_id", "sent", F.explode(F.filter(every, lambda g: g["own"])).alias("g")).select("doc_id", "sent", "g.at", "g.n", "g.phrase")
+    grams = grams.withColumn("count", F.count("*").over(Window.partitionBy("doc_id", "phrase"))).filter(F.col("count") >= min_count)
+    grams = cut(grams)
+    kept = None
     for n in range(longest, shortest - 1, -1):
-        grams = base.filter(F.size("w") >= n).select("doc_id", "sent", F.posexplode(_grams("w", n)).alias("at", "g"))
-        grams = grams.filter(F.size(F.array_except("g", stop)) > 0).select("doc_id", "sent", "at", F.array_join("g", " ").alias("phrase"))
-        many = grams.groupBy("doc_id", "phrase").agg(F.count("*").alias("count")).filter(F.col("count") >= min_count)
-        grams = grams.join(many, ["doc_id", "phrase"])
+        level = grams.filter(F.col("n") == n)
         if kept is not None:
             inside = kept.select("doc_id", "sent", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - n)).alias("at")).distinct().withColumn("covered", F.lit(1))
-            fresh = grams.join(inside, ["doc_id", "sent", "at"], "left").groupBy("doc_id", "phrase").agg(F.count_if(F.col("covered").isNull()).alias("fresh")).filter(F.col("fresh") >= min_count).select("doc_id", "phrase")
-            grams = grams.join(fresh, ["doc_id", "phrase"], "left_semi")
-        grams = cut(grams)  # repeated ones alone, far fewer than the sequences
-        level = grams.select("doc_id", "sent", "at", F.lit(n).alias("n"))
+            marked = level.join(inside, ["doc_id", "sent", "at"], "left")
+            fresh = F.count_if(F.col("covered").isNull()).over(Window.partitionBy("doc_id", "phrase"))
+            level = cut(marked.withColumn("fresh", fresh).filter(F.col("fresh") >= min_count).drop("covered", "fresh"))
         kept = level if kept is None else kept.unionByName(level)
-        found = grams.groupBy("doc_id", "phrase").agg(F.first("count").alias("count")).select("doc_id", "phrase", F.lit(n).cast("long").alias("words"), "count")
-        out = found if out is None else out.unionByName(found)
-    return out
+    return kept.groupBy("doc_id", "phrase").agg(F.first("n").cast("long").alias("words"), F.first("count").alias("count"))
 
 
 def readability(words: DataFrame, *keys: str) -> DataFrame:
     """The five scores, by document or by any other keys of the words; 1e-9 makes decimal ties round up everywhere."""
-    n = words.groupBy(*keys).agg(F.count("*").alias("words"), F.count_distinct("doc_id", "sent").alias("sentences"), F.sum(T.syllables(F.col("raw"))).alias("y"), F.count_if(T.is_complex(F.col("raw"))).alias("hard"), F.sum(T.letters(F.col("raw"))).alias("letters"))
+    n = words.groupBy(*keys).agg(F.count("*").alias("words"), F.count_if(F.col("w_in_sent") == 0).alias("sentences"), F.sum(T.syllables(F.col("raw"))).alias("y"), F.count_if(T.is_complex(F.col("raw"))).alias("hard"), F.sum(T.letters(F.col("raw"))).alias("letters"))
     w = F.col("words")
     wps, spw, lpw = w / F.col("sentences"), F.col("y") / w, F.col("letters") / w
     return n.select(*keys, "words", "sentences", F.round(206.835 - 1.015 * wps - 84.6 * spw + 1e-9, 4).alias("flesch_reading_ease"), F.round(0.39 * wps + 11.8 * spw - 15.59 + 1e-9, 4).alias("flesch_kincaid_grade"), F.round(0.4 * (wps + 100.0 * F.col("hard") / w) + 1e-9, 4).alias("gunning_fog"), F.round(0.0588 * (lpw * 100) - 0.296 * (F.col("sentences") / w * 100) - 15.8 + 1e-9, 4).alias("coleman_liau"), F.round(4.71 * lpw + 0.5 * wps - 21.43 + 1e-9, 4).alias("automated_readability"))
@@ -230,17 +259,28 @@ def long_sentences(sentences: DataFrame, most: int = 40) -> DataFrame:
 def monotony(sentences: DataFrame, run: int = 4, tolerance: int = 3) -> DataFrame:
     """Runs of `run` or more sentences whose lengths stay within `tolerance` words, greedy from the left in each section.
 
-    Where a run is too short the scan goes on at the next sentence, so a run's start depends on the one before. The fold
-    walks each section's lengths once for every start in the same row; nothing leaves the JVM.
+    One fold over a section's lengths. Where a length doesn't fit, a run that is long enough ends; of a shorter one (fewer
+    than `run` lengths are held) the longest end that it fits goes on.
     """
+    found = "array<struct<first:int,n:int>>"
     lengths = sentences.withColumn("region", F.coalesce("section", F.lit(-1))).groupBy("doc_id", "region").agg(F.array_sort(F.collect_list(F.struct("sent", "n_words"))).alias("s"))
-    # for each start, how far the lengths stay within the tolerance
-    reach = F.transform("s", lambda x, i: F.aggregate(F.slice("s", i + 1, F.size("s")), F.struct(F.lit(0).alias("n"), x["n_words"].alias("lo"), x["n_words"].alias("hi"), F.lit(True).alias("on")), lambda a, y: F.when(a["on"] & (F.greatest(a["hi"], y["n_words"]) - F.least(a["lo"], y["n_words"]) <= tolerance), F.struct((a["n"] + 1).alias("n"), F.least(a["lo"], y["n_words"]).alias("lo"), F.greatest(a["hi"], y["n_words"]).alias("hi"), F.lit(True).alias("on"))).otherwise(F.struct(a["n"].alias("n"), a["lo"].alias("lo"), a["hi"].alias("hi"), F.lit(False).alias("on"))))["n"])
-    lengths = lengths.withColumn("reach", reach)
-    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<i:int,n:int>>").alias("runs"))
-    step = lambda a, x: F.when((x["i"] >= a["next"]) & (x["n"] >= run), F.struct((x["i"] + x["n"]).alias("next"), F.concat(a["runs"], F.array(x)).alias("runs"))).otherwise(a)
-    runs = F.aggregate(F.transform("reach", lambda n, i: F.struct(i.alias("i"), n.alias("n"))), start, step)["runs"]
-    return lengths.select("doc_id", "s", F.explode(runs).alias("r")).select("doc_id", F.element_at("s", F.col("r.i") + 1)["sent"].cast("long").alias("first"), F.col("r.n").cast("long").alias("n"))
+    start = F.struct(F.lit(0).alias("first"), F.lit(0).alias("n"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.array().cast("array<int>").alias("held"), F.array().cast(found).alias("runs"))
+
+    def state(first, n, lo, hi, held, runs):
+        return F.struct(first.alias("first"), n.alias("n"), lo.alias("lo"), hi.alias("hi"), held.alias("held"), runs.alias("runs"))
+
+    def step(a, x):
+        y = x["n_words"]
+        lo, hi = F.least(a["lo"], y), F.greatest(a["hi"], y)
+        grown = state(a["first"], a["n"] + 1, lo, hi, F.when(a["n"] + 1 < run, F.concat(a["held"], F.array(y))).otherwise(F.array().cast("array<int>")), a["runs"])
+        ended = F.when(a["n"] >= run, F.concat(a["runs"], F.array(F.struct(a["first"].alias("first"), a["n"].alias("n"))))).otherwise(a["runs"])
+        fresh = state(x["sent"], F.lit(1), y, y, F.array(y), ended)
+        tail = F.filter(a["held"], lambda h, i: F.forall(F.slice(a["held"], i + 1, F.lit(run)), lambda z: F.abs(z - y) <= tolerance) & (F.array_max(F.slice(a["held"], i + 1, F.lit(run))) - F.array_min(F.slice(a["held"], i + 1, F.lit(run))) <= tolerance))
+        shorter = state(a["first"] + a["n"] - F.size(tail), F.size(tail) + 1, F.least(F.array_min(tail), y), F.greatest(F.array_max(tail), y), F.concat(tail, F.array(y)), a["runs"])
+        return F.when(a["n"] == 0, fresh).when(hi - lo <= tolerance, grown).when((a["n"] >= run) | (F.size(tail) == 0), fresh).otherwise(shorter)
+
+    last = F.aggregate("s", start, step, lambda a: F.when(a["n"] >= run, F.concat(a["runs"], F.array(F.struct(a["first"].alias("first"), a["n"].alias("n"))))).otherwise(a["runs"]))
+    return lengths.select("doc_id", F.explode(last).alias("r")).select("doc_id", F.col("r.first").cast("long").alias("first"), F.col("r.n").cast("long").alias("n"))
 
 
 def cast_mentions(words: DataFrame, ignore: Iterable[str] = ()) -> DataFrame:
@@ -248,16 +288,20 @@ def cast_mentions(words: DataFrame, ignore: Iterable[str] = ()) -> DataFrame:
     return named.groupBy("doc_id", F.coalesce("section", F.lit(-1)).cast("long").alias("section"), F.col("lower").alias("name")).agg(F.count("*").alias("count"))
 
 
-def name_pairs(words: DataFrame, ignore: Iterable[str] = ()) -> DataFrame:
-    """Names of the corpus that are spelt nearly alike: pairs within the edit distance that the later name allows.
+def name_counts(words: DataFrame, ignore: Iterable[str] = ()) -> DataFrame:
+    """(name, count): how often each proper noun of more than three letters is written, over all documents that have it as one."""
+    always = F.min(F.when(F.col("w_in_sent") > 0, F.col("raw").rlike(r"^\p{IsUppercase}"))).over(Window.partitionBy("doc_id", "lower"))
+    named = words.filter(F.length("lower") > 3).select("lower", always.alias("name")).filter("name")
+    return named.filter(~T.one_of(F.col("lower"), ["", *ignore])).groupBy(F.col("lower").alias("name")).agg(F.count("*").alias("count"))
+
+
+def name_pairs(names: DataFrame) -> DataFrame:
+    """Names that are spelt nearly alike: pairs within the edit distance that the later name allows.
 
     Blocked by deletions: names within two edits share a string that either gives by up to two deletions, so the join has
-    an equality key and no pair of unlike names is ever formed.
+    an equality key and no pair of unlike names is ever formed. Two edits count only where the later name has over seven
+    letters, so shorter names give up to two deletions as well, to meet longer ones.
     """
-    names = words.join(proper_nouns(words), ["doc_id", "lower"], "left_semi").groupBy(F.col("lower").alias("name")).agg(F.count("*").alias("count"))
-    names = names.filter(F.length("name") > 3)
-    if list(ignore):
-        names = names.filter(~T.one_of(F.col("name"), ignore))
     drop1 = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(s.substr(F.lit(1), i - 1), s.substr(i + 1, F.length(s))))
     once = drop1(F.col("name"))
     keys = F.array_distinct(F.concat(F.array("name"), once, F.flatten(F.transform(once, drop1))))
@@ -267,14 +311,17 @@ def name_pairs(words: DataFrame, ignore: Iterable[str] = ()) -> DataFrame:
     return pairs.withColumn("distance", F.levenshtein("earlier", "later")).filter(F.col("distance") <= F.when(F.length("later") > 7, 2).otherwise(1))
 
 
-def name_variants(words: DataFrame, ignore: Iterable[str] = ()) -> DataFrame:
-    """(cluster, name): in alphabetical order, a name joins the first cluster all of whose members are near enough.
+def name_variants(names: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(lead, total, name, count), most used first: in alphabetical order, a name of names (name, count) joins the first cluster
+    all of whose members are near enough. lead is a cluster's most used spelling, total its uses.
 
-    Only names that are near some other are grouped; the greedy pass runs once for each connected group of them, in one task.
+    Only names that are near some other are grouped; the greedy pass runs once for each connected group of them, in one task,
+    and looks for each name at the clusters of its neighbours alone.
     """
     import pandas as pd
 
-    pairs = cut(name_pairs(words, ignore))
+    names = cut(names)
+    pairs = cut(name_pairs(names) if pairs is None else pairs)
     links = pairs.select("earlier", "later").unionByName(pairs.select(F.col("later").alias("earlier"), F.col("earlier").alias("later")))
     links = cut(links)
     label = links.groupBy(F.col("earlier").alias("name")).agg(F.least(F.min("later"), F.first("earlier")).alias("label"))
@@ -288,18 +335,26 @@ def name_variants(words: DataFrame, ignore: Iterable[str] = ()) -> DataFrame:
     near = pairs.join(label.select(F.col("name").alias("later"), "label"), "later")
 
     def group(df: pd.DataFrame) -> pd.DataFrame:
-        close = set(zip(df["earlier"], df["later"], strict=True))
+        nearby: dict[str, set[str]] = {}
+        for a, b in zip(df["earlier"], df["later"], strict=True):
+            nearby.setdefault(b, set()).add(a)
         clusters: list[list[str]] = []
+        home: dict[str, int] = {}
         for name in sorted(set(df["earlier"]) | set(df["later"])):
-            home = next((c for c in clusters if all((m, name) in close for m in c)), None)
-            if home is None:
-                clusters.append([name])
+            close = nearby.get(name, set())
+            fits = [c for c in {home[m] for m in close} if close.issuperset(clusters[c])]
+            if fits:
+                home[name] = min(fits)
+                clusters[home[name]].append(name)
             else:
-                home.append(name)
+                home[name] = len(clusters)
+                clusters.append([name])
         rows = [(c[0], n) for c in clusters if len(c) > 1 for n in c]
         return pd.DataFrame(rows, columns=["cluster", "name"])
 
-    return near.groupBy("label").applyInPandas(group, "cluster string, name string")
+    found = near.groupBy("label").applyInPandas(group, "cluster string, name string").join(names, "name")
+    of = found.groupBy("cluster").agg(F.sum("count").alias("total"), F.min(F.struct((-F.col("count")).alias("c"), "name"))["name"].alias("lead"))
+    return found.join(of, "cluster").select("lead", "total", "name", "count").orderBy(F.desc("total"), "lead", F.desc("count"), "name")
 
 
 def dialogue_ratio(words: DataFrame, *keys: str) -> DataFrame:
@@ -313,6 +368,7 @@ def attributions(f: Frames) -> DataFrame:
     The verb is the nearest tag among four words after the quote, else among four before; the speaker is the first name
     among those four, and an -ly word right behind the verb in reading direction makes it qualified.
     """
+    f = f.settled()
     paras = f.docs.select("doc_id", F.posexplode("paras").alias("para", "p")).select("doc_id", "para", F.col("p.text").alias("text")).filter(F.col("text").rlike("[\"“«]"))
     parts = F.split(F.regexp_replace("text", T.SPEECH, f"$1{T.SPLIT}$2{T.SPLIT}$3"), T.SPLIT)
     spans = paras.select("doc_id", "para", parts.alias("parts")).select("doc_id", "para", "parts", F.posexplode("parts").alias("i", "said")).filter("i % 2 = 1 and said <> ''")
@@ -344,6 +400,7 @@ def speakers(found: DataFrame) -> DataFrame:
 
 def outline(f: Frames) -> DataFrame:
     """Words under each heading; a level-0 row for what stands before the first one."""
+    f = f.settled()
     n = f.words.groupBy("doc_id", "section").agg(F.count("*").alias("words"))
     heads = f.headings.join(n, ["doc_id", "section"], "left").select("doc_id", F.col("section").cast("long").alias("section"), F.col("level").cast("long").alias("level"), "title", F.coalesce("words", F.lit(0)).alias("words"))
     bare = n.filter("section is null").select("doc_id", F.lit(-1).cast("long").alias("section"), F.lit(0).cast("long").alias("level"), F.lit("(before first heading)").alias("title"), "words")
@@ -352,6 +409,7 @@ def outline(f: Frames) -> DataFrame:
 
 def arc(f: Frames) -> DataFrame:
     """Each section's words, dialogue share, mean sentence length, and adverbs and passives with their rates."""
+    f = f.settled()
     words, sents = f.words, f.sentences
     key = F.coalesce("section", F.lit(-1)).cast("long").alias("section")
     base = words.groupBy("doc_id", key).agg(F.count("*").alias("words"), F.count_distinct("sent").alias("sentences"), F.count_if("in_dialogue").alias("said"), F.count_if(T.is_adverb_shape(F.col("lower")) & ~T.one_of(F.col("lower"), V.NOT_ADVERBS)).alias("adverbs"))
@@ -370,10 +428,15 @@ def split_sections(f: Frames, level: int = 1) -> DataFrame:
     return one.select("doc_id", (F.col("i") + 1).cast("long").alias("number"), name.alias("name"), F.array_join(F.slice("lines", F.col("e.line"), F.col("e.end") - F.col("e.line")), "\n").alias("source"))
 
 
-def join_documents(docs: DataFrame, *keys: str) -> DataFrame:
-    """The documents of each key in order of doc_id, trimmed at the end, a blank line between."""
+def join_documents(docs: DataFrame, *keys: str, each: int = 1000) -> DataFrame:
+    """(keys, part, text): the documents of each key in order of doc_id, trimmed at the end, a blank line between.
+
+    A part holds the documents of `each` successive ids, so no cell grows with the table; parts in turn, a blank line between,
+    are the whole. Documents without an id are one part, null, which comes first.
+    """
     parts = F.array_sort(F.collect_list(F.struct("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+$", "").alias("t"))))
-    return docs.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n\n").alias("text"))
+    part = F.floor(F.col("doc_id") / each).alias("part")
+    return docs.groupBy(*keys, part).agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n\n").alias("text"))
 
 
 def per_1k(findings: DataFrame, words: DataFrame) -> DataFrame:

@@ -8,34 +8,61 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources import markup
+from .lineage import cut, is_small, spread
 
 
 @dataclass(frozen=True)
 class Frames:
-    """docs: (doc_id, name, format, source, prose, paras array<struct<section, text>>, headings array<...>)."""
+    """docs: (doc_id, source, prose, paras array<struct<section, text>>, headings array<...>).
+
+    stored is the segmentation if it was settled; together says that docs are dealt out by the hash of doc_id.
+    """
 
     docs: DataFrame
+    stored: DataFrame | None = None
+    together: bool = False
+    parsed: bool = False
 
     @classmethod
     def plain(cls, docs: DataFrame) -> Frames:
         """Frames of plain texts (doc_id, text): all of it prose, no headings."""
+        small = is_small(docs)
+        docs = spread(docs, "doc_id") if small else docs
         text = F.coalesce(F.col("text"), F.lit(""))
         paras = F.transform(T.paragraphs(text), lambda p: F.struct(F.lit(None).cast("int").alias("section"), p.alias("text")))
-        return cls(docs.select("doc_id", text.alias("source"), text.alias("prose"), paras.alias("paras"), F.lit(None).cast(markup.HEADINGS).alias("headings")))
+        return cls(docs.select("doc_id", text.alias("source"), text.alias("prose"), paras.alias("paras"), F.lit(None).cast(markup.HEADINGS).alias("headings")), together=small)
 
     @classmethod
     def marked_up(cls, docs: DataFrame) -> Frames:
         """Frames of texts (doc_id, format, source); Markdown and screenplays go through the parser, row by row."""
-        return cls(docs.select("doc_id", "format", F.coalesce("source", F.lit("")).alias("source")).mapInArrow(markup.parse_batches, markup.SCHEMA))
+        raw = spread(docs.select("doc_id", "format", F.coalesce("source", F.lit("")).alias("source")), "doc_id")
+        return cls(raw.mapInArrow(markup.parse_batches, markup.SCHEMA), parsed=True)
+
+    def settled(self) -> Frames:
+        """The same frames with their segmentation kept in the checkpoint folder, dealt out by document.
+
+        Texts move once, before they are cut into words. Each analysis reads the segmentation instead of cutting anew, and
+        what it does by document (windows, joins, groups) needs no further exchange.
+        """
+        if self.stored is not None:
+            return self
+        docs = self.docs
+        if not self.together:
+            docs = docs.repartition(docs.sparkSession.sparkContext.defaultParallelism, "doc_id") if is_small(docs) else docs.repartition("doc_id")
+        if self.parsed:
+            docs = cut(docs, True)
+        return Frames(docs, cut(Frames(docs).cut, True), True, self.parsed)
 
     @property
     def cut(self) -> DataFrame:
         """(doc_id, paras, sents array<struct<para, section, text, words>>): sentences without words are gone, as are empty paragraphs."""
+        if self.stored is not None:
+            return self.stored
         spoken = F.col("prose").rlike("[\"“«]")
         paras = F.transform("paras", lambda p: F.struct(p["section"].alias("section"), F.when(spoken, T.mark_speech(p["text"])).otherwise(p["text"]).alias("text")))
         cut = F.transform(paras, lambda p: F.struct(p["section"].alias("section"), F.filter(F.transform(T.sentences(p["text"]), lambda s: F.struct(s.alias("text"), T.words(s).alias("words"))), lambda s: F.size(s["words"]) > 0).alias("sents")))
@@ -45,10 +72,11 @@ class Frames:
 
     @property
     def sentences(self) -> DataFrame:
-        """(doc_id, para, section, sent, text, words, n_words, first_word)."""
-        one = self.cut.select("doc_id", F.posexplode("sents").alias("sent", "s"))
-        plain = F.transform("s.words", lambda w: F.regexp_replace(w, T.SPOKEN, ""))
-        out = one.select("doc_id", "s.para", "s.section", "sent", F.regexp_replace("s.text", T.SPOKEN, "").alias("text"), plain.alias("words"), F.size("s.words").alias("n_words"))
+        """(doc_id, para, section, sent, text, words, n_words, first_word, first); first is its first word's place in the document."""
+        one = self.cut.select("doc_id", F.posexplode("sents").alias("sent", "s")).select("doc_id", "s.*", "sent", F.size("s.words").alias("n_words"))
+        before = Window.partitionBy("doc_id").orderBy("sent").rowsBetween(Window.unboundedPreceding, -1)
+        plain = F.transform("words", T.unmarked)
+        out = one.select("doc_id", "para", "section", "sent", T.unmarked(F.col("text")).alias("text"), plain.alias("words"), "n_words", F.coalesce(F.sum("n_words").over(before), F.lit(0)).cast("long").alias("first"))
         return out.withColumn("first_word", T.fold(F.element_at("words", 1)))
 
     @property
@@ -56,7 +84,7 @@ class Frames:
         """(doc_id, para, section, sent, pos, w_in_sent, raw, lower, in_dialogue); pos counts the document's words from 0."""
         each = F.transform("sents", lambda s, i: F.transform(s["words"], lambda w, j: F.struct(s["para"].alias("para"), s["section"].alias("section"), i.alias("sent"), j.alias("w_in_sent"), w.alias("w"))))
         one = self.cut.select("doc_id", F.posexplode(F.flatten(each)).alias("pos", "x"))
-        out = one.select("doc_id", "x.para", "x.section", "x.sent", "pos", "x.w_in_sent", F.regexp_replace("x.w", T.SPOKEN, "").alias("raw"), F.col("x.w").startswith(T.SPOKEN).alias("in_dialogue"))
+        out = one.select("doc_id", "x.para", "x.section", "x.sent", "pos", "x.w_in_sent", T.unmarked(F.col("x.w")).alias("raw"), F.col("x.w").startswith(T.SPOKEN).alias("in_dialogue"))
         return out.withColumn("lower", T.fold(F.col("raw")))
 
     @property

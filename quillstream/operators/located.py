@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fixed_values as V
 from ..functions import text as T
 from . import analyses as A
 from .frames import Frames
+from .report import list_findings
 
 
 def word_places(f: Frames) -> DataFrame:
@@ -36,36 +33,17 @@ def word_places(f: Frames) -> DataFrame:
     return out.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("start").cast("long").alias("start"), F.col("line").cast("long").alias("line"), (F.col("start") - F.col("line_start") + 1).cast("long").alias("column"), (F.col("at16") - F.col("line16")).cast("long").alias("unit"), T.utf16_length(F.col("piece")).cast("long").alias("units"), F.length("piece").cast("long").alias("length"))
 
 
-def phrase_spans(sentences: DataFrame, phrases: Iterable[str], rule: str) -> DataFrame:
-    """(doc_id, rule, message, sent, at, n): the phrase findings with the place of their first word in the sentence."""
-    entries = sorted({p.lower() for p in phrases}, key=lambda p: (-len(p.split()), p))
-    pattern = "|".join("  ".join(re.escape(w) for w in p.split()) for p in entries) or "(?!)"
-    folded = F.concat(F.lit("  "), F.array_join(F.transform("words", lambda w: T.fold(w)), "  "), F.lit("  "))
-    parts = F.split(F.regexp_replace(folded, f"(?<= )({pattern})(?= )", f"{T.SPLIT}$1{T.SPLIT}"), T.SPLIT)
-    hits = sentences.select("doc_id", "sent", parts.alias("parts")).filter(F.size("parts") > 1).select("doc_id", "sent", "parts", F.posexplode("parts").alias("i", "hit")).filter("i % 2 = 1")
-    n_words = lambda p: F.size(F.filter(F.split(p, " +"), lambda w: w != ""))
-    at = F.aggregate(F.slice("parts", 1, F.col("i")), F.lit(0), lambda a, p: a + n_words(p))
-    return hits.select("doc_id", F.lit(rule).alias("rule"), F.regexp_replace("hit", "  ", " ").alias("message"), F.col("sent").cast("long").alias("sent"), at.cast("long").alias("at"), n_words(F.col("hit")).cast("long").alias("n"))
-
-
-def spans(f: Frames, tics: Iterable[str] = (), hedges: Iterable[str] = V.HEDGES, filters: Iterable[str] = V.FILTER_WORDS, cliches: Iterable[str] = V.CLICHES, nominal: dict[str, str] | None = None, window: int = 50) -> DataFrame:
+def spans(f: Frames, window: int = 50, **lists) -> DataFrame:
     """(doc_id, rule, message, pos, n) of all list findings, passives and echoes, pos being the first word's in the document."""
-    s = f.sentences
-    table = V.NOMINALIZATIONS if nominal is None else nominal
-    swap = F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col("message")) if table else F.lit(None)
-    found = [phrase_spans(s, p, rule) for rule, p in (("tics", tics), ("hedges", hedges), ("filter", filters), ("cliche", cliches))]
-    found.append(phrase_spans(s, table, "nominal").withColumn("message", F.concat_ws(" -> ", "message", swap)))
-    found.append(A.passive(s).select("doc_id", "rule", "message", "sent", F.col("pos").alias("at"), F.size(F.split("message", " ")).cast("long").alias("n")))
-    first = s.select("doc_id", F.col("sent").cast("long").alias("sent"), "n_words").withColumn("first", F.sum("n_words").over(Window.partitionBy("doc_id").orderBy("sent")) - F.col("n_words"))
-    placed = reduce(DataFrame.unionByName, found).join(first.select("doc_id", "sent", "first"), ["doc_id", "sent"]).select("doc_id", "rule", "message", (F.col("first") + F.col("at")).alias("pos"), "n")
     words = f.words
-    one = A.adverbs(words).select("doc_id", "rule", "message", "pos", F.lit(1).cast("long").alias("n"))
-    echo = A.echoes(words, window).select("doc_id", F.lit("echo").alias("rule"), F.concat(F.col("stem"), F.lit(" again after "), F.col("distance"), F.lit(" words")).alias("message"), "pos", F.lit(1).cast("long").alias("n"))
-    return placed.unionByName(one).unionByName(echo)
+    again = F.concat(F.col("stem"), F.lit(" again after "), F.col("distance"), F.lit(" words"))
+    echo = A.echoes(words, window).select("doc_id", F.lit("echo").alias("rule"), again.alias("message"), "pos", F.lit(1).cast("long").alias("n"))
+    return list_findings(f, **lists).drop("sent").unionByName(echo)
 
 
 def located(f: Frames, most: int = 160, **lists) -> DataFrame:
     """(doc_id, rule, message, line, column, end_line, end_column, text) of all findings; text is an excerpt of the sentence."""
+    f = f.settled()
     at = word_places(f)
     s = f.sentences.select("doc_id", "n_words", T.excerpt(F.col("text"), most).alias("text"), "sent")
     s = s.withColumn("end", F.sum("n_words").over(Window.partitionBy("doc_id").orderBy("sent")))
@@ -82,6 +60,7 @@ def location(name: Column, line: Column, column: Column) -> Column:
 
 def diagnostics(f: Frames, **lists) -> DataFrame:
     """Findings as an editor takes them: lines from 0, characters in UTF-16 units, severity 3 (information), code = rule."""
+    f = f.settled()
     at = word_places(f)
     last = at.select("doc_id", F.col("pos").alias("end_pos"), (F.col("line") - 1).alias("end_line"), (F.col("unit") + F.col("units")).alias("end_character"))
     out = spans(f, **lists).withColumn("end_pos", F.col("pos") + F.col("n") - 1)

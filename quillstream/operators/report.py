@@ -14,26 +14,85 @@ from . import analyses as A
 from .frames import Frames
 
 #: rule, kind (max or min), limit, severity
-SAMPLE_LIMITS = (("adverbs_per_1k", "max", 8.0, "error"), ("passive_per_1k", "max", 3.0, "warn"), ("hedges_per_1k", "max", 20.0, "error"), ("mattr", "min", 0.8, "warn"), ("flesch_kincaid_grade", "max", 12.0, "error"))
+SAMPLE_LIMITS = (
+    ("adverbs_per_1k", "max", 8.0, "error"),
+    ("passive_per_1k", "max", 3.0, "warn"),
+    ("hedges_per_1k", "max", 20.0, "error"),
+    ("nominal_per_1k", "max", 5.0, "warn"),
+    ("echoes_per_1k", "max", 150.0, "warn"),
+    ("overused", "max", 2.0, "warn"),
+    ("cliches", "max", 1.0, "error"),
+    ("repeated_starter_runs", "max", 0.0, "warn"),
+    ("monotonous_runs", "max", 3.0, "warn"),
+    ("sentence_words", "max", 60.0, "error"),
+    ("mattr", "min", 0.8, "warn"),
+    ("flesch_kincaid_grade", "max", 12.0, "error"),
+    ("dialogue_ratio", "max", 0.9, "error"),
+)
 
 
 def list_findings(f: Frames, tics: Iterable[str] = (), hedges: Iterable[str] = V.HEDGES, filters: Iterable[str] = V.FILTER_WORDS, cliches: Iterable[str] = V.CLICHES, nominal: dict[str, str] | None = None) -> DataFrame:
-    """Findings of all list analyses: (doc_id, rule, message, sent, pos)."""
+    """Findings of all list analyses: (doc_id, rule, message, sent, pos, n), pos being the first word's place in the document."""
+    table = V.NOMINALIZATIONS if nominal is None else nominal
+    phrases = A.phrase_findings(f.sentences, {"tics": tics, "hedges": hedges, "filter": filters, "cliche": cliches, "nominal": table})
+    return A.with_verbs(phrases, table).unionByName(A.adverbs(f.words)).unionByName(A.passive(f.sentences))
+
+
+def run_findings(f: Frames, starter_run: int = 3, rhythm_run: int = 4, tolerance: int = 3, long: int = 40) -> DataFrame:
+    """Repeated openers, even rhythm and long sentences as findings, at their first sentence and word."""
     s = f.sentences
-    found = [A.phrase_findings(s, tics, "tics"), A.phrase_findings(s, hedges, "hedges"), A.phrase_findings(s, filters, "filter"), A.phrase_findings(s, cliches, "cliche"), A.nominalizations(s, nominal), A.adverbs(f.words), A.passive(s)]
-    return reduce(DataFrame.unionByName, found)
+    at = s.select("doc_id", F.col("sent").cast("long").alias("sent"), F.col("first").alias("pos"), F.col("n_words").cast("long").alias("n"))
+    starters = A.starter_runs(s, starter_run).select("doc_id", F.lit("starters").alias("rule"), F.concat(F.col("word"), F.lit(" opens "), F.col("n"), F.lit(" sentences")).alias("message"), F.col("first").alias("sent"))
+    even = A.monotony(s, rhythm_run, tolerance).select("doc_id", F.lit("monotony").alias("rule"), F.concat(F.col("n"), F.lit(" sentences of like length")).alias("message"), F.col("first").alias("sent"))
+    wide = A.long_sentences(s, long).select("doc_id", F.lit("long-sentence").alias("rule"), F.concat(F.col("n_words"), F.lit(" words")).alias("message"), "sent")
+    return starters.unionByName(even).unionByName(wide).join(at, ["doc_id", "sent"]).select("doc_id", "rule", "message", "sent", "pos", "n")
+
 
+RATES = ("adverbs", "cliche", "filter", "hedges", "nominal", "passive", "tics", "echoes")
+RUNS = {"starters": "repeated_starter_runs", "monotony": "monotonous_runs", "long-sentence": "long_sentences"}
 
-def metrics(f: Frames, **lists) -> DataFrame:
-    """One row a document: counts, diversity, sentence lengths, readability, findings of each rule a thousand words."""
-    rules = ["adverbs", "cliche", "filter", "hedges", "nominal", "passive", "tics"]
-    n = list_findings(f, **lists).groupBy("doc_id").pivot("rule", rules).count()
-    echo = A.echoes(f.words).groupBy("doc_id").agg(F.count("*").alias("echoes"))
-    lengths = A.summary(f.sentences.select("doc_id", F.col("n_words").alias("value")), "doc_id").select("doc_id", F.col("mean").alias("mean_sentence_words"), F.col("stdev").alias("sentence_stdev"))
+
+def metrics(f: Frames, baseline: DataFrame | None = None, **lists) -> DataFrame:
+    """One row a document: counts, diversity, sentence lengths, readability, dialogue, runs, and findings a thousand words.
+
+    overused counts the document's words that baseline (word, per_million) shows as overused; without baseline it is 0.
+    """
+    f = f.settled()
+    found = list_findings(f, **lists).select("doc_id", "rule").unionByName(A.echoes(f.words).select("doc_id", F.lit("echoes").alias("rule")))
+    found = found.unionByName(run_findings(f).select("doc_id", "rule"))
+    n = found.groupBy("doc_id").agg(*[F.count_if(F.col("rule") == r).alias(f"n_{r}") for r in (*RATES, *RUNS)])
+    lengths = A.summary(f.sentences.select("doc_id", F.col("n_words").alias("value")), "doc_id").select("doc_id", F.col("mean").alias("mean_sentence_words"), F.col("stdev").alias("sentence_stdev"), F.col("max").alias("sentence_words"))
     scores = A.readability(f.words, "doc_id").drop("words", "sentences")
-    out = A.counts(f).join(A.diversity(f.words).drop("words"), "doc_id", "left").join(lengths, "doc_id", "left").join(scores, "doc_id", "left").join(n, "doc_id", "left").join(echo, "doc_id", "left")
-    rates = [F.round(T.per_thousand(F.coalesce(r, F.lit(0)), F.col("words")), 4).alias(f"{r}_per_1k") for r in [*rules, "echoes"]]
-    return out.select(*[c for c in out.columns if c not in rules and c != "echoes"], *rates)
+    said = A.dialogue_ratio(f.words, "doc_id").select("doc_id", F.col("ratio").alias("dialogue_ratio"))
+    tables = [A.diversity(f.words).drop("words"), lengths, scores, said, n]
+    if baseline is not None:
+        tables.append(A.overused(f.words, baseline, 3.0, 3, "doc_id").groupBy("doc_id").agg(F.count("*").alias("overused")))
+    out = reduce(lambda a, b: a.join(b, "doc_id", "left"), tables, A.counts(f))
+    whole = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    held = [c for c in out.columns if not c.startswith("n_") and c != "overused"]
+    rates = [F.round(T.per_thousand(whole(F.col(f"n_{r}")), F.col("words")), 4).alias(f"{r}_per_1k") for r in RATES]
+    runs = [whole(F.col(f"n_{r}" if r != "long-sentence" else "`n_long-sentence`")).alias(c) for r, c in RUNS.items()]
+    over = whole(F.col("overused") if baseline is not None else F.lit(None)).alias("overused")
+    return out.select(*held, *rates, *runs, whole(F.col("n_cliche")).alias("cliches"), over)
+
+
+SCORES = ("flesch_reading_ease", "flesch_kincaid_grade", "gunning_fog", "coleman_liau", "automated_readability")
+
+
+def total(table: DataFrame) -> DataFrame:
+    """The row of all documents together, from their metrics: sums, rates over all words, scores weighed by words."""
+    words = F.sum("words")
+    sums = ("words", "characters", "characters_no_space", "sentences", "paragraphs", *RUNS.values(), "cliches")
+    mean = lambda c: F.round(F.when(words > 0, F.sum(F.col(c) * F.col("words")) / words).otherwise(0.0) + 1e-9, 3)
+    rates = [mean(f"{r}_per_1k").alias(f"{r}_per_1k") for r in RATES]
+    return table.agg(*[F.sum(c).cast("long").alias(c) for c in sums], F.max("sentence_words").alias("sentence_words"), *[mean(c).alias(c) for c in (*SCORES, "dialogue_ratio")], *rates)
+
+
+def tops(f: Frames, words: int = 15, phrases: int = 10, openers: int = 8) -> DataFrame:
+    """(kind, item, count): the most frequent content words, repeated phrases of a document and sentence openers."""
+    f = f.settled()
+    first = lambda df, kind, item, n: df.select(F.lit(kind).alias("kind"), F.col(item).alias("item"), "count").orderBy(F.desc("count"), "item").limit(n)
+    return first(A.frequency(f.words, 3), "word", "word", words).unionByName(first(A.repeats(f.sentences), "repeat", "phrase", phrases)).unionByName(first(A.starter_counts(f.sentences), "opener", "word", openers))
 
 
 def limits_table(spark: SparkSession, limits) -> DataFrame:
@@ -54,12 +113,17 @@ def passed(found: DataFrame) -> DataFrame:
 
 
 def revisions(f: Frames, each: int = 3, limit: int = 50, **lists) -> DataFrame:
-    """The findings that matter most: up to `each` of a rule, up to `limit` of all."""
-    found = list_findings(f, **lists).select("doc_id", "rule", "message", "sent", "pos")
+    """(doc_id, rule, message, sent, pos, rank) of the findings that matter most: up to `each` of a rule, up to `limit` of all.
+
+    Within a rank findings go by document and place. The name of a rule counts, so long sentences and monotony, of one rank,
+    have `each` places of their own.
+    """
+    f = f.settled()
+    found = list_findings(f, **lists).unionByName(run_findings(f)).select("doc_id", "rule", "message", "sent", "pos")
     rank = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in V.REVISION_RANK.items() for x in kv]), F.col("rule")), F.lit(0))
     echo = A.echoes(f.words).select("doc_id", F.lit("echo").alias("rule"), F.col("stem").alias("message"), "sent", "pos", (100 - F.least("distance", F.lit(50))).cast("long").alias("rank"))
     ranked = found.withColumn("rank", rank.cast("long")).unionByName(echo)
-    order = [F.desc("rank"), "doc_id", "sent", "pos", "message"]
+    order = [F.desc("rank"), "doc_id", "pos", "message"]
     # first the best of each document and rule, so that a rule's whole findings never meet in one task
     local = ranked.withColumn("k", F.row_number().over(Window.partitionBy("rule", "doc_id").orderBy(*order))).filter(F.col("k") <= each)
     part = local.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(64))).withColumn("k", F.row_number().over(Window.partitionBy("rule", "part").orderBy(*order))).filter(F.col("k") <= each)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from . import analyses as A
 from .frames import Frames
-from .located import phrase_spans
 
 # Weights of the rules, and verbs of the senses that describe when `of` or `like` follows.
 PRIORITY = {"repeated-phrase": 100, "repeated-starter": 95, "echo": 90, "nominal": 80, "tense-drift": 75, "pov-drift": 75, "dialogue-tag": 65, "adverbial-tag": 60, "cliche": 55, "long-sentence": 50, "monotony": 45, "passive": 35, "filter": 30, "hedge": 20, "adverb": 10}
@@ -34,6 +33,7 @@ def review(f: Frames, spoken_tags: bool = True) -> DataFrame:
 
     spoken_tags: whether dialogue tags are judged; screenplays have none.
     """
+    f = f.settled()
     words, sents = f.words, f.sentences
     place = words.groupBy("doc_id", F.col("sent").cast("long").alias("sent")).agg(F.max("section").alias("section"), F.bool_or("in_dialogue").alias("said"))
     section_at = words.select("doc_id", F.col("pos").cast("long").alias("pos"), "section")
@@ -51,9 +51,11 @@ def review(f: Frames, spoken_tags: bool = True) -> DataFrame:
     echo = A.echoes(words).withColumn("before", F.col("pos") - F.col("distance")).join(section_at, ["doc_id", "pos"]).join(section_at.select("doc_id", F.col("pos").alias("before"), F.col("section").alias("was")), ["doc_id", "before"]).filter(F.col("section").eqNullSafe(F.col("was")))
     runs = narrated(inside(A.starter_runs(sents, 3)))
     even = narrated(inside(A.monotony(sents).withColumn("last", F.col("first") + F.col("n") - 1)))
-    sensed = phrase_spans(sents, V.FILTER_WORDS, "filter")
-    nearby = words.groupBy("doc_id", F.col("sent").cast("long").alias("sent")).agg(F.array_sort(F.collect_list(F.struct("w_in_sent", "lower", "in_dialogue"))).alias("w"))
-    sensed = sensed.join(nearby, ["doc_id", "sent"])
+    listed = A.with_verbs(A.phrase_findings(sents, {"filter": V.FILTER_WORDS, "cliche": V.CLICHES, "nominal": V.NOMINALIZATIONS, "hedge": V.HEDGES}))
+    of = lambda rule: listed.filter(F.col("rule") == rule)
+    sensed = of("filter")
+    nearby = words.groupBy("doc_id", F.col("sent").cast("long").alias("sent")).agg(F.array_sort(F.collect_list(F.struct("pos", "lower", "in_dialogue"))).alias("w"))
+    sensed = sensed.join(nearby, ["doc_id", "sent"]).withColumn("at", F.col("pos") - F.col("w")[0]["pos"])
     covered = F.forall(F.slice("w", F.col("at").cast("int") + 1, F.col("n").cast("int")), lambda x: x["in_dialogue"])
     follows = F.coalesce(F.get("w", (F.col("at") + F.col("n")).cast("int"))["lower"].isin("of", "like"), F.lit(False))
     sensed = sensed.filter(~covered & ~(F.col("message").isin(*SENSORY) & follows))
@@ -65,11 +67,11 @@ def review(f: Frames, spoken_tags: bool = True) -> DataFrame:
         _row(runs, "repeated-starter", F.concat(F.col("word"), F.lit(", sentences: "), F.col("n")), "first", "last"),
         _row(even, "monotony", F.concat(F.lit("even sentences: "), F.col("n")), "first", "last"),
         _row(A.long_sentences(sents), "long-sentence", F.concat(F.lit("words: "), F.col("n_words"))),
-        _row(A.phrase_findings(sents, V.CLICHES, "cliche"), "cliche", F.col("message")),
-        _row(A.nominalizations(sents), "nominal", F.col("message")),
+        _row(of("cliche"), "cliche", F.col("message")),
+        _row(of("nominal"), "nominal", F.col("message")),
         _row(A.passive(sents), "passive", F.col("message")),
         _row(sensed, "filter", F.col("message")),
-        _row(A.phrase_findings(sents, V.HEDGES, "hedges"), "hedge", F.col("message")),
+        _row(of("hedge"), "hedge", F.col("message")),
         _row(A.adverbs(words), "adverb", F.col("message")),
         _row(inside(A.drift(tense, _sure(tense_n, "past", "present"), "tense")), "tense-drift", F.col("value"), "first", "last"),
         _row(inside(A.drift(pov, _sure(pov_n, "first", "second", "third"), "person")), "pov-drift", F.col("value"), "first", "last"),

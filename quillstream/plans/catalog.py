@@ -32,6 +32,7 @@ def documents(spark: SparkSession, sf_dir: str, lang: str | None = "en") -> Data
 
 
 def english(spark: SparkSession, sf_dir: str) -> Frames:
+    """English documents, for what needs English lists or grammar."""
     return Frames.plain(documents(spark, sf_dir))
 
 
@@ -51,8 +52,8 @@ def dialogue_corpus(spark: SparkSession, sf_dir: str) -> Frames:
 
 
 def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two revisions of each English document: the second has `that` for `the`, and every tenth document is gone."""
-    docs = documents(spark, sf_dir)
+    """Two revisions of each document: the second has `that` for `the`, and every tenth document is gone."""
+    docs = documents(spark, sf_dir, None)
     new = docs.filter("doc_id % 10 <> 0").withColumn("text", F.replace("text", F.lit(" the "), F.lit(" that ")))
     return docs.withColumn("rev", F.lit(0)).unionByName(new.withColumn("rev", F.lit(1)))
 
@@ -65,11 +66,23 @@ def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.list_findings(english(spark, sf_dir), tics=TICS, hedges=HEDGES, filters=FILTERS, cliches=CLICHES, nominal=NOMINAL)
+    return R.list_findings(english(spark, sf_dir).settled(), **LISTS)
+
+
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.metrics(english(spark, sf_dir), baseline(spark, sf_dir), **LISTS)
+
+
+def _phrases_of(spark: SparkSession, sf_dir: str, rule: str, phrases) -> DataFrame:
+    return A.phrase_findings(english(spark, sf_dir).sentences, {rule: phrases})
+
+
+def _drift(classified: DataFrame, totals, kind: str) -> DataFrame:
+    return A.drift(classified, totals(classified), kind)
 
 
 def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = dialogue_corpus(spark, sf_dir)
+    f = dialogue_corpus(spark, sf_dir).settled()
     return C.sentence_series(f, A.adverbs(f.words).unionByName(A.passive(f.sentences)))
 
 
@@ -79,43 +92,45 @@ def _closed(table: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    word_values = lambda s, d: english(s, d).sentences.select("doc_id", F.col("n_words").alias("value"))
+    lengths = lambda s, d: every(s, d).sentences.select("doc_id", F.col("n_words").alias("value"))
+    table = lambda s, d, name: s.read.parquet(f"{d}/{name}.parquet")
     return {
         "counts_by_doc": lambda s, d: A.counts(every(s, d)),
         "counts_total": lambda s, d: A.counts(every(s, d)).agg(*[F.sum(c).alias(c) for c in ("words", "characters", "characters_no_space", "sentences", "paragraphs")]),
-        "freq_words": lambda s, d: A.frequency(english(s, d).words, 3),
-        "freq_top": lambda s, d: A.frequency(english(s, d).words, 3).orderBy(F.desc("count"), "word").limit(25),
-        "hapax": lambda s, d: A.hapax(english(s, d).words),
+        "freq_words": lambda s, d: A.frequency(every(s, d).words, 3),
+        "freq_top": lambda s, d: A.frequency(every(s, d).words, 3).orderBy(F.desc("count"), "word").limit(25),
+        "hapax": lambda s, d: A.hapax(every(s, d).words),
         "diversity_mattr": lambda s, d: A.diversity(every(s, d).words),
-        "sentence_histogram": lambda s, d: _closed(A.histogram(word_values(s, d), 5, 50)),
-        "paragraph_histogram": lambda s, d: _closed(A.histogram(english(s, d).words.groupBy("doc_id", "para").agg(F.count("*").alias("value")), 5, 50)),
-        "paragraph_sentences_histogram": lambda s, d: _closed(A.histogram(english(s, d).sentences.groupBy("doc_id", "para").agg(F.count("*").alias("value")), 1, 12)),
-        "length_summary": lambda s, d: A.summary(word_values(s, d), "doc_id"),
+        "sentence_histogram": lambda s, d: _closed(A.histogram(lengths(s, d), 5, 50)),
+        "paragraph_histogram": lambda s, d: _closed(A.histogram(every(s, d).words.groupBy("doc_id", "para").agg(F.count("*").alias("value")), 5, 50)),
+        "paragraph_sentences_histogram": lambda s, d: _closed(A.histogram(every(s, d).sentences.groupBy("doc_id", "para").agg(F.count("*").alias("value")), 1, 12)),
+        "length_summary": lambda s, d: A.summary(lengths(s, d), "doc_id"),
         "adverbs": lambda s, d: A.adverbs(english(s, d).words),
-        "overused": lambda s, d: A.overused(english(s, d).words, baseline(s, d)),
-        "tics": lambda s, d: A.phrase_findings(english(s, d).sentences, TICS, "tics"),
-        "hedges": lambda s, d: A.phrase_findings(english(s, d).sentences, HEDGES, "hedges"),
-        "filter_words": lambda s, d: A.phrase_findings(english(s, d).sentences, FILTERS, "filter"),
-        "cliches": lambda s, d: A.phrase_findings(english(s, d).sentences, CLICHES, "cliche"),
+        "overused": lambda s, d: A.overused(every(s, d).words, baseline(s, d)),
+        "tics": lambda s, d: _phrases_of(s, d, "tics", TICS),
+        "hedges": lambda s, d: _phrases_of(s, d, "hedges", HEDGES),
+        "filter_words": lambda s, d: _phrases_of(s, d, "filter", FILTERS),
+        "cliches": lambda s, d: _phrases_of(s, d, "cliche", CLICHES),
         "nominal": lambda s, d: A.nominalizations(english(s, d).sentences, NOMINAL),
+        "builtin_lists": lambda s, d: R.list_findings(every(s, d).settled()).groupBy("doc_id", "rule").agg(F.count("*").alias("count")),
         "tally_by_rule": lambda s, d: _findings(s, d).groupBy("rule", "message").agg(F.count("*").alias("count")),
         "list_per_1k": lambda s, d: A.per_1k(_findings(s, d), english(s, d).words),
         "echoes": lambda s, d: A.echoes(english(s, d).words),
         "proper_nouns": lambda s, d: A.proper_nouns(every(s, d).words),
-        "starter_counts": lambda s, d: A.starter_counts(english(s, d).sentences),
-        "paragraph_starters": lambda s, d: A.paragraph_starter_counts(english(s, d).sentences),
-        "starter_runs": lambda s, d: A.starter_runs(english(s, d).sentences, 2),
+        "starter_counts": lambda s, d: A.starter_counts(every(s, d).sentences),
+        "paragraph_starters": lambda s, d: A.paragraph_starter_counts(every(s, d).sentences),
+        "starter_runs": lambda s, d: A.starter_runs(every(s, d).sentences, 2),
         "passive": lambda s, d: A.passive(english(s, d).sentences),
         "tense_sentences": lambda s, d: A.tense_totals(A.tense_sentences(english(s, d).words)),
-        "tense_drift": lambda s, d: A.drift(c := A.tense_sentences(english(s, d).words), A.tense_totals(c), "tense"),
+        "tense_drift": lambda s, d: _drift(A.tense_sentences(english(s, d).settled().words), A.tense_totals, "tense"),
         "pov_counts": lambda s, d: A.pov_totals(A.pov_sentences(english(s, d).words)),
-        "pov_drift": lambda s, d: A.drift(c := A.pov_sentences(dialogue_corpus(s, d).words), A.pov_totals(c), "person"),
-        "repeats": lambda s, d: A.repeats(english(s, d).sentences),
+        "pov_drift": lambda s, d: _drift(A.pov_sentences(dialogue_corpus(s, d).settled().words), A.pov_totals, "person"),
+        "repeats": lambda s, d: A.repeats(every(s, d).settled().sentences),
         "readability_doc": lambda s, d: A.readability(every(s, d).words, "doc_id"),
-        "long_sentences": lambda s, d: A.long_sentences(english(s, d).sentences),
-        "rhythm_monotony": lambda s, d: A.monotony(english(s, d).sentences),
-        "cast": lambda s, d: A.cast_mentions(every(s, d).words),
-        "name_variants": lambda s, d: A.name_variants(english(s, d).words),
+        "long_sentences": lambda s, d: A.long_sentences(every(s, d).sentences),
+        "rhythm_monotony": lambda s, d: A.monotony(every(s, d).sentences),
+        "cast": lambda s, d: A.cast_mentions(every(s, d).settled().words),
+        "name_variants": lambda s, d: A.name_variants(A.name_counts(every(s, d).words)),
         "outline": lambda s, d: A.outline(dialogue_corpus(s, d)),
         "dialogue_ratio": lambda s, d: A.dialogue_ratio(dialogue_corpus(s, d).words, "doc_id"),
         "dialogue_by_section": lambda s, d: A.dialogue_ratio(dialogue_corpus(s, d).words, "doc_id", "section"),
@@ -125,13 +140,15 @@ def queries() -> dict[str, Query]:
         "arc": lambda s, d: A.arc(dialogue_corpus(s, d)),
         "readability_section": lambda s, d: A.readability(dialogue_corpus(s, d).words, "doc_id", "section"),
         "split_sections": lambda s, d: A.split_sections(dialogue_corpus(s, d)),
-        "join_docs": lambda s, d: A.join_documents(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "source"), "source"),
-        "html_masked": lambda s, d: A.counts(Frames.marked_up(s.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.lit("markdown").alias("format"), F.col("html").alias("source")))),
-        "report_metrics": lambda s, d: R.metrics(english(s, d), tics=TICS, hedges=HEDGES, filters=FILTERS, cliches=CLICHES, nominal=NOMINAL),
-        "revisions_top": lambda s, d: R.revisions(english(s, d), tics=TICS, hedges=HEDGES, filters=FILTERS, cliches=CLICHES, nominal=NOMINAL),
-        "check_violations": lambda s, d: R.violations(R.metrics(english(s, d), tics=TICS, hedges=HEDGES, filters=FILTERS, cliches=CLICHES, nominal=NOMINAL), R.limits_table(s, R.SAMPLE_LIMITS)),
+        "join_docs": lambda s, d: A.join_documents(table(s, d, "documents").select("doc_id", "text", "source"), "source"),
+        "html_masked": lambda s, d: A.counts(Frames.marked_up(table(s, d, "pages").select(F.col("page_id").alias("doc_id"), F.lit("markdown").alias("format"), F.col("html").alias("source")))),
+        "report_metrics": lambda s, d: _metrics(s, d),
+        "report_total": lambda s, d: R.total(_metrics(s, d)),
+        "report_tops": lambda s, d: R.tops(every(s, d)),
+        "revisions_top": lambda s, d: R.revisions(english(s, d), **LISTS),
+        "check_violations": lambda s, d: R.violations(_metrics(s, d), R.limits_table(s, R.SAMPLE_LIMITS)),
         "progress": lambda s, d: H.progress(revisions(s, d), 0, 1),
-        "trend": lambda s, d: H.trend(revisions(s, d)),
+        "trend": lambda s, d: H.trend(revisions(s, d), cliches=CLICHES),
         "word_diff_totals": lambda s, d: H.word_diff_totals(revisions(s, d), 0, 1),
         "changed_lines": lambda s, d: H.changed_lines(revisions(s, d), 0, 1),
         "located_findings": lambda s, d: L.located(english(s, d), **LISTS),
@@ -141,11 +158,11 @@ def queries() -> dict[str, Query]:
         "chart_points": lambda s, d: C.points(_series(s, d), 4),
         "chapters": lambda s, d: C.chapters(dialogue_corpus(s, d)),
         "strict_review": lambda s, d: S.review(dialogue_corpus(s, d)),
-        "pinned_quotes": lambda s, d: E.pin(documents(s, d), documents(s, d).select("doc_id", F.lit(2).alias("line"), F.lit(" of the ").alias("quote"))),
-        "numbered_lines": lambda s, d: E.numbered(documents(s, d)),
-        "progress_sparkline": lambda s, d: C.sparkline(english(s, d).sentences, "n_words", "sent"),
-        "html_report": lambda s, d: P.pages(A.counts(f := english(s, d)), L.located(f, **LISTS)),
-        "check_since": lambda s, d: H.check_since(revisions(s, d), 0, 1, hedges=HEDGES),
+        "pinned_quotes": lambda s, d: E.pin(documents(s, d, None), documents(s, d, None).select("doc_id", F.lit(2).alias("line"), F.lit(" of the ").alias("quote"))),
+        "numbered_lines": lambda s, d: E.numbered(documents(s, d, None)),
+        "progress_sparkline": lambda s, d: C.sparkline(every(s, d).sentences, "n_words", "sent"),
+        "html_report": lambda s, d: P.pages(A.counts(f := english(s, d).settled()), L.located(f, **LISTS)),
+        "check_since": lambda s, d: H.check_since(revisions(s, d), 0, 1, **LISTS),
     }
 
 
@@ -177,21 +194,22 @@ def segmented(where: str = "lang = 'en'", table: str = "documents", key: str = "
         masked AS (SELECT doc_id, sid, i, {joiners} AS y FROM numbered),
         listed AS (SELECT doc_id, sid, i, list_filter(list_transform(regexp_extract_all(y, '{chars}(?:[-‐‑]{chars})*'), lambda k: translate(trim(k, '''’‘'), chr(57344) || chr(57345) || chr(57346) || chr(57347), '.:,;')), lambda k: regexp_matches(k, '\\p{{L}}')) AS ws FROM masked),
         grouped AS (SELECT doc_id, sid, flatten(list(ws ORDER BY i)) AS ws FROM listed GROUP BY ALL),
-        sents AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sid) - 1 AS sent, ws, len(ws)::BIGINT AS n FROM grouped WHERE len(ws) > 0),
+        sents AS (SELECT doc_id, row_number() OVER d - 1 AS sent, ws, len(ws)::BIGINT AS n, (sum(len(ws)) OVER d - len(ws))::BIGINT AS first FROM grouped WHERE len(ws) > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY sid ROWS UNBOUNDED PRECEDING)),
         placed AS (SELECT doc_id, sent, k - 1 AS w_in_sent, ws[k] AS raw FROM sents, unnest(generate_series(1, len(ws))) AS u(k)),
         words AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent, w_in_sent) - 1 AS pos, translate(lower(raw), '’‘ʼ‐‑', '''''''--') AS lower FROM placed)"""
 
 
 def _phrases(entries, rule: str) -> str:
     ordered = sorted(entries, key=lambda p: (-len(p.split()), p))
-    alternatives = "|".join(p.replace(" ", "  ") for p in ordered)
-    return f"""SELECT doc_id, '{rule}' AS rule, replace(trim(hit), '  ', ' ') AS message, sent, (k - 1)::BIGINT AS pos
-        FROM (SELECT doc_id, sent, regexp_extract_all('  ' || lower(list_aggregate(ws, 'string_agg', '  ')) || '  ', ' (?:{alternatives}) ') AS hits FROM sents), unnest(generate_series(1, len(hits))) AS u(k), unnest([hits[k]]) AS v(hit)"""
+    alternatives = "|".join(p.replace(" ", "  ").replace("'", "''") for p in ordered)
+    count = lambda p: f"len(list_filter(string_split({p}, ' '), lambda w: w <> ''))"
+    return f"""SELECT doc_id, '{rule}' AS rule, replace(trim(parts[k]), '  ', ' ') AS message, sent, (first + coalesce(list_sum(list_transform(parts[:k - 1], lambda p: {count('p')})), 0))::BIGINT AS pos, {count('parts[k]')}::BIGINT AS n
+        FROM (SELECT doc_id, sent, first, string_split(regexp_replace('  ' || list_aggregate(list_transform(ws, lambda w: translate(lower(w), '’‘ʼ‐‑', '''''''--')), 'string_agg', '  ') || '  ', ' ({alternatives}) ', ' ' || chr(1) || '\\1' || chr(1) || ' ', 'g'), chr(1)) AS parts FROM sents), unnest(generate_series(2, len(parts), 2)) AS u(k)"""
 
 
 def oracle_sql() -> dict[str, str]:
     with_en, with_all = "WITH " + segmented(), "WITH " + segmented("true")
-    both = "(SELECT doc_id * 2 AS k, text FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id * 2 + 1, replace(text, ' the ', ' that ') FROM documents WHERE lang = 'en' AND doc_id % 10 <> 0)"
+    both = "(SELECT doc_id * 2 AS k, text FROM documents UNION ALL SELECT doc_id * 2 + 1, replace(text, ' the ', ' that ') FROM documents WHERE doc_id % 10 <> 0)"
     with_revs = "WITH " + segmented("true", both, "k")
     stop = _list(V.STOPWORDS)
     ed = "(lower LIKE '%ed' AND strlen(lower) > 3)"
@@ -217,32 +235,38 @@ def oracle_sql() -> dict[str, str]:
             n AS (SELECT doc_id, count(*) FILTER (person = 'first') AS first_sentences, count(*) FILTER (person = 'second') AS second_sentences, count(*) FILTER (person = 'third') AS third_sentences FROM p WHERE person IS NOT NULL GROUP BY 1),
             totals AS (SELECT *, CASE WHEN third_sentences >= first_sentences AND third_sentences >= second_sentences THEN 'third' WHEN second_sentences >= first_sentences THEN 'second' ELSE 'first' END AS dominant FROM n)"""
     every_phrase = " UNION ALL ".join(f"({_phrases(e, r)})" for e, r in ((TICS, "tics"), (HEDGES, "hedges"), (FILTERS, "filter"), (CLICHES, "cliche")))
-    nominal = f"(SELECT doc_id, rule, message || ' -> ' || CASE message {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in NOMINAL.items())} END AS message, sent, pos FROM ({_phrases(NOMINAL, 'nominal')}))"
-    adverbs = f"(SELECT doc_id, 'adverbs' AS rule, lower AS message, sent, pos FROM words WHERE {adverb})"
+    nominal = f"(SELECT doc_id, rule, message || ' -> ' || CASE message {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in NOMINAL.items())} END AS message, sent, pos, n FROM ({_phrases(NOMINAL, 'nominal')}))"
+    adverbs = f"(SELECT doc_id, 'adverbs' AS rule, lower AS message, sent, pos, 1::BIGINT AS n FROM words WHERE {adverb})"
     be, part = _list(V.BE_VERBS), f"(w IN ({_list(V.IRREGULAR_PARTICIPLES)}) OR (w LIKE '%ed' AND strlen(w) > 3))"
     kinds = f"CASE WHEN w IN ({be}) AND {part} THEN 'B' WHEN w IN ({be}) THEN 'b' WHEN w IN ({_list(V.ADJECTIVAL_PARTICIPLES)}) THEN 'a' WHEN {part} THEN 'p' WHEN w = 'by' THEN 'y' WHEN w LIKE '%ly' THEN 'l' ELSE '-' END"
-    passive = f"""(SELECT doc_id, 'passive' AS rule, list_aggregate(f[skip + 1:skip + length(parts[k])], 'string_agg', ' ') AS message, sent, skip::BIGINT AS pos FROM (
-        SELECT *, coalesce(list_sum(list_transform(parts[:k - 1], lambda p: length(p))), 0)::BIGINT AS skip FROM (SELECT doc_id, sent, f, string_split(translate(regexp_replace(list_aggregate(list_transform(f, lambda w: {kinds}), 'string_agg', ''), '([bB]l?(?:[pB]y?|ay))', '<\\1>', 'g'), '<', '>'), '>') AS parts FROM (SELECT doc_id, sent, list_transform(ws, lambda w: lower(w)) AS f FROM sents)), unnest(generate_series(2, len(parts), 2)) AS u(k)))"""
+    passive = f"""(SELECT doc_id, 'passive' AS rule, list_aggregate(f[skip + 1:skip + length(parts[k])], 'string_agg', ' ') AS message, sent, (first + skip)::BIGINT AS pos, length(parts[k])::BIGINT AS n FROM (
+        SELECT *, coalesce(list_sum(list_transform(parts[:k - 1], lambda p: length(p))), 0)::BIGINT AS skip FROM (SELECT doc_id, sent, first, f, string_split(translate(regexp_replace(list_aggregate(list_transform(f, lambda w: {kinds}), 'string_agg', ''), '([bB]l?(?:[pB]y?|ay))', '<\\1>', 'g'), '<', '>'), '>') AS parts FROM (SELECT doc_id, sent, first, list_transform(ws, lambda w: lower(w)) AS f FROM sents)), unnest(generate_series(2, len(parts), 2)) AS u(k)))"""
     islands = lambda source, value, order, keys: f"""SELECT {keys}, v AS value, min({order}) AS first, max({order}) AS last, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY {keys} ORDER BY {order}) AS r FROM (
         SELECT *, {value} AS v, CASE WHEN {value} IS NOT DISTINCT FROM lag({value}) OVER (PARTITION BY {keys} ORDER BY {order}) THEN 0 ELSE 1 END AS new FROM {source})) GROUP BY {keys}, r, v"""
     names = "names AS (SELECT doc_id, lower FROM words WHERE w_in_sent > 0 GROUP BY 1, 2 HAVING bool_and(regexp_matches(raw, '^\\p{Lu}')))"
+    echo = lambda ctes, names: f"""{ctes}, {names}, c AS (SELECT w.doc_id, sent, pos, {stems.replace('w LIKE', 'q LIKE').replace('(w)', '(q)').replace('strlen(w)', 'strlen(q)').replace('(w,', '(q,').replace('THEN w ', 'THEN q ').replace('ELSE w ', 'ELSE q ')} AS stem
+            FROM (SELECT *, regexp_replace(lower, '''s$', '') AS q FROM words WHERE length(lower) >= 4 AND lower NOT IN ({stop})) AS w ANTI JOIN names USING (doc_id, lower))
+            SELECT * FROM (SELECT doc_id, stem, sent, pos, pos - lag(pos) OVER (PARTITION BY doc_id, stem ORDER BY pos) AS distance FROM c) WHERE distance <= 50"""
+    over = lambda key, window: f"""{with_all}, bench AS (WITH {segmented("true", "benchmark", "item_id")} SELECT lower AS word, count(*) * 1e6 / (SELECT count(*) FROM words) AS per_million FROM words GROUP BY 1),
+            c AS (SELECT {key} lower AS word, count(*) AS count FROM words WHERE lower NOT IN ({stop}) GROUP BY {key} lower), a AS (SELECT *, sum(count) OVER ({window}) AS "all" FROM c)
+            SELECT {key} word, count, round(count / "all" * 1e6 / per_million, 4) AS ratio FROM a JOIN bench USING (word) WHERE count >= 3 AND round(count / "all" * 1e6 / per_million, 4) >= 3"""
+    one_byte = lambda x: f"translate({x}, 'àâáäæçéèêëíîïñóôöœùúûüÿß', 'ABCDEFGHIJKLMNOPQRSTUVWX')"  # noqa: E731  levenshtein counts bytes there
+    touched = "touched AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line FROM documents WHERE doc_id % 10 <> 0) WHERE contains(x, ' the '))"
     out = {
         "counts_by_doc": f"{with_all} {counted}",
         "counts_total": f"{with_all} SELECT sum(words)::BIGINT AS words, sum(characters)::BIGINT AS characters, sum(characters_no_space)::BIGINT AS characters_no_space, sum(sentences)::BIGINT AS sentences, sum(paragraphs)::BIGINT AS paragraphs FROM ({counted})",
-        "freq_words": f"{with_en} SELECT lower AS word, count(*) AS count FROM words WHERE lower NOT IN ({stop}) AND length(lower) >= 3 GROUP BY 1",
-        "freq_top": f"{with_en} SELECT lower AS word, count(*) AS count FROM words WHERE lower NOT IN ({stop}) AND length(lower) >= 3 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25",
-        "hapax": f"{with_en} SELECT lower AS word, min(doc_id) AS doc_id, min(pos) AS pos FROM words GROUP BY 1 HAVING count(*) = 1",
+        "freq_words": f"{with_all} SELECT lower AS word, count(*) AS count FROM words WHERE lower NOT IN ({stop}) AND length(lower) >= 3 GROUP BY 1",
+        "freq_top": f"{with_all} SELECT lower AS word, count(*) AS count FROM words WHERE lower NOT IN ({stop}) AND length(lower) >= 3 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25",
+        "hapax": f"{with_all} SELECT lower AS word, min(doc_id) AS doc_id, min(pos) AS pos FROM words GROUP BY 1 HAVING count(*) = 1",
         "diversity_mattr": f"""{with_all}, n AS (SELECT doc_id, count(*) AS words, count(DISTINCT lower) AS "unique" FROM words GROUP BY 1),
             g AS (SELECT w.doc_id, greatest(least(pos, n.words - 50) - greatest(coalesce(lag(pos) OVER (PARTITION BY w.doc_id, lower ORDER BY pos), -1) + 1, pos - 49, 0) + 1, 0) AS f FROM words AS w JOIN n USING (doc_id))
             SELECT doc_id, words, "unique", round("unique" / words + 1e-9, 4) AS ttr, round(CASE WHEN words <= 50 THEN "unique" / words ELSE f / (words - 49) / 50 END + 1e-9, 4) AS mattr FROM n JOIN (SELECT doc_id, sum(f) AS f FROM g GROUP BY 1) USING (doc_id)""",
-        "sentence_histogram": bucket(f"{with_en}, v AS (SELECT n AS value FROM sents)", 5, 50),
-        "paragraph_histogram": bucket(f"{with_en}, v AS (SELECT sum(n) AS value FROM sents GROUP BY doc_id)", 5, 50),
-        "paragraph_sentences_histogram": bucket(f"{with_en}, v AS (SELECT count(*) AS value FROM sents GROUP BY doc_id)", 1, 12),
-        "length_summary": f"{with_en} SELECT doc_id, count(*) AS count, round(avg(n), 4) AS mean, round(median(n), 4) AS median, round(stddev_pop(n), 4) AS stdev, min(n) AS min, max(n) AS max FROM sents GROUP BY 1",
+        "sentence_histogram": bucket(f"{with_all}, v AS (SELECT n AS value FROM sents)", 5, 50),
+        "paragraph_histogram": bucket(f"{with_all}, v AS (SELECT sum(n) AS value FROM sents GROUP BY doc_id)", 5, 50),
+        "paragraph_sentences_histogram": bucket(f"{with_all}, v AS (SELECT count(*) AS value FROM sents GROUP BY doc_id)", 1, 12),
+        "length_summary": f"{with_all} SELECT doc_id, count(*) AS count, round(avg(n), 4) AS mean, round(median(n), 4) AS median, round(stddev_pop(n), 4) AS stdev, min(n) AS min, max(n) AS max FROM sents GROUP BY 1",
         "adverbs": f"{with_en} SELECT * FROM {adverbs}",
-        "overused": f"""{with_en}, bench AS (WITH {segmented("true", "benchmark", "item_id")} SELECT lower AS word, count(*) * 1e6 / (SELECT count(*) FROM words) AS per_million FROM words GROUP BY 1),
-            c AS (SELECT lower AS word, count(*) AS count FROM words WHERE lower NOT IN ({stop}) GROUP BY 1)
-            SELECT word, count, round(count / (SELECT sum(count) FROM c) * 1e6 / per_million, 4) AS ratio FROM c JOIN bench USING (word) WHERE count >= 3 AND round(count / (SELECT sum(count) FROM c) * 1e6 / per_million, 4) >= 3""",
+        "overused": over("", ""),
         "tics": f"{with_en} {_phrases(TICS, 'tics')}",
         "hedges": f"{with_en} {_phrases(HEDGES, 'hedges')}",
         "filter_words": f"{with_en} {_phrases(FILTERS, 'filter')}",
@@ -252,45 +276,66 @@ def oracle_sql() -> dict[str, str]:
         "tally_by_rule": f"{with_en} SELECT rule, message, count(*) AS count FROM ({every_phrase} UNION ALL {nominal} UNION ALL {adverbs} UNION ALL {passive}) GROUP BY 1, 2",
         "list_per_1k": f"{with_en} SELECT rule, count(*) AS count, round(count(*) * 1000.0 / (SELECT count(*) FROM words), 4)::DOUBLE AS per_1k FROM ({every_phrase} UNION ALL {nominal} UNION ALL {adverbs} UNION ALL {passive}) GROUP BY 1",
         "proper_nouns": f"{with_all}, {names} SELECT * FROM names",
-        "echoes": f"""{with_en}, {names}, c AS (SELECT w.doc_id, sent, pos, {stems.replace('w LIKE', 'q LIKE').replace('(w)', '(q)').replace('strlen(w)', 'strlen(q)').replace('(w,', '(q,').replace('THEN w ', 'THEN q ').replace('ELSE w ', 'ELSE q ')} AS stem
-            FROM (SELECT *, regexp_replace(lower, '''s$', '') AS q FROM words WHERE length(lower) >= 4 AND lower NOT IN ({stop})) AS w ANTI JOIN names USING (doc_id, lower))
-            SELECT * FROM (SELECT doc_id, stem, sent, pos, pos - lag(pos) OVER (PARTITION BY doc_id, stem ORDER BY pos) AS distance FROM c) WHERE distance <= 50""",
-        "starter_counts": f"{with_en} SELECT lower AS word, count(*) AS count FROM words WHERE w_in_sent = 0 GROUP BY 1",
-        "paragraph_starters": f"{with_en} SELECT lower AS word, count(*) AS count FROM words WHERE pos = 0 GROUP BY 1",
-        "starter_runs": f"{with_en}, f AS (SELECT doc_id, sent, lower FROM words WHERE w_in_sent = 0) SELECT doc_id, value AS word, first, last, n FROM ({islands('f', 'lower', 'sent', 'doc_id')}) WHERE n >= 2",
+        "echoes": echo(with_en, names),
+        "starter_counts": f"{with_all} SELECT lower AS word, count(*) AS count FROM words WHERE w_in_sent = 0 GROUP BY 1",
+        "paragraph_starters": f"{with_all} SELECT lower AS word, count(*) AS count FROM words WHERE pos = 0 GROUP BY 1",
+        "starter_runs": f"{with_all}, f AS (SELECT doc_id, sent, lower FROM words WHERE w_in_sent = 0) SELECT doc_id, value AS word, first, last, n FROM ({islands('f', 'lower', 'sent', 'doc_id')}) WHERE n >= 2",
         "tense_sentences": f"{with_en}, {tense} SELECT * FROM totals",
         "tense_drift": f"{with_en}, {tense}, r AS ({islands('c', 'tense', 'sent', 'doc_id')}) SELECT doc_id, value, first, last, n FROM r JOIN totals USING (doc_id) WHERE n >= 3 AND value <> dominant",
         "pov_counts": f"{with_en}, {pov('true')} SELECT * FROM totals",
         "readability_doc": f"{with_all}, {scores('doc_id')}",
-        "long_sentences": f"{with_en} SELECT doc_id, sent, n AS n_words FROM sents WHERE n > 40",
-        "rhythm_monotony": f"""{with_en.replace('WITH', 'WITH RECURSIVE', 1)}, d AS (SELECT doc_id, list(n ORDER BY sent) AS a FROM sents GROUP BY 1),
+        "long_sentences": f"{with_all} SELECT doc_id, sent, n AS n_words FROM sents WHERE n > 40",
+        "rhythm_monotony": f"""{with_all.replace('WITH', 'WITH RECURSIVE', 1)}, d AS (SELECT doc_id, list(n ORDER BY sent) AS a FROM sents GROUP BY 1),
             reach AS (SELECT doc_id, i, (SELECT coalesce(min(j), len(a) + 1) FROM unnest(generate_series(i, len(a))) AS u(j) WHERE list_max(a[i:j]) - list_min(a[i:j]) > 3) - i AS n FROM d, unnest(generate_series(1, len(a))) AS v(i)),
             walk AS (SELECT doc_id, 1::BIGINT AS i FROM d UNION ALL SELECT w.doc_id, w.i + CASE WHEN r.n >= 4 THEN r.n ELSE 1 END FROM walk AS w JOIN reach AS r ON w.doc_id = r.doc_id AND w.i = r.i)
             SELECT doc_id, i - 1 AS first, n::BIGINT AS n FROM walk JOIN reach USING (doc_id, i) WHERE n >= 4""",
         "cast": f"{with_all}, {names} SELECT doc_id, (-1)::BIGINT AS section, lower AS name, count(*) AS count FROM words SEMI JOIN names USING (doc_id, lower) GROUP BY 1, 3",
-        "join_docs": "SELECT source, string_agg(regexp_replace(coalesce(text, ''), '\\s+$', ''), chr(10) || chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY 1",
-        "repeats": with_en + _repeats_sql(stop),
-        "numbered_lines": "SELECT doc_id, k AS line, doc_id || ':' || k || '| ' || string_split(text, chr(10))[k] AS numbered FROM documents, unnest(generate_series(1, len(string_split(text, chr(10))))) AS u(k) WHERE lang = 'en'",
-        "pinned_quotes": """WITH d AS (SELECT doc_id, text, string_split(text, 'of the') AS p FROM documents WHERE lang = 'en'),
+        "join_docs": "SELECT source, floor(doc_id / 1000)::BIGINT AS part, string_agg(regexp_replace(coalesce(text, ''), '\\s+$', ''), chr(10) || chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY 1, 2",
+        "repeats": with_all + _repeats_sql(stop),
+        "numbered_lines": "SELECT doc_id, k AS line, doc_id || ':' || k || '| ' || string_split(text, chr(10))[k] AS numbered FROM documents, unnest(generate_series(1, len(string_split(text, chr(10))))) AS u(k)",
+        "pinned_quotes": """WITH d AS (SELECT doc_id, text, string_split(text, 'of the') AS p FROM documents),
             o AS (SELECT doc_id, text, k, coalesce(list_sum(list_transform(p[:k], lambda x: length(x))), 0)::BIGINT + (k - 1) * 6 AS start FROM d, unnest(generate_series(1, len(p) - 1)) AS u(k)),
             l AS (SELECT doc_id, start, 1 + length(text[:start]) - length(replace(text[:start], chr(10), '')) AS line, start - (length(text[:start]) - coalesce(nullif(strpos(reverse(text[:start]), chr(10)), 0) - 1, length(text[:start]))) + 1 AS col FROM o),
             b AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY abs(line - 2), start) = 1)
             SELECT d.doc_id, coalesce(b.line, 2)::BIGINT AS line, coalesce(col, 0)::BIGINT AS "column", b.line IS NOT NULL AS verified FROM d LEFT JOIN b USING (doc_id)""",
         "progress": f"{with_revs} SELECT doc_id // 2 AS doc_id, sum(CASE WHEN doc_id % 2 = 0 THEN n ELSE 0 END)::BIGINT AS before, sum(CASE WHEN doc_id % 2 = 1 THEN n ELSE 0 END)::BIGINT AS after, sum(CASE WHEN doc_id % 2 = 1 THEN n ELSE -n END)::BIGINT AS change FROM sents GROUP BY 1",
-        "trend": f"{with_revs} SELECT (doc_id % 2)::INT AS rev, count(*) AS words, round(count(*) FILTER ({adverb}) * 1000.0 / count(*), 4)::DOUBLE AS adverbs_per_1k FROM words GROUP BY 1",
+        "trend": f"""WITH e AS ({echo(with_revs, names)}), c AS ({with_revs} {_phrases(CLICHES, 'cliche')}), w AS ({with_revs} SELECT doc_id % 2 AS rev, count(*) AS words, count(*) FILTER ({adverb}) AS adverbs FROM words GROUP BY 1)
+            SELECT rev::INT AS rev, words, {", ".join(f"round({x} * 1000.0 / words, 4)::DOUBLE AS {y}_per_1k" for x, y in (("(SELECT count(*) FROM e WHERE doc_id % 2 = rev)", "echoes"), ("adverbs", "adverbs"), ("(SELECT count(*) FROM c WHERE doc_id % 2 = rev)", "cliches")))} FROM w""",
+        "word_diff_totals": """SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 0 ELSE n END::BIGINT AS added, CASE WHEN doc_id % 10 = 0 THEN len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda w: w <> '')) ELSE n END::BIGINT AS removed
+            FROM (SELECT doc_id, text, coalesce(length(text) - length(replace(text, ' the ', '')), 0) // 5 AS n FROM documents)""",
+        "changed_lines": f"""WITH {touched} SELECT doc_id, min(line) AS first, max(line) AS last FROM (SELECT *, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS g FROM touched) GROUP BY doc_id, g""",
+        "progress_sparkline": f"""{with_all}, e AS (SELECT *, min(n) OVER d AS lo, max(n) OVER d AS hi FROM sents WINDOW d AS (PARTITION BY doc_id))
+            SELECT doc_id, string_agg('▁▂▃▄▅▆▇█'[CASE WHEN hi = lo THEN 1 ELSE least(floor((n - lo)::DOUBLE / (hi - lo) * 8) + 1, 8) END::INT], '' ORDER BY sent) AS line FROM e GROUP BY 1""",
+        "builtin_lists": f"""{with_all} SELECT doc_id, rule, count(*) AS count FROM ({" UNION ALL ".join(f"({_phrases(e, r)})" for e, r in ((V.HEDGES, "hedges"), (V.FILTER_WORDS, "filter"), (V.CLICHES, "cliche"), (V.NOMINALIZATIONS, "nominal")))} UNION ALL {adverbs} UNION ALL {passive}) GROUP BY 1, 2""",
+        "name_variants": f"""{with_all.replace('WITH', 'WITH RECURSIVE', 1)}, {names}, c AS (SELECT lower AS name, count(*) AS count FROM words SEMI JOIN names USING (doc_id, lower) WHERE length(lower) > 3 GROUP BY 1),
+            o AS (SELECT list(name ORDER BY name) AS o FROM c),
+            walk AS (SELECT 0 AS i, []::VARCHAR[][] AS g UNION ALL SELECT i + 1, CASE WHEN home IS NULL THEN list_append(g, [w]) ELSE list_concat(g[:home - 1], [list_append(g[home], w)], g[home + 1:]) END
+                FROM (SELECT i, g, o[i + 1] AS w, (list_filter(generate_series(1, len(g)), lambda k: len(list_filter(g[k], lambda m: levenshtein({one_byte('m')}, {one_byte('o[i + 1]')}) > CASE WHEN length(o[i + 1]) > 7 THEN 2 ELSE 1 END)) = 0))[1] AS home FROM walk, o WHERE i < len(o))),
+            found AS (SELECT k, unnest(x) AS name FROM (SELECT k, g[k] AS x FROM (SELECT g FROM walk ORDER BY i DESC LIMIT 1), unnest(generate_series(1, len(g))) AS u(k)) WHERE len(x) > 1)
+            SELECT first_value(name) OVER (PARTITION BY k ORDER BY count DESC, name) AS lead, (sum(count) OVER (PARTITION BY k))::BIGINT AS total, name, count FROM found JOIN c USING (name)""",
     }
+    of_runs = f"""SELECT doc_id, 'starters' AS rule, word || ' opens ' || n || ' sentences' AS message, first AS sent FROM ({out['starter_runs']}) WHERE n >= 3
+        UNION ALL SELECT doc_id, 'monotony', n || ' sentences of like length', first FROM ({out['rhythm_monotony']}) UNION ALL SELECT doc_id, 'long-sentence', n_words || ' words', sent FROM ({out['long_sentences']})"""
+    run_counts = ", ".join(f"count(*) FILTER (rule = '{k}') AS {v}" for k, v in R.RUNS.items())
     out |= {
         "report_metrics": f"SELECT {_metric_columns()} FROM ({with_en} {counted}) AS c " + " ".join(f"LEFT JOIN ({x}) USING (doc_id)" for x in (
             f"SELECT doc_id, \"unique\", ttr, mattr FROM ({out['diversity_mattr']})",
-            f"SELECT doc_id, mean AS mean_sentence_words, stdev AS sentence_stdev FROM ({out['length_summary']})",
+            f"SELECT doc_id, mean AS mean_sentence_words, stdev AS sentence_stdev, max AS sentence_words FROM ({out['length_summary']})",
             f"SELECT * EXCLUDE (words, sentences) FROM ({out['readability_doc']})",
+            f"WITH {segmented('true', _SAID)} SELECT doc_id, count(*) AS said FROM words GROUP BY 1",
             f"SELECT doc_id, {', '.join(f"count(*) FILTER (rule = '{r}') AS n_{r}" for r in RULES)} FROM ({with_en} SELECT * FROM ({every_phrase} UNION ALL {nominal} UNION ALL {adverbs} UNION ALL {passive})) GROUP BY 1",
+            f"SELECT doc_id, {run_counts} FROM ({of_runs}) GROUP BY 1",
+            f"SELECT doc_id, count(*) AS overused FROM ({over('doc_id, ', 'PARTITION BY doc_id')}) GROUP BY 1",
             f"SELECT doc_id, count(*) AS n_echoes FROM ({out['echoes']}) GROUP BY 1",
         )),
-        "revisions_top": f"""WITH f AS ({with_en} SELECT doc_id, rule, message, sent, pos FROM ({every_phrase} UNION ALL {nominal} UNION ALL {adverbs} UNION ALL {passive})),
+        "revisions_top": f"""WITH f AS ({with_en} SELECT doc_id, rule, message, sent, pos FROM ({every_phrase} UNION ALL {nominal} UNION ALL {adverbs} UNION ALL {passive}) UNION ALL SELECT doc_id, rule, message, sent, first FROM ({of_runs}) JOIN sents USING (doc_id, sent)),
             r AS (SELECT *, CASE rule {' '.join(f"WHEN '{k}' THEN {v}" for k, v in V.REVISION_RANK.items())} ELSE 0 END::BIGINT AS rank FROM f UNION ALL SELECT doc_id, 'echo', stem, sent, pos, (100 - least(distance, 50))::BIGINT FROM ({out['echoes']}))
-            SELECT * FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY rule ORDER BY rank DESC, doc_id, sent, pos, message) <= 3) ORDER BY rank DESC, doc_id, sent, pos, message LIMIT 50""",
+            SELECT * FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY rule ORDER BY rank DESC, doc_id, pos, message) <= 3) ORDER BY rank DESC, doc_id, pos, message LIMIT 50""",
+        "report_tops": " UNION ALL ".join(f"(SELECT '{kind}' AS kind, {item} AS item, count FROM ({out[q]}) ORDER BY count DESC, item LIMIT {n})" for kind, item, q, n in (("word", "word", "freq_words", 15), ("repeat", "phrase", "repeats", 10), ("opener", "word", "starter_counts", 8))),
     }
+    weighed = lambda c: f"round(sum({c} * words) / sum(words) + 1e-9, 3)::DOUBLE AS {c}"
+    out["report_total"] = f"""SELECT {", ".join(f"sum({c})::BIGINT AS {c}" for c in ("words", "characters", "characters_no_space", "sentences", "paragraphs", *R.RUNS.values(), "cliches"))}, max(sentence_words) AS sentence_words,
+        {", ".join(weighed(c) for c in (*R.SCORES, "dialogue_ratio", *[f"{r}_per_1k" for r in R.RATES]))} FROM ({out["report_metrics"]})"""
     limits = ", ".join(f"('{rule}', '{kind}', {most}, '{severity}')" for rule, kind, most, severity in R.SAMPLE_LIMITS)
     out["check_violations"] = f"""SELECT doc_id, rule, actual, "limit", severity FROM (UNPIVOT ({out["report_metrics"]}) ON {", ".join(f"{x[0]}::DOUBLE AS {x[0]}" for x in R.SAMPLE_LIMITS)} INTO NAME rule VALUE actual)
         JOIN (SELECT rule, kind, "limit"::DOUBLE AS "limit", severity FROM (VALUES {limits}) AS v(rule, kind, "limit", severity)) USING (rule) WHERE (kind = 'max' AND actual > "limit") OR (kind = 'min' AND actual < "limit")"""
@@ -331,9 +376,15 @@ def oracle_sql() -> dict[str, str]:
 RULES = ("adverbs", "cliche", "filter", "hedges", "nominal", "passive", "tics")
 
 
+#: The words between straight quotes, the only ones in the synthetic documents.
+_SAID = "(SELECT doc_id, list_aggregate(regexp_extract_all(text, '\"([^\"]*)(?:\"|$)', 1), 'string_agg', ' ') AS text FROM documents)"
+
+
 def _metric_columns() -> str:
     rates = ", ".join(f"round(coalesce(n_{r}, 0) * 1000.0 / words, 4)::DOUBLE AS {r}_per_1k" for r in (*RULES, "echoes"))
-    return f"* EXCLUDE ({', '.join(f'n_{r}' for r in (*RULES, 'echoes'))}), {rates}"
+    whole = ", ".join(f"coalesce({c}, 0)::BIGINT AS {x}" for c, x in (*[(v, v) for v in R.RUNS.values()], ("n_cliche", "cliches"), ("overused", "overused")))
+    hidden = (*[f"n_{r}" for r in (*RULES, "echoes")], *R.RUNS.values(), "overused", "said")
+    return f"* EXCLUDE ({', '.join(hidden)}), round(coalesce(said, 0) / words, 4)::DOUBLE AS dialogue_ratio, {rates}, {whole}"
 
 
 def _dialogue_corpus() -> str:
@@ -350,7 +401,7 @@ def _dialogue_corpus() -> str:
         spoken AS (SELECT doc_id, para, said, near FROM paras WHERE near IS NOT NULL),
         inner_words AS (WITH {segmented("true", "paras", "pk")} SELECT doc_id AS pk, sent, w_in_sent, pos, raw, lower, count(*) OVER (PARTITION BY doc_id) AS total FROM words),
         words AS (SELECT p.doc_id, section, para, dense_rank() OVER (PARTITION BY p.doc_id ORDER BY w.pk, w.sent) - 1 AS sent, w_in_sent, row_number() OVER (PARTITION BY p.doc_id ORDER BY w.pk, w.pos) - 1 AS pos, raw, lower, near IS NOT NULL AND w.pos < total - coalesce(len(near), 0) AS in_dialogue FROM inner_words AS w JOIN paras AS p USING (pk)),
-        sents AS (SELECT doc_id, section, sent, list(raw ORDER BY w_in_sent) AS ws, count(*) AS n FROM words GROUP BY 1, 2, 3)"""
+        sents AS (SELECT doc_id, section, sent, list(raw ORDER BY w_in_sent) AS ws, count(*) AS n, min(pos)::BIGINT AS first FROM words GROUP BY 1, 2, 3)"""
 
 
 def _repeats_sql(stop: str, longest: int = 6, shortest: int = 3) -> str:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.frames import Frames
 
@@ -19,9 +21,35 @@ def latest(versions: DataFrame) -> DataFrame:
 
 
 def changed(versions: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Versions whose content was not seen within `delay`; older hashes leave the state, so it stays bounded."""
-    hashed = versions.withColumn("content", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return hashed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["doc_id", "content"]).drop("content")
+    """(doc_id, ts, text): of each batch the last version of a document, if it is newer than all before and of other content.
+
+    Only the last version counts, so a text that returns to an earlier content is analysed again; an older version that comes
+    late is passed over. State is a time and a hash a document, dropped once the watermark is `delay` behind nothing new: a
+    document that comes after that is analysed whatever its content.
+    """
+    hashed = versions.select("doc_id", "ts", F.coalesce("text", F.lit("")).alias("text")).withColumn("content", F.xxhash64("text"))
+
+    def newer(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = None  # frames come one by one; only the last version so far is held
+        for df in frames:
+            top = df.sort_values(["ts", "text"]).iloc[-1]
+            if last is None or (top["ts"], top["text"]) > (last["ts"], last["text"]):
+                last = top
+        if last is None:
+            return
+        ts, content = int(last["ts"].value), int(last["content"])
+        before, was = state.get if state.exists else (None, None)
+        if before is not None and ts < before:
+            return
+        state.update((ts, content))
+        state.setTimeoutTimestamp(max(ts // 1_000_000, state.getCurrentWatermarkMs()) + 1)
+        if content != was:
+            yield pd.DataFrame([[key[0], last["ts"], last["text"]]], columns=["doc_id", "ts", "text"])
+
+    return hashed.withWatermark("ts", delay).groupBy("doc_id").applyInPandasWithState(newer, "doc_id long, ts timestamp, text string", "ts long, content long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def reanalyse(versions: DataFrame, analysis: Analysis, path: str, checkpoint: str, delay: str = "1 hour") -> StreamingQuery:

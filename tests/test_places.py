@@ -76,3 +76,11 @@ def test_stream(spark, tmp_path):
     versions.filter("doc_id = 1").coalesce(1).write.mode("append").parquet(source)  # seen before: nothing to do
     run()
     assert [(r.doc_id, r.message) for r in spark.read.parquet(out).collect()] == [(1, "slowly")]
+    back = spark.createDataFrame([(1, "2024-01-01 00:02:00", "He left quietly.")], "doc_id long, ts string, text string").withColumn("ts", F.to_timestamp("ts"))
+    back.coalesce(1).write.mode("append").parquet(source)  # an earlier content again is a change
+    run()
+    late = back.withColumn("ts", F.to_timestamp(F.lit("2024-01-01 00:01:30"))).withColumn("text", F.lit("He left loudly."))
+    late.coalesce(1).write.mode("append").parquet(source)  # older than the last version: passed over
+    run()
+    found = [(r.doc_id, r.message) for r in spark.read.parquet(out).orderBy("batch").collect()]
+    assert found == [(1, "slowly"), (1, "quietly")]

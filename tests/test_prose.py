@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
 import pytest
 
@@ -64,7 +66,7 @@ def test_history(spark):
     assert sorted(tuple(r) for r in H.progress(revs, 0, 1).collect()) == [(1, 3, 4, 1), (2, 1, 0, -1)]
 
 
-@pytest.mark.parametrize("name", ["counts_by_doc", "hapax", "echoes", "passive", "tense_drift", "rhythm_monotony"])
+@pytest.mark.parametrize("name", ["counts_by_doc", "hapax", "echoes", "passive", "tense_drift", "rhythm_monotony", "repeats", "revisions_top", "report_metrics", "trend", "name_variants", "builtin_lists"])
 def test_against_duckdb(spark, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
@@ -76,16 +78,79 @@ def test_against_duckdb(spark, name):
     assert sorted(map(tuple, found.select(columns).collect())) == sorted(expected.project(", ".join(f'"{c}"' for c in columns)).fetchall())
 
 
-def test_name_variants_of_a_long_chain(spark, monkeypatch):
+def brute_clusters(names, close):
+    clusters: list[list[str]] = []
+    for name in sorted(names):
+        home = next((c for c in clusters if all(close(m, name) for m in c)), None)
+        clusters.append([name]) if home is None else home.append(name)
+    return [c for c in clusters if len(c) > 1]
+
+
+def test_name_variants_of_a_long_chain(spark):
     names = ["a" * 7]
     for k in range(13):
         last = names[-1]
         names.append(last[: k % 7] + chr(ord(last[k % 7]) + 1) + last[k % 7 + 1 :])
     chain = list(zip(names[:-1], names[1:], strict=True))  # each is near the next alone
-    monkeypatch.setattr(A, "name_pairs", lambda words, ignore: words)
-    found = A.name_variants(spark.createDataFrame(chain, "earlier string, later string")).collect()
-    clusters: list[list[str]] = []
-    for name in names:
-        home = next((c for c in clusters if all((m, name) in chain for m in c)), None)
-        clusters.append([name]) if home is None else home.append(name)
-    assert sorted(map(tuple, found)) == sorted((c[0], n) for c in clusters if len(c) > 1 for n in c)
+    counts = spark.createDataFrame([(n, k + 1) for k, n in enumerate(names)], "name string, count long")
+    found = A.name_variants(counts, spark.createDataFrame(chain, "earlier string, later string")).collect()
+    expected = brute_clusters(names, lambda m, n: (m, n) in chain)
+    assert sorted(r.name for r in found) == sorted(n for c in expected for n in c)
+    own = {n: k + 1 for k, n in enumerate(names)}
+    for c in expected:
+        lead = min(c, key=lambda n: (-own[n], n))
+        assert {r["name"] for r in found if r["lead"] == lead} == set(c)
+        assert {r["total"] for r in found if r["lead"] == lead} == {sum(own[n] for n in c)}
+    totals = [r["total"] for r in found]
+    assert totals == sorted(totals, reverse=True)
+
+
+def test_word_and_line_diffs():
+    rng = random.Random(4)
+    for _ in range(200):
+        a, b = [[rng.choice("abcd") for _ in range(rng.randrange(30))] for _ in range(2)]
+        size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                size[i + 1][j + 1] = size[i][j] + 1 if a[i] == b[j] else max(size[i][j + 1], size[i + 1][j])
+        for bits in (1 << 28, 20):
+            pairs = H.common(a, b, bits)
+            assert len(pairs) == size[-1][-1] and all(a[i] == b[j] for i, j in pairs)
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+        tags = H.word_diff(" ".join(a), " ".join(b))
+        assert [w for t, w in tags if t != "insert"] == a and [w for t, w in tags if t != "delete"] == b
+
+
+def test_monotony_against_brute_force(spark):
+    rng = random.Random(7)
+    texts = [" ".join(" ".join(["Word"] * rng.choice((2, 3, 4, 5, 6, 7, 9))) + "." for _ in range(rng.randrange(40))) for _ in range(40)]
+    f = Frames.plain(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    expected = set()
+    for doc_id, text in enumerate(texts):
+        n = [len(s.split()) for s in text.split(".") if s.split()]
+        i = 0
+        while i < len(n):
+            k = 1
+            while i + k < len(n) and max(n[i : i + k + 1]) - min(n[i : i + k + 1]) <= 3:
+                k += 1
+            if k >= 4:
+                expected.add((doc_id, i, k))
+            i += k if k >= 4 else 1
+    assert expected and {tuple(r) for r in A.monotony(f.sentences).collect()} == expected
+
+
+def test_check_since_counts_changed_lines_alone(spark):
+    old = "It was seen by all.\nThe lantern fell slowly.\nNothing else."
+    new = "It was seen by all.\nThe lantern fell quickly.\nNothing else. The lantern was taken away, I think that it was."
+    revs = spark.createDataFrame([(1, 0, old), (1, 1, new)], "doc_id long, rev int, text string")
+    found = {r["rule"]: (r["words"], r["count"]) for r in H.check_since(revs, 0, 1, hedges=("i think",)).collect()}
+    assert found["adverbs"] == (16, 1) and found["passive"] == (16, 1) and found["hedges"] == (16, 1) and found["echo"] == (16, 1)
+    assert found["longest-sentence"] == (16, 10)
+
+
+def test_settled_frames_need_no_exchange_by_document(spark):
+    f = Frames.plain(spark.createDataFrame([(1, "One. Two one.")], "doc_id long, text string")).settled()
+    assert f.settled() is f
+    plan = A.echoes(f.words)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "Exchange" not in plan
+    assert A.diversity(f.words).collect()[0].unique == 2
