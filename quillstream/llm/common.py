@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import struct
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -91,46 +90,54 @@ class WordEncoder:
     """Whole-text encoding with a vocabulary that drops white space (word_bpe_49k.json), with one library call a new word.
 
     No token of such a vocabulary crosses white space, so a text's ids are those of its words in turn. Words are kept in a
-    bounded memo. A word that is Latin-1 letters with ASCII marks after them is encoded as those two pre-tokens.
+    bounded memo. A word that is Latin-1 letters with ASCII marks after them is encoded as those two pre-tokens, the letters
+    in lower case, which most words share with others.
     """
 
-    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str, dtype: str = "<u4", limit: int = 600_000) -> None:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer, self.dtype, self.limit = Tokenizer.from_file(path), dtype, limit
-        self.model, self.kind = self.tokenizer.model, {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
+        self.kind = {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.byte_level = {c: "".join(x for x, _ in level.pre_tokenize_str(chr(c))) for c in range(33, 256) if chr(c).isalpha()}
         outer = self
 
         class Memo(dict):
             def __missing__(self, word: bytes) -> bytes:
+                ids = outer.word(word)
                 if len(self) >= outer.limit:
                     self.clear()
-                self[word] = ids = outer.word(word)
+                self[word] = ids
                 return ids
 
-        self.memo, self.letters = Memo(), {}
+        self.memo, self.tokenize = Memo(), self.tokenizer.model.tokenize
+        size = np.dtype(dtype).itemsize
+        self.packed = [k.to_bytes(size, "little") for k in range(self.tokenizer.get_vocab_size())]
 
     def raw(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def word(self, word: bytes) -> bytes:
-        s = word.decode()
-        core = s.rstrip(self.MARKS)
-        plain = core.isascii()  # such letters stand for themselves in the vocabulary
-        if core.isalpha() and (plain or max(core) < "Ā"):
-            low, tail = core.lower(), s[len(core) :]
-            if (ids := self.letters.get(low)) is None:
-                if len(self.letters) >= self.limit:
-                    self.letters.clear()
-                found = [x.id for x in self.model.tokenize(low if plain else low.translate(self.byte_level))]
-                ids = self.letters[low] = struct.pack(f"<{len(found)}{self.kind}", *found)
-            return ids + self.memo[tail.encode()] if tail else ids
-        return self.raw(s)
+        core = word.rstrip(self.MARKS)
+        if core.isalpha():  # ASCII letters, which stand for themselves in the vocabulary
+            if len(core) < len(word):
+                return self.memo[core] + self.memo[word[len(core) :]]
+            if core.islower():
+                return b"".join([self.packed[x.id] for x in self.tokenize(core.decode())])
+            return self.memo[core.lower()]
+        s = core.decode()
+        if s.isalpha() and max(s) < "Ā":
+            if len(core) < len(word):
+                return self.memo[core] + self.memo[word[len(core) :]]
+            low = s.lower()
+            if low == s:
+                return b"".join([self.packed[x.id] for x in self.tokenize(low.translate(self.byte_level))])
+            return self.memo[low.encode()]
+        return self.raw(word.decode())
 
     def bytes(self, text: str) -> bytes:
         """The text's ids, as bytes of self.dtype."""

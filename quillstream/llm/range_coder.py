@@ -1,25 +1,61 @@
 """An adaptive context-mixing range coder for token ids, run over many independent blocks in lockstep.
 
 Each block is reset and coded alone: its bytes decode without any other block. Three predictions are mixed into one interval
-for each id: the id last seen after the same two ids (order 2), the one last seen after the same id (order 1), and counts of
-the ids' upper bytes (order 0). The shares of orders 2 and 1 come from hit counts under their joint confidence, mixed with
-those of each order alone in proportion to the evidence. A block learns which ids follow which after every SEGMENT ids and
-settles its shares after one, two, four, eight ... segments, so encoder and decoder see the same model and numpy can learn in
-bulk. Quotients are of integers below 2 ** 53 or in whole numbers: blocks decode alike on any machine. Lanes are blocks:
-numpy codes one id of every block at a time. Arrays of ids have a row a place and a column a lane.
+for each id: the id last seen after the same two ids (order 2), the one last seen after the same id (order 1), and the whole
+id's frequency (order 0). The shares of the three are adaptive: those of orders 2 and 1 come from hit counts under their joint
+confidence, mixed with those of each order alone in proportion to the evidence. Order 0 is a prior over whole ids, gathered
+from the blocks that are coded together and kept beside each block's bytes: the TOP most frequent ids one by one, all others by
+their upper byte. A block learns which ids follow which after every SEGMENT ids and settles its shares after one, two, four,
+eight ... segments, so encoder and decoder see the same model and numpy can learn in bulk. Quotients are of integers below
+2 ** 53 or in whole numbers: blocks decode alike on any machine. Lanes are blocks: numpy codes one id of every block at a time.
+Arrays of ids have a row a place and a column a lane.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-SEGMENT, BITS1, BITS2 = 64, 10, 11
-KIND, HIGH = 12, 11  # bits of the shares of the three predictions, and of the counts of upper bytes
-TOTAL, REST = KIND + HIGH + 8, HIGH + 8
+SEGMENT, BITS1, BITS2, TOP = 64, 10, 11, 1024
+KIND, REST = 11, 20  # bits of the shares of the three predictions, and of the frequencies of ids
+TOTAL = KIND + REST
 #: The coder's interval has 64 bits and words have 32: as TOTAL is below 32, one word an id always suffices.
 WORD, LOW = np.uint64(32), np.uint64((1 << 32) - 1)
 MIX1, MIX2 = np.uint16(40503), np.uint16(30011)
 AGREE = 1 << 16  # in a table's entry: the id, and from this bit on its confidence
+#: Counts are kept to quarters of a power of two, level 0 being none.
+LEVELS = np.array([0] + [round(2 ** (k / 4)) for k in range(200)], np.float64).astype(np.int64)
+
+
+def levels_of(counts: np.ndarray) -> np.ndarray:
+    return np.where(counts > 0, np.round(np.log2(np.maximum(counts, 1)) * 4).astype(np.int64) + 1, 0)
+
+
+def prior_of(ids: np.ndarray) -> bytes:
+    """The frequencies of ids as bytes: levels of the upper bytes of all but the top ids, then the top ids and their levels."""
+    counts = np.bincount(ids, minlength=1 << 16)
+    top = np.argsort(-counts, kind="stable")[:TOP]
+    top = np.sort(top[counts[top] > 0])
+    rest = counts.copy()
+    rest[top] = 0
+    return levels_of(rest.reshape(256, 256).sum(1)).astype(np.uint8).tobytes() + top.astype("<u2").tobytes() + levels_of(counts[top]).astype(np.uint8).tobytes()
+
+
+class Prior:
+    """Frequencies, their sums and the id of each of 2 ** REST slots. An id whose upper byte and self have no level has no slot."""
+
+    def __init__(self, data: bytes) -> None:
+        bins, n = np.frombuffer(data[:256], np.uint8), (len(data) - 256) // 3
+        top, level = np.frombuffer(data[256 : 256 + 2 * n], "<u2"), np.frombuffer(data[256 + 2 * n :], np.uint8)
+        weight = np.repeat(LEVELS[bins], 256)
+        weight[top] = LEVELS[level] << 8
+        used = np.flatnonzero(weight)
+        if not len(used):
+            weight[0], used = 1, np.array([0])
+        freq = np.zeros(1 << 16, np.int64)
+        freq[used] = 1 + weight[used] * ((1 << REST) - len(used)) // weight.sum()
+        freq[weight.argmax()] += (1 << REST) - freq.sum()
+        self.freq, self.cum = freq.astype(np.uint32), (np.cumsum(freq) - freq).astype(np.uint32)
+        self.slots = np.repeat(np.arange(1 << 16, dtype=np.uint16), freq)
 
 
 class Coder:
@@ -62,37 +98,31 @@ class Coder:
 class Model:
     """What each lane has learnt from its own block so far."""
 
-    def __init__(self, lanes: int) -> None:
-        self.lanes = lanes
+    def __init__(self, lanes: int, prior: Prior) -> None:
+        self.lanes, self.prior = lanes, prior
         lane = np.arange(lanes)
-        self.base1, self.base2, self.base_share, self.base_high, self.base_slot = (lane << b for b in (BITS1, BITS2, 5, 8, HIGH))
+        self.base1, self.base2, self.base_share = (lane << b for b in (BITS1, BITS2, 5))
         self.next1, self.next2 = np.zeros(lanes << BITS1, np.uint32), np.zeros(lanes << BITS2, np.uint32)
-        self.kinds, self.highs = np.zeros((lanes, 32, 3), np.int32), np.zeros((lanes, 256), np.int32)
-        self.news: list[tuple[np.ndarray, np.ndarray]] = []
+        self.kinds = np.zeros((lanes, 32, 3), np.int32)
+        self.news: list[np.ndarray] = []
         self.segments = 0
         self.settle()
 
     def settle(self) -> None:
-        """Turns the counts into shares (order 2, orders 2 and 1), frequencies and their sums, two packed into one number."""
-        for of_kinds, of_highs in self.news:
+        """Turns the counts into shares (order 2, orders 2 and 1), two packed into one number."""
+        for of_kinds in self.news:
             self.kinds += np.bincount(of_kinds, minlength=self.lanes * 96).reshape(self.kinds.shape).astype(np.int32)
-            self.highs += np.bincount(of_highs, minlength=self.lanes << 8).reshape(self.highs.shape).astype(np.int32)
         self.news = []
         joint = self.kinds.reshape(self.lanes, 4, 4, 2, 3)
         by2, by1 = joint.sum((2, 3)), joint.sum((1, 3))
         prior = lambda n: ((n + 1) << KIND) // (n.sum(-1, keepdims=True) + 4)
         mixed = (prior(by2)[:, :, None, None, :] * 3 + prior(by1)[:, None, :, None, :]) >> 2
         shares = ((joint << KIND) + 24 * mixed) // (joint.sum(-1, keepdims=True) + 24)
-        two = np.clip(shares[..., 0], 1, 3900)
-        one = np.clip(shares[..., 1], 1, 4064 - two)
+        most = (1 << KIND) - 32
+        two = np.clip(shares[..., 0], 1, most - 64)
+        one = np.clip(shares[..., 1], 1, most - two)
         one[..., 1] = 0  # both orders predict the same id
         self.shares = (two | ((two + one) << 16)).reshape(-1).astype(np.uint32)
-        total = self.highs.sum(1, keepdims=True, dtype=np.int32) + 64
-        freq = 1 + (self.highs + (np.arange(256, dtype=np.int32) < 64)) * np.int32((1 << HIGH) - 256) // total
-        freq[:, 0] += (1 << HIGH) - freq.sum(1, dtype=np.int32)
-        cum = np.cumsum(freq, 1, dtype=np.int32) - freq
-        self.freqs = (freq | (cum << 16)).reshape(-1).astype(np.uint32)
-        self.slots = np.repeat(np.tile(np.arange(256, dtype=np.uint8), self.lanes), freq.reshape(-1))
 
     def look(self, n: int, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
         """(order-1 slot, its entry, its id, order-2 slot, its entry, its id, index of the shares) of the first n lanes."""
@@ -108,8 +138,7 @@ class Model:
         """Learns a segment's ids from what look() gave for them. Lanes that end in the segment may learn anything."""
         s1, e1, id1, s2, e2, id2, at = found
         hit2, hit1 = id2 == ids, id1 == ids
-        missed = ~(hit1 | hit2)
-        self.news.append(((at * 3 + np.where(hit2, 0, 1 + missed)).reshape(-1), (self.base_high[:n] + (ids >> np.uint16(8)))[missed]))
+        self.news.append((at * 3 + np.where(hit2, 0, 2 - hit1)).reshape(-1))
         top, more = np.uint32(3 * AGREE), np.uint32(AGREE)
         grown = lambda e, hit: ids + np.where(hit, np.minimum((e & ~np.uint32(AGREE - 1)) + more, top), np.uint32(0))
         self.next1[s1], self.next2[s2] = grown(e1, hit1), grown(e2, hit2)  # the last of equal slots stays
@@ -118,14 +147,14 @@ class Model:
             self.settle()
 
 
-def _intervals(model: Model, n: int, ids: np.ndarray, found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+def _intervals(model: Model, ids: np.ndarray, found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
     """(low, freq) of known ids, of a total of 2 ** TOTAL."""
     _, _, id1, _, _, id2, at = found
-    share, fc = model.shares.take(at), model.freqs.take(model.base_high[:n] + (ids >> np.uint16(8)))
-    two, both, f, c = share & np.uint32(0xFFFF), share >> np.uint32(16), fc & np.uint32(0xFFFF), fc >> np.uint32(16)
+    share = model.shares.take(at)
+    two, both = share & np.uint32(0xFFFF), share >> np.uint32(16)
     hit2, hit1, rest = id2 == ids, id1 == ids, np.uint32(1 << KIND) - both
-    low = np.where(hit1, two << np.uint32(REST), (both << np.uint32(REST)) + rest * ((c << np.uint32(8)) + (ids & np.uint16(255)) * f))
-    freq = np.where(hit1, (both - two) << np.uint32(REST), rest * f)
+    low = np.where(hit1, two << np.uint32(REST), (both << np.uint32(REST)) + rest * model.prior.cum.take(ids))
+    freq = np.where(hit1, (both - two) << np.uint32(REST), rest * model.prior.freq.take(ids))
     return np.where(hit2, np.uint32(0), low), np.where(hit2, two << np.uint32(REST), freq)
 
 
@@ -138,18 +167,15 @@ def _read(model: Model, coder: Coder, n: int, step: np.ndarray, found: tuple[np.
     rest = np.uint32(1 << KIND) - (both >> np.uint32(REST))
     in2, in1 = x < two, x < both
     y = (np.where(in1, np.uint32(0), x - both) / rest).astype(np.int64)
-    high = model.slots.take(model.base_slot[:n] + (y >> 8))
-    fc = model.freqs.take(model.base_high[:n] + high)
-    f, c = fc & np.uint32(0xFFFF), (fc >> np.uint32(16)) << np.uint32(8)
-    byte = ((y - c) / f).astype(np.uint32)
-    ids = np.where(in2, id2, np.where(in1, id1, ((high.astype(np.uint32) << np.uint32(8)) + byte).astype(np.uint16)))
-    low = np.where(in2, np.uint32(0), np.where(in1, two, both + rest * (c + byte * f)))
-    return ids, low, np.where(in2, two, np.where(in1, both - two, rest * f))
+    ids = model.prior.slots.take(y, mode="clip")
+    low = np.where(in2, np.uint32(0), np.where(in1, two, both + rest * model.prior.cum.take(ids)))
+    freq = np.where(in2, two, np.where(in1, both - two, rest * model.prior.freq.take(ids)))
+    return np.where(in2, id2, np.where(in1, id1, ids)), low, freq
 
 
-def _run(lengths: np.ndarray, coder: Coder, ids: np.ndarray) -> None:
+def _run(lengths: np.ndarray, coder: Coder, ids: np.ndarray, prior: Prior) -> None:
     """Codes the columns of ids, or decodes into them. Lengths fall from lane to lane; ids has two rows of zeros before all."""
-    model, most = Model(len(lengths)), int(lengths[0])
+    model, most = Model(len(lengths), prior), int(lengths[0])
     looked: list[np.ndarray] = []  # what each step of a segment that is read looked up, to learn from
     for t in range(0, most, SEGMENT):
         end = min(t + SEGMENT, most)
@@ -158,7 +184,7 @@ def _run(lengths: np.ndarray, coder: Coder, ids: np.ndarray) -> None:
         if coder.code is None:
             own = ids[t + 2 : end + 2, :m]
             found = model.look(m, ids[t + 1 : end + 1, :m], ids[t:end, :m])
-            low, freq = _intervals(model, m, own, found)
+            low, freq = _intervals(model, own, found)
             for k, n in enumerate(active):
                 coder.narrow(n, low[k, :n], freq[k, :n], coder.range[:n] >> np.uint64(TOTAL))
         else:
@@ -177,25 +203,29 @@ def _run(lengths: np.ndarray, coder: Coder, ids: np.ndarray) -> None:
             model.learn(m, ids[t + 2 : end + 2, :m], found)
 
 
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """The bytes of each block of ids below 65,536."""
+def encode_blocks(blocks: list[np.ndarray]) -> tuple[list[bytes], bytes]:
+    """The bytes of each block of ids below 65,536, and the prior that they share."""
     if not blocks or not max(map(len, blocks)):
-        return [b""] * len(blocks)
+        return [b""] * len(blocks), b""
+    if max(int(b.max(initial=0)) for b in blocks) >> 16:
+        raise ValueError("ids must be below 65,536")
     order = np.argsort([-len(b) for b in blocks], kind="stable")
     lengths = np.array([len(blocks[i]) for i in order], np.int64)
     ids = np.zeros((len(blocks), int(lengths[0]) + 2), np.uint16)
     for k, i in enumerate(order):
         ids[k, 2 : lengths[k] + 2] = blocks[i]
+    prior = prior_of(np.concatenate(blocks))
     coder = Coder(len(blocks), int(lengths[0]) + 2)
-    _run(lengths, coder, np.ascontiguousarray(ids.T))
+    _run(lengths, coder, np.ascontiguousarray(ids.T), Prior(prior))
     coder.flush()
     out = [b""] * len(blocks)
     for k, i in enumerate(order):
         out[i] = coder.data[k, : coder.at[k] - coder.begin[k]].astype("<u4").tobytes()
-    return out
+    return out, prior
 
 
-def decode_blocks(payloads: list[bytes], lengths: list[int]) -> list[np.ndarray]:
+def decode_blocks(payloads: list[bytes], lengths: list[int], prior: bytes) -> list[np.ndarray]:
+    """The ids of blocks that have one prior; any of them, in any order, decode alike."""
     if not payloads or not max(lengths):
         return [np.empty(0, np.uint16)] * len(payloads)
     order = np.argsort([-n for n in lengths], kind="stable")
@@ -204,7 +234,7 @@ def decode_blocks(payloads: list[bytes], lengths: list[int]) -> list[np.ndarray]
         data[k, : len(payloads[i]) // 4] = np.frombuffer(payloads[i], "<u4")
     sizes = np.array([lengths[i] for i in order], np.int64)
     ids = np.zeros((int(sizes[0]) + 2, len(payloads)), np.uint16)
-    _run(sizes, Coder(len(payloads), 0, data), ids)
+    _run(sizes, Coder(len(payloads), 0, data), ids, Prior(prior))
     ids = np.ascontiguousarray(ids.T)
     out: list[np.ndarray] = [np.empty(0, np.uint16)] * len(payloads)
     for k, i in enumerate(order):

@@ -1,8 +1,10 @@
 """Token-id output: whole documents as ids in Parquet files of range-coded, checksummed blocks, and their reader.
 
 The file format: one row a block, in ascending order of documents: part and block number, first id's place in the part,
-number of ids, the CRC-32 of the payload, the payload (see range_coder), and the pieces of documents that the block holds
-(doc_id, the piece's place in its document, its length, the ids of its document). Blocks decode independently.
+number of ids, a CRC-32, the payload and the prior (see range_coder), and the pieces of documents that the block holds
+(doc_id, the piece's place in its document, its length, the ids of its document). Each row decodes by itself; rows coded
+together have equal priors, which Parquet's dictionaries keep once. The CRC-32 is over the ids as little-endian unsigned
+32-bit integers, then the pieces, so damage to any of them or to what they are decoded from shows.
 """
 
 from __future__ import annotations
@@ -20,8 +22,14 @@ from .range_coder import decode_blocks, encode_blocks
 
 END, BLOCK, LANES = 1, 2048, 2048
 PIECE = pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64())])
-FILE = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("first", pa.int64()), ("n_ids", pa.int64()), ("crc32", pa.int64()), ("payload", pa.binary()), ("pieces", pa.list_(PIECE))])
-FILE_DDL = "part int, block long, first long, n_ids long, crc32 long, payload binary, pieces array<struct<doc_id:bigint,start:bigint,length:bigint,doc_tokens:bigint>>"
+FILE = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("first", pa.int64()), ("n_ids", pa.int64()), ("crc32", pa.int64()), ("payload", pa.binary()), ("prior", pa.binary()), ("pieces", pa.list_(PIECE))])
+FILE_DDL = "part int, block long, first long, n_ids long, crc32 long, payload binary, prior binary, pieces array<struct<doc_id:bigint,start:bigint,length:bigint,doc_tokens:bigint>>"
+
+
+def checksum(ids: np.ndarray, pieces: list[dict]) -> int:
+    """CRC-32 of a block's ids and then of its pieces, each four 64-bit integers (a null doc_id as the least)."""
+    marks = np.array([(-(2**63) if p["doc_id"] is None else p["doc_id"], p["start"], p["length"], p["doc_tokens"]) for p in pieces], "<i8")
+    return zlib.crc32(marks.tobytes(), zlib.crc32(ids.astype("<u4").tobytes()))
 
 
 class _Part:
@@ -53,8 +61,10 @@ class _Part:
             self.ids, self.pieces, self.room = [], [], BLOCK
 
     def coded(self) -> pa.RecordBatch:
-        payloads = encode_blocks([b[2] for b in self.blocks])
-        rows = [{"part": self.part, "block": k, "first": first, "n_ids": len(ids), "crc32": zlib.crc32(x), "payload": x, "pieces": pieces} for (k, first, ids, pieces), x in zip(self.blocks, payloads, strict=True)]
+        payloads, prior = encode_blocks([b[2] for b in self.blocks])
+        rows = []
+        for (k, first, ids, pieces), x in zip(self.blocks, payloads, strict=True):
+            rows.append({"part": self.part, "block": k, "first": first, "n_ids": len(ids), "crc32": checksum(ids, pieces), "payload": x, "prior": prior, "pieces": pieces})
         self.blocks = []
         return pa.RecordBatch.from_pylist(rows, FILE)
 
@@ -83,6 +93,11 @@ def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
+    """Writes encode()'s rows to path, over what is there.
+
+    Null and empty texts have the end id alone; null ids come first; repeated rows are written each; extra columns are ignored;
+    an empty table gives files without rows. A very long text goes on over as many blocks as it needs.
+    """
     encode(docs, tokenizer).write.mode("overwrite").parquet(path)
 
 
@@ -113,7 +128,7 @@ def crcs_before(crcs: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
 def read_pieces(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, part, at, start, length, doc_tokens, ids, crc) of each piece, decoded; `at` is its place in the part.
 
-    A payload whose checksum differs, or that doesn't decode, fails the read. `crc` of a document's pieces combine by
+    A block whose checksum differs, or that doesn't decode, fails the read. `crc` of a document's pieces combine by
     exclusive or into the CRC-32 of its ids as little-endian unsigned 32-bit integers. ids are those 16-bit ids as bytes.
     """
     names = ["doc_id", "part", "at", "start", "length", "doc_tokens", "ids", "crc"]
@@ -122,11 +137,17 @@ def read_pieces(spark: SparkSession, path: str) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, LANES):
                 rows = whole.slice(at, LANES).to_pylist()
-                for r in rows:
-                    if zlib.crc32(r["payload"]) != r["crc32"]:
-                        raise ValueError(f"block {r['block']} of part {r['part']} is damaged")
+                by_prior: dict[bytes, list[int]] = {}
+                for k, r in enumerate(rows):
+                    by_prior.setdefault(r["prior"], []).append(k)
+                decoded = [np.empty(0, np.uint16)] * len(rows)
+                for prior, of in by_prior.items():
+                    for k, ids in zip(of, decode_blocks([rows[k]["payload"] for k in of], [rows[k]["n_ids"] for k in of], prior), strict=True):
+                        decoded[k] = ids
                 out = []
-                for r, ids in zip(rows, decode_blocks([r["payload"] for r in rows], [r["n_ids"] for r in rows]), strict=True):
+                for r, ids in zip(rows, decoded, strict=True):
+                    if checksum(ids, r["pieces"]) != r["crc32"]:
+                        raise ValueError(f"block {r['block']} of part {r['part']} is damaged")
                     offset = 0
                     for p in r["pieces"]:
                         cut = ids[offset : offset + p["length"]]
@@ -145,7 +166,7 @@ def read_pieces(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document in the files."""
+    """(doc_id, start, n_tokens, ids_crc32) of each document in the files, a row for each row that was written."""
     files = spark.read.schema(FILE_DDL).parquet(path)
     sizes = files.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()  # one row a part
     offsets, total = [], 0

@@ -37,12 +37,28 @@ def test_word_encoder():
 
 
 def test_range_coder_round_trip():
-    blocks = [RNG.integers(0, top, n).astype(np.uint16) for top, n in ((3, 700), (49408, 65), (65536, 1), (2, 0), (400, 300))]
-    coded = encode_blocks(blocks)
-    for a, b in zip(blocks, decode_blocks(coded, [len(b) for b in blocks]), strict=True):
+    blocks = [RNG.integers(0, top, n).astype(np.uint16) for top, n in ((3, 700), (49408, 65), (65536, 1), (2, 0), (400, 300), (65536, 5000))]
+    coded, prior = encode_blocks(blocks)
+    for a, b in zip(blocks, decode_blocks(coded, [len(b) for b in blocks], prior), strict=True):
         assert (a == b).all() and len(a) == len(b)
-    assert encode_blocks([]) == []
-    assert encode_blocks([blocks[0]]) == [coded[0]]  # a block doesn't depend on the others
+    for k, a in enumerate(blocks):  # each decodes alone
+        assert (decode_blocks([coded[k]], [len(a)], prior)[0] == a).all()
+    assert encode_blocks([]) == ([], b"")
+    skewed = [RNG.choice(5000, 2048, p=(w := 1 / np.arange(1, 5001)) / w.sum()).astype(np.uint16) for _ in range(8)]
+    coded, prior = encode_blocks(skewed)
+    p = np.bincount(np.concatenate(skewed)) / (8 * 2048)
+    assert sum(map(len, coded)) < 1.06 * 2048 * -(p[p > 0] * np.log2(p[p > 0])).sum()
+    with pytest.raises(ValueError, match="below"):
+        encode_blocks([np.array([70_000], np.int64)])
+
+
+def test_damage_shows(spark, docs, tmp_path):
+    files = token_output.encode(docs)
+    for column, value in (("payload", F.overlay("payload", F.lit(b"\x05\x05"), F.lit(3))), ("pieces", F.transform("pieces", lambda p: p.withField("doc_id", p["doc_id"] + 1)))):
+        path = str(tmp_path / column)
+        files.withColumn(column, value).write.parquet(path)
+        with pytest.raises(Exception, match="damaged"):
+            token_output.read_digests(spark, path).collect()
 
 
 def test_token_output(spark, docs, tmp_path):
