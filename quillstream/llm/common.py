@@ -96,7 +96,7 @@ class WordEncoder:
 
     MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
-    def __init__(self, path: str, dtype: str = "<u4", limit: int = 600_000) -> None:
+    def __init__(self, path: str, dtype: str = "<u4", limit: int = 300_000) -> None:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -107,9 +107,16 @@ class WordEncoder:
         outer = self
 
         class Memo(dict):
+            """Two generations: a full one becomes the old one, from which words still in use come back."""
+
+            old: dict[bytes, bytes] = {}
+
             def __missing__(self, word: bytes) -> bytes:
-                ids = outer.word(word)
+                ids = self.old.pop(word, None)
+                if ids is None:
+                    ids = outer.word(word)
                 if len(self) >= outer.limit:
+                    self.old = dict(self)
                     self.clear()
                 self[word] = ids
                 return ids
@@ -144,6 +151,19 @@ class WordEncoder:
         return b"".join(map(self.memo.__getitem__, text.encode().split()))
 
 
+def windows_of(text: str, most: int = BATCH_CHARS) -> Iterator[str]:
+    """Windows of a text, each ending before ASCII white space; one is longer than `most` only where no white space is."""
+    at = 0
+    while len(text) - at > most:
+        end = max(text.rfind(chr(c), at + 1, at + most) for c in SPACES)
+        if end < 0:
+            end = min((k for c in SPACES if (k := text.find(chr(c), at + most)) >= 0), default=len(text))
+        yield text[at:end]
+        at = end
+    if at < len(text) or not text:
+        yield text[at:]
+
+
 _encoders: dict[tuple, WordEncoder] = {}
 
 
