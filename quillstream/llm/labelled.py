@@ -15,18 +15,32 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(True))
 
 
+#: Windows that stand for a text too long for the sample.
+WINDOWS = 4
+
+
+def shortened(text: Column, most: int) -> Column:
+    """The text, or of one longer than `most` characters WINDOWS even-spaced windows of it, together that long."""
+    size = most // WINDOWS
+    step = F.floor((F.length(text) - size) / (WINDOWS - 1))
+    cut = [F.substring(text, F.lit(1) + (step * k).cast("int"), F.lit(size)) for k in range(WINDOWS)]
+    return F.when(F.length(text) <= most, text).otherwise(F.concat_ws(" ", *cut))
+
+
 def sample(docs: DataFrame, labels: DataFrame, column: str, per_class: dict[int, int], max_chars: int) -> list[tuple[int, str]]:
-    """(label, text) of at most per_class[label] documents a label, chosen by the hash of their ids.
+    """(label, text) of at most per_class[label] documents a label, chosen by the hash of their ids among those with a row.
 
-    Held-out rows, null labels and texts of over `max_chars` characters are left out. An id with several labels counts as
-    the largest of them. The result is bounded by per_class and max_chars alone, whatever the input's size.
+    Held-out rows and null labels are left out; of a long text only windows are taken (see shortened). An id with several
+    labels counts as the largest of them; of several rows with one id the one with the least text counts. The result is
+    bounded by per_class and max_chars alone, whatever the input's size.
     """
     known = labels.filter(F.col(column).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(column).alias("label"))
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
     picked = None
     for label, n in sorted(per_class.items()):
         part = known.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         picked = part if picked is None else picked.unionByName(part)
     picked = picked.select(F.col("doc_id").alias("of"), "label")
-    short = with_text(docs).filter(F.length("text") <= max_chars)
-    rows = short.join(F.broadcast(picked), F.col("doc_id") == F.col("of")).select("label", "text", "doc_id")  # at most sum(per_class) ids
-    return [(int(r[0]), r[1]) for r in sorted(rows.collect(), key=lambda r: (r[2], r[1]))]
+    texts = with_text(docs).join(F.broadcast(picked), F.col("doc_id") == F.col("of"))  # at most sum(per_class) ids
+    rows = texts.groupBy("doc_id", "label").agg(F.min(shortened(F.col("text"), max_chars)).alias("text")).collect()
+    return [(int(r["label"]), r["text"]) for r in sorted(rows, key=lambda r: r["doc_id"])]

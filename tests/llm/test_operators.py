@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillstream.llm import byte_cnn, edit_embedding, mixing, packing, quality_rules, simhash, token_counts, token_output, toxicity, url_filter
-from quillstream.llm.common import WordEncoder, word_bpe
+from quillstream.llm import byte_cnn, edit_embedding, labelled, mixing, packing, quality_rules, simhash, token_counts, token_output, toxicity, url_filter
+from quillstream.llm.common import WordEncoder, windows_of, word_bpe
 from quillstream.llm.range_coder import decode_blocks, encode_blocks
 
 RNG = np.random.default_rng(1)
@@ -206,19 +206,124 @@ def test_url_templates_small_and_deep_sections(spark):
     assert url_filter.judge(pages, labels).filter((F.col("verdict") == "block") != F.col("path").contains("spam")).count() == 0
 
 
+def brute_templates(rows, support, z):
+    """(template, purity) of each (host, segments, bad), the tree grown recursively in plain Python."""
+
+    def differ(b1, m1, b2, m2):
+        rate = (b1 + b2 + 0.5) / (m1 + m2 + 1)
+        return abs(b1 / m1 - b2 / m2) > z * (rate * (1 - rate) * (1 / m1 + 1 / m2)) ** 0.5
+
+    out = {}
+
+    def grow(members, name, depth, deepest):
+        here = {}
+        for k in members:
+            if len(rows[k][1]) <= depth:
+                out[k] = name
+            elif depth == deepest:
+                out[k] = name + "/**"
+            else:
+                here.setdefault(rows[k][1][depth], []).append(k)
+        stats = {s: ([rows[k][2] for k in ks if rows[k][2] is not None], len(ks)) for s, ks in here.items()}
+        all_b, all_m = sum(sum(x) for x, _ in stats.values()), sum(len(x) for x, _ in stats.values())
+        kept = [s for s, (x, n) in stats.items() if n >= support and x and all_m > len(x) and differ(sum(x), len(x), all_b - sum(x), all_m - len(x))]
+        kept.sort(key=lambda s: (sum(stats[s][0]) / len(stats[s][0]), s))
+        runs = []
+        for s in kept:
+            last = stats[runs[-1][-1]][0] if runs else None
+            if last is None or differ(sum(stats[s][0]), len(stats[s][0]), sum(last), len(last)):
+                runs.append([])
+            runs[-1].append(s)
+        for run in runs:
+            label = run[0] if len(run) == 1 else "{" + min(run) + f",+{len(run) - 1}}}"
+            grow([k for s in run for k in here.pop(s)], f"{name}/{label}", depth + 1, deepest)
+        if here:
+            grow([k for ks in here.values() for k in ks], f"{name}/*", depth + 1, deepest)
+
+    deepest = 0
+    while sum(len(r[1]) > deepest for r in rows) >= support:
+        deepest += 1
+    for host in {r[0] for r in rows}:
+        grow([k for k, r in enumerate(rows) if r[0] == host], host, 0, deepest)
+    return [out[k] for k in range(len(rows))]
+
+
+def test_url_tree_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(3000):
+        host = f"h{rng.integers(3)}.org"
+        segments = [["a", "b", "c", "d", "e"][rng.integers(5)], ["x", "y", "z"][rng.integers(3)], f"p{rng.integers(400)}", "deep"][: rng.integers(0, 5)]
+        rate = {"a": 0.9, "b": 0.85, "c": 0.5, "d": 0.1, "e": 0.15}.get(segments[0] if segments else "c") * (0.3 if segments[1:2] == ["z"] else 1)
+        rows.append((host, segments, int(rng.random() < rate) if rng.random() < 0.6 else None))
+    pages = spark.createDataFrame([(k, f"http://{h}/" + "/".join(s)) for k, (h, s, _) in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(k, b) for k, (*_, b) in enumerate(rows) if b is not None], "page_id long, bad int")
+    found = {r.page_id: r for r in url_filter.judge(pages, labels).collect()}
+    expected = brute_templates(rows, url_filter.SUPPORT, url_filter.Z)
+    assert [found[k].template for k in range(len(rows))] == expected
+    assert any("{" in t for t in expected) and len(set(expected)) > 3 * len({r[0] for r in rows})
+    # purities: shares of bad labels shrunk to the host's, the weight from the spread of templates
+    total = [b for *_, b in rows if b is not None]
+    overall = (sum(total) + 1) / (len(total) + 2)
+    of = {t: [b for (*_, b), x in zip(rows, expected, strict=True) if x == t and b is not None] for t in set(expected)}
+    host_of = {t: t.split("/")[0] for t in of}
+    host = {h: (sum(sum(x) for t, x in of.items() if host_of[t] == h) + 8 * overall) / (sum(len(x) for t, x in of.items() if host_of[t] == h) + 8) for h in set(host_of.values())}
+    seen = one = two = 0.0
+    for t, x in of.items():
+        if len(x) > 1:
+            r, m = host[host_of[t]], len(x)
+            seen, one, two = seen + (sum(x) - m * r) ** 2, one + m * r * (1 - r), two + m * (m - 1) * r * (1 - r)
+    smooth = min(max(two / (seen - one) - 1, 1), 1000)
+    for k, t in enumerate(expected):
+        purity = (sum(of[t]) + smooth * host[host_of[t]]) / (len(of[t]) + smooth)
+        assert abs(found[k].purity - purity) < 1e-5
+        assert found[k].rule is not None or found[k].verdict == ("block" if purity > 0.5 else "allow")
+    assert {r.verdict for r in found.values()} == {"allow", "block"}
+    assert url_filter.judge(pages.limit(0), labels).count() == 0
+
+
 def test_classifiers(spark):
-    good = [" ".join(RNG.choice(VOCAB, 40)) for _ in range(300)]
-    rows = [(i, t.upper() + " ###" if i % 3 == 0 else t + (" wretched wretched fool" if i % 3 == 1 else "")) for i, t in enumerate(good)]
-    docs = spark.createDataFrame([*rows, (1000, None)], "doc_id long, text string")
+    """Also a toxic text with one rare expression alone is found; a long text is judged in windows; repeated rows are alike."""
+    good = [" ".join(RNG.choice(VOCAB, 40)) for _ in range(600)]
+    rude = {1: " wretched", 4: " wretched wretched fool"}
+    rows = [(i, t.upper() + " ###" if i % 3 == 0 else t + rude.get(i % 6, "")) for i, t in enumerate(good)]
+    docs = spark.createDataFrame([*rows, (1000, None), (1, rows[1][1]), (1001, " ".join(good[:60] * 4) + " wretched")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 3 != 0), int(i % 3 == 1)) for i, _ in rows], "doc_id long, quality int, toxic int")
     for module, column in ((byte_cnn, "quality"), (toxicity, "toxic")):
-        out = module.score(docs, module.fit(docs, labels))
-        assert out.count() == 301 and out.filter("score < 0 or score > 1").count() == 0
+        model = module.fit(docs, labels)
+        out = module.score(docs, model).cache()
+        assert out.count() == 603 and out.filter("score < 0 or score > 1").count() == 0
         held = out.join(labels, "doc_id").filter("held_out")
         assert held.filter(F.col("predicted") == F.col(column)).count() >= 0.9 * held.count()
+        assert len({r.score for r in out.filter("doc_id = 1").collect()}) == 1
+        if module is toxicity:
+            single = held.filter("doc_id % 6 = 1")
+            assert single.filter("predicted = 1").count() >= 0.9 * single.count()
         assert module.score(docs.limit(0), module.fit(docs, labels.limit(0))).count() == 0
 
 
+def test_sample_takes_windows_of_long_texts(spark):
+    text = "".join(chr(97 + k % 26) for k in range(1000))
+    docs = spark.createDataFrame([(i, text if i % 2 else "short", None if i == 7 else "s") for i in range(40)], "doc_id long, text string, label string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    rows = labelled.sample(docs, labels, "toxic", {0: 5, 1: 5}, 400)
+    assert [y for y, _ in rows].count(1) == 5 and len(rows) == 10  # ids without a document leave no gap
+    assert {t for y, t in rows if y} == {" ".join(text[k * 300 : k * 300 + 100] for k in range(4))}
+
+
+def test_toxicity_tables_and_windows():
+    keys = RNG.integers(0, 2**63, 5000).astype(np.uint64)
+    table = toxicity.Table(keys, np.arange(5000))
+    value, found = table.get(keys)
+    assert found.all() and (value == np.arange(5000)).mean() > 0.999
+    assert table.get(RNG.integers(0, 2**63, 20000).astype(np.uint64))[1].mean() < 0.001
+    text = " ".join(RNG.choice(VOCAB, 5000))
+    for most in (10, 1000, 10**6):
+        parts = list(windows_of(text, most))
+        assert "".join(parts) == text and all(len(p) <= max(most, 8) for p in parts)
+    assert list(windows_of("x" * 50, 10)) == ["x" * 50] and list(windows_of("", 10)) == [""]
+
+
 def test_edit_fingerprints(docs):
     some = docs.filter("doc_id <> 7")
     found = {r.doc_id: r for r in edit_embedding.fingerprint_edits(some).collect()}
