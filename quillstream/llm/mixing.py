@@ -37,16 +37,18 @@ def target_means(docs: DataFrame, weights: DataFrame | None = None, repetition:
     return out.withColumn("cdf", F.expr(f"aggregate(sequence(1, {TERMS}), {start}, {step}, a -> a.cdf)"))
 
 
-def mix_sources(docs: DataFrame, weights: DataFrame | None = None, seed: int = 7, repetition: float = 1.0, power: float = 0.5) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: DataFrame | None = None, seed: int = 7, repetition: float = 1.0, power: float = 0.5, copy: str = "copy", key: str = "mix_key") -> DataFrame:
     """Each document as often as a hash-seeded Poisson draw says, with `copy` (from 1) and `mix_key`, dealt at random.
 
     The draw inverts the distribution at a uniform number hashed from seed and doc_id: rerun tasks repeat it, and repeated
     rows are repeated alike. Rows go to partitions by the hash of `mix_key` and are sorted by it there, so partitions read
-    in turn are one global shuffle. Null ids hash as 'null', null sources are a source, an empty table stays empty. Columns
-    named copy or mix_key, and names the operator uses inside (__*), are replaced.
+    in turn are one global shuffle. Null ids hash as 'null', null sources are a source, an empty table stays empty. The two
+    columns are named by `copy` and `key`; columns of the caller with these names are an error, as they would be lost. Names
+    that the operator uses inside (__*) are replaced.
     """
     spark = docs.sparkSession
-    docs = docs.drop("copy", "mix_key")
+    if taken := {copy, key} & set(docs.columns):
+        raise ValueError(f"columns {sorted(taken)} are taken; name others")
     means = target_means(docs, weights, repetition, power).select(F.col("source").alias("__source"), F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))
     if means.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:  # else Catalyst joins by shuffling, and splits hot sources
         means = F.broadcast(means)
@@ -54,7 +56,7 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, seed: int = 7
     u = lambda k: uniform(F.lit(seed), F.col("doc_id"), k)
     draws = F.transform(F.sequence(F.lit(1), F.col("__parts")), u)  # hashed once a part, not once a term
     drawn = F.aggregate(draws, F.lit(0), lambda a, x: a + F.size(F.filter("__cdf", lambda c: c <= x)))
-    out = out.withColumn("__n", drawn).filter("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"mix{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy"))), 1, 13), 16, 10).cast("long")
-    out = out.withColumn("mix_key", key).drop("__source", "__parts", "__cdf", "__n")
-    return out.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "mix_key").sortWithinPartitions("mix_key", "doc_id", "copy")
+    out = out.withColumn("__n", drawn).filter("__n > 0").withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    mixed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"mix{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("__nth"))), 1, 13), 16, 10).cast("long")
+    out = out.withColumn(key, mixed).withColumn(copy, F.col("__nth")).drop("__source", "__parts", "__cdf", "__n", "__nth")
+    return out.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key, "doc_id", copy)
