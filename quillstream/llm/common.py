@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,25 +9,31 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import checkpoint_folder
+
 SPACES = b" \t\n\x0b\x0c\r"
 #: Texts handed to numpy at once; a longer text is handed over alone.
 BATCH_CHARS = 4_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillstream-"))
-        root = spark.sparkContext.getCheckpointDir()
-    return root.rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, it is an error but in a local session."""
+    return checkpoint_folder(spark).rstrip("/")
+
+
+def discard_at_exit(spark: SparkSession, path: str) -> None:
+    """Has Hadoop delete an intermediate folder when the driver's JVM ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back, which cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/quillstream-{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/quillstream-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    discard_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -96,7 +101,7 @@ class WordEncoder:
 
     MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
-    def __init__(self, path: str, dtype: str = "<u4", limit: int = 300_000) -> None:
+    def __init__(self, path: str, dtype: str = "<u4", limit: int = 600_000) -> None:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 

@@ -14,13 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, partitions, with_text
 from .components import connected_components
 
-SEED, LEAF, BLOCK, MAX_DEPTH, SAMPLE = 42, 1024, 8192, 14, 20_000
+#: Leaves hold about LEAF fingerprints up to LEAF << MAX_DEPTH of them. SAMPLE: fingerprints at least that trees are built from.
+SEED, LEAF, BLOCK, MAX_DEPTH, SAMPLE = 42, 1024, 8192, 17, 20_000
 SKETCH = 64
 #: Members and shingles of one block of a group whose texts are compared exactly; a task takes two blocks at most.
 EXACT_ROWS, EXACT_SHINGLES = 2048, 4_000_000
@@ -85,17 +86,22 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     return with_text(docs).mapInArrow(run, "doc_id long, fp long")
 
 
+def text_key() -> Column:
+    """A hash of column text, null as empty."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def shingle_sets(docs: DataFrame, width: int, whole: bool = False) -> DataFrame:
-    """(doc_id, id, size, fp, sketch) of each text's set of shingles, repeats counted once; equal sets have equal ids.
+    """(doc_id, key, id, size, fp, sketch) of each text's set of shingles, repeats counted once; equal sets have equal ids.
 
-    With `whole`, (doc_id, id, size, sketch, grams) instead, grams being the set's sorted hashes.
+    key is the text's hash. With `whole`, (doc_id, key, id, size, sketch, grams) instead, grams being the set's sorted hashes.
     """
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sizes, fps, sketches, grams = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 h = np.unique(shingle_hashes(text, width))
                 raw = h.tobytes()
                 ids.append(xxhash.xxh3_64_intdigest(raw))
@@ -105,13 +111,14 @@ def shingle_sets(docs: DataFrame, width: int, whole: bool = False) -> DataFrame:
                     grams.append(raw)
                 else:
                     fps.append(majority_bits(h))
-            out = [batch.column(0), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int64())]
+            out = [batch.column(0), batch.column(1), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int64())]
             if whole:
-                yield pa.RecordBatch.from_arrays([*out, pa.array(sketches, pa.binary()), pa.array(grams, pa.binary())], ["doc_id", "id", "size", "sketch", "grams"])
+                yield pa.RecordBatch.from_arrays([*out, pa.array(sketches, pa.binary()), pa.array(grams, pa.binary())], ["doc_id", "key", "id", "size", "sketch", "grams"])
             else:
-                yield pa.RecordBatch.from_arrays([*out, pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sketches, pa.binary())], ["doc_id", "id", "size", "fp", "sketch"])
+                yield pa.RecordBatch.from_arrays([*out, pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sketches, pa.binary())], ["doc_id", "key", "id", "size", "fp", "sketch"])
 
-    return with_text(docs).mapInArrow(run, "doc_id long, id long, size long, " + ("sketch binary, grams binary" if whole else "fp long, sketch binary"))
+    keyed = with_text(docs).select("doc_id", text_key().alias("key"), "text")
+    return keyed.mapInArrow(run, "doc_id long, key long, id long, size long, " + ("sketch binary, grams binary" if whole else "fp long, sketch binary"))
 
 
 class Forest:
@@ -192,8 +199,9 @@ def near_links(nodes: DataFrame, groups: list[int], reach: int, radius: int, ali
     spark = nodes.sparkSession
     wide = "sketch" in nodes.columns
     n = nodes.count()
-    sample = np.array([r[0] for r in nodes.select("fp").distinct().orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
     depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(1, n) / LEAF))))
+    some = max(SAMPLE, 4 << depth)  # a few for each leaf, 4 << MAX_DEPTH at most
+    sample = np.array([r[0] for r in nodes.select("fp").distinct().orderBy(F.xxhash64("fp")).limit(some).collect()], np.int64).view(np.uint64)
     forest = spark.sparkContext.broadcast(Forest(sample, groups, depth, reach))  # at most 2 ** MAX_DEPTH nodes a tree
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,15 +239,17 @@ def near_links(nodes: DataFrame, groups: list[int], reach: int, radius: int, ali
 def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4, trees: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id): exact components of fingerprints within `radius` bits.
 
-    Null and empty texts have fingerprint zero, linked like any other. A row whose doc_id is null gets a null component
-    unless its fingerprint's component has an id. Repeated rows stay; extra columns are ignored; empty in, empty out.
+    Null and empty texts have fingerprint zero, linked like any other. A row whose doc_id is null links as well; a component
+    without any doc_id has a null component_id. Repeated rows stay; extra columns are ignored; empty in, empty out.
     """
     fps = materialise(fingerprints(docs, width), "simhash")
-    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-nodes")
-    links = near_links(nodes.filter("id is not null"), disjoint_groups(trees), radius // trees, radius)
+    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes").withColumn("id", F.col("fp"))
+    links = near_links(nodes, disjoint_groups(trees), radius // trees, radius)
     stars = connected_components(links).select(F.col("id").alias("at"), "component")
-    named = nodes.join(stars, F.col("id") == F.col("at"), "left").select(F.col("fp").alias("of"), F.coalesce("component", "id").alias("component_id"))
-    out = fps.join(named, F.col("fp") == F.col("of"))
+    named = materialise(nodes.join(stars, F.col("id") == F.col("at"), "left").select("fp", "least", F.coalesce("component", "id").alias("component")), "simhash-named")
+    least = named.groupBy(F.col("component").alias("of")).agg(F.min("least").alias("component_id"))
+    named = named.join(least, F.col("component") == F.col("of")).select(F.col("fp").alias("own"), "component_id")
+    out = fps.join(named, F.col("fp") == F.col("own"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -274,7 +284,7 @@ def alike_links(grams: list[np.ndarray], sketches: np.ndarray, similarity: float
 
 
 def exact_links(docs: DataFrame, loose: DataFrame, width: int, similarity: float, alike: int) -> DataFrame:
-    """Links (a, b) of Jaccard likeness `similarity` or more within each group of loose (id, doc_id, size, component).
+    """Links (a, b) of Jaccard likeness `similarity` or more within each group of loose (id, doc_id, key, size, component).
 
     Only members of groups have their shingles hashed again. Small groups share tasks; a group of over EXACT_ROWS members or
     EXACT_SHINGLES shingles is compared block by block, so its rows are dealt out once for each of its blocks.
@@ -283,9 +293,10 @@ def exact_links(docs: DataFrame, loose: DataFrame, width: int, similarity: float
     groups = loose.groupBy(F.col("component").alias("of")).agg(F.ceil(F.greatest(F.count("*") / EXACT_ROWS, F.sum("size") / EXACT_SHINGLES, F.lit(1))).cast("int").alias("blocks"))
     total = loose.agg(F.sum("size")).first()[0] or 0
     rooms = max(partitions(spark), math.ceil(4 * total / EXACT_SHINGLES))
-    members = loose.join(groups, F.col("component") == F.col("of")).select(F.col("id").alias("member"), F.col("doc_id").alias("at"), "component", "blocks")
-    texts = docs.select("doc_id", "text").join(members.select("at").distinct(), F.col("doc_id") == F.col("at"), "left_semi")
-    dealt = shingle_sets(texts, width, whole=True).join(members, (F.col("doc_id") == F.col("at")) & (F.col("id") == F.col("member")))
+    members = loose.join(groups, F.col("component") == F.col("of")).select(F.col("id").alias("member"), F.col("doc_id").alias("at"), F.col("key").alias("text_key"), "component", "blocks")
+    chosen = members.select("at", "text_key").distinct()
+    texts = docs.select("doc_id", "text").join(chosen, (F.col("doc_id") == F.col("at")) & (text_key() == F.col("text_key")), "left_semi").dropDuplicates(["doc_id", "text"])
+    dealt = shingle_sets(texts, width, whole=True).join(members, (F.col("doc_id") == F.col("at")) & (F.col("key") == F.col("text_key")))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("room", F.when(F.col("blocks") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(rooms))))
     dealt = dealt.select((F.col("blocks") > 1).alias("large"), "room", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).alias("second"), "component", "id", "sketch", "grams")
@@ -306,16 +317,17 @@ def exact_links(docs: DataFrame, loose: DataFrame, width: int, similarity: float
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.995) -> DataFrame:
-    """(doc_id, component_id) of documents whose sets of word shingles are alike by `similarity` (Jaccard) or more.
+    """(doc_id, key, component_id, component_key) of documents whose sets of word shingles are alike by `similarity` (Jaccard)
+    or more; component_id and component_key are the doc_id and the text's hash of a component's first row in that order.
 
     Such pairs differ by about a seventh of the bits, too many for exact search, so the trees stand on random groups of
     bits, as many as reach `recall` for a pair at the threshold. Pairs that share a leaf are candidates if fingerprints and
     min-wise sketches are as near as those of nearly all pairs at the threshold (three and four standard deviations beyond
     the mean). Candidates only gather texts in loose groups; within a group a pair is linked by its exact likeness alone.
-    Rows are as in simhash_components.
+    Rows without a doc_id link to equal sets alone; texts without words are one component.
     """
     sets = materialise(shingle_sets(docs, width), "simhash")
-    nodes = materialise(sets.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "simhash-nodes")
+    nodes = materialise(sets.groupBy("id").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))).alias("row"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")).select("id", "row.doc_id", "row.key", "size", "fp", "sketch"), "simhash-nodes")
     known = nodes.filter("doc_id is not null and size > 0")
     bits = max(6, math.ceil(math.log2(max(1, known.count()) / LEAF)) + 3)
     apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -323,19 +335,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, re
     radius = math.ceil(64 * apart + 3 * math.sqrt(64 * apart * (1 - apart)))
     alike = math.floor(SKETCH * similarity - 4 * math.sqrt(SKETCH * similarity * (1 - similarity)))
     stars = connected_components(near_links(known, random_groups(trees, bits), 0, radius, alike))
-    loose = materialise(known.select("id", "doc_id", "size").join(stars, "id"), "loose")
+    loose = materialise(known.select("id", "doc_id", "key", "size").join(stars, "id"), "loose")
     stars = connected_components(exact_links(docs, loose, width, similarity, alike)).select(F.col("id").alias("of"), "component")
-    named = nodes.select("id", "doc_id").join(stars, F.col("id") == F.col("of"), "left").select("id", "doc_id", F.coalesce("component", "id").alias("component"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = materialise(named.join(least, "component").select(F.col("id").alias("of"), "component_id"), "named")
-    return sets.join(named, F.col("id") == F.col("of")).select("doc_id", "component_id")
+    named = nodes.select("id", "doc_id", "key").join(stars, F.col("id") == F.col("of"), "left").select("id", "doc_id", "key", F.coalesce("component", "id").alias("component"))
+    least = named.groupBy("component").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))).alias("row"))
+    named = materialise(named.join(least, "component").select(F.col("id").alias("of"), F.col("row.doc_id").alias("component_id"), F.col("row.key").alias("component_key")), "named")
+    return sets.join(named, F.col("id") == F.col("of")).select("doc_id", "key", "component_id", "component_key")
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """One document of each near-duplicate group (the smallest doc_id; of rows that repeat it, one), all columns.
+    """One document of each near-duplicate group, all columns: the smallest doc_id, and of rows that share it the text with the
+    least hash; of rows that repeat both, the one whose columns have the least hash.
 
-    Rows without a doc_id stay, all of them, and stand for no others.
+    Different texts of one doc_id that belong to different groups stay. Rows without a doc_id stay, all of them, and stand for
+    no others. Extra columns pass through, but for names the operator uses inside (__*).
     """
-    kept = near_duplicates(docs.filter("doc_id is not null")).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null"))
+    groups = near_duplicates(docs.filter("doc_id is not null"))
+    first = (F.col("doc_id") == F.col("component_id")) & (F.col("key") == F.col("component_key"))
+    kept = groups.filter(first).select(F.col("doc_id").alias("__kept"), F.col("key").alias("__key")).distinct()
+    same = Window.partitionBy("doc_id", "__text").orderBy(F.xxhash64(*docs.columns))
+    rows = docs.withColumn("__text", text_key()).join(kept, (F.col("doc_id") == F.col("__kept")) & (F.col("__text") == F.col("__key")), "left_semi")
+    rows = rows.withColumn("__nth", F.row_number().over(same)).filter("__nth = 1").select(docs.columns)
+    return rows.unionByName(docs.filter("doc_id is null"))

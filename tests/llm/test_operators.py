@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -121,7 +124,25 @@ def test_forest_is_exact():
 
 def test_keep_representatives(docs):
     kept = sorted(str(r.doc_id) for r in simhash.keep_representatives(docs).collect())
-    assert "1" in kept and "2" not in kept and "9" not in kept and "6" in kept and kept.count("7") == 1 and "None" in kept
+    assert "1" in kept and "2" not in kept and "9" not in kept and "6" in kept and "None" in kept
+    assert kept.count("7") == 2  # different texts of one id, in different groups
+    again = docs.unionByName(docs.withColumn("source", F.lit("z")))  # each row twice, but for one column
+    assert sorted(str(r.doc_id) for r in simhash.keep_representatives(again).collect()) == sorted([*kept, "None"])
+    assert simhash.keep_representatives(docs.limit(0)).count() == 0
+
+
+def test_rows_without_id_link_others(spark):
+    """Two texts 8 bits apart, linked by a row without doc_id that is 4 bits from each."""
+    words = [f"t{k}" for k in range(400)]
+    fps = {}
+    for k in range(400):
+        text = " ".join(words[:30] + words[k : k + 8])
+        fps.setdefault(int(simhash.majority_bits(simhash.shingle_hashes(text, 4))), text)
+    near = lambda a, b: (a ^ b).bit_count() <= 4
+    a, m, b = next((a, m, b) for m in fps for a in fps if near(a, m) for b in fps if near(m, b) and not near(a, b))
+    rows = [(5, fps[a]), (None, fps[m]), (3, fps[b])]
+    found = {r.doc_id: r.component_id for r in simhash.simhash_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {5: 3, None: 3, 3: 3}
 
 
 def test_near_duplicates_by_exact_likeness(spark, monkeypatch):
@@ -158,6 +179,34 @@ def test_near_duplicates_by_exact_likeness(spark, monkeypatch):
     assert found[len(texts) - 1] == len(texts) - 2
 
 
+def brute_kept(text: str, compressor) -> bool:
+    """The verdict of the quality rules, from their words: base counts, then the bands of whole texts and of each chunk."""
+    words = [w for w in re.split("[ \t-\r]+", text) if w]
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    many = Counter(windows)
+    repeated = len({i + k for i, w in enumerate(windows) if many[w] > 1 for k in range(3)})
+    data = text.encode()
+    if len(words) < 50 or 100 * repeated > 50 * len(words):
+        return False
+    low, high = [b[1:] for b in quality_rules.DOCUMENT_BANDS if len(data) >= b[0]][-1]
+    chunks = [data[i : i + quality_rules.CHUNK] for i in range(0, len(data), quality_rules.CHUNK)]
+    whole = [x for x in chunks if len(x) == quality_rules.CHUNK]
+    bad = sum(not quality_rules.CHUNK_BAND[0] <= len(compressor.compress(x)) / len(x) <= quality_rules.CHUNK_BAND[1] for x in whole)
+    return low <= len(compressor.compress(data)) / len(data) <= high and bad <= quality_rules.CHUNK_SHARE * len(whole)
+
+
+def test_quality_rules_against_brute_force(spark):
+    import zstandard
+
+    c = zstandard.ZstdCompressor(level=quality_rules.LEVEL)
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(VOCAB[: int(rng.choice([3, 20, 300]))], int(rng.integers(0, 1500)))) for _ in range(60)]
+    texts += ["".join(chr(int(x)) for x in rng.integers(33, 1000, 9000)), "x\ty\x0bz\u00a0w " * 40, ("é" * 30 + " ") * 80]
+    found = quality_rules.quality_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.kept for r in found} == {i: brute_kept(t, c) for i, t in enumerate(texts)}
+    assert len({r.kept for r in found}) == 2
+
+
 def test_quality_rules(docs):
     found = {r.doc_id: r for r in quality_rules.quality_rules(docs).collect()}
     assert found[1].kept and not found[4].kept and not found[5].kept and found[6].kept
@@ -178,6 +227,10 @@ def test_mixing(docs):
     total = 10_000  # weights of sources that the table lacks take no share
     assert set(n) == {"hot", None} and all(abs(c - total) < 6 * total**0.5 for c in n.values())
     assert mixing.mix_sources(docs.limit(0)).count() == 0
+    taken = docs.withColumn("copy", F.lit("mine"))
+    with pytest.raises(ValueError, match="copy"):
+        mixing.mix_sources(taken)
+    assert {r.copy for r in mixing.mix_sources(taken, copy="nth").select("copy").collect()} <= {"mine"}
 
 
 def test_url_filter(spark):
@@ -339,3 +392,63 @@ def test_token_counts(docs):
     assert {r.doc_id: r.n for r in found}[6] == len(ids_of(LONG, 1)) - 1 and {r.doc_id: r.n for r in found}[4] == 0
     assert token_counts.owners(np.array([0, 3, 4]), np.array([3, 7, 8]), np.array([0, 5, 6, 10])).tolist() == [0, 0, 2]
     assert token_counts.owners(np.array([4]), np.array([6]), np.array([0, 5, 10])).tolist() == [0]
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """All stages on a small table with clashing columns, nulls, repeats: each compared with its operator's rule in plain Python."""
+    import corpus_pipeline
+    from quillstream.llm.labelled import sample
+
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(VOCAB, int(rng.integers(20, 160)))) for _ in range(150)]
+    texts += [t + " tail" for t in texts[:20]] + texts[:10] + [None, "", "a b c " * 60]
+    rows = [(i, t, "en", "hot" if i % 3 else None, len(t or ""), "mine") for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, copy string")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(0, 180, 2)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    docs, held = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        assert k == len(stages) - 1 or out.columns == docs.columns
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        held[name] = docs.collect()
+    import zstandard
+
+    c = zstandard.ZstdCompressor(level=quality_rules.LEVEL)
+    good = {i for i, t in enumerate(texts) if brute_kept(t or "", c)}
+    assert {r.doc_id for r in held["quality_rules"]} == good and {r.copy for r in held["quality_rules"]} == {"mine"}
+    weights = byte_cnn.train(sample(spark.read.parquet(str(tmp_path / "documents.parquet")), spark.read.parquet(str(tmp_path / "labels.parquet")), "quality", byte_cnn.PER_CLASS, byte_cnn.MAX_CHARS))
+    passing = {i for i in good if byte_cnn.probabilities(weights, [(texts[i] or "").encode()])[0] >= byte_cnn.THRESHOLD}
+    assert {r.doc_id for r in held["quality_classifier"]} == passing
+    sets, label = {i: set(simhash.shingle_hashes(texts[i], 5).tolist()) for i in passing}, {i: i for i in passing}
+    for i in sorted(passing):
+        for j in sorted(passing):
+            if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    assert sorted(r.doc_id for r in held["near_duplicates"]) == sorted(set(label.values()))
+    drawn = {r.doc_id: sum(x.doc_id == r.doc_id for x in held["source_mix"]) for r in held["near_duplicates"]}
+    count = {s: sum(r.source == s for r in held["near_duplicates"]) for s in ("hot", None)}
+    total = sum(count.values())
+    for r in held["near_duplicates"]:
+        mean = total * count[r.source] ** 0.5 / sum(n**0.5 for n in count.values()) / count[r.source]
+        assert mean <= mixing.CHUNK_MEAN
+        u = int(hashlib.md5(f"7:{r.doc_id}:1".encode()).hexdigest()[:13], 16) / 2**52
+        n, p, total_p = 0, np.exp(-mean), np.exp(-mean)
+        while total_p <= u:
+            n += 1
+            p *= mean / n
+            total_p += p
+        assert drawn[r.doc_id] == n
+    pieces: dict = {}
+    for r in held["packing"]:
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32))
+    for i, n in drawn.items():
+        ids = ids_of(texts[i], 2)
+        assert sum(length for _, length, _ in pieces.get(i, [])) == n * len(ids)
+        assert all(zlib.crc32(ids[a : a + m].tobytes()) == crc for a, m, crc in pieces.get(i, []))
+    empty = spark.read.parquet(str(tmp_path / "documents.parquet")).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
