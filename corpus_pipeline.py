@@ -9,6 +9,7 @@ from quillstream.llm.common import materialise
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the rules keep; a null or empty text goes."""
     return quality_rules.keep_good(docs)
 
 
@@ -19,14 +20,17 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near duplicates (five-word shingles, Jaccard 0.8); rows without a doc_id stay."""
     return simhash.keep_representatives(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(docs).select(docs.columns)
+    """Sources weighed by the square root of their size; a document comes as often as its draw says. All columns as they are."""
+    return mixing.mix_sources(docs, copy="__copy", key="__mix_key").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 4,096 ids; a document that comes twice is packed twice."""
     return packing.pack(docs)
 
 
