@@ -18,12 +18,18 @@ from .labelled import held_out, sample
 
 EMBED, FILTERS, STRIDE, HALF = 8, 24, 4, 64  # HALF: windows in half a chunk
 PER_CLASS, MAX_CHARS, EPOCHS, RATE, BATCH, SEED, THRESHOLD = {0: 1200, 1: 1800}, 16_384, 14, 0.01, 64, 3, 0.3
+#: Bytes of a long text that are looked at together: whole half chunks.
+SEGMENT = HALF * STRIDE * 4096
 Weights = dict[str, np.ndarray]
 
 
-def _blocks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes in blocks of STRIDE, windows a text): texts padded to whole blocks and one more, so the last window ends."""
-    padded = [t + bytes(-len(t) % STRIDE + STRIDE * (1 + (len(t) == 0))) for t in texts]
+def _padded(text: bytes) -> bytes:
+    """A text padded to whole blocks and one more, so that the last window ends."""
+    return text + bytes(-len(text) % STRIDE + STRIDE * (1 + (len(text) == 0)))
+
+
+def _blocks(padded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes in blocks of STRIDE, windows a text) of padded texts."""
     return np.frombuffer(b"".join(padded), np.uint8).reshape(-1, STRIDE), np.array([len(p) // STRIDE - 1 for p in padded])
 
 
@@ -63,10 +69,22 @@ def _features(top: np.ndarray, halves: np.ndarray, bias: np.ndarray):
     return np.concatenate((np.add.reduceat(chunk, begin, axis=0) / counts[:, None], np.maximum.reduceat(chunk, begin, axis=0)), 1), chunk, source, counts, begin
 
 
+def _segments(padded: bytes) -> list[bytes]:
+    """A long padded text in segments of SEGMENT bytes and one block more, so that their windows in turn are those of the whole."""
+    cuts = range(0, max(1, len(padded) - SEGMENT // 2), SEGMENT)
+    return [padded[a : a + SEGMENT + STRIDE] for a in cuts[:-1]] + [padded[cuts[-1] :]]
+
+
 def probabilities(w: Weights, texts: list[bytes]) -> np.ndarray:
-    blocks, windows = _blocks(texts)
-    top, halves, _ = _pooled(w, blocks, windows)
-    f = _features(top, halves, w["bias"])[0]
+    """The probability of each whole text; at most a few segments are under the filters at a time."""
+    tops, counts = [], np.zeros(len(texts), np.int64)
+    pieces = ((k, x) for k, t in enumerate(texts) for x in _segments(_padded(t)))
+    for part in chunks(pieces, lambda r: 4 * len(r[1])):
+        blocks, windows = _blocks([x for _, x in part])
+        top, halves, _ = _pooled(w, blocks, windows)
+        tops.append(top)
+        np.add.at(counts, [k for k, _ in part], halves)
+    f = _features(np.concatenate(tops), counts, w["bias"])[0]
     return 1 / (1 + np.exp(-np.clip(f @ w["out"][:-1] + w["out"][-1], -30, 30)))
 
 
@@ -87,7 +105,7 @@ def train(rows: list[tuple[int, str]]) -> Weights:
         order = rng.permutation(len(rows))
         for b in range(0, len(order), BATCH):
             pick = order[b : b + BATCH]
-            blocks, windows = _blocks([texts[i] for i in pick])
+            blocks, windows = _blocks([_padded(texts[i]) for i in pick])
             top, halves, at = _pooled(w, blocks, windows, where=True)
             f, chunk, source, counts, begin = _features(top, halves, w["bias"])
             p = 1 / (1 + np.exp(-np.clip(f @ w["out"][:-1] + w["out"][-1], -30, 30)))
@@ -126,7 +144,8 @@ def _scores(w: Weights, texts: list[str]) -> list[float]:
 
 
 def score(docs: DataFrame, weights: Weights) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document's whole text; null texts are empty, repeated rows score alike.
+    """(doc_id, held_out, score, predicted) of every document's whole text; null texts are empty, repeated rows score alike,
+    a long text is read in segments that share nothing but what the filters need.
 
     The weights are a few tens of KB, whatever the input's size. Extra columns are ignored; an empty table stays empty.
     """

@@ -355,6 +355,21 @@ def test_classifiers(spark):
         assert module.score(docs.limit(0), module.fit(docs, labels.limit(0))).count() == 0
 
 
+def test_long_texts_score_alike_in_segments(monkeypatch):
+    weights = byte_cnn.train([(i % 2, " ".join(RNG.choice(VOCAB[: 10 + 200 * (i % 2)], 30))) for i in range(60)])
+    step = byte_cnn.HALF * byte_cnn.STRIDE
+    texts = [bytes(RNG.integers(97, 123, n).astype(np.uint8)) for n in (0, 1, 3, 4, 5, 8, step - 1, step, step + 1, 2 * step, 2 * step + 4, 3 * step + 5, 5 * step, 40 * step + 7)]
+    whole = np.array([byte_cnn.probabilities(weights, [t])[0] for t in texts])
+    plain = [byte_cnn._blocks([byte_cnn._padded(t)]) for t in texts]
+    for t, (blocks, windows), p in zip(texts, plain, whole, strict=True):
+        top, halves, _ = byte_cnn._pooled(weights, blocks, windows)
+        f = byte_cnn._features(top, halves, weights["bias"])[0]
+        assert abs(p - 1 / (1 + np.exp(-(f @ weights["out"][:-1] + weights["out"][-1])))[0]) < 1e-5
+    for size in (step, 2 * step, 8 * step):
+        monkeypatch.setattr(byte_cnn, "SEGMENT", size)
+        assert np.abs(byte_cnn.probabilities(weights, texts) - whole).max() < 1e-5
+
+
 def test_sample_takes_windows_of_long_texts(spark):
     text = "".join(chr(97 + k % 26) for k in range(1000))
     docs = spark.createDataFrame([(i, text if i % 2 else "short", None if i == 7 else "s") for i in range(40)], "doc_id long, text string, label string")
