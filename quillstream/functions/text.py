@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fixed_values import ABBREVIATIONS, SYLLABLE_EXCEPTIONS
@@ -39,25 +39,39 @@ def stem(word: Column) -> Column:
     return F.when(F.octet_length(w) <= 3, w).otherwise(rest)
 
 
-def syllables(word: Column) -> Column:
-    lower = F.lower(word)
-    known = F.create_map(*[F.lit(x) for k, v in SYLLABLE_EXCEPTIONS.items() for x in (k, int(v))])
-    w = F.when(lower.rlike("[^a-z]"), F.regexp_replace(lower, "[^a-z]", "")).otherwise(lower)
+def latin(lower: Column) -> Column:
+    """The letters a to z of a lower-case word."""
+    return F.when(lower.rlike("[^a-z]"), F.regexp_replace(lower, "[^a-z]", "")).otherwise(lower)
+
+
+def voiced(w: Column) -> Column:
+    """Letters without a silent ending and a leading y."""
     silent = (w.endswith("es") & ~w.rlike("(s|z|c|g|x|sh|ch)es$")) | (w.endswith("ed") & ~w.rlike("[td]ed$"))
-    bare = F.when(silent, F.regexp_replace(w, "..$", "")).when(w.endswith("e") & ~w.rlike("(le|ee)$"), F.regexp_replace(w, "e$", "")).otherwise(w)
-    spelt = F.when(bare.startswith("y"), F.substring(bare, 2, 1000)).otherwise(bare)
-    groups = F.size(F.regexp_extract_all(spelt, F.lit("[aeiouy]+"), F.lit(0)))
-    counted = F.when(F.length(w) <= 3, 1).otherwise(F.greatest(groups, F.lit(1)))
+    mute = w.endswith("e") & ~w.rlike("(le|ee)$")
+    size = F.length(w) - F.when(silent, 2).when(mute, 1).otherwise(0)
+    y = w.startswith("y").cast("int")
+    return F.substring(w, y + 1, size - y)
+
+
+def syllable_count(lower: Column, w: Column, voiced: Column) -> Column:
+    known = F.create_map(*[F.lit(x) for k, v in SYLLABLE_EXCEPTIONS.items() for x in (k, int(v))])
+    counted = F.when(F.length(w) <= 3, 1).otherwise(F.greatest(F.size(F.regexp_extract_all(voiced, F.lit("[aeiouy]+"), F.lit(0))), F.lit(1)))
     return F.coalesce(F.when(lower.isin(list(SYLLABLE_EXCEPTIONS)), F.element_at(known, lower)), counted)
 
 
+def with_syllables(words: DataFrame, word: str, name: str) -> DataFrame:
+    """The frame with the syllables of column `word`. Each step is a column of its own, so that Catalyst computes it once."""
+    steps = words.withColumn("__lower", F.lower(word)).withColumn("__latin", latin(F.col("__lower"))).withColumn("__voiced", voiced(F.col("__latin")))
+    return steps.withColumn(name, syllable_count(F.col("__lower"), F.col("__latin"), F.col("__voiced"))).drop("__lower", "__latin", "__voiced")
+
+
 def letters(word: Column) -> Column:
     return F.length(F.regexp_replace(word, r"[^\p{IsAlphabetic}\p{N}]", ""))
 
 
-def is_complex(word: Column) -> Column:
+def is_complex(word: Column, syllables: Column) -> Column:
     """Three syllables or more, no hyphen, not capitalised."""
-    return (syllables(word) >= 3) & ~word.contains("-") & ~word.rlike(r"^\p{IsUppercase}")
+    return (syllables >= 3) & ~word.contains("-") & ~word.rlike(r"^\p{IsUppercase}")
 
 
 def is_adverb_shape(lower: Column) -> Column:

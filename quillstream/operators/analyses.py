@@ -131,7 +131,8 @@ def passive(sentences: DataFrame) -> DataFrame:
     participle = lambda x: T.one_of(x, V.IRREGULAR_PARTICIPLES) | T.is_regular_participle(x)
     kind = lambda x: F.when(T.one_of(x, V.BE_VERBS) & participle(x), "B").when(T.one_of(x, V.BE_VERBS), "b").when(T.one_of(x, V.ADJECTIVAL_PARTICIPLES), "a").when(participle(x), "p").when(x == "by", "y").when(x.endswith("ly"), "l").otherwise("-")
     folded = F.transform("words", w)
-    one = sentences.select("doc_id", "sent", "first", folded.alias("folded")).filter(F.exists("folded", lambda x: T.one_of(x, V.BE_VERBS)))
+    verbs = "|".join(re.sub("['-]", ".", v) for v in V.BE_VERBS)  # most sentences have none: a look at the text spares their words
+    one = sentences.filter(F.col("text").rlike(f"(?iu)(?:{verbs})")).select("doc_id", "sent", "first", folded.alias("folded"))
     one = one.withColumn("kinds", F.array_join(F.transform("folded", kind), ""))
     marked = F.regexp_replace("kinds", "([bB]l?(?:[pB]y?|ay))", "<$1>")
     one = one.withColumn("parts", F.split(marked, "[<>]"))
@@ -246,7 +247,8 @@ def repeats(sentences: DataFrame, shortest: int = 3, longest: int = 6, min_count
 
 def readability(words: DataFrame, *keys: str) -> DataFrame:
     """The five scores, by document or by any other keys of the words; 1e-9 makes decimal ties round up everywhere."""
-    n = words.groupBy(*keys).agg(F.count("*").alias("words"), F.count_if(F.col("w_in_sent") == 0).alias("sentences"), F.sum(T.syllables(F.col("raw"))).alias("y"), F.count_if(T.is_complex(F.col("raw"))).alias("hard"), F.sum(T.letters(F.col("raw"))).alias("letters"))
+    spelt = T.with_syllables(words.select(*keys, "w_in_sent", "raw"), "raw", "y")
+    n = spelt.groupBy(*keys).agg(F.count("*").alias("words"), F.count_if(F.col("w_in_sent") == 0).alias("sentences"), F.sum("y").alias("y"), F.count_if(T.is_complex(F.col("raw"), F.col("y"))).alias("hard"), F.sum(T.letters(F.col("raw"))).alias("letters"))
     w = F.col("words")
     wps, spw, lpw = w / F.col("sentences"), F.col("y") / w, F.col("letters") / w
     return n.select(*keys, "words", "sentences", F.round(206.835 - 1.015 * wps - 84.6 * spw + 1e-9, 4).alias("flesch_reading_ease"), F.round(0.39 * wps + 11.8 * spw - 15.59 + 1e-9, 4).alias("flesch_kincaid_grade"), F.round(0.4 * (wps + 100.0 * F.col("hard") / w) + 1e-9, 4).alias("gunning_fog"), F.round(0.0588 * (lpw * 100) - 0.296 * (F.col("sentences") / w * 100) - 15.8 + 1e-9, 4).alias("coleman_liau"), F.round(4.71 * lpw + 0.5 * wps - 21.43 + 1e-9, 4).alias("automated_readability"))
@@ -275,9 +277,15 @@ def monotony(sentences: DataFrame, run: int = 4, tolerance: int = 3) -> DataFram
         grown = state(a["first"], a["n"] + 1, lo, hi, F.when(a["n"] + 1 < run, F.concat(a["held"], F.array(y))).otherwise(F.array().cast("array<int>")), a["runs"])
         ended = F.when(a["n"] >= run, F.concat(a["runs"], F.array(F.struct(a["first"].alias("first"), a["n"].alias("n"))))).otherwise(a["runs"])
         fresh = state(x["sent"], F.lit(1), y, y, F.array(y), ended)
-        tail = F.filter(a["held"], lambda h, i: F.forall(F.slice(a["held"], i + 1, F.lit(run)), lambda z: F.abs(z - y) <= tolerance) & (F.array_max(F.slice(a["held"], i + 1, F.lit(run))) - F.array_min(F.slice(a["held"], i + 1, F.lit(run))) <= tolerance))
-        shorter = state(a["first"] + a["n"] - F.size(tail), F.size(tail) + 1, F.least(F.array_min(tail), y), F.greatest(F.array_max(tail), y), F.concat(tail, F.array(y)), a["runs"])
-        return F.when(a["n"] == 0, fresh).when(hi - lo <= tolerance, grown).when((a["n"] >= run) | (F.size(tail) == 0), fresh).otherwise(shorter)
+        rest = lambda i: F.concat(F.slice(a["held"], i + 1, F.lit(run)), F.array(y))
+        tail = F.filter(a["held"], lambda h, i: F.array_max(rest(i)) - F.array_min(rest(i)) <= tolerance)
+
+        def shorter(t):
+            gone = state(a["first"] + a["n"] - F.size(t), F.size(t) + 1, F.least(F.array_min(t), y), F.greatest(F.array_max(t), y), F.concat(t, F.array(y)), a["runs"])
+            return F.when(F.size(t) == 0, fresh).otherwise(gone)
+
+        cut_off = F.get(F.transform(F.array(tail), shorter), F.lit(0))  # an array of one, so that the end is looked for once
+        return F.when(a["n"] == 0, fresh).when(hi - lo <= tolerance, grown).when(a["n"] >= run, fresh).otherwise(cut_off)
 
     last = F.aggregate("s", start, step, lambda a: F.when(a["n"] >= run, F.concat(a["runs"], F.array(F.struct(a["first"].alias("first"), a["n"].alias("n"))))).otherwise(a["runs"]))
     return lengths.select("doc_id", F.explode(last).alias("r")).select("doc_id", F.col("r.first").cast("long").alias("first"), F.col("r.n").cast("long").alias("n"))

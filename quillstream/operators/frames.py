@@ -75,7 +75,7 @@ class Frames:
         """(doc_id, para, section, sent, text, words, n_words, first_word, first); first is its first word's place in the document."""
         one = self.cut.select("doc_id", F.posexplode("sents").alias("sent", "s")).select("doc_id", "s.*", "sent", F.size("s.words").alias("n_words"))
         before = Window.partitionBy("doc_id").orderBy("sent").rowsBetween(Window.unboundedPreceding, -1)
-        plain = F.transform("words", T.unmarked)
+        plain = F.when(F.col("text").contains(T.SPOKEN), F.transform("words", T.unmarked)).otherwise(F.col("words"))
         out = one.select("doc_id", "para", "section", "sent", T.unmarked(F.col("text")).alias("text"), plain.alias("words"), "n_words", F.coalesce(F.sum("n_words").over(before), F.lit(0)).cast("long").alias("first"))
         return out.withColumn("first_word", T.fold(F.element_at("words", 1)))
 
