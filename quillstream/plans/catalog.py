@@ -120,7 +120,7 @@ def queries() -> dict[str, Query]:
         "starter_counts": lambda s, d: A.starter_counts(every(s, d).sentences),
         "paragraph_starters": lambda s, d: A.paragraph_starter_counts(every(s, d).sentences),
         "starter_runs": lambda s, d: A.starter_runs(every(s, d).sentences, 2),
-        "passive": lambda s, d: A.passive(english(s, d).sentences),
+        "passive": lambda s, d: A.passive(english(s, d).settled().sentences),
         "tense_sentences": lambda s, d: A.tense_totals(A.tense_sentences(english(s, d).words)),
         "tense_drift": lambda s, d: _drift(A.tense_sentences(english(s, d).settled().words), A.tense_totals, "tense"),
         "pov_counts": lambda s, d: A.pov_totals(A.pov_sentences(english(s, d).words)),
@@ -128,7 +128,7 @@ def queries() -> dict[str, Query]:
         "repeats": lambda s, d: A.repeats(every(s, d).settled().sentences),
         "readability_doc": lambda s, d: A.readability(every(s, d).words, "doc_id"),
         "long_sentences": lambda s, d: A.long_sentences(every(s, d).sentences),
-        "rhythm_monotony": lambda s, d: A.monotony(every(s, d).sentences),
+        "rhythm_monotony": lambda s, d: A.monotony(every(s, d).settled().sentences),
         "cast": lambda s, d: A.cast_mentions(every(s, d).settled().words),
         "name_variants": lambda s, d: A.name_variants(A.name_counts(every(s, d).words)),
         "outline": lambda s, d: A.outline(dialogue_corpus(s, d)),
