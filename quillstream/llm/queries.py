@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_cnn, edit_embedding, mixing, packing, quality_rules, simhash, token_counts, token_output, toxicity, url_filter
+from . import byte_cnn, conversation_repair, edit_embedding, mixing, packing, quality_rules, simhash, token_counts, token_output, toxicity, url_filter
 from .common import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_read(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damage(_read(spark, sf_dir, "conversations")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,7 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_token_output, op2_token_counts, op3_packing, op4_simhash, op5_url_filter, op6_toxicity, op7_edit_fingerprints, op8_source_mix, op9_quality_cnn, op10_quality_rules, pipeline)
+    found = (op1_token_output, op2_token_counts, op3_packing, op4_simhash, op5_url_filter, op6_toxicity, op7_edit_fingerprints, op8_source_mix, op9_quality_cnn, op10_quality_rules, op11_conversation_repair, pipeline)
     return {q.__name__: q for q in found}
 
 
