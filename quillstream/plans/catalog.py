@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,13 +12,17 @@ from ..functions import fixed_values as V
 from ..functions import text as T
 from ..operators import analyses as A
 from ..operators import charts as C
+from ..operators import corpus as W
 from ..operators import history as H
+from ..operators import kept as K
 from ..operators import located as L
 from ..operators import render as P
 from ..operators import report as R
 from ..operators import evidence as E
 from ..operators import strict as S
 from ..operators.frames import Frames
+from ..operators.lineage import checkpoint_folder
+from . import history_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Lists configured for the synthetic corpus, which holds none of the built-in entries.
@@ -70,7 +75,23 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.metrics(english(spark, sf_dir), baseline(spark, sf_dir), **LISTS)
+    return R.metrics(every(spark, sf_dir), baseline(spark, sf_dir), **LISTS)
+
+
+def _total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = every(spark, sf_dir).settled()
+    base = baseline(spark, sf_dir)
+    return W.total(f, R.metrics(f, base, **LISTS), A.overused(f.words, base))
+
+
+def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of the second revision, where those of the first are kept: texts that both have are not cut again."""
+    base, both = baseline(spark, sf_dir), revisions(spark, sf_dir)
+    store = K.Store(spark, f"{checkpoint_folder(spark).rstrip('/')}/quillstream-metrics-{uuid.uuid4().hex}")
+    measure = lambda texts: R.metrics(Frames.plain(texts), base, **LISTS)
+    settings = {**LISTS, "tables": R.SAMPLE_LIMITS}
+    store.refresh(both.filter("rev = 0").select("doc_id", "text"), measure, settings)
+    return store.refresh(both.filter("rev = 1").select("doc_id", "text"), measure, settings)
 
 
 def _phrases_of(spark: SparkSession, sf_dir: str, rule: str, phrases) -> DataFrame:
@@ -107,7 +128,7 @@ def queries() -> dict[str, Query]:
         "length_summary": lambda s, d: A.summary(lengths(s, d), "doc_id"),
         "adverbs": lambda s, d: A.adverbs(english(s, d).words),
         "overused": lambda s, d: A.overused(every(s, d).words, baseline(s, d)),
-        "tics": lambda s, d: _phrases_of(s, d, "tics", TICS),
+        "tics": lambda s, d: A.phrase_findings(every(s, d).sentences, {"tics": TICS}),
         "hedges": lambda s, d: _phrases_of(s, d, "hedges", HEDGES),
         "filter_words": lambda s, d: _phrases_of(s, d, "filter", FILTERS),
         "cliches": lambda s, d: _phrases_of(s, d, "cliche", CLICHES),
@@ -143,8 +164,11 @@ def queries() -> dict[str, Query]:
         "join_docs": lambda s, d: A.join_documents(table(s, d, "documents").select("doc_id", "text", "source"), "source"),
         "html_masked": lambda s, d: A.counts(Frames.marked_up(table(s, d, "pages").select(F.col("page_id").alias("doc_id"), F.lit("markdown").alias("format"), F.col("html").alias("source")))),
         "report_metrics": lambda s, d: _metrics(s, d),
-        "report_total": lambda s, d: R.total(_metrics(s, d)),
+        "report_total": _total,
         "report_tops": lambda s, d: R.tops(every(s, d)),
+        "report_tops_by_doc": lambda s, d: W.tops_by_document(every(s, d)),
+        "diversity_total": lambda s, d: W.diversity_total(every(s, d)),
+        "kept_metrics": _kept,
         "revisions_top": lambda s, d: R.revisions(english(s, d), **LISTS),
         "check_violations": lambda s, d: R.violations(_metrics(s, d), R.limits_table(s, R.SAMPLE_LIMITS)),
         "progress": lambda s, d: H.progress(revisions(s, d), 0, 1),
@@ -161,8 +185,9 @@ def queries() -> dict[str, Query]:
         "pinned_quotes": lambda s, d: E.pin(documents(s, d, None), documents(s, d, None).select("doc_id", F.lit(2).alias("line"), F.lit(" of the ").alias("quote"))),
         "numbered_lines": lambda s, d: E.numbered(documents(s, d, None)),
         "progress_sparkline": lambda s, d: C.sparkline(every(s, d).sentences, "n_words", "sent"),
-        "html_report": lambda s, d: P.pages(A.counts(f := english(s, d).settled()), L.located(f, **LISTS)),
+        "html_report": lambda s, d: P.pages(A.counts(f := every(s, d).settled()), L.located(f, **LISTS)),
         "check_since": lambda s, d: H.check_since(revisions(s, d), 0, 1, **LISTS),
+        **history_queries.queries(CLICHES),
     }
 
 
@@ -267,7 +292,7 @@ def oracle_sql() -> dict[str, str]:
         "length_summary": f"{with_all} SELECT doc_id, count(*) AS count, round(avg(n), 4) AS mean, round(median(n), 4) AS median, round(stddev_pop(n), 4) AS stdev, min(n) AS min, max(n) AS max FROM sents GROUP BY 1",
         "adverbs": f"{with_en} SELECT * FROM {adverbs}",
         "overused": over("", ""),
-        "tics": f"{with_en} {_phrases(TICS, 'tics')}",
+        "tics": f"{with_all} {_phrases(TICS, 'tics')}",
         "hedges": f"{with_en} {_phrases(HEDGES, 'hedges')}",
         "filter_words": f"{with_en} {_phrases(FILTERS, 'filter')}",
         "cliches": f"{with_en} {_phrases(CLICHES, 'cliche')}",
@@ -318,15 +343,15 @@ def oracle_sql() -> dict[str, str]:
         UNION ALL SELECT doc_id, 'monotony', n || ' sentences of like length', first FROM ({out['rhythm_monotony']}) UNION ALL SELECT doc_id, 'long-sentence', n_words || ' words', sent FROM ({out['long_sentences']})"""
     run_counts = ", ".join(f"count(*) FILTER (rule = '{k}') AS {v}" for k, v in R.RUNS.items())
     out |= {
-        "report_metrics": f"SELECT {_metric_columns()} FROM ({with_en} {counted}) AS c " + " ".join(f"LEFT JOIN ({x}) USING (doc_id)" for x in (
+        "report_metrics": f"SELECT {_metric_columns()} FROM ({with_all} {counted}) AS c " + " ".join(f"LEFT JOIN ({x}) USING (doc_id)" for x in (
             f"SELECT doc_id, \"unique\", ttr, mattr FROM ({out['diversity_mattr']})",
             f"SELECT doc_id, mean AS mean_sentence_words, stdev AS sentence_stdev, max AS sentence_words FROM ({out['length_summary']})",
             f"SELECT * EXCLUDE (words, sentences) FROM ({out['readability_doc']})",
             f"WITH {segmented('true', _SAID)} SELECT doc_id, count(*) AS said FROM words GROUP BY 1",
-            f"SELECT doc_id, {', '.join(f"count(*) FILTER (rule = '{r}') AS n_{r}" for r in RULES)} FROM ({with_en} SELECT * FROM ({every_phrase} UNION ALL {nominal} UNION ALL {adverbs} UNION ALL {passive})) GROUP BY 1",
+            f"SELECT doc_id, {', '.join(f"count(*) FILTER (rule = '{r}') AS n_{r}" for r in RULES)} FROM ({with_all} SELECT * FROM ({every_phrase} UNION ALL {nominal} UNION ALL {adverbs} UNION ALL {passive})) GROUP BY 1",
             f"SELECT doc_id, {run_counts} FROM ({of_runs}) GROUP BY 1",
             f"SELECT doc_id, count(*) AS overused FROM ({over('doc_id, ', 'PARTITION BY doc_id')}) GROUP BY 1",
-            f"SELECT doc_id, count(*) AS n_echoes FROM ({out['echoes']}) GROUP BY 1",
+            f"SELECT doc_id, count(*) AS n_echoes FROM ({echo(with_all, names)}) GROUP BY 1",
         )),
         "revisions_top": f"""WITH f AS ({with_en} SELECT doc_id, rule, message, sent, pos FROM ({every_phrase} UNION ALL {nominal} UNION ALL {adverbs} UNION ALL {passive}) UNION ALL SELECT doc_id, rule, message, sent, first FROM ({of_runs}) JOIN sents USING (doc_id, sent)),
             r AS (SELECT *, CASE rule {' '.join(f"WHEN '{k}' THEN {v}" for k, v in V.REVISION_RANK.items())} ELSE 0 END::BIGINT AS rank FROM f UNION ALL SELECT doc_id, 'echo', stem, sent, pos, (100 - least(distance, 50))::BIGINT FROM ({out['echoes']}))
@@ -334,8 +359,19 @@ def oracle_sql() -> dict[str, str]:
         "report_tops": " UNION ALL ".join(f"(SELECT '{kind}' AS kind, {item} AS item, count FROM ({out[q]}) ORDER BY count DESC, item LIMIT {n})" for kind, item, q, n in (("word", "word", "freq_words", 15), ("repeat", "phrase", "repeats", 10), ("opener", "word", "starter_counts", 8))),
     }
     weighed = lambda c: f"round(sum({c} * words) / sum(words) + 1e-9, 3)::DOUBLE AS {c}"
+    out["diversity_total"] = f"""{with_all}, w AS (SELECT lower, row_number() OVER (ORDER BY doc_id, pos) - 1 AS place, count(*) OVER () AS n FROM words),
+        g AS (SELECT n, greatest(least(place, n - 50) - greatest(coalesce(lag(place) OVER (PARTITION BY lower ORDER BY place), -1) + 1, place - 49, 0) + 1, 0) AS f FROM w)
+        SELECT count(*) AS words, (SELECT count(DISTINCT lower) FROM w) AS "unique", round((SELECT count(DISTINCT lower) FROM w) / count(*) + 1e-9, 4) AS ttr, round(sum(f) / (count(*) - 49) / 50 + 1e-9, 4)::DOUBLE AS mattr FROM g"""
     out["report_total"] = f"""SELECT {", ".join(f"sum({c})::BIGINT AS {c}" for c in ("words", "characters", "characters_no_space", "sentences", "paragraphs", *R.RUNS.values(), "cliches"))}, max(sentence_words) AS sentence_words,
-        {", ".join(weighed(c) for c in (*R.SCORES, "dialogue_ratio", *[f"{r}_per_1k" for r in R.RATES]))} FROM ({out["report_metrics"]})"""
+        {", ".join(weighed(c) for c in (*R.SCORES, "dialogue_ratio", *[f"{r}_per_1k" for r in R.RATES]))}, (SELECT count(*) FROM ({out["overused"]})) AS overused,
+        {", ".join(f"(SELECT {c} FROM ({out['diversity_total']})) AS {c}" for c in ('"unique"', "ttr", "mattr"))},
+        {", ".join(f"(SELECT round({x}, 4) FROM ({with_all} SELECT n FROM sents)) AS {c}" for c, x in (("mean_sentence_words", "avg(n)"), ("median_sentence_words", "median(n)"), ("sentence_stdev", "stddev_pop(n)")))} FROM ({out["report_metrics"]})"""
+    second = "FROM (SELECT doc_id, lang, replace(text, ' the ', ' that ') AS text FROM documents WHERE doc_id % 10 <> 0)"
+    out["kept_metrics"] = out["report_metrics"].replace("FROM documents", second)
+    best = lambda kind, item, source, n: f"SELECT doc_id, '{kind}' AS kind, row_number() OVER (PARTITION BY doc_id ORDER BY count DESC, item) AS rank, item, count FROM (SELECT doc_id, {item} AS item, {source}) QUALIFY rank <= {n}"
+    out["report_tops_by_doc"] = f"""({with_all} {best('word', 'lower', f"count(*) AS count FROM words WHERE lower NOT IN ({stop}) AND length(lower) >= 3 GROUP BY 1, 2", 15)})
+        UNION ALL (SELECT * FROM ({best('repeat', 'phrase', f"count FROM ({out['repeats']})", 10)})) UNION ALL ({with_all} {best('opener', 'lower', "count(*) AS count FROM words WHERE w_in_sent = 0 GROUP BY 1, 2", 8)})"""
+    out |= history_queries.oracle_sql(segmented, echo, names, adverb, lambda rule: _phrases(CLICHES, rule))
     limits = ", ".join(f"('{rule}', '{kind}', {most}, '{severity}')" for rule, kind, most, severity in R.SAMPLE_LIMITS)
     out["check_violations"] = f"""SELECT doc_id, rule, actual, "limit", severity FROM (UNPIVOT ({out["report_metrics"]}) ON {", ".join(f"{x[0]}::DOUBLE AS {x[0]}" for x in R.SAMPLE_LIMITS)} INTO NAME rule VALUE actual)
         JOIN (SELECT rule, kind, "limit"::DOUBLE AS "limit", severity FROM (VALUES {limits}) AS v(rule, kind, "limit", severity)) USING (rule) WHERE (kind = 'max' AND actual > "limit") OR (kind = 'min' AND actual < "limit")"""
