@@ -9,8 +9,8 @@ from quillstream.llm.common import materialise
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the rules keep; a null or empty text goes."""
-    return quality_rules.keep_good(docs)
+    """Rows that the rules keep, under limits learnt from the good labelled ones among them; a null or empty text goes."""
+    return quality_rules.keep_good(docs, quality_rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

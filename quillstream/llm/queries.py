@@ -65,7 +65,8 @@ def op9_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(_read(spark, sf_dir, "documents"))
+    docs = _read(spark, sf_dir, "documents")
+    return quality_rules.quality_rules(docs, quality_rules.fit(docs, _read(spark, sf_dir, "labels")))
 
 
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,7 +179,7 @@ def test_near_duplicates_by_exact_likeness(spark, monkeypatch):
     assert found[len(texts) - 1] == len(texts) - 2
 
 
-def brute_kept(text: str, compressor) -> bool:
+def brute_kept(text: str, compressor, limits=None) -> bool:
     """The verdict of the quality rules, from their words: base counts, then the bands of whole texts and of each chunk."""
     words = [w for w in re.split("[ \t-\r]+", text) if w]
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
@@ -188,11 +188,22 @@ def brute_kept(text: str, compressor) -> bool:
     data = text.encode()
     if len(words) < 50 or 100 * repeated > 50 * len(words):
         return False
-    low, high = [b[1:] for b in quality_rules.DOCUMENT_BANDS if len(data) >= b[0]][-1]
-    chunks = [data[i : i + quality_rules.CHUNK] for i in range(0, len(data), quality_rules.CHUNK)]
-    whole = [x for x in chunks if len(x) == quality_rules.CHUNK]
-    bad = sum(not quality_rules.CHUNK_BAND[0] <= len(compressor.compress(x)) / len(x) <= quality_rules.CHUNK_BAND[1] for x in whole)
-    return low <= len(compressor.compress(data)) / len(data) <= high and bad <= quality_rules.CHUNK_SHARE * len(whole)
+
+    def inside(part: bytes, slack: float) -> bool:
+        low, high = [b[1:] for b in quality_rules.DOCUMENT_BANDS if len(part) >= b[0]][-1]
+        x = float(np.log2(len(part)))
+        if limits and limits.knots[0] - 0.25 <= x <= limits.knots[-1] + 0.25:
+            k = min(max(sum(knot <= x for knot in limits.knots) - 1, 0), len(limits.knots) - 2)
+            (x0, x1), (y0, y1) = limits.knots[k : k + 2], limits.below[k : k + 2]
+            below = y0 + (y1 - y0) * min(max((x - x0) / (x1 - x0), 0), 1)
+            a, b, c = limits.curve
+            low = max(low, a * x * x + b * x + c + below)
+        return low - slack <= len(compressor.compress(part)) / len(part) <= high
+
+    chunks = [data[i * 2048 :] if i + 1 == len(data) // 2048 else data[i * 2048 : (i + 1) * 2048] for i in range(len(data) // 2048)]
+    assert not chunks or b"".join(chunks) == data
+    bad = sum(not inside(x, 0.01) for x in chunks) if len(chunks) > 1 else 0
+    return inside(data, 0) and bad <= 0.34 * max(len(chunks), 1)
 
 
 def test_quality_rules_against_brute_force(spark):
@@ -202,9 +213,33 @@ def test_quality_rules_against_brute_force(spark):
     rng = np.random.default_rng(6)
     texts = [" ".join(rng.choice(VOCAB[: int(rng.choice([3, 20, 300]))], int(rng.integers(0, 1500)))) for _ in range(60)]
     texts += ["".join(chr(int(x)) for x in rng.integers(33, 1000, 9000)), "x\ty\x0bz\u00a0w " * 40, ("é" * 30 + " ") * 80]
-    found = quality_rules.quality_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    assert {r.doc_id: r.kept for r in found} == {i: brute_kept(t, c) for i, t in enumerate(texts)}
-    assert len({r.kept for r in found}) == 2
+    half = " ".join(rng.choice(VOCAB, 1200))
+    texts += [half + " " + " ".join(f"{w}{i % 7}" for i, w in enumerate(VOCAB[:40] * 30))]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    limits = quality_rules.Limits((0.002, -0.06, 0.95), (8.0, 9.5, 11.0, 13.0), (-0.01, -0.03, -0.02, -0.01))
+    for some in (quality_rules.Limits(), limits):
+        found = quality_rules.quality_rules(table, some).collect()
+        assert {r.doc_id: r.kept for r in found} == {i: brute_kept(t, c, some if some.knots else None) for i, t in enumerate(texts)}
+        assert len({r.kept for r in found}) == 2
+
+
+def test_bands_are_learnt_and_decide(spark):
+    """Good texts of all lengths stay, those of the same words with marks that repeat go, though no base rule fails."""
+    rng = np.random.default_rng(7)
+    rows, labels = [], []
+    for i in range(900):
+        n = int(rng.integers(60, 1500))
+        words = [f"{a}{b}" for a, b in zip(rng.choice(VOCAB, n), rng.choice(VOCAB, n), strict=True)]
+        good = i % 10 > 0
+        rows.append((i, " ".join(words if good else [f"{w}&&&***" for w in words])))
+        labels.append((i, int(good)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*labels, (5000, 1), (None, 1), (3, None)], "doc_id long, quality int")
+    found = quality_rules.quality_rules(docs, quality_rules.fit(docs, known)).collect()
+    held = [r for r in found if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert not any(r.base_failed for r in found)
+    assert np.mean([not r.kept for r in held if r.doc_id % 10 == 0]) > 0.9
+    assert np.mean([r.kept for r in held if r.doc_id % 10]) > 0.95
+    assert quality_rules.fit(docs, known.limit(0)) == quality_rules.fit(docs.limit(0), known) == quality_rules.Limits()
 
 
 def test_quality_rules(docs):
@@ -432,7 +467,9 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     import zstandard
 
     c = zstandard.ZstdCompressor(level=quality_rules.LEVEL)
-    good = {i for i, t in enumerate(texts) if brute_kept(t or "", c)}
+    table = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    limits = quality_rules.fit(table, spark.read.parquet(str(tmp_path / "labels.parquet")))
+    good = {i for i, t in enumerate(texts) if brute_kept(t or "", c, limits if limits.knots else None)}
     assert {r.doc_id for r in held["quality_rules"]} == good and {r.copy for r in held["quality_rules"]} == {"mine"}
     weights = byte_cnn.train(sample(spark.read.parquet(str(tmp_path / "documents.parquet")), spark.read.parquet(str(tmp_path / "labels.parquet")), "quality", byte_cnn.PER_CLASS, byte_cnn.MAX_CHARS))
     passing = {i for i in good if byte_cnn.probabilities(weights, [(texts[i] or "").encode()])[0] >= byte_cnn.THRESHOLD}
