@@ -28,13 +28,14 @@ def fits(docs: DataFrame) -> DataFrame:
     return numbered(docs).groupBy("doc_id").agg(F.sum(F.octet_length("numbered") + 1).alias("bytes")).withColumn("fits", F.col("bytes") <= MAX_PROMPT_BYTES)
 
 
-def pin(docs: DataFrame, cited: DataFrame) -> DataFrame:
-    """(doc_id, line, column, verified) of citations (doc_id, line, quote), one row each.
+def pins(docs: DataFrame, cited: DataFrame) -> DataFrame:
+    """cited with the columns at_line, column and verified: a row each citation (doc_id, line, quote, ...), however many share one.
 
     Of the places where the trimmed quote stands, the nearest to the cited line counts, then the first. A quote that isn't
-    there, or is empty, keeps its cited line, column 0 and isn't verified.
+    there, or is empty, keeps its cited line, column 0 and isn't verified; so does one of a document that there isn't. A null line counts as 1.
     """
-    asked = cited.select("doc_id", F.coalesce(F.col("line").cast("long"), F.lit(1)).alias("hint"), F.regexp_replace(F.coalesce("quote", F.lit("")), r"^\s+|\s+$", "").alias("quote"))
+    hint, trimmed = F.coalesce(F.col("line").cast("long"), F.lit(1)), F.regexp_replace(F.coalesce("quote", F.lit("")), r"^\s+|\s+$", "")
+    asked = cited.select(F.col("doc_id"), hint.alias("hint"), trimmed.alias("quote"))
     parts = F.when(F.col("quote") != "", F.split(F.replace("text", F.col("quote"), F.lit(T.SPLIT)), T.SPLIT))
     one = asked.distinct().join(docs.select("doc_id", "text"), "doc_id").withColumn("parts", parts)
     found = one.filter(F.size("parts") > 1).select("doc_id", "hint", "quote", F.size("parts").alias("n"), F.posexplode("parts").alias("k", "part"))
@@ -48,7 +49,15 @@ def pin(docs: DataFrame, cited: DataFrame) -> DataFrame:
     placed = found.select("doc_id", "hint", "quote", "n", "k", start.alias("start"), line.alias("at"), opened.alias("opened"))
     placed = placed.withColumn("opened", F.coalesce(F.max("opened").over(w), F.lit(0))).filter("k < n - 1")
     best = placed.groupBy("doc_id", "hint", "quote").agg(F.min(F.struct(F.abs(F.col("at") - F.col("hint")).alias("d"), "start", "at", (F.col("start") - F.col("opened") + 1).alias("column"))).alias("b"))
-    return asked.join(best, ["doc_id", "hint", "quote"], "left").select("doc_id", F.coalesce("b.at", "hint").cast("long").alias("line"), F.coalesce("b.column", F.lit(0)).cast("long").alias("column"), F.col("b.at").isNotNull().alias("verified"))
+    best = best.select(F.col("doc_id").alias("__doc"), F.col("hint").alias("__hint"), F.col("quote").alias("__quote"), "b")
+    known = cited.join(best, (cited["doc_id"] == best["__doc"]) & (hint == best["__hint"]) & (trimmed == best["__quote"]), "left")
+    return known.select(*cited.columns, F.coalesce("b.at", hint).cast("long").alias("at_line"), F.coalesce("b.column", F.lit(0)).cast("long").alias("column"), F.col("b.at").isNotNull().alias("verified"))
+
+
+def pin(docs: DataFrame, cited: DataFrame) -> DataFrame:
+    """(doc_id, line, column, verified) of citations (doc_id, line, quote), as pins() finds them."""
+    found = pins(docs, cited.select("doc_id", "line", "quote"))
+    return found.select("doc_id", F.col("at_line").alias("line"), "column", "verified")
 
 
 def explain(findings: DataFrame, ask: Callable[[str], str], most: int = MAX_FINDINGS) -> DataFrame:

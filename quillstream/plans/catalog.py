@@ -22,7 +22,7 @@ from ..operators import evidence as E
 from ..operators import strict as S
 from ..operators.frames import Frames
 from ..operators.lineage import checkpoint_folder
-from . import history_queries
+from . import evidence_queries, history_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Lists configured for the synthetic corpus, which holds none of the built-in entries.
@@ -188,6 +188,7 @@ def queries() -> dict[str, Query]:
         "html_report": lambda s, d: P.pages(A.counts(f := every(s, d).settled()), L.located(f, **LISTS)),
         "check_since": lambda s, d: H.check_since(revisions(s, d), 0, 1, **LISTS),
         **history_queries.queries(CLICHES),
+        **evidence_queries.queries(lambda s, d: documents(s, d, None), dialogue_corpus),
     }
 
 
@@ -371,6 +372,7 @@ def oracle_sql() -> dict[str, str]:
     best = lambda kind, item, source, n: f"SELECT doc_id, '{kind}' AS kind, row_number() OVER (PARTITION BY doc_id ORDER BY count DESC, item) AS rank, item, count FROM (SELECT doc_id, {item} AS item, {source}) QUALIFY rank <= {n}"
     out["report_tops_by_doc"] = f"""({with_all} {best('word', 'lower', f"count(*) AS count FROM words WHERE lower NOT IN ({stop}) AND length(lower) >= 3 GROUP BY 1, 2", 15)})
         UNION ALL (SELECT * FROM ({best('repeat', 'phrase', f"count FROM ({out['repeats']})", 10)})) UNION ALL ({with_all} {best('opener', 'lower', "count(*) AS count FROM words WHERE w_in_sent = 0 GROUP BY 1, 2", 8)})"""
+    out |= evidence_queries.oracle_sql()
     out |= history_queries.oracle_sql(segmented, echo, names, adverb, lambda rule: _phrases(CLICHES, rule))
     limits = ", ".join(f"('{rule}', '{kind}', {most}, '{severity}')" for rule, kind, most, severity in R.SAMPLE_LIMITS)
     out["check_violations"] = f"""SELECT doc_id, rule, actual, "limit", severity FROM (UNPIVOT ({out["report_metrics"]}) ON {", ".join(f"{x[0]}::DOUBLE AS {x[0]}" for x in R.SAMPLE_LIMITS)} INTO NAME rule VALUE actual)
@@ -393,6 +395,8 @@ def oracle_sql() -> dict[str, str]:
         "attributions": f"{told}, {credit} SELECT doc_id, para, 0::BIGINT AS nth, verb, kind, adverb, speaker FROM a",
         "tags_summary": f"{told}, {credit} SELECT CASE WHEN kind IS NULL THEN 'untagged' WHEN kind = 'showy' THEN 'showy' WHEN adverb THEN 'adverb' ELSE 'plain' END AS bucket, count(*) AS count FROM a GROUP BY 1",
         "speakers": f"{told}, {credit} SELECT coalesce(speaker, '(unattributed)') AS speaker, count(*) AS lines, sum(len(list_filter(string_split(said, ' '), lambda w: w <> '')))::BIGINT AS words FROM a GROUP BY 1",
+        "voice_profiles": f"""{told}, {credit}, s AS (SELECT speaker AS name, said FROM a WHERE speaker IS NOT NULL QUALIFY row_number() OVER (PARTITION BY speaker ORDER BY md5(doc_id || ':' || para || ':0'), doc_id, para) <= 200)
+            SELECT name, count(*) AS lines, sum(len(list_filter(string_split(said, ' '), lambda w: w <> '')))::BIGINT || ' words' AS profile FROM s GROUP BY 1""",
         "arc": f"""{told}, b AS (SELECT doc_id, coalesce(section, -1) AS section, count(*) AS words, count(DISTINCT sent) AS sentences, count(*) FILTER (in_dialogue) AS said, count(*) FILTER ({adverb}) AS adverbs FROM words GROUP BY 1, 2),
             f AS (SELECT p.doc_id, coalesce(section, -1) AS section, count(*) AS passives FROM {passive} AS p JOIN sents USING (doc_id, sent) GROUP BY 1, 2)
             SELECT doc_id, section, words, round(said / words, 4) AS dialogue_ratio, round(words / sentences, 4) AS mean_sentence_words, adverbs, round(adverbs * 1000.0 / words, 4)::DOUBLE AS adverbs_per_1k, coalesce(passives, 0) AS passives, round(coalesce(passives, 0) * 1000.0 / words, 4)::DOUBLE AS passives_per_1k FROM b LEFT JOIN f USING (doc_id, section)""",
