@@ -20,6 +20,7 @@ from ..operators import render as P
 from ..operators import report as R
 from ..operators import evidence as E
 from ..operators import strict as S
+from ..operators.viewport import Viewport
 from ..operators.frames import Frames
 from ..operators.lineage import checkpoint_folder
 from . import evidence_queries, history_queries
@@ -107,6 +108,15 @@ def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.sentence_series(f, A.adverbs(f.words).unionByName(A.passive(f.sentences)))
 
 
+def _viewport(spark: SparkSession, sf_dir: str) -> Viewport:
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/quillstream-view-{uuid.uuid4().hex}"
+    return Viewport(spark, folder, 2).build(L.located(english(spark, sf_dir), **LISTS))
+
+
+def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", F.lit(3).cast("long").alias("first"), F.lit(5).cast("long").alias("last")).distinct()
+
+
 def _closed(table: DataFrame) -> DataFrame:
     """-1 for the missing end of the open bucket."""
     return table.withColumn("high", F.coalesce("high", F.lit(-1).cast("long")))
@@ -180,6 +190,10 @@ def queries() -> dict[str, Query]:
         "visible_findings": lambda s, d: L.visible(L.located(english(s, d), **LISTS), 1, 3, ("adverbs", "passive")),
         "chart_sentences": lambda s, d: _series(s, d),
         "chart_points": lambda s, d: C.points(_series(s, d), 4),
+        "viewport_rows": lambda s, d: _viewport(s, d).view(_views(s, d), ("adverbs", "passive", "hedges"), 20)[0],
+        "viewport_counts": lambda s, d: _viewport(s, d).view(_views(s, d))[1],
+        "chart_resolutions": lambda s, d: C.resolutions(_series(s, d)),
+        "chart_paragraphs": lambda s, d: C.visible_points(_series(s, d), dialogue_corpus(s, d).docs.select("doc_id", F.lit(5).cast("long").alias("first"), F.lit(40).cast("long").alias("last")), "paragraph"),
         "chapters": lambda s, d: C.chapters(dialogue_corpus(s, d)),
         "strict_review": lambda s, d: S.review(dialogue_corpus(s, d)),
         "pinned_quotes": lambda s, d: E.pin(documents(s, d, None), documents(s, d, None).select("doc_id", F.lit(2).alias("line"), F.lit(" of the ").alias("quote"))),
@@ -354,6 +368,11 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT doc_id, count(*) AS overused FROM ({over('doc_id, ', 'PARTITION BY doc_id')}) GROUP BY 1",
             f"SELECT doc_id, count(*) AS n_echoes FROM ({echo(with_all, names)}) GROUP BY 1",
         )),
+        "viewport_counts": f"""WITH lw AS (WITH {segmented("true", _LINES, "key")} SELECT doc_id // 100000 AS doc_id, doc_id % 100000 AS line, sum(n) AS n FROM sents GROUP BY 1, 2),
+            cum AS (SELECT doc_id, line, sum(n) OVER d - n AS a, sum(n) OVER d AS b FROM lw WINDOW d AS (PARTITION BY doc_id ORDER BY line)),
+            f AS ({with_en} SELECT DISTINCT doc_id, rule, pos, n FROM ({every_phrase} UNION ALL {nominal} UNION ALL {adverbs} UNION ALL {passive}) UNION ALL SELECT doc_id, 'echo', pos, 1 FROM ({echo(with_en, names)}))
+            SELECT f.doc_id, 3::BIGINT AS first, 5::BIGINT AS last, rule, count(*) AS count FROM f JOIN cum AS s ON s.doc_id = f.doc_id AND f.pos >= s.a AND f.pos < s.b JOIN cum AS e ON e.doc_id = f.doc_id AND f.pos + f.n - 1 >= e.a AND f.pos + f.n - 1 < e.b
+            WHERE s.line <= 5 AND e.line >= 3 GROUP BY f.doc_id, rule""",
         "revisions_top": f"""WITH f AS ({with_en} SELECT doc_id, rule, message, sent, pos FROM ({every_phrase} UNION ALL {nominal} UNION ALL {adverbs} UNION ALL {passive}) UNION ALL SELECT doc_id, rule, message, sent, first FROM ({of_runs}) JOIN sents USING (doc_id, sent)),
             r AS (SELECT *, CASE rule {' '.join(f"WHEN '{k}' THEN {v}" for k, v in V.REVISION_RANK.items())} ELSE 0 END::BIGINT AS rank FROM f UNION ALL SELECT doc_id, 'echo', stem, sent, pos, (100 - least(distance, 50))::BIGINT FROM ({out['echoes']}))
             SELECT * FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY rule ORDER BY rank DESC, doc_id, pos, message) <= 3) ORDER BY rank DESC, doc_id, pos, message LIMIT 50""",
@@ -407,6 +426,12 @@ def oracle_sql() -> dict[str, str]:
         "chart_points": f"""{told}, {series}, g AS (SELECT *, ntile(4) OVER (PARTITION BY doc_id, section ORDER BY sent) AS point FROM series),
             o AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY doc_id, section, point, para ORDER BY sent) = 1 THEN paragraph_words END AS opens FROM g)
             SELECT doc_id, section, point, min(sent) AS first_sentence, max(sent) AS last_sentence, min(first_word) AS first_word, sum(words)::BIGINT AS words, round(sum(words) / count(*) + 1e-9, 4)::DOUBLE AS sentence_length, round(sum(opens) / count(opens) + 1e-9, 4)::DOUBLE AS paragraph_length, round(sum(dialogue_words) * 100.0 / sum(words) + 1e-9, 4)::DOUBLE AS dialogue_share, round(sum(findings) * 1000.0 / sum(words) + 1e-9, 4)::DOUBLE AS finding_density, round(sum(variation) / count(*) + 1e-9, 4)::DOUBLE AS sentence_variation FROM o GROUP BY 1, 2, 3""",
+        "chart_resolutions": f"""{told}, {series}, r AS (SELECT *, count(DISTINCT section) OVER (PARTITION BY doc_id) AS sections FROM series),
+            g AS ({' UNION ALL '.join(f"SELECT *, '{kind}' AS resolution, {t}::BIGINT AS target, {'section' if kind == 'chapter' else 'NULL::BIGINT'} AS part, ntile({t}) OVER (PARTITION BY doc_id{', section' if kind == 'chapter' else ''} ORDER BY sent) - 1 AS point FROM r{' WHERE sections >= 2' if kind == 'chapter' else ''}" for kind, targets in C.TARGETS.items() for t in targets)}),
+            o AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY doc_id, resolution, target, part, point, para ORDER BY sent) = 1 THEN paragraph_words END AS opens FROM g)
+            SELECT doc_id, resolution, target, part AS section, point, {_point_columns()}, CASE WHEN any_value(sections) >= 2 THEN resolution = 'chapter' AND target = 8 ELSE resolution = 'overview' AND target = 256 END AS automatic FROM o GROUP BY doc_id, resolution, target, part, point""",
+        "chart_paragraphs": f"""{told}, {series}, o AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY doc_id, para ORDER BY sent) = 1 THEN paragraph_words END AS opens FROM series WHERE (doc_id, para) IN (SELECT (doc_id, para) FROM series WHERE sent BETWEEN 5 AND 40))
+            SELECT doc_id, 5::BIGINT AS first, 40::BIGINT AS last, para AS point, {_point_columns()} FROM o GROUP BY doc_id, para""",
         "split_sections": f"""{told}, x AS (SELECT doc_id, section, string_agg(block, chr(10) || chr(10) ORDER BY conv_id, turn, block) AS body FROM blocks WHERE section IS NOT NULL GROUP BY 1, 2)
             SELECT doc_id, section + 1 AS number, lpad((section + 1)::VARCHAR, greatest(length((count(*) OVER d)::VARCHAR), 2)::INT, '0') || '-' || trim(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '-') AS name, body || CASE WHEN section < max(section) OVER d THEN chr(10) ELSE '' END AS source FROM x JOIN heads USING (doc_id, section) WINDOW d AS (PARTITION BY doc_id)""",
     }
@@ -420,6 +445,17 @@ RULES = ("adverbs", "cliche", "filter", "hedges", "nominal", "passive", "tics")
 _SAID = "(SELECT doc_id, list_aggregate(regexp_extract_all(text, '\"([^\"]*)(?:\"|$)', 1), 'string_agg', ' ') AS text FROM documents)"
 
 
+#: Each line of the English documents as a text of its own.
+_LINES = "(SELECT doc_id * 100000 + k AS key, string_split(text, chr(10))[k] AS text FROM documents, unnest(generate_series(1, len(string_split(text, chr(10))))) AS u(k) WHERE lang = 'en')"
+
+
+def _point_columns() -> str:
+    """The columns of a chart's point over sentences with `opens`, a paragraph's length where it first occurs in the point."""
+    shares = (("sum(words) / count(*)", "sentence_length"), ("sum(opens) / count(opens)", "paragraph_length"), ("sum(dialogue_words) * 100.0 / sum(words)", "dialogue_share"), ("sum(findings) * 1000.0 / sum(words)", "finding_density"), ("sum(variation) / count(*)", "sentence_variation"))
+    ends = "min(sent) AS first_sentence, max(sent) AS last_sentence, min(first_word) AS first_word, max(first_word + words - 1) AS last_word, min(para) AS first_paragraph, max(para) AS last_paragraph, sum(words)::BIGINT AS words"
+    return ends + ", " + ", ".join(f"round({x} + 1e-9, 4)::DOUBLE AS {name}" for x, name in shares)
+
+
 def _metric_columns() -> str:
     rates = ", ".join(f"round(coalesce(n_{r}, 0) * 1000.0 / words, 4)::DOUBLE AS {r}_per_1k" for r in (*RULES, "echoes"))
     whole = ", ".join(f"coalesce({c}, 0)::BIGINT AS {x}" for c, x in (*[(v, v) for v in R.RUNS.values()], ("n_cliche", "cliches"), ("overused", "overused")))
