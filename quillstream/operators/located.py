@@ -17,7 +17,7 @@ def word_places(f: Frames) -> DataFrame:
 
     Places are running sums over a document's alternating gaps and words: start, line and column count characters (lines and
     columns from 1), unit and units count UTF-16 units from the line's start. One exchange, by document. In marked-up texts
-    a masked mark takes as many columns as it has bytes.
+    places are those of the source: a mark that is masked takes its own characters and units.
     """
     pieces = F.split(F.regexp_replace("prose", f"({T.WORD})", f"{T.SPLIT}$1{T.SPLIT}"), T.SPLIT)
     one = f.docs.select("doc_id", F.posexplode(pieces).alias("i", "piece"))

@@ -23,9 +23,29 @@ class Masked:
     breaks: set[int] = field(default_factory=set)  # lines that begin a paragraph
 
 
+#: After a blanked character's space, one for each further byte of it; instead of the space of one that is two UTF-16 units.
+FILL, WIDE = "\x1f", "\U000f0000"
+
+
 def _blank(text: str) -> str:
-    """A space for each byte, so that byte offsets hold."""
-    return " " * len(text.encode())
+    """A space for each byte. FILL and WIDE tell which spaces stand for one character, so that columns can be counted as well."""
+    if text.isascii():
+        return " " * len(text)
+    return "".join((WIDE if c > "\uffff" else " ") + FILL * (len(c.encode()) - 1) for c in text)
+
+
+def _bare(line: str) -> str:
+    return line.replace(WIDE, " ").strip()
+
+
+def by_bytes(text: str) -> str:
+    """Blanked text with a space a byte."""
+    return text.replace(FILL, " ").replace(WIDE, " ")
+
+
+def by_characters(text: str) -> str:
+    """Blanked text with a character for each of the source; a blanked one of two UTF-16 units is still of two."""
+    return text.replace(FILL, "")
 
 
 _INLINE = re.compile(
@@ -49,7 +69,7 @@ def inline(line: str) -> str:
 
 
 def title_of(text: str) -> str:
-    return " ".join(inline(text).split())
+    return " ".join(by_bytes(inline(text)).split())
 
 
 def markdown(source: str) -> Masked:
@@ -79,7 +99,7 @@ def markdown(source: str) -> Masked:
                     head, mark, rest = rest.partition("<!--")
                     kept += head + _blank(mark)
                     comment = bool(mark)
-            line, bare = kept, kept.strip()
+            line, bare = kept, _bare(kept)
         if m := re.match(r"\s{0,3}(`{3,}|~{3,})", line):
             fence = m[1]
             out.prose.append(_blank(line))
@@ -87,7 +107,7 @@ def markdown(source: str) -> Masked:
             out.headings.append((len(m[1]), title_of((m[2] or "").rstrip().rstrip("#")), k + 1))
             out.prose.append(_blank(line))
             out.breaks.add(k + 1)
-        elif bare and (set(bare) == {"="} or (set(bare) == {"-"} and len(bare) > 1)) and out.prose and out.prose[-1].strip() and k not in out.breaks:
+        elif bare and (set(bare) == {"="} or (set(bare) == {"-"} and len(bare) > 1)) and out.prose and _bare(out.prose[-1]) and k not in out.breaks:
             out.headings.append((1 if bare[0] == "=" else 2, title_of(lines[k - 1]), k))
             out.prose[-1] = _blank(out.prose[-1])
             out.prose.append(_blank(line))
@@ -110,18 +130,18 @@ _SCENE = re.compile(r"(?:INT|EXT|EST|INT\.?/EXT|I/E)[. ]", re.I)
 
 def screenplay(source: str) -> Masked:
     """Fountain: title page, sections, scenes, transitions, cues, dialogue (quoted by the dialogue lines), notes."""
-    source = re.sub(r"/\*.*?\*/|\[\[.*?\]\]", lambda m: re.sub(r"[^\n]", " ", m[0]), source, flags=re.S)
+    source = re.sub(r"/\*.*?\*/|\[\[.*?\]\]", lambda m: "\n".join(map(_blank, m[0].split("\n"))), source, flags=re.S)
     out, lines = Masked(), source.split("\n")
     k = 0
     if lines and re.match(r"[A-Za-z][A-Za-z ]*:", lines[0]):
-        while k < len(lines) and lines[k].strip():
+        while k < len(lines) and _bare(lines[k]):
             out.prose.append(_blank(lines[k]))
             k += 1
     speaking = False
     for k in range(k, len(lines)):
-        line, bare = lines[k], lines[k].strip()
-        fresh = k == 0 or not lines[k - 1].strip()
-        following = k + 1 < len(lines) and bool(lines[k + 1].strip())
+        line, bare = lines[k], _bare(lines[k])
+        fresh = k == 0 or not _bare(lines[k - 1])
+        following = k + 1 < len(lines) and bool(_bare(lines[k + 1]))
         if not bare:
             speaking = False
             out.prose.append(line)
@@ -129,13 +149,13 @@ def screenplay(source: str) -> Masked:
             out.breaks.add(k)
             out.prose.append(_blank(line) if bare.startswith("(") and bare.endswith(")") else SPEECH + re.sub(r"[*_]", " ", line))
         elif m := re.match(r"\s*(#{1,6})\s*(.*)", line):
-            out.headings.append((len(m[1]), m[2].strip(), k + 1))
+            out.headings.append((len(m[1]), by_bytes(m[2]).strip(), k + 1))
             out.prose.append(_blank(line))
             out.breaks.add(k + 1)
         elif bare.startswith("=") or (bare.startswith(">") and not bare.endswith("<")) or (fresh and bare.endswith("TO:") and bare == bare.upper()):
             out.prose.append(_blank(line))
         elif fresh and (_SCENE.match(bare) or (bare.startswith(".") and not bare.startswith(".."))):
-            out.headings.append((2, bare.lstrip("."), k + 1))
+            out.headings.append((2, by_bytes(bare).lstrip("."), k + 1))
             out.prose.append(_blank(line))
             out.breaks.add(k + 1)
         elif fresh and following and (bare.startswith("@") or (bare == bare.upper() and re.search(r"[^\W\d_]", bare))):
@@ -151,7 +171,7 @@ def paragraphs_of(found: Masked) -> list[dict]:
     out, held, section, heads = [], [], None, {line: k for k, (_, _, line) in enumerate(found.headings)}
 
     def flush() -> None:
-        text = "\n".join(held).strip()
+        text = by_bytes("\n".join(held)).strip()
         if text:
             spoken = text.startswith(SPEECH)
             text = text.replace(SPEECH, "")
@@ -159,18 +179,19 @@ def paragraphs_of(found: Masked) -> list[dict]:
         held.clear()
 
     for k, line in enumerate(found.prose):
-        if k in found.breaks or not line.strip():
+        if k in found.breaks or not _bare(line):
             flush()
         if k + 1 in heads:
             flush()
             section = heads[k + 1]
-        if line.strip():
+        if _bare(line):
             held.append(line)
     flush()
     return out
 
 
 def parse(source: str, kind: str) -> Masked:
+    source = source.replace(FILL, " ")
     if kind == "markdown":
         return markdown(source)
     if kind == "fountain":
@@ -187,5 +208,5 @@ def parse_batches(batches: Iterator) -> Iterator:
         rows = []
         for doc_id, kind, source in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             found = parse(source, kind or "plain")
-            rows.append({"doc_id": doc_id, "source": source, "prose": "\n".join(found.prose).replace(SPEECH, ""), "paras": paragraphs_of(found), "headings": [{"level": a, "title": b, "line": c} for a, b, c in found.headings]})
+            rows.append({"doc_id": doc_id, "source": source, "prose": by_characters("\n".join(found.prose)).replace(SPEECH, ""), "paras": paragraphs_of(found), "headings": [{"level": a, "title": b, "line": c} for a, b, c in found.headings]})
         yield pa.RecordBatch.from_pylist(rows, schema)

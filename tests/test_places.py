@@ -31,6 +31,23 @@ def test_places_cut_the_words(spark):
         assert line.encode("utf-16-le")[2 * r.unit : 2 * (r.unit + r.units)].decode("utf-16-le") == words[r.doc_id, r.pos]
 
 
+def test_places_in_marked_up_texts(spark):
+    """Whatever is masked before them, with characters of one to four bytes, words stand where the source has them."""
+    odd = "é日\U0001f40b"
+    markdown = [f"---\ntitle: {odd}\n---", f"# Head {odd}", f"Setext {odd}\n===", f"One `{odd}` two **{odd}three** ~~four~~.", f"![{odd}](a{odd}) five [link {odd} six](t{odd}) [^{odd}] seven.",
+                f"> - [x] {odd} eight\n> 9. nine", f"<b class='{odd}'>ten</b> https://x.y/{odd} eleven \\* twelve _thirteen_", f"Before <!-- {odd} --> after <!-- {odd}", f"{odd} --> end", f"~~~{odd}\n{odd} code\n~~~", f"| {odd} | table |", f"{odd}\n\nlast word\x1f here"]
+    fountain = [f"Title: {odd}\nAuthor: x", f"# Act {odd}", f"INT. HOUSE {odd} - DAY", f"He *{odd} waits* [[note {odd}]] here.", f"MARA {odd}\n({odd} softly)\nThe *{odd}* night /* {odd}\n{odd} */ is cold.", f"> {odd} CUT TO:", f"!{odd} forced _action_", f"= synopsis {odd}", f"> centred {odd} <"]
+    texts = {1: ("markdown", "\n\n".join(markdown)), 2: ("fountain", "\n\n".join(fountain))}
+    f = Frames.marked_up(spark.createDataFrame([(k, *v) for k, v in texts.items()], "doc_id long, format string, source string")).settled()
+    words = {(r.doc_id, r.pos): r.raw for r in f.words.collect()}
+    rows = L.word_places(f).collect()
+    assert {(r.doc_id, r.pos) for r in rows} == set(words) and len([k for k in words if k[0] == 1]) >= 15 and len([k for k in words if k[0] == 2]) >= 8
+    for r in rows:
+        line = texts[r.doc_id][1].split("\n")[r.line - 1]
+        assert line[r.column - 1 : r.column - 1 + r.length] == words[r.doc_id, r.pos] == texts[r.doc_id][1][r.start : r.start + r.length]
+        assert line.encode("utf-16-le")[2 * r.unit : 2 * (r.unit + r.units)].decode("utf-16-le") == words[r.doc_id, r.pos]
+
+
 def test_located_and_diagnostics(spark):
     f = frames(spark, TEXT)
     found = {(r.rule, r.message): r for r in L.located(f, hedges=["sort of", "seemed"], filters=[], cliches=[]).collect()}
