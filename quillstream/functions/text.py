@@ -12,7 +12,36 @@ from .fixed_values import ABBREVIATIONS, SYLLABLE_EXCEPTIONS
 #: A private-use mark before each word inside dialogue, and one between pieces of a text.
 SPOKEN, SPLIT = "\ue000", "\u0001"
 TOK = r"[\p{L}\p{M}\p{N}_]+(?:(?:(?<=[\p{L}\p{M}])[.:'’‘·](?=\p{L})|(?<=\p{N})[.,;'’‘](?=\p{N}))[\p{L}\p{M}\p{N}_]+)*"
-WORD = f"{SPOKEN}?{TOK}(?:[-‐‑]{SPOKEN}?{TOK})*"
+# Classes of the word boundary standard (UAX #29) as sets of characters.
+_NO_LETTER = r"\p{IsIdeographic}\p{IsHiragana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTai_Le}\p{IsNew_Tai_Lue}\p{IsTai_Tham}\p{IsTai_Viet}\p{IsAhom}"
+_KATAKANA_RANGES = r"〱-〵゛゜゠-ヺー-ヿㇰ-ㇿ㋐-㋾㌀-㍗ｦ-ﾝ\x{1AFF0}-\x{1AFFE}\x{1B000}\x{1B120}-\x{1B122}\x{1B164}-\x{1B167}"
+_KATAKANA = f"[{_KATAKANA_RANGES}]"
+_HEBREW = r"[א-תׯ-ײיִײַ-ﬨשׁ-ﭏ]"
+_LETTER = rf"[A-Za-zÀ-ÖØ-öø-ɏ[\p{{IsAlphabetic}}&&[^\p{{M}}{_KATAKANA_RANGES}{_NO_LETTER}]]]"
+_DIGIT = r"[0-9[\p{Nd}٫]]"
+_JOINER = r"[_[\p{Pc} ]]"
+_EXTENDER = r"[\p{M}‌‍ﾞﾟ\x{1F3FB}-\x{1F3FF}[\p{Cf}&&[^​]]]"
+_EXTEND = f"{_EXTENDER}*+"
+_MID_LETTER = r"['.:··՟״‘’․‧︓﹒﹕＇．：]"
+_MID_DIGIT = r"['.,;;։،؍٬߸‘’․⁄︐︔﹐﹒﹔＇，．；]"
+#: Letters and digits in runs, with marks between two of a kind, and what extends a character; then katakana; then words of joiners.
+_RUNS = (
+    rf"(?:(?:{_LETTER}++{_EXTEND})++(?:{_MID_LETTER}{_EXTEND}(?={_LETTER})|(?<={_HEBREW}{_EXTENDER}{{0,16}})\"{_EXTEND}(?={_HEBREW}))?"
+    rf"|(?:{_DIGIT}++{_EXTEND})++(?:{_MID_DIGIT}{_EXTEND}(?={_DIGIT}))?)++"
+)
+_KATAKANA_RUN, _JOINERS = f"(?:{_KATAKANA}++{_EXTEND})++", f"(?:{_JOINER}{_EXTEND})++"
+_PART = f"(?:{_RUNS}|{_KATAKANA_RUN})"
+#: A word by the standard's rules WB4 to WB13; an alphabetic character that is no letter there (an ideograph, say) is one by itself.
+TOK_ANY = rf"(?:(?:{_JOINERS})?+{_PART}(?:{_JOINERS}{_PART})*+(?:{_JOINERS}|(?<={_HEBREW}{_EXTENDER}{{0,16}})'{_EXTEND})?+|\p{{IsAlphabetic}}{_EXTEND})"
+#: A character for which TOK, the same rules over Latin letters and digits, is not enough.
+ODD = "[^\\u0000-\\u00AC\\u00AE-\\u00B1\\u00B4-\\u00B8\\u00BA\\u00BB\\u00BF-\\u024F\\u2010-\\u201F\\u2026\\u20AC]"
+# A word has a letter, and hyphens join words alone: what is looked ahead over are digits, joiners and the marks between digits.
+_LETTERED = r"(?=(?:[\p{N}_]|(?<=\p{N})[.,;'’‘](?=\p{N}))*+\p{IsAlphabetic})"
+_NUMBER = rf"(?:(?:{_DIGIT}++{_EXTEND})++(?:{_MID_DIGIT}{_EXTEND}(?={_DIGIT}))?)++"
+_LETTERED_ANY = rf"(?=\p{{IsAlphabetic}}|(?:{_JOINERS})?+(?:{_NUMBER}{_JOINERS})*+(?:(?:{_NUMBER})?+{_LETTER}|{_KATAKANA}))"
+WORD = f"{SPOKEN}?{_LETTERED}{TOK}(?:[-‐‑]{SPOKEN}?{_LETTERED}{TOK})*"
+WORD_PLAIN = f"{SPOKEN}?{TOK}(?:[-‐‑]{SPOKEN}?{TOK})*"
+WORD_ANY = f"{SPOKEN}?{_LETTERED_ANY}{TOK_ANY}(?:[-‐‑]{SPOKEN}?{_LETTERED_ANY}{TOK_ANY})*"
 BOUND = rf"([.!?…‽]+[\"'”’)\]»*_]*)(\s+)(?={SPOKEN}?[\p{{IsUppercase}}0-9]|[\"'“‘(\[«¿¡])"
 SPEECH = "([\"“«])([^\"“”«»]*)([\"”»]|$)"
 
@@ -135,7 +164,7 @@ def mark_speech(paragraph: Column) -> Column:
     Curly and angle quotes always (re)open it, straight quotes open and close it, unclosed dialogue runs to the end.
     """
     cut = F.split(F.regexp_replace(paragraph, SPEECH, f"$1{SPLIT}$2{SPLIT}$3"), SPLIT)
-    said = F.transform(cut, lambda part, i: F.when(i % 2 == 1, F.regexp_replace(part, f"({TOK})", f"{SPOKEN}$1")).otherwise(part))
+    said = F.transform(cut, lambda part, i: F.when(i % 2 == 1, F.when(part.rlike(ODD), F.regexp_replace(part, f"({TOK_ANY})", f"{SPOKEN}$1")).otherwise(F.regexp_replace(part, f"({TOK})", f"{SPOKEN}$1"))).otherwise(part))
     return F.when(paragraph.rlike("[\"“«]"), F.array_join(said, "")).otherwise(paragraph)
 
 
@@ -161,6 +190,15 @@ def sentences(paragraph: Column) -> Column:
 
 
 def words(sentence: Column) -> Column:
-    """Words with at least one letter; hyphens join words. Only a sentence with numbers, marks or underscores can have others."""
-    found = F.regexp_extract_all(sentence, F.lit(f"({WORD})"), F.lit(1))
-    return F.when(sentence.rlike(r"[\p{N}\p{M}_]"), F.filter(found, lambda w: w.rlike(r"\p{IsAlphabetic}"))).otherwise(found)
+    """Words by the word boundary standard, with at least one letter; hyphens join words.
+
+    Only a sentence with an ODD character needs the full rules, and only one with numbers or underscores the look for a letter.
+    """
+    of = lambda pattern: F.regexp_extract_all(sentence, F.lit(f"({pattern})"), F.lit(1))
+    return F.when(sentence.rlike(ODD), of(WORD_ANY)).when(sentence.rlike(r"[\p{N}_]"), of(WORD)).otherwise(of(WORD_PLAIN))
+
+
+def split_words(text: Column) -> Column:
+    """The text cut before and behind each word: gaps and words in turn."""
+    by = lambda pattern: F.regexp_replace(text, f"({pattern})", f"{SPLIT}$1{SPLIT}")
+    return F.split(F.when(text.rlike(ODD), by(WORD_ANY)).otherwise(by(WORD)), SPLIT)

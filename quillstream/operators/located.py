@@ -19,8 +19,7 @@ def word_places(f: Frames) -> DataFrame:
     columns from 1), unit and units count UTF-16 units from the line's start. One exchange, by document. In marked-up texts
     places are those of the source: a mark that is masked takes its own characters and units.
     """
-    pieces = F.split(F.regexp_replace("prose", f"({T.WORD})", f"{T.SPLIT}$1{T.SPLIT}"), T.SPLIT)
-    one = f.docs.select("doc_id", F.posexplode(pieces).alias("i", "piece"))
+    one = f.docs.select("doc_id", F.posexplode(T.split_words(F.col("prose"))).alias("i", "piece"))
     tail = F.substring_index("piece", "\n", -1)  # what follows the last line end
     w = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("doc_id").orderBy("i")

@@ -223,6 +223,10 @@ def segmented(where: str = "lang = 'en'", table: str = "documents", key: str = "
         for _ in range(2):
             joiners = f"regexp_replace({joiners}, '(\\p{{N}})[{mark}](\\p{{N}})', '\\1' || chr({code}) || '\\2', 'g')"
     chars = "[\\p{L}\\p{M}\\p{N}_''’‘' || chr(57344) || chr(57345) || chr(57346) || chr(57347) || ']+"
+    # hyphens join words, but not what has no letter: such a part between hyphens parts the words beside it
+    unlettered = "k"
+    for _ in range(2):
+        unlettered = f"regexp_replace({unlettered}, '(^|[-‐‑\x02])[^\\p{{L}}\x02‐‑-]+($|[-‐‑\x02])', chr(2), 'g')"
     return f"""
         base AS (SELECT {key} AS doc_id, trim(coalesce(text, ''), chr(32) || chr(10) || chr(13) || chr(9)) AS t FROM {table} WHERE {where}),
         cut AS (SELECT doc_id, string_split(regexp_replace(t, '([.!?…‽]+["''”’)\\]»*_]*)\\s+([\\p{{Lu}}0-9"''“‘(\\[«¿¡])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS p FROM base),
@@ -232,8 +236,9 @@ def segmented(where: str = "lang = 'en'", table: str = "documents", key: str = "
         joined AS (SELECT *, coalesce(lag(abb) OVER (PARTITION BY doc_id ORDER BY i), false) AS j FROM flagged),
         numbered AS (SELECT doc_id, i, piece AS x, sum(CASE WHEN j THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS sid FROM joined),
         masked AS (SELECT doc_id, sid, i, {joiners} AS y FROM numbered),
-        listed AS (SELECT doc_id, sid, i, list_filter(list_transform(regexp_extract_all(y, '{chars}(?:[-‐‑]{chars})*'), lambda k: translate(trim(k, '''’‘'), chr(57344) || chr(57345) || chr(57346) || chr(57347), '.:,;')), lambda k: regexp_matches(k, '\\p{{L}}')) AS ws FROM masked),
-        grouped AS (SELECT doc_id, sid, flatten(list(ws ORDER BY i)) AS ws FROM listed GROUP BY ALL),
+        listed AS (SELECT doc_id, sid, i, list_filter(list_transform(regexp_extract_all(y, '{chars}(?:[-‐‑]{chars})*'), lambda k: translate(trim(k, '''’‘'), chr(57344) || chr(57345) || chr(57346) || chr(57347), '.:,;')), lambda k: regexp_matches(k, '\\p{{L}}')) AS joined FROM masked),
+        parted AS (SELECT doc_id, sid, i, list_filter(flatten(list_transform(joined, lambda k: string_split({unlettered}, chr(2)))), lambda k: regexp_matches(k, '\\p{{L}}')) AS ws FROM listed),
+        grouped AS (SELECT doc_id, sid, flatten(list(ws ORDER BY i)) AS ws FROM parted GROUP BY ALL),
         sents AS (SELECT doc_id, row_number() OVER d - 1 AS sent, ws, len(ws)::BIGINT AS n, (sum(len(ws)) OVER d - len(ws))::BIGINT AS first FROM grouped WHERE len(ws) > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY sid ROWS UNBOUNDED PRECEDING)),
         placed AS (SELECT doc_id, sent, k - 1 AS w_in_sent, ws[k] AS raw FROM sents, unnest(generate_series(1, len(ws))) AS u(k)),
         words AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent, w_in_sent) - 1 AS pos, translate(lower(raw), '’‘ʼ‐‑', '''''''--') AS lower FROM placed)"""
