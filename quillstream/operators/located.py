@@ -53,6 +53,13 @@ def located(f: Frames, most: int = 160, **lists) -> DataFrame:
     return out.select("doc_id", "rule", "message", "line", "column", "end_line", "end_column", "text")
 
 
+def placed(f: Frames, found: DataFrame, most: int = 160) -> DataFrame:
+    """Findings (doc_id, pos, sent, ...) with the line and column of their first word and an excerpt of its sentence."""
+    f = f.settled()
+    text = f.sentences.select("doc_id", F.col("sent").cast("long").alias("sent"), T.excerpt(F.col("text"), most).alias("text"))
+    return found.join(word_places(f).select("doc_id", "pos", "line", "column"), ["doc_id", "pos"]).join(text, ["doc_id", "sent"])
+
+
 def location(name: Column, line: Column, column: Column) -> Column:
     return F.concat_ws(":", name, line.cast("string"), column.cast("string"))
 

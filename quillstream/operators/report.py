@@ -112,17 +112,32 @@ def passed(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id").agg((F.count_if(F.col("severity") == "error") == 0).alias("passed"))
 
 
+def _ranked(f: Frames, **lists) -> DataFrame:
+    """(doc_id, rule, message, sent, pos, rank) of all findings that a review ranks; f is settled."""
+    found = list_findings(f, **lists).unionByName(run_findings(f)).select("doc_id", "rule", "message", "sent", "pos")
+    rank = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in V.REVISION_RANK.items() for x in kv]), F.col("rule")), F.lit(0))
+    echo = A.echoes(f.words).select("doc_id", F.lit("echo").alias("rule"), F.col("stem").alias("message"), "sent", "pos", (100 - F.least("distance", F.lit(50))).cast("long").alias("rank"))
+    return found.withColumn("rank", rank.cast("long")).unionByName(echo)
+
+
+def revisions_by_document(f: Frames, each: int = 3, limit: int = 50, **lists) -> DataFrame:
+    """(doc_id, rule, message, sent, pos, rank, nth, of): each document's findings that matter most, as revisions() takes them.
+
+    nth is the place in the document's list, `of` how many findings it has in all.
+    """
+    ranked = _ranked(f.settled(), **lists)
+    order = [F.desc("rank"), "pos", "message"]
+    some = ranked.withColumns({"k": F.row_number().over(Window.partitionBy("doc_id", "rule").orderBy(*order)), "of": F.count("*").over(Window.partitionBy("doc_id"))}).filter(F.col("k") <= each)
+    return some.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).filter(F.col("nth") <= limit).drop("k")
+
+
 def revisions(f: Frames, each: int = 3, limit: int = 50, **lists) -> DataFrame:
     """(doc_id, rule, message, sent, pos, rank) of the findings that matter most: up to `each` of a rule, up to `limit` of all.
 
     Within a rank findings go by document and place. The name of a rule counts, so long sentences and monotony, of one rank,
     have `each` places of their own.
     """
-    f = f.settled()
-    found = list_findings(f, **lists).unionByName(run_findings(f)).select("doc_id", "rule", "message", "sent", "pos")
-    rank = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in V.REVISION_RANK.items() for x in kv]), F.col("rule")), F.lit(0))
-    echo = A.echoes(f.words).select("doc_id", F.lit("echo").alias("rule"), F.col("stem").alias("message"), "sent", "pos", (100 - F.least("distance", F.lit(50))).cast("long").alias("rank"))
-    ranked = found.withColumn("rank", rank.cast("long")).unionByName(echo)
+    ranked = _ranked(f.settled(), **lists)
     order = [F.desc("rank"), "doc_id", "pos", "message"]
     # first the best of each document and rule, so that a rule's whole findings never meet in one task
     local = ranked.withColumn("k", F.row_number().over(Window.partitionBy("rule", "doc_id").orderBy(*order))).filter(F.col("k") <= each)

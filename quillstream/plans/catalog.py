@@ -20,6 +20,7 @@ from ..operators import render as P
 from ..operators import report as R
 from ..operators import evidence as E
 from ..operators import strict as S
+from ..operators.staged import Run
 from ..operators.viewport import Viewport
 from ..operators.frames import Frames
 from ..operators.lineage import checkpoint_folder
@@ -85,6 +86,21 @@ def _total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.total(f, R.metrics(f, base, **LISTS), A.overused(f.words, base))
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = every(spark, sf_dir).settled()
+    review = L.placed(f, R.revisions_by_document(f, **LISTS))
+    trend = H.word_counts(revisions(spark, sf_dir))
+    return P.pages(R.metrics(f, baseline(spark, sf_dir), **LISTS), review, W.tops_by_document(f), trend)
+
+
+def _staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each stage of a staged run over the English documents."""
+    f = english(spark, sf_dir).settled()
+    run = Run(spark, {"sentences": lambda _: f.sentences, "adverbs": lambda _: A.adverbs(f.words), "passives": lambda _: A.passive(f.sentences), "echoes": lambda _: A.echoes(f.words)})
+    run.run()
+    return run.table()
+
+
 def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of the second revision, where those of the first are kept: texts that both have are not cut again."""
     base, both = baseline(spark, sf_dir), revisions(spark, sf_dir)
@@ -179,6 +195,8 @@ def queries() -> dict[str, Query]:
         "report_tops_by_doc": lambda s, d: W.tops_by_document(every(s, d)),
         "diversity_total": lambda s, d: W.diversity_total(every(s, d)),
         "kept_metrics": _kept,
+        "revisions_by_doc": lambda s, d: R.revisions_by_document(english(s, d), **LISTS).select("doc_id", "rule", "message", "sent", "pos", "rank", F.col("of").alias("findings")),
+        "staged_run": _staged,
         "revisions_top": lambda s, d: R.revisions(english(s, d), **LISTS),
         "check_violations": lambda s, d: R.violations(_metrics(s, d), R.limits_table(s, R.SAMPLE_LIMITS)),
         "progress": lambda s, d: H.progress(revisions(s, d), 0, 1),
@@ -199,7 +217,7 @@ def queries() -> dict[str, Query]:
         "pinned_quotes": lambda s, d: E.pin(documents(s, d, None), documents(s, d, None).select("doc_id", F.lit(2).alias("line"), F.lit(" of the ").alias("quote"))),
         "numbered_lines": lambda s, d: E.numbered(documents(s, d, None)),
         "progress_sparkline": lambda s, d: C.sparkline(every(s, d).sentences, "n_words", "sent"),
-        "html_report": lambda s, d: P.pages(A.counts(f := every(s, d).settled()), L.located(f, **LISTS)),
+        "html_report": _pages,
         "check_since": lambda s, d: H.check_since(revisions(s, d), 0, 1, **LISTS),
         **history_queries.queries(CLICHES),
         **evidence_queries.queries(lambda s, d: documents(s, d, None), dialogue_corpus),
@@ -378,6 +396,12 @@ def oracle_sql() -> dict[str, str]:
             f AS ({with_en} SELECT DISTINCT doc_id, rule, pos, n FROM ({every_phrase} UNION ALL {nominal} UNION ALL {adverbs} UNION ALL {passive}) UNION ALL SELECT doc_id, 'echo', pos, 1 FROM ({echo(with_en, names)}))
             SELECT f.doc_id, 3::BIGINT AS first, 5::BIGINT AS last, rule, count(*) AS count FROM f JOIN cum AS s ON s.doc_id = f.doc_id AND f.pos >= s.a AND f.pos < s.b JOIN cum AS e ON e.doc_id = f.doc_id AND f.pos + f.n - 1 >= e.a AND f.pos + f.n - 1 < e.b
             WHERE s.line <= 5 AND e.line >= 3 GROUP BY f.doc_id, rule""",
+        "staged_run": f"""{with_en} SELECT 1 AS number, 'sentences' AS stage, (SELECT count(*) FROM sents) AS rows UNION ALL SELECT 2, 'adverbs', (SELECT count(*) FROM {adverbs}) UNION ALL SELECT 3, 'passives', (SELECT count(*) FROM {passive})
+            UNION ALL SELECT 4, 'echoes', (SELECT count(*) FROM ({echo(with_en, names)}))""",
+        "revisions_by_doc": f"""WITH f AS ({with_en} SELECT doc_id, rule, message, sent, pos FROM ({every_phrase} UNION ALL {nominal} UNION ALL {adverbs} UNION ALL {passive}) UNION ALL SELECT doc_id, rule, message, sent, first FROM ({of_runs}) JOIN sents USING (doc_id, sent)),
+            r AS (SELECT *, CASE rule {' '.join(f"WHEN '{k}' THEN {v}" for k, v in V.REVISION_RANK.items())} ELSE 0 END::BIGINT AS rank FROM f UNION ALL SELECT doc_id, 'echo', stem, sent, pos, (100 - least(distance, 50))::BIGINT FROM ({out['echoes']})),
+            k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, rule ORDER BY rank DESC, pos, message) AS k, count(*) OVER (PARTITION BY doc_id) AS findings FROM r)
+            SELECT doc_id, rule, message, sent, pos, rank, findings FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank DESC, pos, message) AS nth FROM k WHERE k <= 3) WHERE nth <= 50""",
         "revisions_top": f"""WITH f AS ({with_en} SELECT doc_id, rule, message, sent, pos FROM ({every_phrase} UNION ALL {nominal} UNION ALL {adverbs} UNION ALL {passive}) UNION ALL SELECT doc_id, rule, message, sent, first FROM ({of_runs}) JOIN sents USING (doc_id, sent)),
             r AS (SELECT *, CASE rule {' '.join(f"WHEN '{k}' THEN {v}" for k, v in V.REVISION_RANK.items())} ELSE 0 END::BIGINT AS rank FROM f UNION ALL SELECT doc_id, 'echo', stem, sent, pos, (100 - least(distance, 50))::BIGINT FROM ({out['echoes']}))
             SELECT * FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY rule ORDER BY rank DESC, doc_id, pos, message) <= 3) ORDER BY rank DESC, doc_id, pos, message LIMIT 50""",

@@ -8,7 +8,9 @@ from quillstream.functions import text as T
 from quillstream.operators import analyses as A
 from quillstream.operators import charts as C
 from quillstream.operators import located as L
+from quillstream.operators import corpus as W
 from quillstream.operators import render as P
+from quillstream.operators import report as R
 from quillstream.operators.frames import Frames
 from quillstream.streaming.reanalysis import reanalyse
 
@@ -72,11 +74,16 @@ def test_points_and_lines(spark):
 
 
 def test_page_and_slug(spark):
-    f = frames(spark, "He spoke <softly> & left.", "")
-    pages = {r.doc_id: r.html for r in P.pages(A.counts(f), L.located(f)).collect()}
-    assert "&lt;softly&gt; &amp; left" in pages[0] and "<softly>" not in pages[0] and pages[1].endswith("</html>")
-    one = spark.range(1).select(T.slug(F.lit("  The Long—Night! ")).alias("a"), T.slug(F.lit("?!")).alias("b"), P.polyline(F.array(F.lit(1.0), F.lit(3.0)), 10, 4).alias("c")).first()
-    assert (one.a, one.b) == ("the-long-night", "untitled") and 'points="0.0,4.0 10.0,0.0"' in one.c
+    f = frames(spark, "He spoke <softly> & quickly left.", "")
+    metrics = R.metrics(f)
+    review = L.placed(f, R.revisions_by_document(f, each=1, limit=1))
+    trend = f.docs.sparkSession.createDataFrame([(0, 1, 3), (0, 2, 5), (1, 1, 4)], "doc_id long, rev long, words long")
+    pages = {r.doc_id: r.html for r in P.pages(metrics, review, W.tops_by_document(f), trend).collect()}
+    assert "spoke &lt;softly&gt; &amp; quickly left" in pages[0] and "<softly>" not in pages[0] and pages[1].endswith("</html>")
+    assert "1 of 2 findings" in pages[0] and ">0:1:11</span>" in pages[0] and "polyline" in pages[0] and "polyline" not in pages[1]
+    assert "<li>spoke <b>1</b></li>" in pages[0] and '<p class="muted">None</p>' in pages[1]
+    bare = P.pages(A.counts(f)).filter("doc_id = 0").first().html
+    assert '<span class="value">5</span><span class="label">words</span>' in bare and "Review next" not in bare
 
 
 def test_empty_quotes_are_no_dialogue(spark):
