@@ -127,7 +127,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint) with 64 hex digits."""
+    """(doc_id, fingerprint) with 64 hex digits, a row each document; a null text is an empty one, extra columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = Embedding()
@@ -141,10 +141,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def edit_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """(doc_id, component_id): fingerprints that share a band and verify at `least` likeness link, transitively.
 
-    Equal fingerprints are one node. A crowded band bucket is compared block by block and gives spanning links alone.
+    Equal fingerprints are one node. A crowded band bucket is compared block by block and gives spanning links alone. Rows
+    without an id link others as any row does; component_id is the least id of a group, null where none has one. Repeated rows
+    and rows that share an id each have their own, null texts are empty, extra columns are ignored, no rows give none.
     """
     fps = materialise(fingerprints(docs), "edits")
-    nodes = materialise(fps.groupBy("fingerprint").agg(F.min("doc_id").alias("id")).filter("id is not null"), "edit-nodes")
+    # numbered before they are written, so that a number stays with its fingerprint
+    nodes = materialise(fps.groupBy("fingerprint").agg(F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id()), "edit-nodes")
     digits = BITS // 4 // BANDS
     bands = nodes.withColumn("band", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.struct(k.alias("k"), F.col("fingerprint").substr(k * digits + 1, F.lit(digits)).alias("value"))))).select("band.k", "band.value", "id", "fingerprint")
     sizes = bands.groupBy("k", "value").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
@@ -167,5 +170,6 @@ def edit_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
 
     links = dealt.groupBy("k", "value", "low", "high").applyInArrow(compare, "a long, b long")
     stars = connected_components(links).select(F.col("id").alias("at"), "component")
-    named = nodes.join(stars, F.col("id") == F.col("at"), "left").select(F.col("fingerprint").alias("of"), F.coalesce("component", "id").alias("component_id"))
-    return fps.join(named, F.col("fingerprint") == F.col("of"), "left").select("doc_id", "component_id")
+    named = nodes.join(stars, F.col("id") == F.col("at"), "left").select(F.col("fingerprint").alias("of"), F.coalesce("component", "id").alias("component"), "least")
+    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return fps.join(named.drop("least").join(ids, "component"), F.col("fingerprint") == F.col("of"), "left").select("doc_id", "component_id")

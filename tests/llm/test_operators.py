@@ -437,6 +437,31 @@ def test_edit_fingerprints(docs):
     assert edit_embedding.fingerprint_edits(docs.limit(0)).count() == 0
 
 
+def test_edited_texts_are_recomputed(spark):
+    """Lengths, hashes and likenesses against texts edited here, whose walks begin anew; the last one meets the first."""
+    texts = [t for _, t, _ in ROWS if t is not None] + ["", "é\U0001f40b" * 40]
+    docs = spark.createDataFrame([(3 * i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    e = edit_embedding.Embedding()
+    of = lambda t: e.sample(c := edit_embedding.codes_of(t), e.walk(c))
+    found = {r.doc_id: r for r in edit_embedding.fingerprint_edits(docs).collect()}
+    for i, (a, b) in enumerate(zip(texts, texts[1:] + texts[:1], strict=True)):
+        half = len(a) // 2
+        edited, r = a[: len(a) - half] + b[:half], found[3 * i]
+        assert (r.n_chars, r.edited_sha256) == (len(a), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (of(a).tobytes().hex(), of(edited).tobytes().hex())
+        assert (r.near_edited, r.near_next) == (edit_embedding.likeness(of(a), of(edited)), edit_embedding.likeness(of(a), of(b)))
+
+
+def test_edits_link_through_rows_without_an_id(spark):
+    words = " ".join(RNG.choice(VOCAB, 400)).split()
+    chain = [" ".join([*words[: 400 - 12 * k], *("new" + w for w in words[400 - 12 * k :])]) for k in range(4)]
+    rows = [(5, chain[0]), (None, chain[1]), (None, chain[2]), (9, chain[3]), (None, "alone " * 50), (5, "another text of the same id " * 9), (None, None), (20, "")]
+    found = edit_embedding.edit_duplicates(spark.createDataFrame(rows, "doc_id long, text string").withColumn("least", F.lit(1)), 0.7).collect()
+    assert len(found) == len(rows)
+    assert sorted(str(r.component_id) for r in found if r.doc_id is None) == ["20", "5", "5", "None"]
+    assert [r.component_id for r in found if r.doc_id == 9] == [5] and [r.component_id for r in found if r.doc_id == 20] == [20]
+
+
 def test_token_counts(docs):
     found = token_counts.token_counts(docs).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()
     assert {r.doc_id: r.n for r in found}[6] == len(ids_of(LONG, 1)) - 1 and {r.doc_id: r.n for r in found}[4] == 0
