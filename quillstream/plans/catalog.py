@@ -15,6 +15,7 @@ from ..operators import charts as C
 from ..operators import corpus as W
 from ..operators import history as H
 from ..operators import kept as K
+from ..operators import listing as G
 from ..operators import located as L
 from ..operators import render as P
 from ..operators import report as R
@@ -93,6 +94,11 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.pages(R.metrics(f, baseline(spark, sf_dir), **LISTS), review, W.tops_by_document(f), trend)
 
 
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = every(spark, sf_dir).settled().words
+    return G.ranked(A.frequency(words, 3), "word", "word", 25, words.count())
+
+
 def _staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each stage of a staged run over the English documents."""
     f = english(spark, sf_dir).settled()
@@ -197,6 +203,7 @@ def queries() -> dict[str, Query]:
         "kept_metrics": _kept,
         "revisions_by_doc": lambda s, d: R.revisions_by_document(english(s, d), **LISTS).select("doc_id", "rule", "message", "sent", "pos", "rank", F.col("of").alias("findings")),
         "staged_run": _staged,
+        "ranked_words": _ranked,
         "revisions_top": lambda s, d: R.revisions(english(s, d), **LISTS),
         "check_violations": lambda s, d: R.violations(_metrics(s, d), R.limits_table(s, R.SAMPLE_LIMITS)),
         "progress": lambda s, d: H.progress(revisions(s, d), 0, 1),
@@ -396,6 +403,10 @@ def oracle_sql() -> dict[str, str]:
             f AS ({with_en} SELECT DISTINCT doc_id, rule, pos, n FROM ({every_phrase} UNION ALL {nominal} UNION ALL {adverbs} UNION ALL {passive}) UNION ALL SELECT doc_id, 'echo', pos, 1 FROM ({echo(with_en, names)}))
             SELECT f.doc_id, 3::BIGINT AS first, 5::BIGINT AS last, rule, count(*) AS count FROM f JOIN cum AS s ON s.doc_id = f.doc_id AND f.pos >= s.a AND f.pos < s.b JOIN cum AS e ON e.doc_id = f.doc_id AND f.pos + f.n - 1 >= e.a AND f.pos + f.n - 1 < e.b
             WHERE s.line <= 5 AND e.line >= 3 GROUP BY f.doc_id, rule""",
+        "ranked_words": f"""{with_all}, f AS ({out["freq_words"].removeprefix(with_all)}), t AS (SELECT row_number() OVER (ORDER BY count DESC, word) AS n, word, count::VARCHAR AS c, printf('%.1f', count * 1000.0 / (SELECT count(*) FROM words) + 1e-9) AS r FROM f QUALIFY n <= 25),
+            w AS (SELECT greatest(4, max(length(word))) AS a, greatest(5, max(length(c))) AS b, greatest(6, max(length(r))) AS d FROM t),
+            x AS (SELECT n, word, c, r FROM t UNION ALL SELECT -1, 'word', 'count', 'per 1k' UNION ALL SELECT 0, repeat('─', a::INT), repeat('─', b::INT), repeat('─', d::INT) FROM w)
+            SELECT n, rpad(word, a::INT, ' ') || '  ' || lpad(c, b::INT, ' ') || '  ' || lpad(r, d::INT, ' ') AS line FROM x, w UNION ALL SELECT 26, '… ' || (count(*) - 25) || ' more' FROM f HAVING count(*) > 25""",
         "staged_run": f"""{with_en} SELECT 1 AS number, 'sentences' AS stage, (SELECT count(*) FROM sents) AS rows UNION ALL SELECT 2, 'adverbs', (SELECT count(*) FROM {adverbs}) UNION ALL SELECT 3, 'passives', (SELECT count(*) FROM {passive})
             UNION ALL SELECT 4, 'echoes', (SELECT count(*) FROM ({echo(with_en, names)}))""",
         "revisions_by_doc": f"""WITH f AS ({with_en} SELECT doc_id, rule, message, sent, pos FROM ({every_phrase} UNION ALL {nominal} UNION ALL {adverbs} UNION ALL {passive}) UNION ALL SELECT doc_id, rule, message, sent, first FROM ({of_runs}) JOIN sents USING (doc_id, sent)),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillstream.functions import text as T
 from quillstream.operators import analyses as A
 from quillstream.operators import charts as C
+from quillstream.operators import listing as G
 from quillstream.operators import located as L
 from quillstream.operators import corpus as W
 from quillstream.operators import render as P
@@ -108,3 +109,19 @@ def test_stream(spark, tmp_path):
     run()
     found = [(r.doc_id, r.message) for r in spark.read.parquet(out).orderBy("batch").collect()]
     assert found == [(1, "slowly"), (1, "quietly")]
+
+
+def lines(df):
+    return [r.line for r in df.orderBy("n").collect()]
+
+
+def test_listings(spark):
+    counts = spark.createDataFrame([("the", 12), ("éa", 3), ("b", 3), (None, 1)], "word string, count long")
+    assert lines(G.ranked(counts, "word", "word", 3, 100)) == ["word  count  per 1k", "────  ─────  ──────", "the      12   120.0", "b         3    30.0", "éa        3    30.0", "… 1 more"]
+    assert lines(G.ranked(counts, "word", "longer", 9))[-1] == "            1" and lines(G.ranked(counts.limit(0), "word", "word", 3)) == ["Nothing found."]
+    assert lines(G.aligned(counts.select("count", "word"), ["count", "word"])) == ["count  word", "─────  ────", "1      ", "3      b", "3      éa", "12     the"]
+    f = frames(spark, "He spoke softly.\nSoftly.")
+    assert lines(G.listed(L.located(f))) == ["0:1:10  adverbs  softly", "    He spoke softly.", "0:2:1  adverbs  softly", "    Softly.", "0:2:1  echo  softly again after 1 words", "    Softly."]
+    one = spark.createDataFrame([(59.4, 0, 2.0), (125.0, -3, 1.255), (59.6, 1234567, 0.0)], "m double, n long, v double")
+    shown = [tuple(r) for r in one.select(G.minutes(F.col("m")), G.signed(F.col("n")), G.trimmed(F.col("v")), G.thousands(F.col("n"))).collect()]
+    assert [s[0] for s in shown] == ["59 min", "2h 05m", "1h 00m"] and [s[1] for s in shown] == ["+0", "-3", "+1234567"] and [s[2] for s in shown][::2] == ["2", "0"] and shown[2][3] == "1,234,567"
