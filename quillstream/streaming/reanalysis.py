@@ -42,11 +42,12 @@ def changed(versions: DataFrame, delay: str = "1 hour") -> DataFrame:
             return
         ts, content = int(last["ts"].value), int(last["content"])
         before, was = state.get if state.exists else (None, None)
-        if before is not None and ts < before:
-            return
-        state.update((ts, content))
-        state.setTimeoutTimestamp(max(ts // 1_000_000, state.getCurrentWatermarkMs()) + 1)
-        if content != was:
+        late = before is not None and ts < before
+        kept = (before, was) if late else (ts, content)
+        state.update(kept)
+        # each call clears the time at which the state is dropped, so each sets it again
+        state.setTimeoutTimestamp(max(kept[0] // 1_000_000, state.getCurrentWatermarkMs()) + 1)
+        if not late and content != was:
             yield pd.DataFrame([[key[0], last["ts"], last["text"]]], columns=["doc_id", "ts", "text"])
 
     return hashed.withWatermark("ts", delay).groupBy("doc_id").applyInPandasWithState(newer, "doc_id long, ts timestamp, text string", "ts long, content long", "append", GroupStateTimeout.EventTimeTimeout)

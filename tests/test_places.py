@@ -109,6 +109,14 @@ def test_stream(spark, tmp_path):
     run()
     found = [(r.doc_id, r.message) for r in spark.read.parquet(out).orderBy("batch").collect()]
     assert found == [(1, "slowly"), (1, "quietly")]
+    later = late.withColumn("doc_id", F.lit(3).cast("long")).withColumn("ts", F.to_timestamp(F.lit("2024-01-01 05:00:00")))
+    later.coalesce(1).write.mode("append").parquet(source)  # the watermark passes: what is known of document 1 is dropped
+    run()
+    same = back.withColumn("ts", F.to_timestamp(F.lit("2024-01-01 05:30:00")))
+    same.coalesce(1).write.mode("append").parquet(source)
+    run()
+    found = [(r.doc_id, r.message) for r in spark.read.parquet(out).orderBy("batch").collect()]
+    assert found == [(1, "slowly"), (1, "quietly"), (3, "loudly"), (1, "quietly")]
 
 
 def lines(df):
