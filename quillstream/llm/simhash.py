@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, with_text
+from .common import materialise, partitions, release, with_text
 from .components import connected_components
 
 #: Leaves hold about LEAF fingerprints up to LEAF << MAX_DEPTH of them. SAMPLE: fingerprints at least that trees are built from.
@@ -336,10 +336,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, re
     alike = math.floor(SKETCH * similarity - 4 * math.sqrt(SKETCH * similarity * (1 - similarity)))
     stars = connected_components(near_links(known, random_groups(trees, bits), 0, radius, alike))
     loose = materialise(known.select("id", "doc_id", "key", "size").join(stars, "id"), "loose")
+    release(docs.sparkSession)
     stars = connected_components(exact_links(docs, loose, width, similarity, alike)).select(F.col("id").alias("of"), "component")
     named = nodes.select("id", "doc_id", "key").join(stars, F.col("id") == F.col("of"), "left").select("id", "doc_id", "key", F.coalesce("component", "id").alias("component"))
     least = named.groupBy("component").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))).alias("row"))
     named = materialise(named.join(least, "component").select(F.col("id").alias("of"), F.col("row.doc_id").alias("component_id"), F.col("row.key").alias("component_key")), "named")
+    release(docs.sparkSession)
     return sets.join(named, F.col("id") == F.col("of")).select("doc_id", "key", "component_id", "component_key")
 
 
