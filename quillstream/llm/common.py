@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import gc
 import uuid
 from collections.abc import Iterator
@@ -117,10 +118,14 @@ class WordEncoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer, self.dtype, self.limit = Tokenizer.from_file(path), dtype, limit
-        self.kind = {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
         level = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.byte_level = {c: "".join(x for x, _ in level.pre_tokenize_str(chr(c))) for c in range(33, 256) if chr(c).isalpha()}
-        outer = self
+        letters = ["".join(x for x, _ in level.pre_tokenize_str(chr(c))) for c in range(33, 256) if chr(c).isalpha()]
+        spelt = {byte: to for c, x in zip((c for c in range(33, 256) if chr(c).isalpha()), letters, strict=True) for byte, to in zip(chr(c).encode(), x, strict=True)}
+        #: How the vocabulary spells each byte of a Latin-1 letter.
+        self.spelling = "".join(spelt.get(k, "\ufffe") for k in range(256))
+        self.tokenize, size = self.tokenizer.model.tokenize, np.dtype(dtype).itemsize
+        self.packed = [k.to_bytes(size, "little") for k in range(self.tokenizer.get_vocab_size())]
+        slow, tokenize, packed, join, marks = self.word, self.tokenize, self.packed, b"".join, self.MARKS
 
         class Memo(dict):
             """Two generations: a full one becomes the old one, from which words still in use come back."""
@@ -130,16 +135,20 @@ class WordEncoder:
             def __missing__(self, word: bytes) -> bytes:
                 ids = self.old.pop(word, None)
                 if ids is None:
-                    ids = outer.word(word)
-                if len(self) >= outer.limit:
+                    core = word.rstrip(marks)
+                    if not (core.islower() and core.isalpha()):
+                        ids = slow(word)
+                    elif len(core) == len(word):  # the most frequent case, without a further call
+                        ids = join([packed[x.id] for x in tokenize(core.decode())])
+                    else:
+                        ids = self[core] + self[word[len(core) :]]
+                if len(self) >= limit:
                     self.old = dict(self)
                     self.clear()
                 self[word] = ids
                 return ids
 
-        self.memo, self.tokenize = Memo(), self.tokenizer.model.tokenize
-        size = np.dtype(dtype).itemsize
-        self.packed = [k.to_bytes(size, "little") for k in range(self.tokenizer.get_vocab_size())]
+        self.memo = Memo()
 
     def raw(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -158,7 +167,7 @@ class WordEncoder:
                 return self.memo[core] + self.memo[word[len(core) :]]
             low = s.lower()
             if low == s:
-                return b"".join([self.packed[x.id] for x in self.tokenize(low.translate(self.byte_level))])
+                return b"".join([self.packed[x.id] for x in self.tokenize(codecs.charmap_decode(core, "strict", self.spelling)[0])])
             return self.memo[low.encode()]
         return self.raw(word.decode())
 
