@@ -1,7 +1,7 @@
 """Quality rules: compression bands of zstandard ratios over whole documents and fixed chunks, beside base counts.
 
 A text compresses the better the longer it is, so limits depend on length. fit() learns the least ratio from good labelled
-documents: a curve over the logarithm of the length, and how far below it all but one in a hundred of them stay, by half octaves.
+documents, all of them: a curve over the logarithm of the length, and how far below it all but one in a hundred of them stay, by half octaves.
 Where it knows no lengths, and for the greatest ratio, wide fixed bands hold. Chunks of a document are judged as texts of their
 length; what is left after the last whole chunk belongs to that one.
 """
@@ -14,9 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut
 from .common import SPACES, with_text
 from .labelled import held_out
 from .streams import through
@@ -28,8 +29,8 @@ CHUNK, CHUNK_SHARE = 2048, 0.34
 #: A chunk may compress so much better than a document of its length.
 CHUNK_SLACK = 0.01
 LEVEL, MIN_WORDS, MAX_REPEATED = 3, 50, 0.5
-#: Good labelled documents that fit() takes at most, the share of them that may lie below the limit, those a half octave needs.
-SAMPLE, BELOW, SUPPORT = 6_000, 0.01, 30
+#: The share of good labelled documents that may lie below the limit, and how many of them a half octave needs.
+BELOW, SUPPORT = 0.01, 30
 SYMBOLS = "#*$%&|<>"
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, ratio double, chunks long, bad_chunks long, kept boolean"
 
@@ -90,37 +91,50 @@ def base_failed(counts: tuple[int, ...]) -> bool:
     return counts[0] < MIN_WORDS or counts[4] > MAX_REPEATED * counts[0]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Limits:
-    """Limits from at most `sample` good labelled documents that pass the base rules, chosen by the hash of their ids.
+#: Distances below the curve are counted in bins so wide, and a limit is the lower end of one.
+BIN = 1e-5
 
-    Held-out rows and null labels are not learnt from. Ratios are taken where the texts are; two numbers a document come to the
-    driver. Fewer than SUPPORT documents give the fixed bands.
+
+def fit(docs: DataFrame, labels: DataFrame) -> Limits:
+    """Limits from all good labelled documents that pass the base rules.
+
+    Held-out rows and null labels are not learnt from. Ratios are taken where the texts are, and two numbers a document are kept in
+    the checkpoint folder. The curve comes from their sums; of each knot's documents, those within three quarters of an octave, the
+    share BELOW is found by counts in bins. Only the sums and a row a knot come to the driver. Fewer than SUPPORT
+    documents give the fixed bands.
     """
-    good = labels.filter((F.col("quality") == 1) & ~held_out(F.col("doc_id"))).select("doc_id").distinct().join(docs.select("doc_id"), "doc_id", "left_semi")
-    picked = F.broadcast(good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))  # at most `sample` ids
+    good = labels.filter((F.col("quality") == 1) & ~held_out(F.col("doc_id"))).select("doc_id").distinct()
 
     def ratios(rows: Iterator[tuple]) -> Iterator[tuple]:
         import zstandard
 
         compressor = zstandard.ZstdCompressor(level=LEVEL)
-        for _, text in rows:
+        for doc_id, text in rows:
             data = text.encode()
             if not base_failed(base_counts(text)):
-                yield len(data), len(compressor.compress(data)) / len(data)
-
-    found = np.array(sorted(map(tuple, through(with_text(docs).join(picked, "doc_id"), ratios, "bytes long, ratio double").collect()))).reshape(-1, 2)
-    if len(found) < SUPPORT:
+                yield doc_id, float(np.log2(len(data))), len(compressor.compress(data)) / len(data)
+
+    # narrow rows are joined, not texts, whatever the number of labels
+    measured = through(with_text(docs.filter(~held_out(F.col("doc_id")))), ratios, "doc_id long, size double, ratio double")
+    found = cut(measured.join(good, "doc_id", "left_semi").select("size", "ratio"))
+    middle = 10.0  # powers are taken around the middle, so that their sums keep their digits
+    x = F.col("size") - middle
+    powers = [F.sum(F.pow(x, F.lit(k))).alias(f"x{k}") for k in range(5)] + [F.sum(F.pow(x, F.lit(k)) * F.col("ratio")).alias(f"y{k}") for k in range(3)]
+    sums = found.agg(F.count("*").alias("n"), F.min("size").alias("least"), F.max("size").alias("most"), *powers).first()  # one row
+    if sums["n"] < SUPPORT:
         return Limits()
-    sizes = np.log2(found[:, 0])
-    curve = np.polyfit(sizes, found[:, 1], 2)
-    off = found[:, 1] - np.polyval(curve, sizes)
-    knots, below = [], []
-    for knot in np.arange(np.floor(sizes[0]), np.ceil(sizes[-1]) + 0.5, 0.5):
-        near = np.abs(sizes - knot) <= 0.75
-        if near.sum() >= SUPPORT:
-            knots.append(float(knot))
-            below.append(float(np.quantile(off[near], BELOW)))
-    return Limits(tuple(map(float, curve)), tuple(knots), tuple(below))
+    normal = np.array([[sums[f"x{4 - a - b}"] for b in range(3)] for a in range(3)])
+    shifted = np.linalg.lstsq(normal, np.array([sums[f"y{2 - a}"] for a in range(3)]), rcond=None)[0]
+    curve = np.polyadd(np.poly1d(shifted)(np.poly1d([1.0, -middle])).coeffs, np.zeros(3)).round(9)  # sums differ in their last digits
+    off = F.col("ratio") - (F.lit(float(curve[0])) * F.col("size") * F.col("size") + F.lit(float(curve[1])) * F.col("size") + F.lit(float(curve[2])))
+    halves = F.sequence(F.ceil((F.col("size") - 0.75) * 2), F.floor((F.col("size") + 0.75) * 2))
+    near = found.select(F.floor(off / BIN).alias("bin"), F.explode(F.transform(halves, lambda k: k / 2)).alias("knot")).filter(F.col("knot").between(float(np.floor(sums["least"])), float(np.ceil(sums["most"]))))
+    bins = near.groupBy("knot", "bin").agg(F.count("*").alias("n"))  # at most 1 / BIN and some rows a knot, however many documents
+    each = Window.partitionBy("knot")
+    bins = bins.withColumn("upto", F.sum("n").over(each.orderBy("bin"))).withColumn("n", F.sum("n").over(each))
+    low = bins.filter((F.col("n") >= SUPPORT) & (F.col("upto") > F.floor(BELOW * (F.col("n") - 1)))).groupBy("knot").agg((F.min("bin") * F.lit(BIN)).alias("below"))
+    knots = sorted(map(tuple, low.collect()))  # a row a half octave
+    return Limits(tuple(map(float, curve)), tuple(k for k, _ in knots), tuple(b for _, b in knots))
 
 
 def judge(text: str, compressor, limits: Limits) -> tuple:

@@ -61,3 +61,27 @@ def test_a_histogram_makes_its_values_once(spark):
     out = A.histogram(values.withColumnRenamed("n_words", "value"), 1, 5)
     assert sorted(map(tuple, out.collect())) == [(1, 1, 1), (2, 2, 1), (3, 3, 1)]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+
+
+def test_quality_limits_come_from_every_good_document(spark):
+    import numpy as np
+    import zstandard
+
+    from quillstream.llm import quality_rules as Q
+
+    rng = np.random.default_rng(5)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnop"), 7)) for _ in range(3000)]
+    texts = [(k, " ".join(rng.choice(vocabulary, int(rng.integers(60, 300))))) for k in range(8200)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    good = {r[0] for r in labels.filter(~Q.held_out(F.col("doc_id"))).select("doc_id").collect()}
+    c = zstandard.ZstdCompressor(level=Q.LEVEL)
+    data = [t.encode() for k, t in texts if k in good and not Q.base_failed(Q.base_counts(t))]
+    assert len(data) > 6000  # what a choice by the hash of ids once stopped at
+    size, ratio = np.log2([len(d) for d in data]), np.array([len(c.compress(d)) / len(d) for d in data])
+    found, curve = Q.fit(docs, labels), np.polyfit(size, ratio, 2)
+    assert np.allclose(np.polyval(found.curve, size), np.polyval(curve, size), atol=1e-6)
+    off = ratio - np.polyval(curve, size)
+    for knot, below in zip(found.knots, found.below, strict=True):
+        near = off[np.abs(size - knot) <= 0.75]
+        assert len(near) >= Q.SUPPORT and abs(np.quantile(near, Q.BELOW, method="lower") - below) < 3e-5
