@@ -85,3 +85,11 @@ def test_quality_limits_come_from_every_good_document(spark):
     for knot, below in zip(found.knots, found.below, strict=True):
         near = off[np.abs(size - knot) <= 0.75]
         assert len(near) >= Q.SUPPORT and abs(np.quantile(near, Q.BELOW, method="lower") - below) < 3e-5
+
+
+def test_ends_of_documents_look_at_each_word_once(spark):
+    from quillstream.operators.corpus import _ends
+
+    rows = _ends(Frames.plain(spark.createDataFrame([(1, "a b a c. B d"), (2, "")], "doc_id long, text string")), 3)
+    assert "array_position" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r)[2:] for r in rows.collect()] == [(6, 11, [0, 1], ["a", "b"], ["a", "c", "b", "d"])]
