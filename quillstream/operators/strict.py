@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from . import analyses as A
+from . import inside as I
 from .frames import Frames
 
 # Weights of the rules, and verbs of the senses that describe when `of` or `like` follows.
@@ -48,7 +49,7 @@ def review(f: Frames, spoken_tags: bool = True) -> DataFrame:
         each = runs.withColumn("sent", F.explode(F.sequence("first", "last"))).join(place.filter("said").select("doc_id", "sent"), ["doc_id", "sent"], "left_semi")
         return runs.join(each.select("doc_id", "first", "last").distinct(), ["doc_id", "first", "last"], "left_anti")
 
-    echo = A.echoes(words).withColumn("before", F.col("pos") - F.col("distance")).join(section_at, ["doc_id", "pos"]).join(section_at.select("doc_id", F.col("pos").alias("before"), F.col("section").alias("was")), ["doc_id", "before"]).filter(F.col("section").eqNullSafe(F.col("was")))
+    echo = I.echoes(f).withColumn("before", F.col("pos") - F.col("distance")).join(section_at, ["doc_id", "pos"]).join(section_at.select("doc_id", F.col("pos").alias("before"), F.col("section").alias("was")), ["doc_id", "before"]).filter(F.col("section").eqNullSafe(F.col("was")))
     runs = narrated(inside(A.starter_runs(sents, 3)))
     even = narrated(inside(A.monotony(sents).withColumn("last", F.col("first") + F.col("n") - 1)))
     listed = A.with_verbs(A.phrase_findings(sents, {"filter": V.FILTER_WORDS, "cliche": V.CLICHES, "nominal": V.NOMINALIZATIONS, "hedge": V.HEDGES}))
@@ -63,7 +64,7 @@ def review(f: Frames, spoken_tags: bool = True) -> DataFrame:
     tense_n, pov_n = A.tense_totals(tense), A.pov_totals(pov)
     out = [
         _row(echo, "echo", F.concat(F.col("stem"), F.lit(" again after "), F.col("distance"), F.lit(" words"))),
-        _row(A.repeats(sents, 4, 6, 3), "repeated-phrase", F.concat(F.col("phrase"), F.lit(", times: "), F.col("count")), F.lit(None)),
+        _row(I.repeats(f, 4, 6, 3), "repeated-phrase", F.concat(F.col("phrase"), F.lit(", times: "), F.col("count")), F.lit(None)),
         _row(runs, "repeated-starter", F.concat(F.col("word"), F.lit(", sentences: "), F.col("n")), "first", "last"),
         _row(even, "monotony", F.concat(F.lit("even sentences: "), F.col("n")), "first", "last"),
         _row(A.long_sentences(sents), "long-sentence", F.concat(F.lit("words: "), F.col("n_words"))),
