@@ -8,6 +8,8 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,7 +110,8 @@ class WordEncoder:
 
     No token of such a vocabulary crosses white space, so a text's ids are those of its words in turn. Words are kept in a
     bounded memo. A word that is Latin-1 letters with ASCII marks after them is encoded as those two pre-tokens, the letters
-    in lower case, which most words share with others.
+    in lower case, which most words share with others. `many` does the same for a batch of texts, by Arrow: words, then their
+    letters, are told apart for the whole batch, and only letters not kept from earlier batches reach the library.
     """
 
     MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -149,6 +152,10 @@ class WordEncoder:
                 return ids
 
         self.memo = Memo()
+        found = "".join(chr(c) for c in range(33, 256) if chr(c).isalpha())
+        self.letters, self.lines = found, self.spelling[:10] + "\n" + self.spelling[11:]
+        #: What `many` keeps: letters in lower case, their ids one after the other, and how many each has.
+        self.known, self.flat, self.counts = pa.array([], pa.string()), np.empty(0, dtype), np.empty(0, np.int64)
 
     def raw(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -176,6 +183,73 @@ class WordEncoder:
         return b"".join(map(self.memo.__getitem__, text.encode().split()))
 
 
+    def learn(self, cores: pa.Array) -> None:
+        """Adds letters in lower case to those that `many` keeps."""
+        tokenize, ids, counts = self.tokenize, [], []
+        if len(cores):
+            for core in codecs.charmap_decode("\n".join(cores.to_pylist()).encode(), "strict", self.lines)[0].split("\n"):
+                found = tokenize(core)
+                ids += [x.id for x in found]
+                counts.append(len(found))
+        self.known = pa.concat_arrays([self.known, cores])
+        self.flat = np.concatenate([self.flat, np.array(ids, self.dtype)])
+        self.counts = np.concatenate([self.counts, np.array(counts, np.int64)])
+
+    def forget(self, used: pa.Array) -> None:
+        """Keeps of the known letters only those in use."""
+        keep = pc.is_in(self.known, value_set=used).to_numpy(zero_copy_only=False)
+        self.flat, self.known, self.counts = self.flat[np.repeat(keep, self.counts)], self.known.filter(pa.array(keep)), self.counts[keep]
+
+    def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts in turn, how many each text has); no text may be null."""
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words, at = coded.dictionary, coded.indices.to_numpy()
+        core = pc.ascii_rtrim(words, self.MARKS.decode())
+        plain = pc.match_substring_regex(core, f"^[{self.letters}]+$")
+        cores, marks = pc.utf8_lower(core.filter(plain)).dictionary_encode(), pc.utf8_ltrim(words.filter(plain), self.letters).dictionary_encode()
+        if len(self.known) > 2 * self.limit:
+            self.forget(cores.dictionary)
+        found = pc.index_in(cores.dictionary, value_set=self.known)
+        new, place = pc.is_null(found), found.fill_null(0).to_numpy().copy()
+        place[new.to_numpy(zero_copy_only=False)] = np.arange(len(self.known), len(self.known) + found.null_count)
+        self.learn(cores.dictionary.filter(new))
+        # a word is two runs of ids: its letters and its marks, or itself and nothing
+        rest = [self.memo[w.encode()] if w else b"" for w in [*words.filter(pc.invert(plain)).to_pylist(), *marks.dictionary.to_pylist(), ""]]
+        is_plain, n = plain.to_numpy(zero_copy_only=False), len(self.known)
+        n_other = len(words) - int(is_plain.sum())
+        runs = np.full((len(words), 2), n + len(rest) - 1)
+        runs[is_plain, 0], runs[~is_plain, 0] = place[cores.indices.to_numpy()], np.arange(n, n + n_other)
+        runs[is_plain, 1] = n + n_other + marks.indices.to_numpy()
+        flat = np.concatenate([self.flat, np.frombuffer(b"".join(rest), self.dtype)])
+        counts = np.concatenate([self.counts, np.array([len(x) for x in rest], np.int64) // flat.itemsize])
+        own = _runs(flat, np.cumsum(counts) - counts, counts, runs.reshape(-1))
+        counts = counts[runs].sum(1)
+        ends = np.concatenate([[0], np.cumsum(counts[at])])[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])]
+        return _runs(own, np.cumsum(counts) - counts, counts, at), np.diff(ends)
+
+
+def _runs(flat: np.ndarray, begin: np.ndarray, counts: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The runs of flat that `which` names, one after the other; taken a stretch at a time, since places are larger than ids."""
+    out = []
+    for k in range(0, len(which), 1 << 18):
+        of = which[k : k + (1 << 18)]
+        n = counts[of]
+        ends = np.cumsum(n)
+        out.append(flat[np.repeat(begin[of] - ends + n, n) + np.arange(n.sum())])
+    return np.concatenate(out) if out else flat[:0]
+
+
+def in_chunks(texts: pa.Array) -> Iterator[pa.Array]:
+    """Slices of an array of texts of about eight times BATCH_CHARS bytes each, a longer text alone."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy())
+    at = 0
+    while at < len(texts):
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 8 * BATCH_CHARS, "right"))
+        yield texts.slice(at, max(to, at + 1) - at)
+        at = max(to, at + 1)
+
+
 def windows_of(text: str, most: int = BATCH_CHARS) -> Iterator[str]:
     """Windows of a text, each ending before ASCII white space; one is longer than `most` only where no white space is."""
     at = 0

@@ -7,8 +7,8 @@ confidence, mixed with those of each order alone in proportion to the evidence.
 from the blocks that are coded together and kept beside each block's bytes: the TOP most frequent ids one by one, all others by
 their upper byte. A block learns which ids follow which after every SEGMENT ids and settles its shares after one, two, four,
 eight ... segments, so encoder and decoder see the same model and numpy can learn in bulk. Quotients are of integers below
-2 ** 53 or in whole numbers: blocks decode alike on any machine. Lanes are blocks: numpy codes one id of every block at a time.
-Arrays of ids have a row a place and a column a lane.
+2 ** 64: blocks decode alike on any machine. Lanes are blocks: numpy codes one id of every block at a time. The encoder knows its
+ids and looks up a segment of a lane after the other, so that a lane's tables stay in the cache.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import numpy as np
 SEGMENT, BITS1, BITS2, TOP = 64, 10, 11, 1024
 KIND, REST = 11, 20  # bits of the shares of the three predictions, and of the frequencies of ids
 TOTAL = KIND + REST
+GROUP = 512  # lanes whose segment is looked up together
 #: The coder's interval has 64 bits and words have 32: as TOTAL is below 32, one word an id always suffices.
 WORD, LOW = np.uint64(32), np.uint64((1 << 32) - 1)
 MIX1, MIX2 = np.uint16(40503), np.uint16(30011)
@@ -32,7 +33,7 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
 
 def prior_of(ids: np.ndarray) -> bytes:
     """The frequencies of ids as bytes: levels of the upper bytes of all but the top ids, then the top ids and their levels."""
-    counts = np.bincount(ids, minlength=1 << 16)
+    counts = sum(np.bincount(ids[k : k + (1 << 18)], minlength=1 << 16) for k in range(0, len(ids), 1 << 18))
     top = np.argsort(-counts, kind="stable")[:TOP]
     top = np.sort(top[counts[top] > 0])
     rest = counts.copy()
@@ -41,7 +42,7 @@ def prior_of(ids: np.ndarray) -> bytes:
 
 
 class Prior:
-    """Frequencies, their sums and the id of each of 2 ** REST slots. An id whose upper byte and self have no level has no slot."""
+    """Frequencies with their sums, and the id of each of 2 ** REST slots. An id whose upper byte and self have no level has no slot."""
 
     def __init__(self, data: bytes) -> None:
         bins, n = np.frombuffer(data[:256], np.uint8), (len(data) - 256) // 3
@@ -54,7 +55,8 @@ class Prior:
         freq = np.zeros(1 << 16, np.int64)
         freq[used] = 1 + weight[used] * ((1 << REST) - len(used)) // weight.sum()
         freq[weight.argmax()] += (1 << REST) - freq.sum()
-        self.freq, self.cum = freq.astype(np.uint32), (np.cumsum(freq) - freq).astype(np.uint32)
+        #: The frequency in the upper half, the sum of those before in the lower one: one look and one product serve both.
+        self.pairs = (freq.astype(np.uint64) << WORD) | (np.cumsum(freq) - freq).astype(np.uint64)
         self.slots = np.repeat(np.arange(1 << 16, dtype=np.uint16), freq)
 
 
@@ -65,7 +67,7 @@ class Coder:
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
         self.data = np.zeros((lanes, words), np.uint32) if data is None else data
         self.flat, self.at = self.data.reshape(-1), np.arange(lanes) * self.data.shape[1]
-        self.begin = self.at.copy()
+        self.begin, self.spare = self.at.copy(), np.empty(lanes, np.uint64)
         self.code = None
         if data is not None:
             self.code = (data[:, 0].astype(np.uint64) << WORD) | data[:, 1]
@@ -74,7 +76,7 @@ class Coder:
     def narrow(self, n: int, low: np.ndarray, freq: np.ndarray, step: np.ndarray) -> None:
         """Narrows the first n lanes to freq steps from low, and writes or reads a word where the interval got short."""
         base, span = self.low[:n], self.range[:n]
-        base += low * step
+        np.add(base, np.multiply(low, step, out=self.spare[:n]), out=base)
         np.multiply(step, freq, out=span)
         go = np.flatnonzero(span <= LOW)
         if not len(go):
@@ -100,107 +102,162 @@ class Model:
 
     def __init__(self, lanes: int, prior: Prior) -> None:
         self.lanes, self.prior = lanes, prior
-        lane = np.arange(lanes)
-        self.base1, self.base2, self.base_share = (lane << b for b in (BITS1, BITS2, 5))
+        self.lane = np.arange(lanes)
+        self.base1, self.base2 = self.lane << BITS1, self.lane << BITS2
         self.next1, self.next2 = np.zeros(lanes << BITS1, np.uint32), np.zeros(lanes << BITS2, np.uint32)
-        self.kinds = np.zeros((lanes, 32, 3), np.int32)
+        #: How often orders 2 and 1 and neither were right, by the confidence of both, whether they agree, and lane.
+        self.kinds = np.zeros((3, 4, 4, 2, lanes), np.int32)
         self.news: list[np.ndarray] = []
         self.segments = 0
         self.settle()
 
     def settle(self) -> None:
         """Turns the counts into shares (order 2, orders 2 and 1), two packed into one number."""
-        for of_kinds in self.news:
-            self.kinds += np.bincount(of_kinds, minlength=self.lanes * 96).reshape(self.kinds.shape).astype(np.int32)
+        if self.news:
+            self.kinds += np.bincount(np.concatenate(self.news), minlength=self.kinds.size).reshape(self.kinds.shape).astype(np.int32)
         self.news = []
-        joint = self.kinds.reshape(self.lanes, 4, 4, 2, 3)
-        by2, by1 = joint.sum((2, 3)), joint.sum((1, 3))
-        prior = lambda n: ((n + 1) << KIND) // (n.sum(-1, keepdims=True) + 4)
-        mixed = (prior(by2)[:, :, None, None, :] * 3 + prior(by1)[:, None, :, None, :]) >> 2
-        shares = ((joint << KIND) + 24 * mixed) // (joint.sum(-1, keepdims=True) + 24)
+        joint = self.kinds
+        prior = lambda n: ((n + 1) << KIND) // (n.sum(0, dtype=np.int32) + 4)
+        by2, by1 = prior(joint.sum((2, 3), dtype=np.int32)), prior(joint.sum((1, 3), dtype=np.int32))
+        mixed = (by2[:, :, None] * 3 + by1[:, None]) >> 2
+        shares = ((joint << KIND) + 24 * mixed[:, :, :, None]) // (joint.sum(0, dtype=np.int32) + 24)
         most = (1 << KIND) - 32
-        two = np.clip(shares[..., 0], 1, most - 64)
-        one = np.clip(shares[..., 1], 1, most - two)
-        one[..., 1] = 0  # both orders predict the same id
+        two = np.clip(shares[0], 1, most - 64)
+        one = np.clip(shares[1], 1, most - two)
+        one[:, :, 1] = 0  # both orders predict the same id
         self.shares = (two | ((two + one) << 16)).reshape(-1).astype(np.uint32)
 
-    def look(self, n: int, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(order-1 slot, its entry, its id, order-2 slot, its entry, its id, index of the shares) of the first n lanes."""
+    def look(self, last: np.ndarray, before: np.ndarray, lanes: slice | tuple) -> tuple[np.ndarray, ...]:
+        """(order-1 slot, its entry, its id, order-2 slot, its entry, its id, index of the shares) of ids after `before` and `last`."""
         mixed = last * MIX1
-        s1 = self.base1[:n] + (mixed >> np.uint16(16 - BITS1))
-        s2 = self.base2[:n] + ((mixed + before * MIX2) >> np.uint16(16 - BITS2))
-        e1, e2 = self.next1.take(s1), self.next2.take(s2)
+        s1 = (mixed >> np.uint16(16 - BITS1)).astype(np.int64)
+        s1 += self.base1[lanes]
+        mixed += before * MIX2
+        s2 = (mixed >> np.uint16(16 - BITS2)).astype(np.int64)
+        s2 += self.base2[lanes]
+        e1, e2 = self.next1.take(s1, mode="clip"), self.next2.take(s2, mode="clip")
         id1, id2 = e1.astype(np.uint16), e2.astype(np.uint16)
         seen = ((e2 >> np.uint32(16)) << np.uint32(3)) + ((e1 >> np.uint32(16)) << np.uint32(1)) + (id1 == id2)
-        return s1, e1, id1, s2, e2, id2, self.base_share[:n] + seen
+        at = np.multiply(seen, self.lanes, dtype=np.int64)
+        at += self.lane[lanes]
+        return s1, e1, id1, s2, e2, id2, at
 
-    def learn(self, n: int, ids: np.ndarray, found: tuple[np.ndarray, ...]) -> None:
-        """Learns a segment's ids from what look() gave for them. Lanes that end in the segment may learn anything."""
+    def changes(self, ids: np.ndarray, found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        """(order-1 slot, its next entry, order-2 slot, its next entry, place in the counts) once ids are known, from look()'s."""
         s1, e1, id1, s2, e2, id2, at = found
         hit2, hit1 = id2 == ids, id1 == ids
-        self.news.append((at * 3 + np.where(hit2, 0, 2 - hit1)).reshape(-1))
-        top, more = np.uint32(3 * AGREE), np.uint32(AGREE)
-        grown = lambda e, hit: ids + np.where(hit, np.minimum((e & ~np.uint32(AGREE - 1)) + more, top), np.uint32(0))
-        self.next1[s1], self.next2[s2] = grown(e1, hit1), grown(e2, hit2)  # the last of equal slots stays
+        kind = (np.uint8(2) - hit1.view(np.uint8)) * (~hit2).view(np.uint8)
+        out = []
+        for e, hit in ((e1, hit1), (e2, hit2)):
+            grown = e & ~np.uint32(AGREE - 1)
+            grown += np.uint32(AGREE)
+            np.minimum(grown, np.uint32(3 * AGREE), out=grown)
+            grown *= hit
+            grown |= ids
+            out.append(grown)
+        place = np.multiply(kind, self.lanes << 5, dtype=np.int64)
+        place += at
+        return s1, out[0], s2, out[1], place
+
+    def learn(self, parts: list[tuple[np.ndarray, ...]]) -> None:
+        """Learns a segment's changes, by groups of lanes. Lanes that end in the segment may learn anything."""
+        for s1, next1, s2, next2, place in parts:
+            self.next1[s1], self.next2[s2] = next1, next2  # the last of equal slots stays
+            self.news.append(place.flatten())  # a copy: the reader fills its arrays anew
         self.segments += 1
         if self.segments & (self.segments - 1) == 0:
             self.settle()
 
 
-def _intervals(model: Model, ids: np.ndarray, found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """(low, freq) of known ids, of a total of 2 ** TOTAL."""
+def _intervals(model: Model, ids: np.ndarray, found: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Of known ids: the frequency, of a total of 2 ** TOTAL, in the upper half, where it begins in the lower one."""
     _, _, id1, _, _, id2, at = found
-    share = model.shares.take(at)
-    two, both = share & np.uint32(0xFFFF), share >> np.uint32(16)
-    hit2, hit1, rest = id2 == ids, id1 == ids, np.uint32(1 << KIND) - both
-    low = np.where(hit1, two << np.uint32(REST), (both << np.uint32(REST)) + rest * model.prior.cum.take(ids))
-    freq = np.where(hit1, (both - two) << np.uint32(REST), rest * model.prior.freq.take(ids))
-    return np.where(hit2, np.uint32(0), low), np.where(hit2, two << np.uint32(REST), freq)
+    share = model.shares.take(at, mode="clip")
+    both = share >> np.uint32(16)
+    out = model.prior.pairs.take(ids, mode="clip")
+    out *= np.uint32(1 << KIND) - both
+    out += both << np.uint32(REST)
+    hit2, hit1 = id2 == ids, id1 == ids
+    go = np.flatnonzero(hit2 | hit1)
+    out.reshape(-1)[go] = _known(share.reshape(-1)[go], hit2.reshape(-1)[go])
+    return out
+
+
+def _known(share: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The intervals, as of _intervals, of ids that order 2 or else order 1 predicts."""
+    share = share.astype(np.uint64)
+    two, both = (share & np.uint64(0xFFFF)) << np.uint64(REST), (share >> np.uint64(16)) << np.uint64(REST)
+    return np.where(second, two << WORD, ((both - two) << WORD) | two)
 
 
-def _read(model: Model, coder: Coder, n: int, step: np.ndarray, found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-    """(id, low, freq) that the code of the first n lanes stands for."""
+def _read(model: Model, coder: Coder, n: int, step: np.ndarray, found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(id, interval) that the code of the first n lanes stands for."""
     _, _, id1, _, _, id2, at = found
-    share = model.shares.take(at)
+    share = model.shares.take(at, mode="clip")
     x = ((coder.code[:n] - coder.low[:n]) // step).astype(np.uint32)
-    two, both = (share & np.uint32(0xFFFF)) << np.uint32(REST), (share >> np.uint32(16)) << np.uint32(REST)
-    rest = np.uint32(1 << KIND) - (both >> np.uint32(REST))
-    in2, in1 = x < two, x < both
-    y = (np.where(in1, np.uint32(0), x - both) / rest).astype(np.int64)
-    ids = model.prior.slots.take(y, mode="clip")
-    low = np.where(in2, np.uint32(0), np.where(in1, two, both + rest * model.prior.cum.take(ids)))
-    freq = np.where(in2, two, np.where(in1, both - two, rest * model.prior.freq.take(ids)))
-    return np.where(in2, id2, np.where(in1, id1, ids)), low, freq
-
-
-def _run(lengths: np.ndarray, coder: Coder, ids: np.ndarray, prior: Prior) -> None:
-    """Codes the columns of ids, or decodes into them. Lengths fall from lane to lane; ids has two rows of zeros before all."""
+    both = share >> np.uint32(16)
+    rest = np.uint32(1 << KIND) - both
+    both <<= np.uint32(REST)
+    ids = model.prior.slots.take((x - both) // rest, mode="clip")
+    out = model.prior.pairs.take(ids, mode="clip")
+    out *= rest
+    out += both
+    go = np.flatnonzero(x < both)
+    if len(go):
+        own = share[go]
+        second = x[go] < (own & np.uint32(0xFFFF)) << np.uint32(REST)
+        ids[go], out[go] = np.where(second, id2[go], id1[go]), _known(own, second)
+    return ids, out
+
+
+def _active(lengths: np.ndarray, t: int, end: int) -> list[int]:
+    """How many lanes have an id at each place of a segment."""
+    return np.searchsorted(-lengths, -np.arange(t, end), "left").tolist()
+
+
+def _write_all(lengths: np.ndarray, coder: Coder, ids: np.ndarray, prior: Prior) -> None:
+    """Codes the rows of ids, a row a lane. Lengths fall from lane to lane; ids has two columns of zeros before all."""
     model, most = Model(len(lengths), prior), int(lengths[0])
-    looked: list[np.ndarray] = []  # what each step of a segment that is read looked up, to learn from
     for t in range(0, most, SEGMENT):
         end = min(t + SEGMENT, most)
-        active = np.searchsorted(-lengths, -np.arange(t, end), "left").tolist()
+        active = _active(lengths, t, end)
         m = active[0]
-        if coder.code is None:
-            own = ids[t + 2 : end + 2, :m]
-            found = model.look(m, ids[t + 1 : end + 1, :m], ids[t:end, :m])
-            low, freq = _intervals(model, own, found)
-            for k, n in enumerate(active):
-                coder.narrow(n, low[k, :n], freq[k, :n], coder.range[:n] >> np.uint64(TOTAL))
-        else:
-            for k, n in enumerate(active):
-                step = coder.range[:n] >> np.uint64(TOTAL)
-                seen = model.look(n, ids[t + k + 1, :n], ids[t + k, :n])
-                ids[t + k + 2, :n], begin, width = _read(model, coder, n, step, seen)
-                coder.narrow(n, begin, width, step)
-                looked = looked or [np.empty((SEGMENT, m), x.dtype) for x in seen]
-                for held, x in zip(looked, seen, strict=True):
-                    held[k, :n] = x
-            found = tuple(held[: end - t, :m] for held in looked)
-            if active[-1] < m and end < most:  # rows of lanes that ended are not filled
-                found = model.look(m, ids[t + 1 : end + 1, :m], ids[t:end, :m])
+        parts = []
+        for at in range(0, m, GROUP):
+            lanes = slice(at, min(at + GROUP, m))
+            own = np.ascontiguousarray(ids[lanes, t + 2 : end + 2])
+            found = model.look(np.ascontiguousarray(ids[lanes, t + 1 : end + 1]), np.ascontiguousarray(ids[lanes, t:end]), (lanes, None))
+            parts.append((_intervals(model, own, found).T, model.changes(own, found)))
+        out = np.concatenate([x for x, _ in parts], axis=1)
+        low, freq = out & LOW, out >> WORD
+        for k, n in enumerate(active):
+            coder.narrow(n, low[k, :n], freq[k, :n], coder.range[:n] >> np.uint64(TOTAL))
+        if end < most:
+            model.learn([x for _, x in parts])
+
+
+def _read_all(lengths: np.ndarray, coder: Coder, ids: np.ndarray, prior: Prior) -> None:
+    """Decodes into the columns of ids, a column a lane. Lengths fall from lane to lane; ids has two rows of zeros before all."""
+    model, most = Model(len(lengths), prior), int(lengths[0])
+    changed: list[np.ndarray] = []  # what each step of a segment has to learn
+    for t in range(0, most, SEGMENT):
+        end = min(t + SEGMENT, most)
+        active = _active(lengths, t, end)
+        m = active[0]
+        for k, n in enumerate(active):
+            step = coder.range[:n] >> np.uint64(TOTAL)
+            seen = model.look(ids[t + k + 1, :n], ids[t + k, :n], slice(0, n))
+            ids[t + k + 2, :n], out = _read(model, coder, n, step, seen)
+            coder.narrow(n, out & LOW, out >> WORD, step)
+            own = model.changes(ids[t + k + 2, :n], seen)
+            changed = changed or [np.empty((SEGMENT, m), x.dtype) for x in own]
+            for held, x in zip(changed, own, strict=True):
+                held[k, :n] = x
         if end < most:
-            model.learn(m, ids[t + 2 : end + 2, :m], found)
+            parts = tuple(held[: end - t, :m] for held in changed)
+            if active[-1] < m:  # rows of lanes that ended are not filled
+                parts = model.changes(ids[t + 2 : end + 2, :m], model.look(ids[t + 1 : end + 1, :m], ids[t:end, :m], slice(0, m)))
+            model.learn([parts])
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> tuple[list[bytes], bytes]:
@@ -216,7 +273,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> tuple[list[bytes], bytes]:
         ids[k, 2 : lengths[k] + 2] = blocks[i]
     prior = prior_of(np.concatenate(blocks))
     coder = Coder(len(blocks), int(lengths[0]) + 2)
-    _run(lengths, coder, np.ascontiguousarray(ids.T), Prior(prior))
+    _write_all(lengths, coder, ids, Prior(prior))
     coder.flush()
     out = [b""] * len(blocks)
     for k, i in enumerate(order):
@@ -234,7 +291,7 @@ def decode_blocks(payloads: list[bytes], lengths: list[int], prior: bytes) -> li
         data[k, : len(payloads[i]) // 4] = np.frombuffer(payloads[i], "<u4")
     sizes = np.array([lengths[i] for i in order], np.int64)
     ids = np.zeros((int(sizes[0]) + 2, len(payloads)), np.uint16)
-    _run(sizes, Coder(len(payloads), 0, data), ids, Prior(prior))
+    _read_all(sizes, Coder(len(payloads), 0, data), ids, Prior(prior))
     ids = np.ascontiguousarray(ids.T)
     out: list[np.ndarray] = [np.empty(0, np.uint16)] * len(payloads)
     for k, i in enumerate(order):

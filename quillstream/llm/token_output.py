@@ -9,6 +9,7 @@ together have equal priors, which Parquet's dictionaries keep once. The CRC-32 i
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -17,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import encoder, in_order, with_text, word_bpe
+from .common import encoder, in_chunks, in_order, with_text, word_bpe
 from .range_coder import decode_blocks, encode_blocks
 
-END, BLOCK, LANES = 1, 2048, 2048
+END, BLOCK, LANES = 1, 2048, 4096
 PIECE = pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64())])
 FILE = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("first", pa.int64()), ("n_ids", pa.int64()), ("crc32", pa.int64()), ("payload", pa.binary()), ("prior", pa.binary()), ("pieces", pa.list_(PIECE))])
 FILE_DDL = "part int, block long, first long, n_ids long, crc32 long, payload binary, prior binary, pieces array<struct<doc_id:bigint,start:bigint,length:bigint,doc_tokens:bigint>>"
@@ -74,17 +75,27 @@ def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     path = tokenizer or word_bpe()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end, now = encoder(path, "<u2"), np.uint16(END).tobytes(), None
-        for batch in batches:
-            for doc_id, text, part in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if now is None or part != now.part:
-                    if now is not None:
-                        now.close()
-                        yield now.coded()
-                    now = _Part(part)
-                now.add(doc_id, np.frombuffer(coder.bytes(text) + end, "<u2"))
-                if len(now.blocks) >= LANES:
+        coder, now = encoder(path, "<u2"), None
+
+        def rows() -> Iterator[tuple[int | None, int, np.ndarray]]:
+            for batch in batches:
+                keys = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)
+                for texts in in_chunks(batch.column(1)):
+                    ids, sizes = coder.many(texts)
+                    ends = np.cumsum(sizes)
+                    ids, ends = np.insert(ids, ends, END), ends + np.arange(1, len(ends) + 1)
+                    for (doc_id, part), n, to in zip(itertools.islice(keys, len(texts)), (sizes + 1).tolist(), ends.tolist(), strict=True):
+                        yield doc_id, part, ids[to - n : to]
+
+        for doc_id, part, ids in rows():
+            if now is None or part != now.part:
+                if now is not None:
+                    now.close()
                     yield now.coded()
+                now = _Part(part)
+            now.add(doc_id, ids)
+            if len(now.blocks) >= LANES:
+                yield now.coded()
         if now is not None:
             now.close()
             yield now.coded()
@@ -125,44 +136,42 @@ def crcs_before(crcs: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
     return out
 
 
-def read_pieces(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, part, at, start, length, doc_tokens, ids, crc) of each piece, decoded; `at` is its place in the part.
+def read_pieces(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """(doc_id, part, at, start, length, doc_tokens, crc, ids) of each piece, decoded; `at` is its place in the part.
 
     A block whose checksum differs, or that doesn't decode, fails the read. `crc` of a document's pieces combine by
-    exclusive or into the CRC-32 of its ids as little-endian unsigned 32-bit integers. ids are those 16-bit ids as bytes.
+    exclusive or into the CRC-32 of its ids as little-endian unsigned 32-bit integers. ids are those 16-bit ids as bytes;
+    without them, blocks are decoded and checked all the same.
     """
-    names = ["doc_id", "part", "at", "start", "length", "doc_tokens", "ids", "crc"]
+    schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), *[(x, pa.int64()) for x in ("at", "start", "length", "doc_tokens", "crc")], *([("ids", pa.binary())] if with_ids else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, LANES):
-                rows = whole.slice(at, LANES).to_pylist()
-                by_prior: dict[bytes, list[int]] = {}
-                for k, r in enumerate(rows):
-                    by_prior.setdefault(r["prior"], []).append(k)
-                decoded = [np.empty(0, np.uint16)] * len(rows)
-                for prior, of in by_prior.items():
-                    for k, ids in zip(of, decode_blocks([rows[k]["payload"] for k in of], [rows[k]["n_ids"] for k in of], prior), strict=True):
-                        decoded[k] = ids
-                out = []
-                for r, ids in zip(rows, decoded, strict=True):
-                    if checksum(ids, r["pieces"]) != r["crc32"]:
-                        raise ValueError(f"block {r['block']} of part {r['part']} is damaged")
-                    offset = 0
-                    for p in r["pieces"]:
-                        cut = ids[offset : offset + p["length"]]
-                        crc = zlib.crc32(cut.astype("<u4").tobytes())
-                        out.append((p["doc_id"], r["part"], r["first"] + offset, p["start"], p["length"], p["doc_tokens"], cut.astype("<u2").tobytes(), crc))
-                        offset += p["length"]
-                if out:
-                    kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.binary(), pa.int64()]
-                    cols = list(zip(*out, strict=True))
-                    start, length, tokens, crc = (np.array(cols[k], np.int64) for k in (3, 4, 5, 7))
-                    cols[7] = crcs_before(crc, 4 * (tokens - start - length))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+        for batch in batches:
+            by_prior: dict[bytes, list[dict]] = {}
+            for r in batch.to_pylist():
+                by_prior.setdefault(r["prior"], []).append(r)
+            for prior, of in by_prior.items():
+                for at in range(0, len(of), LANES):
+                    yield pieces_of(prior, of[at : at + LANES])
+
+    def pieces_of(prior: bytes, rows: list[dict]) -> pa.RecordBatch:
+        out = []
+        for r, ids in zip(rows, decode_blocks([r["payload"] for r in rows], [r["n_ids"] for r in rows], prior), strict=True):
+            wide, offset = ids.astype("<u4"), 0
+            if checksum(wide, r["pieces"]) != r["crc32"]:
+                raise ValueError(f"block {r['block']} of part {r['part']} is damaged")
+            for p in r["pieces"]:
+                to = offset + p["length"]
+                row = (p["doc_id"], r["part"], r["first"] + offset, p["start"], p["length"], p["doc_tokens"], zlib.crc32(wide[offset:to]))
+                out.append((*row, ids[offset:to].astype("<u2").tobytes()) if with_ids else row)
+                offset = to
+        cols = list(zip(*out, strict=True)) or [()] * len(schema)
+        start, length, tokens, crc = (np.array(cols[k], np.int64) for k in (3, 4, 5, 6))
+        cols[6] = crcs_before(crc, 4 * (tokens - start - length))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, schema.types, strict=True)], schema.names)
 
     files = spark.read.schema(FILE_DDL).parquet(path)
-    return files.mapInArrow(run, "doc_id long, part int, at long, start long, length long, doc_tokens long, ids binary, crc long")
+    return files.mapInArrow(run, "doc_id long, part int, at long, start long, length long, doc_tokens long, crc long" + ", ids binary" * with_ids)
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -174,6 +183,6 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
         offsets.append((r["part"], total))
         total += r["n"]
     before = spark.createDataFrame(offsets, "part int, before long")
-    pieces = read_pieces(spark, path).select("doc_id", "part", (F.col("at") - F.col("start")).alias("begin"), "length", "crc")
+    pieces = read_pieces(spark, path, with_ids=False).select("doc_id", "part", (F.col("at") - F.col("start")).alias("begin"), "length", "crc")
     found = pieces.groupBy("part", "begin", "doc_id").agg(F.sum("length").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"))
     return found.join(F.broadcast(before), "part").select("doc_id", (F.col("begin") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

@@ -8,12 +8,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillstream.llm import byte_cnn, edit_embedding, labelled, mixing, packing, quality_rules, simhash, token_counts, token_output, toxicity, url_filter
-from quillstream.llm.common import WordEncoder, windows_of, word_bpe
+from quillstream.llm.common import WordEncoder, in_chunks, windows_of, word_bpe
 from quillstream.llm.range_coder import decode_blocks, encode_blocks
 
 RNG = np.random.default_rng(1)
@@ -39,6 +40,35 @@ def test_word_encoder():
         assert coder.bytes(text) == coder.raw(text)
 
 
+def test_batches_of_texts():
+    """Ids of a batch are those of each text; a word is given to the library once, and what is kept stays bounded."""
+    texts = ["Don't stop, İstanbul's naïve ﬁ é́ \x1c ª12!! µm MÜNCHEN... ÿ Ÿ ẞ", "", " \t\n", LONG[:500], "a<|endoftext|>b 'S 日本語 ³ ###", " lead Straße-n, Straße!! trail ", "x \xa0y z\x0b\x0cw\x00v", ""] * 2
+    for dtype in ("<u2", "<u4"):
+        coder = WordEncoder(word_bpe(), dtype, limit=20)
+        expected = [coder.raw(t) for t in texts]
+        for column, held in ((pa.array(texts), expected), (pa.array(texts).slice(3, 7), expected[3:10]), (pa.array(["Ab ab"]), [coder.raw("Ab ab")])):
+            ids, sizes = coder.many(column)
+            assert ids.tobytes() == b"".join(held) and (sizes * ids.itemsize).tolist() == [len(x) for x in held]
+        assert coder.known.to_pylist() == ["ab"]  # over the limit, only what the batch uses is kept
+        assert not len(coder.many(pa.array([], pa.string()))[0])
+    coder, asked = WordEncoder(word_bpe()), []
+    coder.tokenize = lambda w, f=coder.tokenize: asked.append(w) or f(w)
+    for _ in range(2):
+        coder.many(pa.array(["Apple pear apple, PEAR!", "pear. apple"]))
+    assert sorted(asked) == ["apple", "pear"]
+    long = pa.array(["a" * 10, "b" * 40_000_000, "c", "d" * 31_999_999, "e"])
+    assert [x.to_pylist() for x in in_chunks(long)] == [["a" * 10], ["b" * 40_000_000], ["c", "d" * 31_999_999], ["e"]]
+
+
+def test_blocks_of_one_length_learn_alike():
+    """Many segments of full blocks, whose reader fills the same arrays segment after segment; the bytes are as they were."""
+    rng = np.random.default_rng(11)
+    blocks = [rng.choice(700, 2048, p=(w := 1 / np.arange(1, 701)) / w.sum()).astype(np.uint16) for _ in range(600)]
+    coded, prior = encode_blocks(blocks)
+    assert all((a == b).all() for a, b in zip(blocks, decode_blocks(coded, [2048] * 600, prior), strict=True))
+    assert (zlib.crc32(b"".join(coded)), zlib.crc32(prior)) == (3214720408, 2521372648)
+
+
 def test_range_coder_round_trip():
     blocks = [RNG.integers(0, top, n).astype(np.uint16) for top, n in ((3, 700), (49408, 65), (65536, 1), (2, 0), (400, 300), (65536, 5000))]
     coded, prior = encode_blocks(blocks)
