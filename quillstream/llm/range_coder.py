@@ -18,11 +18,16 @@ import numpy as np
 SEGMENT, BITS1, BITS2, TOP = 64, 10, 11, 1024
 KIND, REST = 11, 20  # bits of the shares of the three predictions, and of the frequencies of ids
 TOTAL = KIND + REST
-GROUP = 512  # lanes whose segment is looked up together
+GROUP, ROWS = 512, 8  # lanes whose segment the encoder looks up together, places that the decoder learns together
 #: The coder's interval has 64 bits and words have 32: as TOTAL is below 32, one word an id always suffices.
 WORD, LOW = np.uint64(32), np.uint64((1 << 32) - 1)
 MIX1, MIX2 = np.uint16(40503), np.uint16(30011)
-AGREE = 1 << 16  # in a table's entry: the id, and from this bit on its confidence
+#: A table's entry has the id and, above it, its confidence of 0 to 3 in steps of this: the sum of both orders' is their place.
+AGREE1, AGREE2 = np.uint32(2 << 16), np.uint32(8 << 16)
+TOP1, TOP2, ABOVE = np.uint32(3 * AGREE1), np.uint32(3 * AGREE2), np.uint32(0xFFFF0000)
+SHIFT1, SHIFT2 = np.uint16(16 - BITS1), np.uint16(16 - BITS2)
+HIGH, SHARE, WHOLE, SUM = np.uint32(16), np.uint32(0xFFFF), np.uint32(1 << KIND), np.uint32(REST)
+STEP = np.uint64(TOTAL)
 #: Counts are kept to quarters of a power of two, level 0 being none.
 LEVELS = np.array([0] + [round(2 ** (k / 4)) for k in range(200)], np.float64).astype(np.int64)
 
@@ -102,8 +107,8 @@ class Model:
 
     def __init__(self, lanes: int, prior: Prior) -> None:
         self.lanes, self.prior = lanes, prior
-        self.lane = np.arange(lanes)
-        self.base1, self.base2 = self.lane << BITS1, self.lane << BITS2
+        lane = np.arange(lanes)
+        self.base1, self.base2, self.base_share = (lane << b for b in (BITS1, BITS2, 5))
         self.next1, self.next2 = np.zeros(lanes << BITS1, np.uint32), np.zeros(lanes << BITS2, np.uint32)
         #: How often orders 2 and 1 and neither were right, by the confidence of both, whether they agree, and lane.
         self.kinds = np.zeros((3, 4, 4, 2, lanes), np.int32)
@@ -114,7 +119,8 @@ class Model:
     def settle(self) -> None:
         """Turns the counts into shares (order 2, orders 2 and 1), two packed into one number."""
         if self.news:
-            self.kinds += np.bincount(np.concatenate(self.news), minlength=self.kinds.size).reshape(self.kinds.shape).astype(np.int32)
+            counts = np.bincount(np.concatenate(self.news), minlength=self.kinds.size).reshape(3, self.lanes, 32)
+            self.kinds += counts.transpose(0, 2, 1).astype(np.int32, order="C").reshape(self.kinds.shape)
         self.news = []
         joint = self.kinds
         prior = lambda n: ((n + 1) << KIND) // (n.sum(0, dtype=np.int32) + 4)
@@ -125,45 +131,37 @@ class Model:
         two = np.clip(shares[0], 1, most - 64)
         one = np.clip(shares[1], 1, most - two)
         one[:, :, 1] = 0  # both orders predict the same id
-        self.shares = (two | ((two + one) << 16)).reshape(-1).astype(np.uint32)
+        self.shares = (two | ((two + one) << 16)).reshape(32, self.lanes).T.astype(np.uint32, order="C").reshape(-1)
 
-    def look(self, last: np.ndarray, before: np.ndarray, lanes: slice | tuple) -> tuple[np.ndarray, ...]:
-        """(order-1 slot, its entry, its id, order-2 slot, its entry, its id, index of the shares) of ids after `before` and `last`."""
+    def look(self, last: np.ndarray, before: np.ndarray, lanes: slice | tuple, into: tuple = (None,) * 5) -> tuple[np.ndarray, ...]:
+        """(order-1 slot, its entry, order-2 slot, its entry, index of the shares) of ids after `before` and `last`."""
         mixed = last * MIX1
-        s1 = (mixed >> np.uint16(16 - BITS1)).astype(np.int64)
+        s1 = np.right_shift(mixed, SHIFT1, out=into[0], dtype=None if into[0] is not None else np.int64)
         s1 += self.base1[lanes]
         mixed += before * MIX2
-        s2 = (mixed >> np.uint16(16 - BITS2)).astype(np.int64)
+        s2 = np.right_shift(mixed, SHIFT2, out=into[2], dtype=None if into[2] is not None else np.int64)
         s2 += self.base2[lanes]
-        e1, e2 = self.next1.take(s1, mode="clip"), self.next2.take(s2, mode="clip")
-        id1, id2 = e1.astype(np.uint16), e2.astype(np.uint16)
-        seen = ((e2 >> np.uint32(16)) << np.uint32(3)) + ((e1 >> np.uint32(16)) << np.uint32(1)) + (id1 == id2)
-        at = np.multiply(seen, self.lanes, dtype=np.int64)
-        at += self.lane[lanes]
-        return s1, e1, id1, s2, e2, id2, at
-
-    def changes(self, ids: np.ndarray, found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-        """(order-1 slot, its next entry, order-2 slot, its next entry, place in the counts) once ids are known, from look()'s."""
-        s1, e1, id1, s2, e2, id2, at = found
-        hit2, hit1 = id2 == ids, id1 == ids
-        kind = (np.uint8(2) - hit1.view(np.uint8)) * (~hit2).view(np.uint8)
-        out = []
-        for e, hit in ((e1, hit1), (e2, hit2)):
-            grown = e & ~np.uint32(AGREE - 1)
-            grown += np.uint32(AGREE)
-            np.minimum(grown, np.uint32(3 * AGREE), out=grown)
-            grown *= hit
-            grown |= ids
-            out.append(grown)
-        place = np.multiply(kind, self.lanes << 5, dtype=np.int64)
-        place += at
-        return s1, out[0], s2, out[1], place
-
-    def learn(self, parts: list[tuple[np.ndarray, ...]]) -> None:
-        """Learns a segment's changes, by groups of lanes. Lanes that end in the segment may learn anything."""
-        for s1, next1, s2, next2, place in parts:
-            self.next1[s1], self.next2[s2] = next1, next2  # the last of equal slots stays
-            self.news.append(place.flatten())  # a copy: the reader fills its arrays anew
+        e1, e2 = self.next1.take(s1, mode="clip", out=into[1]), self.next2.take(s2, mode="clip", out=into[3])
+        seen = e2 >> HIGH
+        seen += e1 >> HIGH
+        seen += e1.astype(np.uint16) == e2.astype(np.uint16)
+        return s1, e1, s2, e2, np.add(self.base_share[lanes], seen, out=into[4])
+
+    def learn(self, parts: list[tuple[np.ndarray, tuple[np.ndarray, ...]]]) -> None:
+        """Learns a segment's ids, in groups, from what look() gave for them. Lanes that end in the segment may learn anything."""
+        for ids, (s1, e1, s2, e2, at) in parts:
+            hit1, hit2 = e1.astype(np.uint16) == ids, e2.astype(np.uint16) == ids
+            kind = (np.uint8(2) - hit1.view(np.uint8)) * (~hit2).view(np.uint8)
+            place = np.multiply(kind, self.lanes << 5, dtype=np.int64)
+            place += at
+            self.news.append(place.reshape(-1))
+            for table, slots, e, hit, more, most in ((self.next1, s1, e1, hit1, AGREE1, TOP1), (self.next2, s2, e2, hit2, AGREE2, TOP2)):
+                grown = e & ABOVE
+                grown += more
+                np.minimum(grown, most, out=grown)
+                grown *= hit
+                grown |= ids
+                table[slots] = grown  # the last of equal slots stays
         self.segments += 1
         if self.segments & (self.segments - 1) == 0:
             self.settle()
@@ -171,14 +169,14 @@ class Model:
 
 def _intervals(model: Model, ids: np.ndarray, found: tuple[np.ndarray, ...]) -> np.ndarray:
     """Of known ids: the frequency, of a total of 2 ** TOTAL, in the upper half, where it begins in the lower one."""
-    _, _, id1, _, _, id2, at = found
+    _, e1, _, e2, at = found
     share = model.shares.take(at, mode="clip")
-    both = share >> np.uint32(16)
+    both = share >> HIGH
     out = model.prior.pairs.take(ids, mode="clip")
-    out *= np.uint32(1 << KIND) - both
-    out += both << np.uint32(REST)
-    hit2, hit1 = id2 == ids, id1 == ids
-    go = np.flatnonzero(hit2 | hit1)
+    out *= WHOLE - both
+    out += both << SUM
+    hit2 = e2.astype(np.uint16) == ids
+    go = np.flatnonzero(hit2 | (e1.astype(np.uint16) == ids))
     out.reshape(-1)[go] = _known(share.reshape(-1)[go], hit2.reshape(-1)[go])
     return out
 
@@ -190,24 +188,28 @@ def _known(share: np.ndarray, second: np.ndarray) -> np.ndarray:
     return np.where(second, two << WORD, ((both - two) << WORD) | two)
 
 
-def _read(model: Model, coder: Coder, n: int, step: np.ndarray, found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """(id, interval) that the code of the first n lanes stands for."""
-    _, _, id1, _, _, id2, at = found
+def _read(model: Model, coder: Coder, n: int, step: np.ndarray, found: tuple[np.ndarray, ...], ids: np.ndarray) -> np.ndarray:
+    """Reads the ids that the code of the first n lanes stands for, and gives their intervals."""
+    _, e1, _, e2, at = found
     share = model.shares.take(at, mode="clip")
-    x = ((coder.code[:n] - coder.low[:n]) // step).astype(np.uint32)
-    both = share >> np.uint32(16)
-    rest = np.uint32(1 << KIND) - both
-    both <<= np.uint32(REST)
-    ids = model.prior.slots.take((x - both) // rest, mode="clip")
+    x = coder.code[:n] - coder.low[:n]
+    x //= step
+    x = x.astype(np.uint32)
+    both = share >> HIGH
+    rest = WHOLE - both
+    both <<= SUM
+    y = x - both
+    y //= rest
+    model.prior.slots.take(y, mode="clip", out=ids)
     out = model.prior.pairs.take(ids, mode="clip")
     out *= rest
     out += both
     go = np.flatnonzero(x < both)
     if len(go):
         own = share[go]
-        second = x[go] < (own & np.uint32(0xFFFF)) << np.uint32(REST)
-        ids[go], out[go] = np.where(second, id2[go], id1[go]), _known(own, second)
-    return ids, out
+        second = x[go] < (own & SHARE) << SUM
+        ids[go], out[go] = np.where(second, e2[go], e1[go]), _known(own, second)  # an entry's lower half is its id
+    return out
 
 
 def _active(lengths: np.ndarray, t: int, end: int) -> list[int]:
@@ -227,37 +229,38 @@ def _write_all(lengths: np.ndarray, coder: Coder, ids: np.ndarray, prior: Prior)
             lanes = slice(at, min(at + GROUP, m))
             own = np.ascontiguousarray(ids[lanes, t + 2 : end + 2])
             found = model.look(np.ascontiguousarray(ids[lanes, t + 1 : end + 1]), np.ascontiguousarray(ids[lanes, t:end]), (lanes, None))
-            parts.append((_intervals(model, own, found).T, model.changes(own, found)))
-        out = np.concatenate([x for x, _ in parts], axis=1)
+            parts.append((own, found, _intervals(model, own, found).T))
+        out = np.concatenate([x for _, _, x in parts], axis=1)
         low, freq = out & LOW, out >> WORD
         for k, n in enumerate(active):
-            coder.narrow(n, low[k, :n], freq[k, :n], coder.range[:n] >> np.uint64(TOTAL))
+            coder.narrow(n, low[k, :n], freq[k, :n], coder.range[:n] >> STEP)
         if end < most:
-            model.learn([x for _, x in parts])
+            model.learn([(own, found) for own, found, _ in parts])
 
 
 def _read_all(lengths: np.ndarray, coder: Coder, ids: np.ndarray, prior: Prior) -> None:
     """Decodes into the columns of ids, a column a lane. Lengths fall from lane to lane; ids has two rows of zeros before all."""
     model, most = Model(len(lengths), prior), int(lengths[0])
-    changed: list[np.ndarray] = []  # what each step of a segment has to learn
+    # what each step of a segment looked up, to learn from
+    looked = [np.empty((SEGMENT, len(lengths)), kind) for kind in (np.int64, np.uint32, np.int64, np.uint32, np.int64)]
     for t in range(0, most, SEGMENT):
         end = min(t + SEGMENT, most)
         active = _active(lengths, t, end)
         m = active[0]
         for k, n in enumerate(active):
-            step = coder.range[:n] >> np.uint64(TOTAL)
-            seen = model.look(ids[t + k + 1, :n], ids[t + k, :n], slice(0, n))
-            ids[t + k + 2, :n], out = _read(model, coder, n, step, seen)
+            step = coder.range[:n] >> STEP
+            seen = model.look(ids[t + k + 1, :n], ids[t + k, :n], slice(0, n), tuple(held[k, :n] for held in looked))
+            out = _read(model, coder, n, step, seen, ids[t + k + 2, :n])
             coder.narrow(n, out & LOW, out >> WORD, step)
-            own = model.changes(ids[t + k + 2, :n], seen)
-            changed = changed or [np.empty((SEGMENT, m), x.dtype) for x in own]
-            for held, x in zip(changed, own, strict=True):
-                held[k, :n] = x
         if end < most:
-            parts = tuple(held[: end - t, :m] for held in changed)
-            if active[-1] < m:  # rows of lanes that ended are not filled
-                parts = model.changes(ids[t + 2 : end + 2, :m], model.look(ids[t + 1 : end + 1, :m], ids[t:end, :m], slice(0, m)))
-            model.learn([parts])
+            parts = []
+            for k in range(0, end - t, ROWS):
+                rows = slice(k, min(k + ROWS, end - t))
+                found = tuple(held[rows, :m] for held in looked)
+                if active[-1] < m:  # rows of lanes that ended are not filled
+                    found = model.look(ids[t + 1 : end + 1, :m][rows], ids[t:end, :m][rows], slice(0, m))
+                parts.append((ids[t + 2 : end + 2, :m][rows], found))
+            model.learn(parts)
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> tuple[list[bytes], bytes]:
