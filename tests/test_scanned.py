@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillstream.functions import fixed_values as V
 from quillstream.operators import analyses as A
+from quillstream.operators import corpus as W
 from quillstream.operators import inside as I
+from quillstream.operators import render as P
 from quillstream.operators import report as R
 from quillstream.operators import scanned as S
 from quillstream.operators.frames import Frames
@@ -72,3 +75,42 @@ def test_metrics_are_those_of_the_analyses_by_row(spark):
     assert rows(empty) == [(k, None, None, None, None, 0.0, 0) for k in (100, 101, 102)]
     assert R.metrics(f, **LISTS).agg(F.sum("overused")).first()[0] == 0
     assert V.STOPWORDS and R.metrics(Frames.plain(f.docs.limit(0).select("doc_id", F.col("source").alias("text")))).count() == 0
+
+
+def test_ranked_findings_and_tops_are_those_of_all_rows(spark, monkeypatch):
+    f = frames(spark)
+    monkeypatch.setattr(S, "WORDS", 700)
+    every = R.all_findings(f, **LISTS)
+    rank = F.element_at(F.create_map(*[F.lit(x) for kv in V.REVISION_RANK.items() for x in kv]), F.col("rule"))
+    every = every.withColumn("rank", F.when(F.col("rule") == "echo", 100 - F.col("distance")).otherwise(F.coalesce(rank, F.lit(0))).cast("long"))
+    order = [F.desc("rank"), "pos", "message"]
+    of = F.count("*").over(Window.partitionBy("doc_id"))
+    want = every.withColumns({"k": F.row_number().over(Window.partitionBy("doc_id", "rule").orderBy(*order)), "of": of}).filter("k <= 2")
+    want = want.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).filter("nth <= 9").select("doc_id", "rule", "message", "pos", "rank", "nth", "of")
+    assert rows(R.revisions_by_document(f, 2, 9, **LISTS).select(want.columns)) == rows(want) != []
+    count = [F.count("*").alias("count")]
+    words = f.words.filter(~F.col("lower").isin(*V.STOPWORDS) & (F.length("lower") >= 3)).groupBy("doc_id", F.col("lower").alias("item")).agg(*count)
+    openers = f.sentences.groupBy("doc_id", F.col("first_word").alias("item")).agg(*count)
+    for kind, most, df in (("word", 4, words), ("repeat", 3, I.repeats(f).select("doc_id", F.col("phrase").alias("item"), "count")), ("opener", 5, openers)):
+        nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("count"), "item"))
+        want = df.withColumn("rank", nth).filter(F.col("rank") <= most).select("doc_id", "rank", "item", "count")
+        assert rows(W.tops_by_document(f, 4, 3, 5).filter(F.col("kind") == kind).drop("kind")) == rows(want) != []
+
+
+def test_review_of_a_page_shuffles_few_findings(spark):
+    """However many findings a document has, `each` of a rule leave its row."""
+    f = Frames.plain(spark.createDataFrame([(1, "It was slowly seen by the slowly lanterns. " * 400)], "doc_id long, text string")).settled()
+    of = {r["rule"]: r["count"] for r in R.all_findings(f).groupBy("rule").count().collect()}
+    assert {r["rule"]: r["count"] for r in R._ranked(f, 3).groupBy("rule").count().collect()} == {k: min(n, 3) for k, n in of.items()}
+    assert R.revisions_by_document(f).first().of == R.all_findings(f).count() > 1000
+
+
+def test_a_page_looks_at_its_findings_and_tops_once(spark):
+    """Each frame that pages() takes is in its plan once, so no finding is placed and no word counted again for another section."""
+    f = frames(spark)
+    review = R.revisions_by_document(f).select("doc_id", "nth", "of", "rule", "message", F.lit(1).alias("line"), F.lit(1).alias("column"), F.lit("x").alias("text"))
+    made = P.pages(A.counts(f), review, W.tops_by_document(f))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+    assert made.filter("doc_id IS NOT NULL").count() == 65
+    html = made.filter("doc_id = 103").first().html
+    assert "<li>one <b>1</b></li>" in html and html.count('<p class="muted">None</p>') == 3  # neither findings nor content words nor repeats
