@@ -93,3 +93,8 @@ def test_ends_of_documents_look_at_each_word_once(spark):
     rows = _ends(Frames.plain(spark.createDataFrame([(1, "a b a c. B d"), (2, "")], "doc_id long, text string")), 3)
     assert "array_position" not in rows._jdf.queryExecution().optimizedPlan().toString()
     assert [tuple(r)[2:] for r in rows.collect()] == [(6, 11, [0, 1], ["a", "b"], ["a", "c", "b", "d"])]
+
+
+def test_counts_leave_out_documents_without_words_or_an_id_as_their_sql(spark, tmp_path):
+    rows = [(1, "One two. Three!", "en", "a"), (2, "123 456 ...", "en", "a"), (3, None, "en", "a"), (4, "", "de", "a"), (5, " ?! \n ", "en", "a"), (None, "Here are four words.", "en", "a"), (6, "Ein Satz.", "de", "a")]
+    beside_sql(spark, tmp_path, ("counts_by_doc", "counts_total"), rows)
